@@ -11,8 +11,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpuslab.llm.common import CACHE_WORDS
+from corpuslab.session import in_arrow
 
 #: What the regular expressions of the tokenizer file count as white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -201,8 +205,12 @@ def _ids(path: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, known = loaded(path), Memory()
         for batch in batches:
-            ids = [[i for x in xs for i in x] for xs in known.texts(batch.column(text_at).to_pylist(), bpe, tuple)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+            ids, offsets = array("i"), [0]
+            for xs in known.texts(batch.column(text_at).to_pylist(), bpe, tuple):
+                ids.extend(chain.from_iterable(xs))
+                offsets.append(len(ids))
+            flat = np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(flat))], [*batch.schema.names, "ids"])
 
     return run
 
@@ -212,7 +220,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     if "ids" in docs.columns:
         raise ValueError("there is a column ids")
     schema = docs.limit(0).withColumn("ids", F.array().cast("array<int>")).schema
-    return docs.mapInArrow(_ids(path, docs.columns.index(text)), schema)
+    return in_arrow(docs, _ids(path, docs.columns.index(text)), schema)
 
 
 def _texts(path: str, at: int):
@@ -230,7 +238,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     if "decoded" in rows.columns:
         raise ValueError("there is a column decoded")
     schema = rows.limit(0).withColumn("decoded", F.lit("")).schema
-    return rows.mapInArrow(_texts(path, rows.columns.index(ids)), schema)
+    return in_arrow(rows, _texts(path, rows.columns.index(ids)), schema)
 
 
 def _digests(path: str):
@@ -255,4 +263,4 @@ def _digests(path: str):
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's text, encoded and decoded; null and blank texts have no tokens.
     Repeated rows and doc_ids give a row each; an empty table gives none; other columns are ignored."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

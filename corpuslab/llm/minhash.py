@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import M1, Forest, WordHashes, components, drop_table, join_hash, mix, partitions, text_rows, utf8, written
+from corpuslab.session import in_arrow
 
 TREES, DEPTH = 32, 4
 #: Deeper minima in a label, how many of them neighbours must share, and how many neighbours each class meets.
@@ -207,22 +208,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block_
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base, base_at = written(texts.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, key binary, region array<long>, rest array<long>"), "sketches")
+    base, base_at = written(in_arrow(texts, _sketches(shingle), "doc_id long, n_shingles long, key binary, region array<long>, rest array<long>"), "sketches")
     known = base.where("doc_id is not null and key is not null")
     classes, classes_at = written(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("region").alias("region"), F.first("rest").alias("rest"), F.first("n_shingles").alias("n")), "classes")
     rows = classes.select("rep", F.explode(F.arrays_zip("region", "rest")).alias("x")).select("x.region", "x.rest", "rep")
     order = rows.repartitionByRange(n, "region", "rest", "rep").sortWithinPartitions("region", "rest", "rep")
-    loose, loose_at = components(order.mapInArrow(_neighbours, "a long, b long"))
+    loose, loose_at = components(in_arrow(order, _neighbours, "a long, b long"))
     sized = loose.join(classes.groupBy("rep").agg(F.max("n").alias("n")), F.col("id") == F.col("rep"))
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     member = sized.join(blocks, "component").select("rep", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
     # a doc_id that stands on rows with different texts is a node with several sets
     inside = texts.join(member, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "block", "blocks", "text")
-    sets = inside.mapInArrow(_sets(shingle), "rep long, cluster long, block int, blocks int, items array<long>")
+    sets = in_arrow(inside, _sets(shingle), "rep long, cluster long, block int, blocks int, items array<long>")
     met = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "block", "items")
     grouped = met.repartition(n, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
     same = known.join(classes.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found, found_at = components(grouped.mapInArrow(_links(percent), "a long, b long"))
+    found, found_at = components(in_arrow(grouped, _links(percent), "a long, b long"))
     # ids repeated on rows with other texts tie those texts' classes together
     twice = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     tied = same.join(twice, F.col("b") == F.col("doc_id")).select("a", "b")

@@ -8,13 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, minhash, substring
+from corpuslab.llm import bpe, minhash, mixing, paragraphs, substring, token_orc, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of labelled documents: language and quality class."""
+    return docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id").select("doc_id", F.concat_ws("-", "lang", F.col("quality").cast("string")).alias("domain"))
+
+
+def op3_mixing_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.fit_classifier(docs, domains(docs, table(spark, sf_dir, "labels")))
+    return mixing.rated(docs, mixing.fit_rates(docs, model))
+
+
+def op5_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     result, _ = substring.repeated_spans(table(spark, sf_dir, "documents"), window=50)
     return result.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -24,13 +48,22 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_mil": op1_toxicity_mil,
+    "op2_warc_seekable": op2_warc_seekable,
+    "op3_mixing_soft": op3_mixing_soft,
+    "op5_paragraph_iblt": op5_paragraph_iblt,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_trie": op7_bpe_trie,
+    "op8_token_orc": op8_token_orc,
     "op10_minhash_forest": op10_minhash_forest,
 }
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import WordHashes, drop_table, join_hash, mix, text_rows, utf8, written
+from corpuslab.session import in_arrow
 
 #: The shortest window that is looked up on its own.
 LEAST = 13
@@ -146,7 +147,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     spark, steps = docs.sparkSession, levels(window)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("key", F.coalesce(F.unhex(F.sha1("text")), F.lit(b"")))
-    base, base_at = written(keyed.mapInArrow(_words(window), "doc_id long, key binary, n_words long, whole_sha256 string, anchors array<long>"), "words")
+    base, base_at = written(in_arrow(keyed, _words(window), "doc_id long, key binary, n_words long, whole_sha256 string, anchors array<long>"), "words")
     first, first_at = written(base.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("key").agg(F.min("doc_id").alias("first")), "first")
     # one document of each text is looked at; the others lose all or nothing
     own = base.join(first, "key").where("doc_id = first").dropDuplicates(["key", "doc_id"])
@@ -155,11 +156,11 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     held, held_at = written(keyed.join(chosen, ["doc_id", "key"]).select("doc_id", "key", "text", "alive"), "held")
     paths, texts = [alive_at], held.select("doc_id", "key", "text")
     for length in steps[1:]:
-        at, at_path = written(held.mapInArrow(_extended(window, length), "h long, doc_id long"), "windows")
+        at, at_path = written(in_arrow(held, _extended(window, length), "h long, doc_id long"), "windows")
         alive, path = _repeated(at, length == window)
         drop_table(spark, at_path, *paths)
         paths, held = [path], texts.join(alive, "doc_id")
-    cut, _ = written(texts.join(alive.withColumnRenamed("alive", "gone"), "doc_id").mapInArrow(_spans(window), "doc_id long, key binary, spans array<long>, n_removed long, kept_sha256 string").where("n_removed > 0").dropDuplicates(["doc_id", "key"]), "spans")
+    cut, _ = written(in_arrow(texts.join(alive.withColumnRenamed("alive", "gone"), "doc_id"), _spans(window), "doc_id long, key binary, spans array<long>, n_removed long, kept_sha256 string").where("n_removed > 0").dropDuplicates(["doc_id", "key"]), "spans")
     drop_table(spark, held_at, *paths)
     parts = cut.select("doc_id", "key", F.col("n_removed").alias("part"), F.col("kept_sha256").alias("part_sha256"))
     out = base.drop("anchors").join(first, "key", "left").join(parts, ["doc_id", "key"], "left")
@@ -204,7 +205,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     gone = result.where("copy and n_removed > 0").select("doc_id", "key", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
     spans = cut.union(gone).groupBy("doc_id", "key").agg(F.first("spans").alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_spans")
     met = docs.join(spans, (docs["doc_id"].cast("long") == F.col("_id")) & (F.unhex(F.sha1(docs["text"].cast("string"))) == F.col("_key")), "left").select(*(docs[c] for c in names), "_spans")
-    out = met.mapInArrow(_cut(names, names.index("text")), docs.schema)
+    out = in_arrow(met, _cut(names, names.index("text")), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out
