@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, minhash, mixing, paragraphs, substring, token_orc, toxicity, warc
+from corpuslab.llm import bpe, html_cut, media, minhash, mixing, paragraphs, substring, token_orc, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_mixing_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rated(docs, mixing.fit_rates(docs, model))
 
 
+def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,10 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op9_media_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies_of_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -60,10 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_mil": op1_toxicity_mil,
     "op2_warc_seekable": op2_warc_seekable,
     "op3_mixing_soft": op3_mixing_soft,
+    "op4_html_mincut": op4_html_mincut,
     "op5_paragraph_iblt": op5_paragraph_iblt,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_token_orc": op8_token_orc,
+    "op9_media_descriptors": op9_media_descriptors,
     "op10_minhash_forest": op10_minhash_forest,
 }
 
