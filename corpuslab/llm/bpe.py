@@ -11,12 +11,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +24,7 @@ from tokenizers import Tokenizer
 from corpuslab.llm.common import CACHE_WORDS
 from corpuslab.session import in_arrow
 
-#: What the regular expressions of the tokenizer file count as white space.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACES = re.compile(f"[{SPACE}]+")
-#: str.split() also splits at these.
+#: White space to some regular expressions and not to others.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -39,6 +35,25 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Generations:
+    """A bounded memory of two halves: when the younger is full the older goes; what is asked for stays young."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that are not known; the known ones are in young then, until the next call."""
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        new = keys.difference(self.young)
+        if self.old:
+            old = self.old
+            again = [k for k in new if k in old]
+            self.young.update((k, old[k]) for k in again)
+            new.difference_update(again)
+        return new
+
+
 class WordTrieBpe:
     """A tokenizer file of the kind "BPE with word ends": NFC, white space to a space, lower case, pattern split, byte-level symbols."""
 
@@ -61,10 +76,14 @@ class WordTrieBpe:
         self.symbols = byte_symbols()
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.longest = max(len(s.removesuffix(self.end)) for s in self.vocab)
-        self.follows: dict[tuple[int, int], bool] = {}
+        bodies = {t.removesuffix(self.end) if self.end and t != self.end else t for t in self.vocab}
+        self.starts = {t[:n] for t in bodies for n in range(1, len(t) + 1)}
+        self.follows: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.steps: dict[str, dict[str, str]] = {}
+        self.inner_ends: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.last_ends: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.words = Generations(KNOWN_WORDS)
 
     # ---- pieces
 
@@ -93,83 +112,98 @@ class WordTrieBpe:
         return known
 
     def may_follow(self, left: int, right: int) -> bool:
-        if (known := self.follows.get((left, right))) is None:
+        key = left << 32 | right
+        if (known := self.follows.get(key)) is None:
             if len(self.follows) >= CACHE_WORDS:
                 self.follows.clear()
-            known = self.follows[left, right] = self.merged([*self.atoms(left), *self.atoms(right)]) == [left, right]
+            known = self.follows[key] = self.merged([*self.atoms(left), *self.atoms(right)]) == [left, right]
         return known
 
+    def tail(self, tail: str, symbol: str) -> str:
+        """The longest end of a prefix that a token starts with, from that of the prefix without its last symbol."""
+        steps = self.steps.get(tail)
+        if steps is None:
+            steps = self.steps[tail] = {}
+        if (found := steps.get(symbol)) is None:
+            found = tail + symbol
+            while found and found not in self.starts:
+                found = found[1:]
+            steps[symbol] = found
+        return found
+
+    def ends(self, tail: str, suffix: str) -> tuple[tuple[int, int], ...]:
+        """(symbols, token) of the tokens that a prefix with this tail can end in, the longest first."""
+        memo = self.last_ends if suffix else self.inner_ends
+        if (found := memo.get(tail)) is None:
+            tokens = ((len(tail) - i, self.vocab.get(tail[i:] + suffix)) for i in range(len(tail)))
+            found = memo[tail] = tuple((n, t) for n, t in tokens if t is not None and self.is_whole(t))
+        return found
+
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """The encodings of distinct words given in byte symbols."""
         root: dict = {}
         for word in words:
             node = root
             for c in word[:-1]:
-                node = node.setdefault(c, {})
+                below = node.get(c)
+                if below is None:
+                    below = node[c] = {}
+                node = below
             node.setdefault("", []).append(word)
         out: dict[str, tuple[int, ...]] = {}
-        sizes = {}
-        states, path = [-1], []
-        stack: list[tuple[str, dict | None]] = [("", root)]
+        follows, may_follow = self.follows, self.may_follow
+        states, lengths = [-1], [0]  # the last token of each prefix on the way here, and its symbols
+        stack: list[tuple[int, str, str, dict]] = [(0, "", "", root)]
         while stack:
-            symbol, node = stack.pop()
-            if node is None:
-                path.pop()
-                states.pop()
-                continue
-            if symbol:
-                path.append(symbol)
-                states.append(self.last_token("".join(path[-self.longest :]), len(path), states, ""))
-                stack.append(("", None))
+            depth, tail, symbol, node = stack.pop()
+            del states[max(1, depth) :], lengths[max(1, depth) :]
+            if depth:
+                tail = self.tail(tail, symbol)
+                for size, token in self.ends(tail, ""):
+                    if size == depth or follows.get(states[depth - size] << 32 | token) or may_follow(states[depth - size], token):
+                        states.append(token)
+                        lengths.append(size)
+                        break
             for word in node.get("", ()):
-                token = self.last_token(word[-self.longest :], len(word), states, self.end)
-                ids, n = [token], len(word) - self._size(token, sizes)
+                last = self.tail(tail, word[-1])
+                for size, token in self.ends(last, self.end):
+                    if size == depth + 1 or may_follow(states[depth + 1 - size], token):
+                        break
+                else:
+                    raise ValueError(f"no token ends {word!r}")
+                ids, n = [token], depth + 1 - size
                 while n:
                     ids.append(states[n])
-                    n -= self._size(states[n], sizes)
-                out[word] = tuple(reversed(ids))
-            stack.extend((c, child) for c, child in node.items() if c)
+                    n -= lengths[n]
+                ids.reverse()
+                out[word] = tuple(ids)
+            for c, child in node.items():
+                if c:
+                    stack.append((depth + 1, tail, c, child))
         return out
 
-    def _size(self, token: int, sizes: dict[int, int]) -> int:
-        if (size := sizes.get(token)) is None:
-            text = self.strings[token]
-            size = sizes[token] = len(text.removesuffix(self.end)) if self.end and text != self.end else len(text)
-        return size
-
-    def last_token(self, tail: str, n: int, states: list[int], suffix: str) -> int:
-        """The last token of the encoding of a prefix of n symbols that ends in tail; states: of its shorter prefixes, by length."""
-        for size in range(len(tail), 0, -1):
-            token = self.vocab.get(tail[len(tail) - size :] + suffix)
-            if token is not None and self.is_whole(token) and (size == n or self.may_follow(states[n - size], token)):
-                return token
-        raise ValueError(f"no token ends {tail!r}")
-
     # ---- texts
 
     def spelled(self, chunk: str) -> list[str]:
         """The words of a run in byte symbols; beyond ASCII by the file's own normalizer and splitter, whose Unicode tables count."""
-        if chunk.isascii():
+        if chunk.isascii() and not _ODD.search(chunk):
             return ["".join([self.symbols[b] for b in w.encode()]) for w in self.pattern.findall(chunk.lower())]
         return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
-    def chunks(self, text: str) -> list[str]:
-        """Runs without white space; a special token's string is a run of its own."""
-        if self.split_special and any(m in text for m in self.marks):
-            return [y for x in self.split_special.split(text) for y in ([x] if x in self.special else self._spaced(x))]
-        return self._spaced(text)
-
-    def _spaced(self, text: str) -> list[str]:
-        return [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
-
-    def encode_chunks(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each run, in which the pattern finds words."""
-        found = {c: self.spelled(c) for c in chunks if c not in self.special}
-        new = {w for words in found.values() for w in words}
-        done = self.encode_words(list(new))
-        return {c: (self.special[c],) if c in self.special else tuple(i for w in found[c] for i in done[w]) for c in chunks}
-
-    def decode(self, ids: list[int]) -> str:
+    def encode_chunks(self, runs: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each run, in which special tokens' strings stand for themselves and the pattern finds words in the rest."""
+        found: dict[str, list] = {}
+        for run in runs:
+            if self.split_special and any(m in run for m in self.marks):
+                found[run] = [y for x in self.split_special.split(run) for y in ([self.special[x]] if x in self.special else self.spelled(x))]
+            else:
+                found[run] = self.spelled(run)
+        new = self.words.missing({w for words in found.values() for w in words if isinstance(w, str)})
+        done = self.words.young
+        done.update(self.encode_words(list(new)))
+        return {c: tuple(i for w in words for i in (done[w] if isinstance(w, str) else (w,))) if len(words) != 1 or isinstance(words[0], int) else done[words[0]] for c, words in found.items()}
+
+    def decode(self, ids: Iterable[int]) -> str:
         """As without a decoder: the tokens' strings joined by a space. Ids outside the vocabulary are left out."""
         return " ".join([self.strings[i] for i in ids if i in self.strings])
 
@@ -183,34 +217,94 @@ def loaded(path: str) -> WordTrieBpe:
     return _LOADED[path]
 
 
-class Memory:
-    """What is known of runs; starts anew when full, so that its memory is bounded."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, object] = {}
-
-    def texts(self, texts: list[str | None], bpe: WordTrieBpe, make: Callable[[tuple[int, ...]], object]) -> Iterator[list]:
-        runs = [bpe.chunks(t or "") for t in texts]
-        for run in runs:
-            new = set(run).difference(self.known)
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = set(run)
-            if new:
-                self.known.update({c: make(ids) for c, ids in bpe.encode_chunks(new).items()})
-            yield [self.known[c] for c in run]
+#: Pieces of runs and words whose encodings a worker keeps in each half of its memory, and bytes of texts taken at a time.
+KNOWN_PIECES, KNOWN_WORDS, AT_ONCE = 100_000, 60_000, 6_000_000
+
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_CORE = f"^[^{re.escape(_MARKS)}]*"
+
+
+class Pieces:
+    """Encodings of pieces of texts, kept by a worker from task to task.
+
+    A piece is a run without white space. Where a run is a word of letters and marks after it, the two are pieces, as they encode on their own; ASCII capitals
+    become small letters. A run that may hold a special token is left as it is. encode: what is kept of new pieces, by piece.
+    """
+
+    def __init__(self, encode: Callable[[set[str]], dict], size: int = KNOWN_PIECES) -> None:
+        self.encode, self.known = encode, Generations(size)
+
+    def values(self, wanted: list[str]) -> list:
+        new = self.known.missing(set(wanted))
+        if new:
+            self.known.young.update(self.encode(new))
+        return list(map(self.known.young.__getitem__, wanted))
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """For some texts at a time: what is kept of their distinct pieces, the number of each piece in turn, and where each text's pieces end."""
+        texts = texts.fill_null("")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, side="right")))
+            lists = pc.ascii_split_whitespace(texts.slice(at, end - at))
+            found = lists.flatten().dictionary_encode()
+            runs, low = found.dictionary, pc.ascii_lower(found.dictionary)
+            core = pc.ascii_rtrim(low, characters=_MARKS)
+            low = pc.if_else(pc.match_substring(runs, "<|"), runs, low)
+            apart = pc.and_(pc.utf8_is_alpha(core), pc.less(pc.binary_length(core), pc.binary_length(low)))
+            heads = pc.if_else(apart, core, low).dictionary_encode()
+            tails = pc.if_else(apart, pc.replace_substring_regex(low, _CORE, ""), "").dictionary_encode()
+            words = [*heads.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
+            pair = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], 1)
+            turns = pair[found.indices.to_numpy()].reshape(-1)
+            some = np.array([w != "" for w in words], bool)[turns]
+            upto = np.concatenate([[0], np.cumsum(some)])
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+            yield self.values(words), turns[some], upto[2 * ends]
+            at = end
+
+
+def flat_ids(values: list[bytes], runs: np.ndarray, ends: np.ndarray, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row and where each text's end, from the bytes of their runs' ids; tail is added to each text."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    flat = np.frombuffer(b"".join(values), np.int32)
+    starts = np.cumsum(sizes) - sizes
+    each = sizes[runs]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    ids = flat[np.repeat(starts[runs] - upto[:-1], each) + np.arange(upto[-1])] if len(runs) else np.empty(0, np.int32)
+    at = upto[ends]
+    if tail is not None:
+        ids = np.insert(ids, at[1:], tail).astype(np.int32)
+        at = at + np.arange(len(at))
+    return ids, at
+
+
+_PIECES: dict[tuple[str, str], Pieces] = {}
+
+
+def pieces(path: str, kind: str) -> Pieces:
+    """The worker's memory of ids ("ids": their bytes) or of what digests() shows ("shown": number, ids and pieces as texts)."""
+    if (path, kind) not in _PIECES:
+        bpe = loaded(path)
+        if kind == "ids":
+            made = Pieces(lambda new: {c: np.array(ids, np.int32).tobytes() for c, ids in bpe.encode_chunks(new).items()})
+        else:
+            made = Pieces(lambda new: {c: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)) for c, ids in bpe.encode_chunks(new).items()})
+        _PIECES[path, kind] = made
+    return _PIECES[path, kind]
 
 
 def _ids(path: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = loaded(path), Memory()
+        known = pieces(path, "ids")
         for batch in batches:
-            ids, offsets = array("i"), [0]
-            for xs in known.texts(batch.column(text_at).to_pylist(), bpe, tuple):
-                ids.extend(chain.from_iterable(xs))
-                offsets.append(len(ids))
-            flat = np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(flat))], [*batch.schema.names, "ids"])
+            at = 0
+            for values, runs, ends in known.texts(batch.column(text_at)):
+                ids, offsets = flat_ids(values, runs, ends)
+                part = batch.slice(at, len(ends) - 1)
+                at += len(ends) - 1
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], [*batch.schema.names, "ids"])
 
     return run
 
@@ -243,19 +337,23 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = loaded(path), Memory()
-
-        def shown(ids: tuple[int, ...]) -> tuple[int, str, str]:
-            return len(ids), " ".join(map(str, ids)), bpe.decode(list(ids))
-
+        known = pieces(path, "shown")
         for batch in batches:
-            n, coded, decoded = [], [], []
-            for xs in known.texts(batch.column(1).to_pylist(), bpe, shown):
-                xs = [x for x in xs if x[0]]
-                n.append(sum([x[0] for x in xs]))
-                coded.append(hashlib.sha256(" ".join([x[1] for x in xs]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x[2] for x in xs]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            at = 0
+            for values, runs, ends in known.texts(batch.column(1)):
+                sizes = np.array([v[0] for v in values], np.int64)
+                coded, decoded = ([v[k] for v in values] for k in (1, 2))
+                upto = np.concatenate([[0], np.cumsum(sizes[runs])])[ends]
+                some = np.flatnonzero(sizes[runs])  # a run may be empty
+                runs, ends = runs[some], np.searchsorted(some, ends)
+                hashes = []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    mine = runs[a:b].tolist()
+                    hashes.append([hashlib.sha256(" ".join([x[i] for i in mine]).encode()).hexdigest() for x in (coded, decoded)])
+                n = len(ends) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(upto)), pa.array([h[0] for h in hashes], pa.string()), pa.array([h[1] for h in hashes], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at += n
+            pa.default_memory_pool().release_unused()
 
     return run
 
