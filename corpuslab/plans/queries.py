@@ -1,4 +1,739 @@
 """Named queries over the tables, and the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslab.functions import scores as S
+from corpuslab.functions import text as T
+from corpuslab.functions.minhash import parameters, signature
+from corpuslab.operators import dedup, leakage, ngrams, quality, reasoning, select, stats, tokens, training
+from corpuslab.profiles import LATIN
+from corpuslab.session import ship
+from corpuslab.sources import scan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if SQL can express it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# What the SQL shares. Texts of the tables have no white space but spaces and line ends.
+W = r"list_filter(string_split_regex({0}, '\s+'), lambda x: x <> '')"
+WT = W.format("text")
+NW = f"len({WT})"
+COLLAPSED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+CT = COLLAPSED.format("text")
+CHANCE = "(('0x' || substr(md5({1} || ':' || {0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+U = CHANCE.format("doc_id", "'1337'")
+SPLIT = f"CASE WHEN {U} < 0.98::DOUBLE THEN 'train' WHEN {U} < 0.99::DOUBLE THEN 'val' ELSE 'test' END"
+INSIDE = r"[^A-Za-z0-9\x{c0}-\x{24f}\x{964}\x{965}]"
+BLOCK = r"[^A-Za-z0-9\x{c0}-\x{24f}]"
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+# ---------------------------------------------------------------- flagship
+
+
+def _gated(docs: DataFrame) -> DataFrame:
+    """Documents of 20 characters and more that are in the script."""
+    made = docs.withColumn("clean", T.collapse(F.col("text")))
+    return made.where((F.char_length("clean") >= 20) & (T.script_fraction(F.col("clean"), LATIN) >= 0.5)).where(T.quality_reason(F.col("clean"), LATIN).isNull())
+
+
+GATED = f"""gated AS (SELECT * FROM (SELECT doc_id, source, lang, text, {CT} AS clean FROM documents)
+ WHERE length(clean) >= 20 AND length(regexp_replace(clean, '{INSIDE}', '', 'g')) >= 0.5::DOUBLE * length(regexp_replace(clean, '\\s', '', 'g'))
+ AND len(string_split(clean, ' ')) >= 5 AND len(list_filter(string_split(clean, ' '), lambda x: length(x) = 1)) <= 0.15::DOUBLE * len(string_split(clean, ' ')))"""
+
+
+@query()
+def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate, exact and near duplicates, split, and counts by source and split."""
+    docs = dedup.exact_dedup(_gated(t(spark, sf_dir, "documents")), "clean")
+    kept = dedup.drop_later(docs, dedup.near_pairs(docs.select("doc_id", F.col("clean").alias("text"))))
+    return kept.groupBy("source", select.split_of(F.col("doc_id")).alias("split")).agg(F.count("*").alias("docs"), F.sum(T.word_count(F.col("clean")).cast("long")).alias("words"), F.sum(F.char_length("clean").cast("long")).alias("chars"))
+
+
+@query(f"""WITH {GATED}, firsts AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY sha256(clean) ORDER BY doc_id) = 1)
+SELECT source, {SPLIT} AS split, count(*) AS docs, sum(len(string_split(clean, ' ')))::BIGINT AS words, sum(length(clean))::BIGINT AS chars FROM firsts GROUP BY ALL""")
+def curate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship without its near-duplicate step."""
+    docs = dedup.exact_dedup(_gated(t(spark, sf_dir, "documents")), "clean")
+    return docs.groupBy("source", select.split_of(F.col("doc_id")).alias("split")).agg(F.count("*").alias("docs"), F.sum(T.word_count(F.col("clean")).cast("long")).alias("words"), F.sum(F.char_length("clean").cast("long")).alias("chars"))
+
+
+# ---------------------------------------------------------------- duplicates and history
+
+
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_dedup(t(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source")
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").groupBy(S.doc_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def history_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with odd ids as a new run, those with even ids as its history."""
+    docs = t(spark, sf_dir, "documents").withColumn("hash", S.doc_hash(F.col("text")))
+    return dedup.not_seen(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("doc_id")
+
+
+@query("SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) = 1")
+def url_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = t(spark, sf_dir, "pages").select("page_id", "url")
+    return dedup.first_of(pages, F.regexp_replace("url", "[?#].*$", ""), [F.col("page_id")])
+
+
+@query("SELECT page_id, string_split(regexp_replace(url, '^/+|/+$', '', 'g'), '/')[-1] AS slug FROM pages")
+def url_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", T.last_segment(F.col("url")).alias("slug"))
+
+
+@query("""SELECT page_id, regexp_replace(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1], '[^A-Za-z0-9._-]+', '_', 'g') || '-' || substr(sha256(url), 1, 8) AS name FROM pages""")
+def url_cache_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", T.cache_name(F.col("url")).alias("name"))
+
+
+@query(f"""SELECT doc_id, greatest(length(c) - 7, 1) AS shingles, substr(c, 1, 8) AS first_shingle, substr(c, greatest(length(c) - 7, 1), 8) AS last_shingle FROM (SELECT doc_id, {CT} AS c FROM documents)""")
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = S.shingles(F.col("text"))
+    return t(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("shingles"), F.get("s", F.lit(0)).alias("first_shingle"), F.element_at("s", -1).alias("last_shingle"))
+
+
+@query()
+def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(signature(F.col("text")), " ").alias("signature"))
+
+
+@query()
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_pairs(t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def near_dup_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates go source by source."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    pairs = dedup.near_pairs(docs.select("doc_id", "text")).join(docs.select(F.col("doc_id").alias("id_a"), F.col("source").alias("sa")), "id_a").join(docs.select(F.col("doc_id").alias("id_b"), F.col("source").alias("sb")), "id_b")
+    return dedup.drop_later(docs, pairs.where("sa = sb")).select("doc_id", "source")
+
+
+# ---------------------------------------------------------------- scripts, gates, cleaning
+
+
+@query(f"""SELECT doc_id, length(regexp_replace(text, '{INSIDE}', '', 'g')) AS inside, length(regexp_replace(text, '\\s', '', 'g')) AS total,
+round(length(regexp_replace(text, '{INSIDE}', '', 'g')) / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0)::DOUBLE, 6) AS share FROM documents""")
+def script_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("text")
+    return t(spark, sf_dir, "documents").select("doc_id", T.in_script(x, LATIN).cast("long").alias("inside"), T.not_space(x).cast("long").alias("total"), r6(T.script_fraction(x, LATIN)).alias("share"))
+
+
+@query(rf"""SELECT lang, sum(length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g')))::BIGINT AS letters,
+round(sum(length(regexp_replace(text, '[^\p{{L}}\p{{M}}]|{BLOCK}', '', 'g')))::DOUBLE / sum(length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g'))), 4) AS purity FROM documents GROUP BY lang""")
+def script_purity_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("text")
+    return t(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.letters(x).cast("long")).alias("letters"), stats.purity(T.letters(x), T.letters_in(x, LATIN)).alias("purity"))
+
+
+@query(rf"""SELECT doc_id, length(text) - length(regexp_replace(text, '[^A-Za-z0-9\x{{c0}}-\x{{24f}}\x{{964}}\x{{965}}\s]', '', 'g')) AS removed FROM documents""")
+def script_filter_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("text")
+    return t(spark, sf_dir, "documents").select("doc_id", (F.char_length(x) - F.char_length(T.script_filter(x, LATIN))).cast("long").alias("removed"))
+
+
+CLEANED = rf"""filtered AS (SELECT doc_id, text, regexp_replace(text, '[^A-Za-z0-9\x{{c0}}-\x{{24f}}\x{{964}}\x{{965}}\s]', '', 'g') AS f FROM documents),
+cleaned AS (SELECT doc_id, text, length(text) - length(f) AS removed_chars, trim(regexp_replace(regexp_replace(f, 'www\.\S+', ' ', 'g'), '\s+', ' ', 'g')) AS clean_text FROM filtered),
+gates AS (SELECT *, list_filter(string_split(clean_text, ' '), lambda x: x <> '') AS w, length(regexp_replace(clean_text, '\s', '', 'g')) AS total,
+ length(regexp_replace(clean_text, '{INSIDE}', '', 'g')) AS inside FROM cleaned),
+reasons AS (SELECT doc_id, clean_text, removed_chars, CASE WHEN length(clean_text) < 20 THEN 'too_short' WHEN total > 0 AND inside::DOUBLE / total < 0.5::DOUBLE THEN 'low_script_fraction'
+ WHEN (length(text) - length(clean_text))::DOUBLE / greatest(1, length(trim(text, E' \n'))) > 0.40::DOUBLE THEN 'high_orphan_diacritics' WHEN len(w) < 5 THEN 'too_short'
+ WHEN len(list_filter(w, lambda x: length(x) = 1))::DOUBLE / greatest(1, len(w)) > 0.15::DOUBLE THEN 'excessive_single_char_fragments' END AS dropped FROM gates)"""
+
+
+@query(f"WITH {CLEANED} SELECT doc_id, removed_chars, dropped, sha256(clean_text) AS clean_sha FROM reasons")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.cleaned(t(spark, sf_dir, "documents"), LATIN).select("doc_id", F.col("removed_chars").cast("long").alias("removed_chars"), "dropped", F.sha2("clean_text", 256).alias("clean_sha"))
+
+
+@query(f"WITH {CLEANED} SELECT coalesce(dropped, 'kept') AS reason, count(*) AS docs, sum(removed_chars)::BIGINT AS removed_chars FROM reasons GROUP BY 1")
+def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.cleaned(t(spark, sf_dir, "documents"), LATIN)
+    return rows.groupBy(F.coalesce("dropped", F.lit("kept")).alias("reason")).agg(F.count("*").alias("docs"), F.sum(F.col("removed_chars").cast("long")).alias("removed_chars"))
+
+
+def _html_sql() -> str:
+    x = "html"
+    for tag in T.DROPPED_ELEMENTS:
+        x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '{T.LINE_TAGS}', chr(10), 'g')"
+    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return f"list_transform(string_split({x}, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t]+', ' ', 'g')))"
+
+
+_BOILER = "(" + " OR ".join(f"contains(lower(l), '{f}')" for f in T.BOILERPLATE) + ")"
+
+
+@query(f"SELECT page_id, sha256(array_to_string(list_filter({_html_sql()}, lambda l: length(l) >= 10 AND NOT ({_BOILER} AND length(l) < 80)), chr(10))) AS text_sha FROM pages")
+def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return t(spark, sf_dir, "pages").select("page_id", F.sha2(T.html_text(F.col("html")), 256).alias("text_sha"))
+
+
+@query(f"SELECT page_id, len(list_filter({_html_sql()}, lambda l: length(l) >= 10)) AS lines, len(list_filter({_html_sql()}, lambda l: {_BOILER} AND length(l) < 80)) AS boilerplate FROM pages")
+def html_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = t(spark, sf_dir, "pages").select("page_id", T.html_lines(F.col("html")).alias("l"))
+    return rows.select("page_id", F.size(F.filter("l", lambda x: F.char_length(x) >= 10)).cast("long").alias("lines"), F.size(F.filter("l", T.boilerplate)).cast("long").alias("boilerplate"))
+
+
+@query(r"""SELECT page_id, list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)).len() AS links, len(regexp_extract_all(html, '(?i)<a[ >]')) AS anchors FROM pages""")
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).cast("long").alias("links"), F.regexp_count("html", F.lit("(?i)<a[ >]")).cast("long").alias("anchors"))
+
+
+_WIKI = """'== ' || source || ' ==' || chr(10) || '''''' || lang || ''''' [[Target|' || substr(text, 1, 40) || ']] {{box|a={{b}}}} ' || text || '<ref name="x">gone</ref> [[File:a.png|thumb]] (  ) [http://x.example label]'"""
+
+
+def _wiki_sql(collapsed: bool) -> str:
+    x = f"({_WIKI})"
+    for pattern, stays in T._wiki_rules("শ্ৰেণী" if collapsed else "श्रेणी|শ্রেণী", 4 if collapsed else 5):
+        pattern = pattern.replace("(?iu)", "(?i)").replace(T.SPACE, r"\s").replace("'", "''")
+        x = f"regexp_replace({x}, '{pattern}', '{stays.replace('$1', chr(92) + '1')}', 'g')"
+    if collapsed:
+        return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+    return rf"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: length(l) >= 20), chr(10))"
+
+
+
+@query(f"SELECT doc_id, sha256({_wiki_sql(False)}) AS prose_sha, sha256({_wiki_sql(True)}) AS line_sha FROM documents")
+def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("== "), F.col("source"), F.lit(" ==\n'''"), F.col("lang"), F.lit("'' [[Target|"), F.substring("text", 1, 40), F.lit("]] {{box|a={{b}}}} "), F.col("text"), F.lit('<ref name="x">gone</ref> [[File:a.png|thumb]] (  ) [http://x.example label]'))
+    rows = t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return rows.select("doc_id", F.sha2(T.wikitext(F.col("raw")), 256).alias("prose_sha"), F.sha2(T.wiki_markup(F.col("raw")), 256).alias("line_sha"))
+
+
+# ---------------------------------------------------------------- splits, quotas, samples
+
+
+@query(f"SELECT doc_id, {SPLIT} AS split FROM documents")
+def split_bernoulli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", select.split_of(F.col("doc_id")).alias("split"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {U}, doc_id) - 1 AS rk, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN rk < floor(n * 0.98::DOUBLE) THEN 'train' WHEN rk < floor(n * 0.98::DOUBLE) + floor(n * 0.01::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r""")
+def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.exact_split(t(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query(f"""WITH e AS (SELECT doc_id, source, greatest(1, floor({NW} * 1.35::DOUBLE)) AS tok FROM documents),
+r AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT doc_id, source FROM r WHERE before < 5000""")
+def quota_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", T.tokens_estimate(F.col("text"), 1.35, rounded=False).alias("tok"))
+    return quality.quota(docs, [F.col("doc_id")], {"tok": 5000}, ["source"]).select("doc_id", "source")
+
+
+@query(f"""WITH e AS (SELECT doc_id, greatest(1, floor({NW} * 1.35::DOUBLE)) AS tok FROM documents),
+r AS (SELECT *, coalesce(sum(tok) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM e)
+SELECT doc_id FROM r WHERE before < 100000 AND n < 400""")
+def quota_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents").select("doc_id", T.tokens_estimate(F.col("text"), 1.35, rounded=False).alias("tok"))
+    return quality.quota(docs, [F.col("doc_id")], {"tok": 100000, "*": 400}).select("doc_id")
+
+
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10")
+def per_source_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.first_in_groups(t(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], 10)
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {CHANCE.format('doc_id', chr(39) + '7' + chr(39))}, doc_id LIMIT 50")
+def sample_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.sample(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 7)
+
+
+@query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 34")
+def balanced_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.balanced(t(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", [F.col("event_id")], 100, 3)
+
+
+@query(f"""SELECT choice, count(*) AS n FROM (SELECT CASE WHEN {CHANCE.format('event_id', chr(39) + '3' + chr(39))} < 0.4::DOUBLE THEN '>' WHEN {CHANCE.format('event_id', chr(39) + '3' + chr(39))} < 0.8::DOUBLE THEN '<' ELSE '=' END AS choice FROM events) GROUP BY 1""")
+def weighted_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "events").groupBy(select.choice(F.col("event_id"), 3, reasoning.QUESTION_WEIGHTS).alias("choice")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS shared FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1)")
+def pool_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents")
+    return select.disjoint(docs.where("doc_id % 2 = 0").select("text"), docs.where("doc_id % 2 = 1").select("text"))
+
+
+# ---------------------------------------------------------------- statistics
+
+
+@query(f"SELECT doc_id, greatest(1, round({NW} * 1.2::DOUBLE))::INTEGER AS rounded, greatest(1, floor({NW} * 1.35::DOUBLE))::INTEGER AS cut FROM documents")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("text")
+    return t(spark, sf_dir, "documents").select("doc_id", T.tokens_estimate(x).alias("rounded"), T.tokens_estimate(x, 1.35, rounded=False).alias("cut"))
+
+
+BY_SOURCE = f"""by_source AS (SELECT source, CASE WHEN bool_or(lang = 'es') OR regexp_matches(lower(source), 'src1$') THEN 'manual' ELSE 'downloaded' END AS type, count(*) AS doc_count,
+ sum(greatest(1, round({NW} * 1.2::DOUBLE)))::BIGINT AS token_estimate FROM documents GROUP BY source)"""
+
+
+def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spanish documents and those of src1 stand for what was gathered by hand."""
+    hand = (F.col("lang") == "es") | F.lower("source").rlike("src1$")
+    return stats.source_stats(t(spark, sf_dir, "documents").withColumn("source_type", F.when(hand, "manual").otherwise("other")))
+
+
+@query(f"WITH {BY_SOURCE} SELECT * FROM by_source")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_source(spark, sf_dir)
+
+
+@query(f"""WITH {BY_SOURCE} SELECT sum(token_estimate)::BIGINT AS total_tokens, coalesce(sum(token_estimate) FILTER (type = 'manual'), 0)::BIGINT AS manual_tokens,
+coalesce(sum(token_estimate) FILTER (type <> 'manual'), 0)::BIGINT AS downloaded_tokens, round(coalesce(sum(token_estimate) FILTER (type = 'manual'), 0)::DOUBLE / sum(token_estimate), 6) AS manual_fraction FROM by_source""")
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.totals(_by_source(spark, sf_dir))
+
+
+@query(f"""WITH {BY_SOURCE} SELECT format('# Dataset statistics\n\n- Total tokens (estimate): **{{:,}}**\n\n| source | type | docs | tokens |\n|---|---|---|---|\n', sum(token_estimate)::BIGINT)
+ || string_agg(format('| {{}} | {{}} | {{:,}} | {{:,}} |', source, type, doc_count, token_estimate), chr(10) ORDER BY source) AS report FROM by_source""")
+def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.report(_by_source(spark, sf_dir))
+
+
+SCAN = rf"""scan AS (SELECT source, count(*) AS docs, sum({NW})::BIGINT AS words, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS utf8_bytes, sum(tok)::BIGINT AS tokens,
+ count(*) FILTER (split = 'train') AS docs_train, count(*) FILTER (split = 'val') AS docs_val, count(*) FILTER (split = 'test') AS docs_test,
+ coalesce(sum(tok) FILTER (split = 'train'), 0)::BIGINT AS tokens_train, coalesce(sum(tok) FILTER (split = 'val'), 0)::BIGINT AS tokens_val, coalesce(sum(tok) FILTER (split = 'test'), 0)::BIGINT AS tokens_test,
+ round(sum(length(regexp_replace(text, '[^\p{{L}}\p{{M}}]|{BLOCK}', '', 'g'))) FILTER (split = 'val')::DOUBLE / nullif(sum(length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g'))) FILTER (split = 'val'), 0), 4) AS purity_val,
+ round(sum(tok)::DOUBLE / nullif(sum({NW}), 0), 4) AS tokens_per_word
+ FROM (SELECT *, {SPLIT} AS split, greatest(1, round({NW} * 1.2::DOUBLE))::BIGINT AS tok FROM documents) GROUP BY source)"""
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.source_scan(t(spark, sf_dir, "documents").withColumn("split", select.split_of(F.col("doc_id"))), LATIN)
+
+
+@query(f"WITH {SCAN} SELECT * FROM scan")
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).drop("bengali_ra", "assamese_ra", "bengali_ra_share")
+
+
+@query(f"""WITH {SCAN}, k AS (SELECT CASE source WHEN 'src0' THEN 'manual' WHEN 'src1' THEN 'downloaded' WHEN 'src2' THEN 'excluded' ELSE 'unclassified' END AS kind, sum(docs)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens FROM scan GROUP BY 1)
+SELECT kind, docs, tokens, round(tokens::DOUBLE / sum(tokens) OVER (), 6) AS share FROM k""")
+def kind_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = spark.createDataFrame([("src0", "manual"), ("src1", "downloaded"), ("src2", "excluded")], "source string, kind string")
+    return stats.kind_shares(_scan(spark, sf_dir), kinds)
+
+
+@query(f"""SELECT split, sum({NW} + 1)::BIGINT AS stored_tokens, count(*) AS stored_docs, sum({NW} + 1)::BIGINT AS replayed_tokens, count(*) AS replayed_docs, true AS equal
+FROM (SELECT text, {SPLIT} AS split FROM documents) GROUP BY split""")
+def bin_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored counts against counts made anew."""
+    docs = t(spark, sf_dir, "documents").select(select.split_of(F.col("doc_id")).alias("split"), T.word_count(F.col("text")).cast("long").alias("tokens"))
+    stored = docs.groupBy("split").agg(F.sum(F.col("tokens") + 1).alias("tokens"), F.count("*").alias("docs"))
+    return stats.replay_check(stored, docs)
+
+
+@query("""WITH s AS (SELECT source AS name, CASE WHEN min(lang) = 'de' THEN 'manual' ELSE 'downloaded' END AS type, min(doc_id)::INTEGER AS priority FROM documents GROUP BY source)
+SELECT name, type, priority, priority % 3 = 0 AS completed, priority % 5 = 1 AS failed FROM s""")
+def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = t(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.when(F.min("lang") == "de", "manual").otherwise("downloaded").alias("type"), F.min("doc_id").cast("int").alias("priority"))
+    pick = lambda test: s.where(test).select(F.col("name").alias("source"))
+    return stats.registry(s, pick("priority % 3 = 0"), pick("priority % 5 = 1"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id < 7)")
+def manifest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of the first seven documents are done."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source")
+    return docs.join(docs.where("doc_id < 7").select("source").distinct(), "source", "left_anti").select("doc_id", "source")
+
+
+# ---------------------------------------------------------------- n-grams and answers
+
+
+def _gram_sql(n: int) -> str:
+    return f"list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
+@query(f"""WITH w AS (SELECT role, {WT} AS w FROM conversations), g AS (SELECT role, unnest({_gram_sql(3)}) AS g FROM w WHERE len(w) >= 3),
+c AS (SELECT role, count(*) AS total, count(DISTINCT g) AS kinds FROM g GROUP BY role) SELECT role, round(1 - kinds::DOUBLE / total, 6) AS repetition_rate, round(kinds::DOUBLE / total, 6) AS distinct_n FROM c""")
+def ngram_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = ngrams.diversity(t(spark, sf_dir, "conversations"), 3, ["role"])
+    return d.select("role", r6(F.col("repetition_rate")).alias("repetition_rate"), r6(F.col("distinct_n")).alias("distinct_n"))
+
+
+@query(f"""WITH w AS (SELECT {WT} AS w FROM documents), g AS (SELECT unnest({_gram_sql(2)}) AS ngram FROM w WHERE len(w) >= 2) SELECT ngram, count(*) AS count FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def top_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.top_ngrams(t(spark, sf_dir, "documents"), 2, 20)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's turn and the assistant's next one."""
+    c = t(spark, sf_dir, "conversations")
+    user = c.where("role = 'user'").select("conv_id", F.col("turn").alias("ut"), F.col("text").alias("reference"))
+    said = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("ut"), F.col("text").alias("hypothesis"))
+    return user.join(said, ["conv_id", "ut"]).select(F.concat_ws(":", "conv_id", "ut").alias("id"), "hypothesis", "reference")
+
+
+PAIRS = "pairs AS (SELECT u.conv_id || ':' || u.turn AS id, a.text AS hypothesis, u.text AS reference FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
+_H, _R = W.format("hypothesis"), W.format("reference")
+
+
+@query(f"""WITH {PAIRS}, h AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest({_H}) AS w FROM pairs) GROUP BY ALL), r AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest({_R}) AS w FROM pairs) GROUP BY ALL),
+m AS (SELECT h.id, sum(least(h.c, r.c)) AS common FROM h JOIN r ON h.id = r.id AND h.w = r.w GROUP BY 1)
+SELECT pairs.id, round(coalesce(2.0::DOUBLE * (common::DOUBLE / len({_H})) * (common::DOUBLE / len({_R})) / (common::DOUBLE / len({_H}) + common::DOUBLE / len({_R})), 0), 6) AS f1 FROM pairs LEFT JOIN m ON m.id = pairs.id""")
+def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("id", r6(S.token_f1(F.col("hypothesis"), F.col("reference"))).alias("f1"))
+
+
+_HC, _RC = COLLAPSED.format("hypothesis"), COLLAPSED.format("reference")
+
+
+# The SQL's edit distance counts bytes, so that letters with marks become single ones for it.
+_MARKED = "éóèñüöäßêíçÉÓÈÑÜÖÄÊÍÇáúÁÚ"
+_HL, _RL = (f"translate({c}, '{_MARKED}', '{''.join(chr(1 + i) if i < 8 else chr(6 + i) for i in range(len(_MARKED)))}')" for c in (_HC, _RC))
+
+
+@query(f"WITH {PAIRS} SELECT id, round(greatest(0, 1 - levenshtein({_HL}, {_RL})::DOUBLE / greatest(length({_HC}), length({_RC}))), 6) AS similarity FROM pairs")
+def char_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("id", r6(S.char_similarity(F.col("hypothesis"), F.col("reference"))).alias("similarity"))
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT id, {_HC} AS h, {_RC} AS r, trim(string_split({_HC}, '.')[1]) AS f FROM pairs)
+SELECT id, contains(h, r) OR contains(r, h) AS exact, contains(h, f) OR contains(f, h) AS part, h = r AS strict FROM p""")
+def answer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("hypothesis")
+    part = F.trim(F.get(F.split(T.collapse(h), r"\."), F.lit(0)))
+    return _pairs(spark, sf_dir).select("id", S.exact_match(h, F.col("reference")).alias("exact"), S.exact_match(h, part).alias("part"), S.strict_match(h, F.col("reference")).alias("strict"))
+
+
+def _bleu_sql() -> str:
+    parts, logs, zeros = [], [], "0"
+    for k in range(1, 5):
+        gram = f"list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))"
+        parts.append(f"h{k} AS (SELECT id, g, count(*) AS c FROM (SELECT id, unnest({gram}) AS g FROM (SELECT id, {_H} AS w FROM pairs) WHERE len(w) >= {k}) GROUP BY ALL), r{k} AS (SELECT id, g, count(*) AS c FROM (SELECT id, unnest({gram}) AS g FROM (SELECT id, {_R} AS w FROM pairs) WHERE len(w) >= {k}) GROUP BY ALL), s{k} AS (SELECT (SELECT sum(c) FROM h{k})::DOUBLE AS hyp, coalesce((SELECT sum(least(h.c, r.c)) FROM h{k} h JOIN r{k} r ON h.id = r.id AND h.g = r.g), 0)::DOUBLE AS hit)")
+        zeros = f"{zeros} + (s{k}.hit = 0)::INTEGER"
+        logs.append(f"ln(CASE WHEN s{k}.hit = 0 THEN 100.0::DOUBLE / (pow(2, {zeros}) * s{k}.hyp) ELSE 100.0::DOUBLE * s{k}.hit / s{k}.hyp END)")
+    return f"WITH {PAIRS}, {', '.join(parts)}, l AS (SELECT sum(len({_H}))::DOUBLE AS sys, sum(len({_R}))::DOUBLE AS ref FROM pairs) SELECT round(CASE WHEN sys < ref THEN exp(1 - ref / sys) ELSE 1 END * exp(({' + '.join(logs)}) / 4), 6) AS bleu FROM l, s1, s2, s3, s4"
+
+
+@query(_bleu_sql())
+def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.bleu(_pairs(spark, sf_dir)).select(r6(F.col("bleu")).alias("bleu"))
+
+
+def _chrf_sql() -> str:
+    parts, p, r = [], [], []
+    for k in range(1, 7):
+        gram = f"list_transform(generate_series(1, length(s) - {k - 1}), lambda i: substr(s, i, {k}))"
+        side = lambda c: f"(SELECT id, g, count(*) AS c FROM (SELECT id, unnest({gram}) AS g FROM (SELECT id, replace({c}, ' ', '') AS s FROM pairs) WHERE length(s) >= {k}) GROUP BY ALL)"  # noqa: B023, E731
+        parts.append(f"h{k} AS {side(_HC)}, r{k} AS {side(_RC)}, s{k} AS (SELECT (SELECT sum(c) FROM h{k})::DOUBLE AS hyp, (SELECT sum(c) FROM r{k})::DOUBLE AS ref, coalesce((SELECT sum(least(h.c, r.c)) FROM h{k} h JOIN r{k} r ON h.id = r.id AND h.g = r.g), 0)::DOUBLE AS hit)")
+        p.append(f"s{k}.hit / s{k}.hyp")
+        r.append(f"s{k}.hit / s{k}.ref")
+    return f"WITH {PAIRS}, {', '.join(parts)}, m AS (SELECT ({' + '.join(p)}) / 6 AS p, ({' + '.join(r)}) / 6 AS r FROM s1, s2, s3, s4, s5, s6) SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM m"
+
+
+@query(_chrf_sql())
+def chrf_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.chrf(_pairs(spark, sf_dir)).select(r6(F.col("chrf")).alias("chrf"))
+
+
+@query()
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("id", r6(S.rouge_l(F.col("hypothesis"), F.col("reference"))).alias("rouge_l"))
+
+
+@query("SELECT conv_id AS prompt, min(text) FILTER (role = 'assistant') AS assistant, min(text) FILTER (role = 'user') AS user FROM conversations GROUP BY conv_id")
+def generation_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t(spark, sf_dir, "conversations").where("role <> 'system'").unionByName(t(spark, sf_dir, "conversations").where("role = 'system'"))
+    return ngrams.pivoted(c.select(F.col("conv_id").alias("prompt"), F.col("role").alias("label"), "text"), ["assistant", "user"])
+
+
+# ---------------------------------------------------------------- leakage
+
+
+@query("SELECT b.item_id, count(DISTINCT d.doc_id) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
+def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that stand word for word in documents: looked up by their first eight words, then compared whole."""
+    head = F.array_join(F.slice(T.words(F.col("text")), 1, 8), " ")
+    items = t(spark, sf_dir, "benchmark").where(T.word_count(F.col("text")) >= 8).select("item_id", F.col("text").alias("item"), head.alias("head"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.transform(S.ngrams(T.words(F.col("text")), 8), lambda g: F.array_join(g, " "))).alias("head")).distinct()
+    return docs.join(items, "head").where(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"))
+
+
+
+
+def _names_sql(test: str) -> str:
+    return f"SELECT DISTINCT source, unnest({WT}) AS name FROM documents WHERE {test}"
+
+
+@query(f"SELECT o.source, count(*) AS name_overlap FROM ({_names_sql('doc_id % 10 = 0')}) o JOIN (SELECT DISTINCT name FROM ({_names_sql('doc_id % 10 <> 0')})) n ON o.name = n.name GROUP BY 1")
+def name_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as names: those of each source's tenth documents that others have."""
+    names = t(spark, sf_dir, "documents").select("doc_id", "source", F.explode(T.words(F.col("text"))).alias("name"))
+    return leakage.name_overlap(names.where("doc_id % 10 <> 0"), names.where("doc_id % 10 = 0"), ["source"])
+
+
+_KEYED = f"k AS (SELECT doc_id AS ord, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END ELSE 'train' END AS split, {WT} AS name, text, lang || '|' || source AS structure, CASE WHEN toxic = 1 THEN '<' WHEN quality = 1 THEN '>' ELSE '=' END AS relation FROM documents JOIN labels USING (doc_id))"
+
+
+def _keyed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id")
+    part = F.when(F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")).otherwise("train")
+    return d.select(F.col("doc_id").alias("ord"), part.alias("split"), T.words(F.col("text")).alias("name"), "text", F.concat_ws("|", "lang", "source").alias("structure"), F.when(F.col("toxic") == 1, "<").when(F.col("quality") == 1, ">").otherwise("=").alias("relation"))
+
+
+@query(f"""WITH {_KEYED}, tr AS (SELECT * FROM k WHERE split = 'train'), ev AS (SELECT * FROM k WHERE split <> 'train'),
+c AS (SELECT structure, relation, count(*) AS c, min(ord) AS f FROM tr GROUP BY ALL), m AS (SELECT structure, relation AS looked FROM c QUALIFY row_number() OVER (PARTITION BY structure ORDER BY c DESC, f) = 1),
+o AS (SELECT relation AS overall FROM (SELECT relation, count(*) AS c, min(ord) AS f FROM tr GROUP BY 1) ORDER BY c DESC, f LIMIT 1),
+nt AS (SELECT DISTINCT unnest(name) AS n FROM tr), ne AS (SELECT DISTINCT split, unnest(name) AS n FROM ev), ov AS (SELECT split, count(*) AS name_overlap FROM ne JOIN nt USING (n) GROUP BY 1)
+SELECT ev.split, count(*) AS n, max(coalesce(name_overlap, 0)) AS name_overlap, count(*) FILTER (ev.text IN (SELECT text FROM tr)) AS exact_text_dup, round(avg((looked IS NOT NULL)::INTEGER), 4) AS structure_seen,
+round(avg((coalesce(looked, overall) = relation)::INTEGER), 4) AS structure_lookup_acc, round(avg((relation = overall)::INTEGER), 4) AS majority_acc FROM ev LEFT JOIN m USING (structure) CROSS JOIN o LEFT JOIN ov ON ov.split = ev.split GROUP BY ev.split""")
+def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _keyed_examples(spark, sf_dir)
+    return leakage.report(k.where("split = 'train'"), k.where("split <> 'train'"))
+
+
+@query(f"WITH {_KEYED} SELECT relation AS majority_relation, round(count(*)::DOUBLE / (SELECT count(*) FROM k), 6) AS majority_accuracy FROM k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def majority_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.chance_baseline(_keyed_examples(spark, sf_dir))
+
+
+def _metrics_sql() -> str:
+    cells = ", ".join(f"count(*) FILTER (gold = '{r}' AND pred = '{r}') AS tp_{n}, count(*) FILTER (gold = '{r}') AS n_{n}, count(*) FILTER (pred = '{r}') AS p_{n}" for n, r in (("lt", "<"), ("eq", "="), ("gt", ">")))
+    f1 = " + ".join(f"CASE WHEN tp_{n} > 0 THEN 2.0::DOUBLE * tp_{n} / (n_{n} + p_{n}) ELSE 0 END" for n in ("lt", "eq", "gt"))
+    some = " + ".join(f"(n_{n} > 0)::INTEGER" for n in ("lt", "eq", "gt"))
+    recall = ", ".join(f"CASE WHEN n_{n} > 0 THEN round(tp_{n}::DOUBLE / n_{n}, 6) END AS recall_{n}" for n in ("lt", "eq", "gt"))
+    return f"""WITH x AS (SELECT CASE quality WHEN 1 THEN '>' ELSE '<' END AS gold, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN toxic = 1 THEN '<' WHEN doc_id % 5 = 0 THEN '=' ELSE '>' END AS pred FROM labels),
+c AS (SELECT count(*) AS n, count(*) FILTER (gold = pred) AS hits, {cells} FROM x) SELECT round(hits::DOUBLE / n, 6) AS accuracy, {recall}, round(({f1}) / greatest(1, {some}), 6) AS macro_f1, n_lt, n_eq, n_gt FROM c"""
+
+
+@query(_metrics_sql())
+def relation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, ">").otherwise("<").alias("gold"), F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("toxic") == 1, "<").when(F.col("doc_id") % 5 == 0, "=").otherwise(">").alias("pred"))
+    return leakage.relation_metrics(rows)
+
+
+# ---------------------------------------------------------------- reasoning
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of four customers' order totals: premises compare neighbours, the query the ends."""
+    o = t(spark, sf_dir, "orders").select((F.col("o_orderkey") / 4).cast("long").alias("g"), "o_orderkey", F.floor(F.col("o_totalprice") / 100000).alias("v"))
+    g = o.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "v"))).alias("m")).where(F.size("m") == 4)
+    premise = lambda i: F.struct(F.concat(F.lit("n"), F.lit(str(i))).alias("s"), F.when(F.col("m")[i]["v"] > F.col("m")[i + 1]["v"], ">").when(F.col("m")[i]["v"] < F.col("m")[i + 1]["v"], "<").otherwise("=").alias("rel"), F.concat(F.lit("n"), F.lit(str(i + 1))).alias("o"))
+    return g.select(F.col("g").alias("id"), F.array(*(premise(i) for i in range(3))).alias("premises"), F.struct(F.lit("n0").alias("x"), F.lit("n3").alias("y")).alias("query"))
+
+
+@query("""WITH o AS (SELECT o_orderkey // 4 AS id, floor(o_totalprice / 100000) AS v, row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderkey // 4) AS n FROM orders),
+d AS (SELECT a.id, sign(a.v - b.v)::INTEGER AS s FROM o a JOIN o b ON a.id = b.id AND b.i = a.i + 1 WHERE a.n = 4), g AS (SELECT id, bool_or(s > 0) AS gt, bool_or(s < 0) AS lt FROM d GROUP BY id)
+SELECT id, CASE WHEN gt AND lt THEN NULL WHEN gt THEN '>' WHEN lt THEN '<' ELSE '=' END AS relation, CASE WHEN gt AND lt THEN 'underdetermined' END AS error FROM g""")
+def solve_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reasoning.solved(_orders(spark, sf_dir)).select("id", "relation", "error")
+
+
+@query("SELECT o_orderkey // 4 AS id, 3 AS hops FROM orders GROUP BY 1 HAVING count(*) = 4")
+def query_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reasoning.hops(_orders(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey // 4 AS id, true AS same FROM orders GROUP BY 1 HAVING count(*) = 4""")
+def parse_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Premises rendered as text and read back; comparisons come before equations."""
+    e = _orders(spark, sf_dir)
+    text = reasoning.rendered(F.col("premises"), F.col("query"), F.lit("उम्र"), F.lit("transitive"), F.lit(">"), F.array(F.lit("n0")))
+    wanted = F.concat(F.filter("premises", lambda p: p["rel"] != "="), F.filter("premises", lambda p: p["rel"] == "="))
+    return e.select("id", (reasoning.parsed(text) == wanted).alias("same"))
+
+
+@query()
+def generated_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated examples, with the solver's relation beside the stated one."""
+    made = reasoning.generate(spark, 300, [f"नाम{i}" for i in range(60)], 11)
+    solved = reasoning.solved(made.select("id", "premises", "query"), 8).select("id", F.col("relation").alias("solved"))
+    return made.join(solved, "id").select("id", "paradigm", "text", "answer_text", "relation", "solved", "hops")
+
+
+# ---------------------------------------------------------------- tokens
+
+
+@query(f"SELECT word, count(*) AS count FROM (SELECT unnest({WT}) AS word FROM documents) GROUP BY 1")
+def vocab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.word_counts(t(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH w AS (SELECT word, count(*) AS c FROM (SELECT unnest({WT}) AS word FROM documents) GROUP BY 1), p AS (SELECT unnest(list_transform(generate_series(1, length(word) - 1), lambda i: substr(word, i, 2))) AS p, c FROM w WHERE length(word) > 1)
+SELECT substr(p, 1, 1) AS left, substr(p, 2, 1) AS right, sum(c)::BIGINT AS count FROM p GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 25""")
+def bpe_first_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tokens.word_counts(t(spark, sf_dir, "documents")).select(F.split("word", "").alias("symbols"), "count")
+    return tokens.pair_counts(words.withColumn("symbols", F.filter("symbols", lambda s: s != "")), 25)
+
+
+CANDIDATES = (("bpe", 16384, 1.2776, 0.0), ("bpe", 32768, 1.1962, 0.0), ("unigram", 16384, 1.2728, 0.0), ("unigram", 32768, 1.2065, 0.0))
+
+
+@query(f"""WITH c(model_type, vocab_size, fertility, unk_rate) AS (VALUES {', '.join(f"('{m}', {v}, {f}::DOUBLE, {u}::DOUBLE)" for m, v, f, u in CANDIDATES)})
+SELECT a.model_type, CASE WHEN a.fertility / b.fertility <= 1.15::DOUBLE AND a.unk_rate <= 1e-4 AND b.unk_rate <= 1e-4 THEN 16384 ELSE 32768 END AS vocab_size, round(a.fertility / b.fertility, 4) AS ratio
+FROM c a JOIN c b ON a.model_type = b.model_type AND a.vocab_size = 16384 AND b.vocab_size = 32768 WHERE a.model_type = 'bpe'""")
+def bakeoff_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.decide_size(spark.createDataFrame(CANDIDATES, "model_type string, vocab_size int, fertility double, unk_rate double"), "bpe")
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lengths of their words: a stand-in for ids that needs no vocabulary."""
+    return t(spark, sf_dir, "documents").select("doc_id", F.transform(T.words(F.col("text")), lambda w: F.char_length(w)).alias("ids"))
+
+
+_LENS = f"list_transform({WT}, lambda w: length(w)::INTEGER)"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_LENS} AS ids FROM documents), f AS (SELECT doc_id, ids, len(ids) // 64 AS fit, least(len(ids) // 64, 8) AS n FROM s),
+b AS (SELECT doc_id, ids, unnest(list_transform(generate_series(0, n - 1), lambda i: CASE WHEN n <= 1 THEN 0 ELSE floor(i * ((fit - 1) / (n - 1)::DOUBLE) + 1e-9)::INTEGER END * 64)) AS start FROM f WHERE fit >= 1)
+SELECT doc_id, start, list_sum(ids[start + 1:start + 64])::BIGINT AS total FROM b""")
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sequences(spark, sf_dir).withColumn("start", F.explode(tokens.block_starts(F.size("ids"), 64, 8)))
+    return s.select("doc_id", F.col("start").cast("int").alias("start"), F.aggregate(F.slice("ids", F.col("start") + 1, F.lit(64)), F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_LENS} AS ids FROM documents) SELECT doc_id, greatest(len(ids) - 1, 0) AS pairs, coalesce(list_sum(list_transform(generate_series(1, len(ids) - 1), lambda i: ids[i] * ids[i + 1])), 0)::BIGINT AS product FROM s""")
+def next_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _sequences(spark, sf_dir).select("doc_id", tokens.next_pairs(F.col("ids")).alias("p"))
+    return p.select("doc_id", F.size("p.x").cast("long").alias("pairs"), F.aggregate(F.zip_with("p.x", "p.y", lambda a, b: (a * b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("product"))
+
+
+@query(f"""WITH {PAIRS}, a AS (SELECT id, list_transform({_R}, lambda w: length(w)::INTEGER) AS p, list_append(list_transform({_H}, lambda w: length(w)::INTEGER), 3) AS a FROM pairs WHERE len({_H}) > 0),
+i AS (SELECT id, p[:greatest(1, 64 - len(a))] AS p, a FROM a), j AS (SELECT id, len(p) AS np, (p || a)[:65] AS ids FROM i)
+SELECT id, len(ids) - 1 AS n_real, list_sum(ids[:64])::BIGINT AS x_sum, coalesce(list_sum(ids[np + 1:65]), 0)::BIGINT AS y_sum, least(np, len(ids)) AS prompt FROM j WHERE len(ids) >= 2 AND np < len(ids)""")
+def sft_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = lambda c: F.transform(T.words(F.col(c)), lambda w: F.char_length(w))
+    m = tokens.masked(_pairs(spark, sf_dir).select("id", lens("reference").alias("p"), lens("hypothesis").alias("a")), "p", "a", 64)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
+    real = F.slice("x", F.lit(1), F.least(F.col("n_real"), F.lit(64)))
+    last = F.when(F.col("n_real") == 64, F.element_at("y", -1)).otherwise(F.lit(0))
+    targets = F.filter("y", lambda v: v != -100)
+    whole = F.when(F.col("n_real") < 64, total(F.slice("x", F.lit(1), F.col("n_real") + 1))).otherwise(total(F.col("x")))
+    return m.select("id", F.col("n_real").cast("long").alias("n_real"), whole.alias("x_sum"), total(targets).alias("y_sum"), (F.col("n_real") + 1 - F.size(targets)).cast("long").alias("prompt"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {NW} AS length FROM documents) SELECT doc_id, length, (row_number() OVER (PARTITION BY length ORDER BY doc_id) - 1) // 4 AS batch FROM s""")
+def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.batches(docs, T.word_count(F.col("text")).cast("long"), [F.col("doc_id")], 4).select("doc_id", "length", "batch")
+
+
+# ---------------------------------------------------------------- training and evaluation
+
+
+@query("""WITH w AS (SELECT event_type, abs(value) / 100 AS loss, 32 + event_id % 32 AS tokens, 100 + event_id % 50 AS b FROM events), s AS (SELECT event_type, sum(loss * tokens) / sum(tokens) AS l, sum(tokens)::BIGINT AS tokens, sum(b)::BIGINT AS utf8_bytes FROM w GROUP BY 1)
+SELECT event_type, round(l, 6) AS loss, tokens, utf8_bytes, round(exp(l), 6) AS ppl, round(l / ln(2.0::DOUBLE) * (tokens::DOUBLE / utf8_bytes), 6) AS bpb FROM s""")
+def ppl_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t(spark, sf_dir, "events").select("event_type", (F.abs("value") / 100).alias("loss"), (32 + F.col("event_id") % 32).alias("tokens"), (100 + F.col("event_id") % 50).alias("utf8_bytes"))
+    x = training.losses(e, ["event_type"])
+    return x.select("event_type", r6(F.col("loss")).alias("loss"), "tokens", "utf8_bytes", r6(F.col("ppl")).alias("ppl"), r6(F.col("bpb")).alias("bpb"))
+
+
+@query("""WITH p AS (SELECT event_id % 511 AS position, avg(abs(value) / 100) AS l FROM events GROUP BY 1), c AS (SELECT CASE WHEN position < 31 THEN '0-31' WHEN position < 95 THEN '31-95' WHEN position < 255 THEN '95-255' ELSE '255-511' END AS context, avg(l) AS l, count(*) AS positions FROM p GROUP BY 1)
+SELECT context, round(l, 6) AS loss, positions, round(exp(l), 6) AS ppl FROM c""")
+def context_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t(spark, sf_dir, "events").select((F.col("event_id") % 511).alias("position"), (F.abs("value") / 100).alias("loss"))
+    x = training.by_context(e)
+    return x.select("context", r6(F.col("loss")).alias("loss"), "positions", r6(F.col("ppl")).alias("ppl"))
+
+
+@query("""SELECT event_id, event_type, coalesce(value > lag(value, 1) OVER w AND lag(value, 1) OVER w > lag(value, 2) OVER w AND lag(value, 2) OVER w > lag(value, 3) OVER w, false) AS alarm FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""")
+def val_loss_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.rises(t(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id", "value", ["event_type"]).select("event_id", "event_type", "alarm")
+
+
+@query("SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) = 1")
+def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.best(t(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_id", "value", ["event_type"])
+
+
+@query("""WITH x AS (SELECT event_type, event_id, value, coalesce(value > max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved,
+ max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS best, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)
+SELECT event_type, event_id, improved, best, best >= 50 AND n - max(CASE WHEN improved THEN n END) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) >= 5 AS stop FROM x""")
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.early_stop(t(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_id", "value", 50, 5, ["event_type"]).select("event_type", "event_id", "improved", "best", "stop")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count(*) AS seeds FROM events GROUP BY 1")
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = training.sweep(t(spark, sf_dir, "events"), ["event_type"], "value")
+    return x.select("event_type", r6(F.col("mean")).alias("mean"), "least", "most", "seeds")
+
+
+_TOP, _LOW, _WARM, _ALL = 6e-4, 6e-5, 50, 1000
+
+
+@query(f"""WITH s AS (SELECT unnest(generate_series(0, {_ALL - 1})) AS step) SELECT step, round(CASE WHEN step < {_WARM} THEN {_TOP}::DOUBLE * (step + 1) / {_WARM} ELSE {_LOW}::DOUBLE + 0.5::DOUBLE * ({_TOP}::DOUBLE - {_LOW}::DOUBLE) * (1 + cos(pi() * least(1.0::DOUBLE, (step - {_WARM}) / {_ALL - _WARM}::DOUBLE))) END, 9) AS cosine,
+round(CASE WHEN step < {_WARM} THEN {_TOP}::DOUBLE * (step + 1) / {_WARM} WHEN step < 800 THEN {_TOP}::DOUBLE ELSE {_TOP}::DOUBLE + ({_LOW}::DOUBLE - {_TOP}::DOUBLE) * least(1.0::DOUBLE, (step - 800) / 200.0::DOUBLE) END, 9) AS stable,
+CASE WHEN step < 200 THEN 1 WHEN step < 400 THEN 2 END AS hops FROM s""")
+def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("step")
+    return spark.range(_ALL).withColumnRenamed("id", "step").select("step", F.round(S.warmup_cosine(s, _TOP, _LOW, _WARM, _ALL), 9).alias("cosine"), F.round(S.warmup_stable_decay(s, _TOP, _LOW, _WARM, _ALL), 9).alias("stable"), S.curriculum_hops(s, 400).alias("hops"))
+
+
+_SOFT = "s AS (SELECT vec_id, label, e, list_sum(e) AS z FROM (SELECT vec_id, label, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings)), p AS (SELECT vec_id, label, list_transform(e, lambda x: x / z) AS p FROM s)"
+
+
+def _attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "embeddings").select("vec_id", "label", S.softmax(F.col("embedding")).alias("p"))
+
+
+@query(f"WITH {_SOFT} SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12)))), 6) AS entropy, round(list_sum(list_transform(p, lambda x, i: x * abs(63 - (i - 1)))), 6) AS distance FROM p")
+def attention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attention(spark, sf_dir).select("vec_id", r6(S.entropy(F.col("p"))).alias("entropy"), r6(S.mean_distance(F.col("p"), F.lit(63))).alias("distance"))
+
+
+@query(f"""WITH {_SOFT}, j AS (SELECT a.vec_id, list_transform(a.p, lambda x, i: (x + b.p[i]) / 2) AS m, a.p AS p, b.p AS q FROM p a JOIN p b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(0.5::DOUBLE * list_sum(list_transform(p, lambda x, i: x * (ln(greatest(x, 1e-12)) - ln(greatest(m[i], 1e-12))))) + 0.5::DOUBLE * list_sum(list_transform(q, lambda x, i: x * (ln(greatest(x, 1e-12)) - ln(greatest(m[i], 1e-12))))), 6) AS jsd FROM j""")
+def attention_jsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _attention(spark, sf_dir)
+    q = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
+    return p.join(q, "vec_id").select("vec_id", r6(S.jensen_shannon(F.col("p"), F.col("q"))).alias("jsd"))
+
+
+@query(f"WITH {_SOFT} SELECT label, round(avg(-list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12))))), 4) AS entropy, round(avg(list_sum(list_transform(p, lambda x, i: x * abs(63 - (i - 1))))), 4) AS distance FROM p GROUP BY label")
+def attention_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.attention(_attention(spark, sf_dir).select("label", F.col("p").alias("weights"), F.lit(63).alias("query")), ["label"])
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("SELECT 'documents.parquet#' || file_row_number AS doc_id, sha256(trim(text, E' \\n')) AS sha FROM (SELECT text, row_number() OVER () - 1 AS file_row_number FROM documents)")
+def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.parquet(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha"))

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows in an Arrow batch where the session leaves Spark's default: documents are long, and a batch is held several times over.
+BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,7 +28,32 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def _give_back() -> None:
+    """Memory that a task no longer uses goes back to the system: workers live on, and caches of one task should not add to those of the next."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow by a function of this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
