@@ -172,17 +172,22 @@ def synthetic_names(spark: SparkSession, onsets: list[str], middles: list[str],
     return a.crossJoin(b).crossJoin(c).select(F.concat("a", "b", "c").alias("name")).distinct().exceptAll(excluded.select("name").distinct().join(a.crossJoin(b).crossJoin(c).select(F.concat("a", "b", "c").alias("name")).distinct(), "name"))
 
 
-def chain(rng: random.Random, names: list[str], size: int, ties: float = 0.15) -> tuple[list[tuple[str, str, str]], list[int], list[str]]:
-    """Premises between neighbours of a random order of entities, each said in a random direction, shuffled; the entities' levels from the top, and the entities."""
+def chain(rng: random.Random, names: list[str], size: int, gap: int, wanted: str, ties: float = 0.15) -> tuple[list[tuple[str, str, str]], list[str], str, str]:
+    """Premises between neighbours of a random order of entities, each said in a random direction, shuffled; the entities; and a query, `gap` premises apart, whose relation is the wanted one."""
     who = rng.sample(names, size)
-    levels, said = [0], []
-    for a, b in zip(who, who[1:], strict=False):
-        tie = rng.random() < ties
-        levels.append(levels[-1] + (not tie))
+    tied = [rng.random() < ties for _ in range(size - 1)]
+    a = rng.randrange(0, size - gap)
+    if wanted == "=":
+        tied[a : a + gap] = [True] * gap
+    elif all(tied[a : a + gap]):
+        tied[rng.randrange(a, a + gap)] = False
+    said = []
+    for x, y, tie in zip(who, who[1:], tied, strict=False):
         rel = "=" if tie else ">"
-        said.append((a, rel, b) if rng.random() < 0.5 else (b, OPPOSITE[rel], a))
+        said.append((x, rel, y) if rng.random() < 0.5 else (y, OPPOSITE[rel], x))
     rng.shuffle(said)
-    return said, levels, who
+    x, y = (who[a], who[a + gap]) if wanted == ">" or (wanted == "=" and rng.random() < 0.5) else (who[a + gap], who[a])
+    return said, who, x, y
 
 
 def generate(spark: SparkSession, n: int, names: list[str], seed: int, paradigms: dict[str, float] | None = None, sizes: tuple[int, ...] = (3, 4, 5), least_hops: int = 1, partitions: int | None = None) -> DataFrame:
@@ -191,6 +196,7 @@ def generate(spark: SparkSession, n: int, names: list[str], seed: int, paradigms
     Tries are numbered, and each draws from a stream of its own, so that the result does not depend on how tries are dealt out.
     """
     weights = paradigms or {"transitive": 1.0, "word_problem": 1.0, "conversational": 1.0}
+    kinds = "<>" if "negation" in weights else "<=>"  # a denied equality would not say which is more
     ship(spark)
 
     def tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,20 +205,17 @@ def generate(spark: SparkSession, n: int, names: list[str], seed: int, paradigms
             for i in batch["i"]:
                 rng = random.Random(f"{seed}:{i}")
                 size = rng.choice(sizes)
-                ties = 0.0 if list(weights) == ["negation"] else 0.15
-                said, levels, who = chain(rng, names, size, ties)
-                gap = rng.randint(least_hops, size - 1) if size - 1 >= least_hops else size - 1
-                a = rng.randrange(0, size - gap)
-                x, y = (a, a + gap) if rng.random() < 0.5 else (a + gap, a)
-                rel = "=" if levels[x] == levels[y] else ">" if levels[x] < levels[y] else "<"
-                out.append((f"{seed}-{i}", "", rng.choice(ATTRIBUTES), who, [{"s": s, "rel": r, "o": o} for s, r, o in said], {"x": who[x], "y": who[y]}, f"{who[x]} {rel} {who[y]}", "", gap))
+                gap = rng.randint(min(least_hops, size - 1), size - 1)
+                rel = kinds[i % len(kinds)]
+                said, who, x, y = chain(rng, names, size, gap, rel, 0.15 if "=" in kinds else 0.0)
+                out.append((f"{seed}-{i}", "", rng.choice(ATTRIBUTES), who, [{"s": s, "rel": r, "o": o} for s, r, o in said], {"x": x, "y": y}, f"{x} {rel} {y}", "", gap))
             yield pd.DataFrame(out, columns=["id", "paradigm", "attribute", "entities", "premises", "query", "answer_rel", "question_rel", "hops"])
 
-    made = spark.range(0, 6 * n + 60, 1, partitions or spark.sparkContext.defaultParallelism).withColumnRenamed("id", "i").mapInPandas(tries, EXAMPLE)
+    made = spark.range(0, 2 * n + 60, 1, partitions or spark.sparkContext.defaultParallelism).withColumnRenamed("id", "i").mapInPandas(tries, EXAMPLE)
     made = made.withColumn("paradigm", choice(F.col("id"), seed + 1, weights)).withColumn("question_rel", choice(F.col("id"), seed + 2, QUESTION_WEIGHTS))
     made = made.withColumn("text", rendered(F.col("premises"), F.col("query"), F.col("attribute"), F.col("paradigm"), F.col("question_rel"), F.col("entities")))
     order = F.split("id", "-")[1].cast("long")
     rel = F.split("answer_rel", " ")[1]
     made = made.withColumn("relation", rel).withColumn("answer_text", sentence(F.col("query.x"), rel, F.col("query.y"), F.col("attribute"), F.col("paradigm") == "negation"))
-    even = balanced(first_of(made, F.col("text"), [order]), "relation", [order], n)
+    even = balanced(first_of(made, F.col("text"), [order]), "relation", [order], n, len(kinds))
     return even.orderBy(order).limit(n)

@@ -1,0 +1,208 @@
+"""Operators on small tables: selection, reasoning, tokens, training, sources, sinks, streams."""
+
+import json
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpuslab.operators import leakage, ngrams, quality, reasoning, select, tokens, training
+from corpuslab.sources import scan, sinks
+from corpuslab.streaming.incremental import ingest, windowed_counts
+
+
+def test_quota_keeps_the_row_that_goes_beyond(spark):
+    df = spark.createDataFrame([(i, 10) for i in range(20)], "i long, tok long")
+    assert sorted(r["i"] for r in quality.quota(df, [F.col("i")], {"tok": 25}).collect()) == [0, 1, 2]
+    assert quality.quota(df, [F.col("i")], {"tok": 10**6, "*": 4}).count() == 4
+    assert quality.quota(df.limit(0), [F.col("i")], {"tok": 25}).count() == 0
+
+
+def test_splits(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    rows = select.exact_split(df, "k").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in rows} == {"train": 980, "val": 10, "test": 10}
+    ranks = sorted(r["rank"] for r in select.ranked(df, [F.desc("k")]).collect())
+    assert ranks == list(range(1000))
+    assert select.sample(df, "k", 7, 3).count() == 7
+
+
+def solve(premises, query):
+    """Plain closure over at most a few names."""
+    names = {n for s, _, o in premises for n in (s, o)}
+    reach = {}
+    for s, r, o in premises:
+        if r == "=":
+            reach[s, o] = max(reach.get((s, o), 0), 0)
+            reach[o, s] = max(reach.get((o, s), 0), 0)
+        else:
+            a, b = (s, o) if r == ">" else (o, s)
+            reach[a, b] = 1
+    for k in names:
+        for i in names:
+            for j in names:
+                if (i, k) in reach and (k, j) in reach:
+                    reach[i, j] = max(reach.get((i, j), 0), reach[i, k], reach[k, j])
+    x, y = query
+    if x == y:
+        return "=", None
+    if x not in names or y not in names:
+        return None, "unknown entity"
+    f, b = reach.get((x, y)), reach.get((y, x))
+    if f == 0 and b == 0:
+        return "=", None
+    if f == 1 and b == 1:
+        return None, "cycle"
+    return (">", None) if f == 1 else ("<", None) if b == 1 else (None, "underdetermined")
+
+
+def test_solver(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        names = "abcde"[: rng.randint(2, 5)]
+        premises = [(rng.choice(names), rng.choice("<>="), rng.choice(names)) for _ in range(rng.randint(1, 5))]
+        premises = [p for p in premises if p[0] != p[2]] or [("a", ">", "b")]
+        rows.append((i, premises, (rng.choice("abcdef"), rng.choice(names))))
+    df = spark.createDataFrame(rows, "id long, premises array<struct<s: string, rel: string, o: string>>, query struct<x: string, y: string>")
+    got = {r["id"]: (r["relation"], r["error"]) for r in reasoning.solved(df).collect()}
+    assert got == {i: solve(p, q) for i, p, q in rows}
+
+
+def test_generated_examples_hold(spark):
+    rows = reasoning.generate(spark, 90, [f"नाम{i}" for i in range(40)], 3, sizes=(3, 4), least_hops=2)
+    rows = rows.cache()
+    found = rows.collect()
+    assert len(found) == 90 == len({r["text"] for r in found})
+    counts = {r["relation"]: r["count"] for r in rows.groupBy("relation").count().collect()}
+    assert max(counts.values()) <= 30
+    assert all(solve([tuple(p) for p in r["premises"]], tuple(r["query"]))[0] == r["relation"] for r in found)
+    hops = {r["id"]: r["hops"] for r in reasoning.hops(rows).collect()}
+    assert all(hops[r["id"]] == r["hops"] >= 2 for r in found)
+    back = rows.where("paradigm <> 'conversational'").select("premises", reasoning.parsed(F.col("text")).alias("p")).collect()
+    assert all(sorted(map(tuple, r["p"])) == sorted(map(tuple, r["premises"])) for r in back)
+    again = {r["id"] for r in reasoning.generate(spark, 90, [f"नाम{i}" for i in range(40)], 3, sizes=(3, 4), least_hops=2, partitions=7).collect()}
+    assert again == {r["id"] for r in found}
+
+
+def test_asserted_relation_tolerates_misspelt_names(spark):
+    rows = [(1, "राम की उम्र श्याम की उम्र से अधिक है।"), (2, "रामा की उम्र श्याम की उम्र से कम है। और"), (3, "कुछ और")]
+    df = spark.createDataFrame(rows, "id long, pred string").withColumn("query", F.struct(F.lit("राम").alias("x"), F.lit("श्याम").alias("y"))).withColumn("attribute", F.lit("उम्र"))
+    assert [r["asserted"] for r in reasoning.asserted(df).orderBy("id").collect()] == [">", "<", None]
+
+
+def test_relation_metrics(spark):
+    df = spark.createDataFrame([("<", "<"), ("<", ">"), (">", ">"), ("=", None)], "gold string, pred string")
+    r = leakage.relation_metrics(df).first()
+    assert (r["accuracy"], r["recall_lt"], r["recall_eq"], r["recall_gt"]) == (0.5, 0.5, 0.0, 1.0)
+
+
+def test_structure_is_canonical(spark):
+    rows = [([("a", ">", "b")], ("a", "b"), "t"), ([("x", ">", "y")], ("x", "y"), "t"), ([("x", ">", "y")], ("y", "x"), "t")]
+    df = spark.createDataFrame(rows, "p array<struct<s: string, rel: string, o: string>>, q struct<x: string, y: string>, a string")
+    a, b, c = (r[0] for r in df.select(leakage.structure(F.col("p"), F.col("q"), F.col("a"))).collect())
+    assert a == b != c
+
+
+def test_bleu_and_chrf_of_equal_texts(spark):
+    df = spark.createDataFrame([("1", "a b c d e", "a b c d e"), ("2", "f g h i", "f g h i")], "id string, hypothesis string, reference string")
+    assert abs(ngrams.bleu(df).first()[0] - 100) < 1e-9
+    assert abs(ngrams.chrf(df).first()[0] - 100) < 1e-9
+    none = spark.createDataFrame([("1", "xx", "yy")], "id string, hypothesis string, reference string")
+    assert ngrams.chrf(none).first()[0] == 0
+
+
+@pytest.mark.parametrize("n,block,wanted", [(0, 8, 4), (7, 8, 4), (8, 8, 4), (100, 8, 4), (100, 8, 40), (513, 16, 7)])
+def test_block_starts(spark, n, block, wanted):
+    got = spark.range(1).select(tokens.block_starts(F.lit(n), block, wanted)).first()[0]
+    fit = n // block
+    k = min(fit, wanted)
+    want = [] if fit < 1 else [int(x) * block for x in np.linspace(0, fit - 1, k).astype(int)]
+    assert got == want
+
+
+def test_masking(spark):
+    df = spark.createDataFrame([(1, [5, 6, 7], [8, 9]), (2, list(range(10, 30)), [8]), (3, [5], [])], "id long, p array<int>, a array<int>")
+    rows = {r["id"]: r for r in tokens.masked(df, "p", "a", 8).collect()}
+    assert rows[1]["x"] == [5, 6, 7, 8, 9, 3, 0, 0] and rows[1]["y"] == [-100, -100, 8, 9, 3, -100, -100, -100] and rows[1]["n_real"] == 5
+    assert rows[2]["x"] == [10, 11, 12, 13, 14, 15, 8, 3] and rows[2]["y"] == [-100] * 5 + [8, 3, -100] and 3 not in rows
+
+
+def test_ranked_bpe_round_trip(spark, tmp_path):
+    pieces = ["<pad>", "<unk>", "<s>", "</s>", *(f"<0x{b:02X}>" for b in range(256)), "▁", "a", "b", "▁a", "ab", "▁ab"]
+    (tmp_path / "v.vocab").write_text("".join(f"{p}\t{i}\n" for i, p in enumerate(pieces)), encoding="utf-8")
+    vocabulary = tokens.read_vocabulary(spark, str(tmp_path / "v.vocab"))
+    assert {r["type"]: r["count"] for r in vocabulary.groupBy("type").count().collect()} == {1: 6, 2: 1, 3: 3, 6: 256}
+    df = spark.createDataFrame([("ab aé",), ("",), (None,)], "text string")
+    rows = tokens.decoded(tokens.encoded(df, vocabulary), vocabulary).collect()
+    assert rows[0]["ids"][0] == 265 and rows[0]["decoded"] == "ab aé"
+    assert rows[1]["ids"] == [] and rows[2]["ids"] is None
+
+
+def test_early_stop_and_log(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([0.1, 0.6, 0.5, 0.55, 0.7, 0.1, 0.2, 0.3])], "step long, acc double")
+    rows = training.early_stop(df, "step", "acc", 0.5, 2).orderBy("step").collect()
+    assert [r["stop"] for r in rows] == [False, False, False, True, False, False, True, True]
+    old = spark.createDataFrame([(1, "o"), (2, "o"), (3, "o")], "step long, w string")
+    new = spark.createDataFrame([(3, "n"), (4, "n")], "step long, w string")
+    assert sorted(map(tuple, training.merged_log(old, new).collect())) == [(1, "o"), (2, "o"), (3, "n"), (4, "n")]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(" one \n\n two\n", encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text('{"text": "x"}\nnot json\n{"text": " ", "sentence": "s"}\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text('id,content\n1,"a\nb"\n2,\n', encoding="utf-8")
+    assert sorted(map(tuple, scan.lines(spark, str(tmp_path / "a.txt")).collect())) == [("a.txt#0", "one"), ("a.txt#2", "two")]
+    assert sorted(map(tuple, scan.json_lines(spark, str(tmp_path / "b.jsonl")).collect())) == [("b.jsonl#0", "x"), ("b.jsonl#2", "s")]
+    assert [tuple(r) for r in scan.csv(spark, str(tmp_path / "c.csv")).collect()] == [("c.csv#0", "a\nb")]
+    got = scan.mixed(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.jsonl"), str(tmp_path / "c.csv"), "d/", 3).collect()
+    assert [r["doc_id"] for r in got] == ["d/a.txt#0", "d/a.txt#2", "d/b.jsonl#0"]
+    (tmp_path / "cc.txt").write_text("y" * 130 + "\n\nshort\n\n" + "z" * 121, encoding="utf-8")
+    assert [r["doc_id"] for r in scan.blank_line_documents(spark, str(tmp_path / "cc.txt"), "cc").orderBy("doc_id").collect()] == ["cc/doc_0", "cc/doc_1"]
+    maps = spark.createDataFrame([("top", "<loc> http://a/sitemap1.xml </loc><loc>http://a/p</loc>"), ("http://a/sitemap1.xml", "<loc>http://a/q</loc>")], "url string, xml string")
+    assert [r["url"] for r in scan.sitemap_pages(maps, "top", 10).collect()] == ["http://a/p", "http://a/q"]
+
+
+def test_wiki_dump(spark, tmp_path):
+    page = "<page><title>{t}</title><ns>{n}</ns><id>{i}</id>{r}<revision><text>{x}</text></revision></page>"
+    pages = [page.format(t="a", n=0, i=1, r="", x="राम [[श्याम|मोहन]] घर"), page.format(t="b", n=1, i=2, r="", x="राम"), page.format(t="c", n=0, i=3, r='<redirect title="a" />', x="राम"), page.format(t="d", n=0, i=4, r="", x="latin only")]
+    (tmp_path / "d.xml").write_text("<mediawiki>" + "\n".join(pages) + "</mediawiki>", encoding="utf-8")
+    from corpuslab.profiles import HINDI
+
+    assert [tuple(r) for r in scan.wiki_dump(spark, str(tmp_path / "d.xml"), HINDI).collect()] == [("wiki/1", "राम मोहन घर")]
+
+
+def test_sinks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, [i, i + 1]) for i in range(50)], "doc_id long, ids array<int>")
+    n = sinks.write_token_file(sinks.token_blocks(docs, "doc_id"), str(tmp_path / "t.bin"))
+    raw = np.fromfile(tmp_path / "t.bin", "<u2")
+    assert n == 150 == len(raw) and raw[:6].tolist() == [0, 1, 3, 1, 2, 3]
+    counts = scan.token_counts(spark, str(tmp_path / "t.bin"), end=3).first()
+    assert counts["tokens"] == 150
+    rows = spark.createDataFrame([("d1", "s", "x\ny", "manual", "h")], "doc_id string, source string, text string, source_type string, hash string")
+    sinks.write_clean(rows, str(tmp_path / "clean"))
+    sinks.append_manifest(rows, str(tmp_path / "m"), "s")
+    assert {r["kind"] for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {"doc", "source_done"}
+    out = sinks.write_splits(rows.withColumn("split", F.lit("train")), str(tmp_path / "sp")).collect()
+    assert [tuple(r) for r in out] == [("train", 1)]
+    assert spark.read.text(str(tmp_path / "sp/txt")).first()["value"] == "x y"
+
+
+def test_incremental_ingestion(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+
+    def put(n, rows):
+        (source / f"{n}.json").write_text("\n".join(json.dumps({"doc_id": i, "text": t}) for i, t in rows))
+        stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).json(str(source))
+        ingest(spark, stream, str(out), str(tmp_path / "check")).awaitTermination(120)
+
+    put(1, [(1, "a"), (2, "a"), (3, "b")])
+    put(2, [(4, "b"), (5, "c")])
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(out)).collect()) == [1, 3, 5]
+
+
+def test_windowed_counts_plan(spark):
+    df = spark.readStream.format("rate").load().withColumn("event_type", F.lit("a"))
+    assert windowed_counts(df, "timestamp").isStreaming
