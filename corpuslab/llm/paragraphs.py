@@ -18,9 +18,9 @@ from corpuslab.llm.common import drop_table, written
 #: Where a paragraph ends; junk of a few characters may follow the mark.
 ENDS = r"[.!?][^\\s]{0,5}\\s+|\\n+"
 #: Cells in each table of the fingerprint, and of a bucket's sketches, which are tried in this order.
-BASE, TRIED = 4, (8, 16, 32)
+BASE, TRIED = 4, (4, 8, 16, 32)
 #: Digests for which a bucket is meant.
-BUCKET = 4
+BUCKET = 2
 #: Documents between two cuts of the order of doc_ids, and cuts of a first, coarse grid.
 SPAN, GRID = 1024, 64
 
@@ -31,7 +31,7 @@ def digests_sql(text: str) -> str:
 
 def _cell(h: str, cells: int, table: str) -> str:
     """The cell of digest h in a table (0 to 2); each size of sketch has hashes of its own."""
-    bits = h if cells <= 8 else f"xxhash64({h}, {cells})"
+    bits = h if cells <= 4 else f"xxhash64({h}, {cells})"
     return f"(shiftright({bits}, 24 + 8 * {table}) & {cells - 1})"
 
 
@@ -59,10 +59,15 @@ def peel_sql(difference: str, cells: int, steps: str) -> str:
     return f"get(transform(array({start}), s -> if({empty}, s.got, aggregate(sequence(1, greatest(1, {steps})), s, (s, i) -> {step}, s -> if({empty}, s.got, null)))), 0)"
 
 
+def cell_sql(digests: str) -> str:
+    """A sketch of one cell."""
+    return f"named_struct('n', size({digests}), 'k', aggregate({digests}, 0L, (a, h) -> a ^ h), 'q', aggregate({digests}, 0L, (a, h) -> a ^ xxhash64(h, 77)))"
+
+
 def bucket_difference_sql(a: str, b: str) -> str:
-    """The digests in which two small sets differ; sketches of growing size, then the sets themselves."""
+    """The digests in which two small sets differ: none if they agree in a sketch of one cell; else sketches of growing size, then the sets themselves."""
     tries = [peel_sql(minus_sql(sketch_sql(a, m), sketch_sql(b, m)), m, f"size({a}) + size({b})") for m in TRIED]
-    return f"coalesce({', '.join(tries)}, array_union(array_except({a}, {b}), array_except({b}, {a})))"
+    return f"if({cell_sql(a)} = {cell_sql(b)}, cast(array() as array<bigint>), coalesce({', '.join(tries)}, array_union(array_except({a}, {b}), array_except({b}, {a}))))"
 
 
 def difference_sql(a: str, b: str, base_a: str, base_b: str) -> str:
@@ -88,7 +93,7 @@ def likeness(a: str, b: str, differ: str):
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows (doc_id, text, digests, next_text, next_digests), where next is the next row by doc_id (then text; null ids first), after the last the first.
+    """Rows (doc_id, text, digests, base, next_text, next_digests, next_base), base a set's small sketch, where next is the next row by doc_id (then text; null ids first), after the last the first.
 
     The order is cut into stretches: by quantiles of doc_id and evenly between two of them. Stretches are ordered on
     their own; the last row of each meets the first of the following one.
@@ -107,11 +112,13 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     first, first_at = written(first.groupBy("stretch").agg(F.min("text").alias("first_text")), "firsts")
     follow = heads.select("stretch", F.coalesce(F.lead("stretch").over(Window.orderBy("stretch")), F.min("stretch").over(Window.partitionBy(F.lit(1)))).alias("after"))
     follow = follow.join(first.withColumnRenamed("stretch", "_s"), F.col("after") == F.col("_s")).select("stretch", "first_text", F.expr(digests_sql("first_text")).alias("first_digests"))
+    follow = follow.withColumn("first_base", F.expr(sketch_sql("first_digests", BASE)))
     order = Window.partitionBy("stretch").orderBy("doc_id", "text")
-    rows = rows.withColumn("digests", F.expr(digests_sql("text")))
-    met = rows.withColumns({"lead_text": F.lead("text").over(order), "lead_digests": F.lead("digests").over(order)}).join(follow, "stretch", "left")
+    rows = rows.withColumn("digests", F.expr(digests_sql("text"))).withColumn("base", F.expr(sketch_sql("digests", BASE)))
+    met = rows.withColumns({f"lead_{c}": F.lead(c).over(order) for c in ("text", "digests", "base")}).join(follow, "stretch", "left")
     last = F.col("lead_text").isNull()
-    return met.select("doc_id", "text", "digests", F.when(last, F.col("first_text")).otherwise(F.col("lead_text")).alias("next_text"), F.when(last, F.col("first_digests")).otherwise(F.col("lead_digests")).alias("next_digests")), [heads_at, first_at]
+    following = (F.when(last, F.col(f"first_{c}")).otherwise(F.col(f"lead_{c}")).alias(f"next_{c}") for c in ("text", "digests", "base"))
+    return met.select("doc_id", "text", "digests", "base", *following), [heads_at, first_at]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -124,8 +131,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows, used = with_next(docs)
     n = F.char_length("text")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 4) as int))")))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "digests", "next_digests", F.expr(digests_sql("edited")).alias("edited_digests"))
-    rows = rows.withColumns({f"{p}base": F.expr(sketch_sql(f"{p}digests", BASE)) for p in ("", "edited_", "next_")})
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "digests", "base", "next_digests", "next_base", F.expr(digests_sql("edited")).alias("edited_digests"))
+    rows = rows.withColumn("edited_base", F.expr(sketch_sql("edited_digests", BASE)))
     rows = rows.withColumns({"changed": F.expr(difference_sql("digests", "edited_digests", "base", "edited_base")), "apart": F.expr(difference_sql("digests", "next_digests", "base", "next_base"))})
     out = rows.select("doc_id", "n_chars", "edited_sha256", F.expr(shown_sql("base")).alias("fingerprint"), F.expr(shown_sql("edited_base")).alias("edited_fingerprint"), likeness("digests", "edited_digests", "changed").alias("near_edited"), likeness("digests", "next_digests", "apart").alias("near_next"), F.size("changed").alias("changed"))
     result, _ = written(out, "fingerprints")
