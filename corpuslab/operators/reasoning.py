@@ -219,3 +219,50 @@ def generate(spark: SparkSession, n: int, names: list[str], seed: int, paradigms
     made = made.withColumn("relation", rel).withColumn("answer_text", sentence(F.col("query.x"), rel, F.col("query.y"), F.col("attribute"), F.col("paradigm") == "negation"))
     even = balanced(first_of(made, F.col("text"), [order]), "relation", [order], n, len(kinds))
     return even.orderBy(order).limit(n)
+
+
+# ---------------------------------------------------------------- rationales
+
+
+def paths(examples: DataFrame) -> DataFrame:
+    """(id, path): the entities from the query's first to its second along premises, by growing ways one premise at a time; no entity twice."""
+    p = examples.select("id", F.explode("premises").alias("p")).select("id", F.col("p.s").alias("a"), F.col("p.o").alias("b"))
+    both = p.union(p.select("id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    most = examples.agg(F.max(F.size("premises"))).first()[0] or 0
+    ends = examples.select("id", F.col("query.x").alias("x"), F.col("query.y").alias("y"))
+    ways = ends.select("id", "y", F.col("x").alias("a"), F.array("x").alias("path"))
+    found = ways.where("a = y").select("id", "path")
+    for _ in range(most):
+        grown = ways.where("a <> y").join(both, ["id", "a"]).where(~F.array_contains("path", F.col("b")))
+        ways = grown.select("id", "y", F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path"))
+        found = found.union(ways.where("a = y").select("id", "path"))
+    return found.groupBy("id").agg(F.min_by("path", F.struct(F.size("path"), F.col("path"))).alias("path"))
+
+
+def rationales(examples: DataFrame) -> DataFrame:
+    """examples (id, premises, query, relation) with rationale: the steps along the path, each as one premise says it, and the relation that they imply."""
+    met = examples.join(paths(examples), "id")
+
+    def step(premises: Column, u: Column, v: Column) -> Column:
+        said = F.get(F.filter(premises, lambda p: ((p["s"] == u) & (p["o"] == v)) | ((p["s"] == v) & (p["o"] == u))), F.lit(0))
+        turned = F.when(said["s"] == u, said["rel"]).when(said["rel"] == ">", "<").when(said["rel"] == "<", ">").otherwise("=")
+        return F.concat_ws(" ", u, turned, v)
+
+    inner = F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))
+    steps = F.transform(inner, lambda u, i: step(F.col("premises"), u, F.get(F.col("path"), i + 1)))
+    so = F.concat_ws(" ", F.col("query.x"), F.col("relation"), F.col("query.y"))
+    return met.withColumn("rationale", F.concat(F.lit("[कारण: "), F.array_join(steps, " और "), F.lit(" इसलिए "), so, F.lit("]"))).drop("path")
+
+
+def asserted_by_pattern(rows: DataFrame) -> DataFrame:
+    """rows (pred, query) with asserted: the relation of x to y in the first Hindi sentence that names the pair in either order, null if none does."""
+    quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
+    tail = F.lit(r" की [^\s]+ (?:से (अधिक|कम)|के (बराबर))")
+
+    def between(a: Column, b: Column) -> Column:
+        pattern = F.concat(quoted(a), F.lit(r" की [^\s]+ "), quoted(b), tail)
+        word = F.coalesce(F.nullif(F.regexp_substr("pred", pattern), F.lit("")), F.lit(""))
+        return F.when(word.endswith("अधिक"), ">").when(word.endswith("कम"), "<").when(word.endswith("बराबर"), "=")
+
+    there, back = between(F.col("query.x"), F.col("query.y")), between(F.col("query.y"), F.col("query.x"))
+    return rows.withColumn("asserted", F.coalesce(there, F.when(back == ">", "<").when(back == "<", ">").otherwise(back)))

@@ -201,3 +201,28 @@ def decide_size(candidates: DataFrame, model_type: str, small: int = 16384, larg
     one = own.agg(*(F.max(F.when(F.col("vocab_size") == v, F.col(c))).alias(f"{c}_{n}") for n, v in (("small", small), ("large", large)) for c in ("fertility", "unk_rate")))
     fits = (F.col("fertility_small") / F.col("fertility_large") <= most_ratio) & (F.col("unk_rate_small") <= most_unknown) & (F.col("unk_rate_large") <= most_unknown)
     return one.select(F.lit(model_type).alias("model_type"), F.when(fits, small).otherwise(large).alias("vocab_size"), F.round(F.col("fertility_small") / F.col("fertility_large"), 4).alias("ratio"))
+
+
+# ---------------------------------------------------------------- names
+
+
+def name_split(text: Column, names: Column, longest_suffix: int = 3) -> Column:
+    """Words of a text, a name with a suffix of up to three letters in two: the longest name that a word starts with, and the rest. Encoded piece by piece, a name has the same ids wherever it stands."""
+
+    def apart(word: Column) -> Column:
+        fits = F.filter(names, lambda n: word.startswith(n) & (F.char_length(word) > F.char_length(n)) & (F.char_length(word) - F.char_length(n) <= longest_suffix))
+        best = F.get(F.reverse(F.array_sort(F.transform(fits, lambda n: F.struct(F.char_length(n).alias("k"), n.alias("n"))))), F.lit(0))
+        return F.when(F.array_contains(names, word) | best.isNull(), F.array(word)).otherwise(F.array(best["n"], F.substring(word, best["k"] + 1, F.char_length(word))))
+
+    return F.flatten(F.transform(T.words(text), apart))
+
+
+def positions_of(pieces: Column, name: Column) -> Column:
+    """Numbers of the pieces that share a character with the first place at which a name stands in the pieces' joined text."""
+    start = F.position(name, F.array_join(pieces, ""))
+
+    def overlaps(i: Column) -> Column:
+        before = F.char_length(F.array_join(F.slice(pieces, F.lit(1), i), ""))
+        return (before < start - 1 + F.char_length(name)) & (before + F.char_length(F.get(pieces, i)) > start - 1)
+
+    return F.when(start == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0))), overlaps))

@@ -578,6 +578,14 @@ def parse_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", (reasoning.parsed(text) == wanted).alias("same"))
 
 
+@query("""WITH o AS (SELECT o_orderkey // 4 AS id, floor(o_totalprice / 100000) AS v, row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderkey // 4) AS n FROM orders),
+d AS (SELECT a.id, a.i, CASE WHEN a.v > b.v THEN '>' WHEN a.v < b.v THEN '<' ELSE '=' END AS r FROM o a JOIN o b ON a.id = b.id AND b.i = a.i + 1 WHERE a.n = 4),
+g AS (SELECT id, string_agg('n' || (i - 1) || ' ' || r || ' n' || i, ' और ' ORDER BY i) AS steps, bool_or(r = '>') AS gt, bool_or(r = '<') AS lt FROM d GROUP BY id)
+SELECT id, '[कारण: ' || steps || ' इसलिए n0 ' || CASE WHEN gt THEN '>' WHEN lt THEN '<' ELSE '=' END || ' n3]' AS rationale FROM g WHERE NOT (gt AND lt)""")
+def rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reasoning.rationales(reasoning.solved(_orders(spark, sf_dir)).where("relation is not null")).select("id", "rationale")
+
+
 @query()
 def generated_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated examples, with the solver's relation beside the stated one."""

@@ -206,3 +206,23 @@ def test_incremental_ingestion(spark, tmp_path):
 def test_windowed_counts_plan(spark):
     df = spark.readStream.format("rate").load().withColumn("event_type", F.lit("a"))
     assert windowed_counts(df, "timestamp").isStreaming
+
+
+def test_rationales(spark):
+    rows = [(1, [("a", ">", "b"), ("c", "<", "b"), ("c", "=", "d")], ("d", "a"), "<"), (2, [("a", "=", "b")], ("a", "b"), "=")]
+    df = spark.createDataFrame(rows, "id long, premises array<struct<s: string, rel: string, o: string>>, query struct<x: string, y: string>, relation string")
+    got = {r["id"]: r["rationale"] for r in reasoning.rationales(df).collect()}
+    assert got == {1: "[कारण: d = c और c < b और b < a इसलिए d < a]", 2: "[कारण: a = b इसलिए a = b]"}
+
+
+def test_asserted_by_pattern(spark):
+    rows = [("राम की उम्र श्याम की उम्र से अधिक है।",), ("श्याम की उम्र राम की उम्र से अधिक है।",), ("श्याम की उम्र राम की उम्र के बराबर है।",), ("और",)]
+    df = spark.createDataFrame(rows, "pred string").withColumn("query", F.struct(F.lit("राम").alias("x"), F.lit("श्याम").alias("y")))
+    assert [r["asserted"] for r in reasoning.asserted_by_pattern(df).collect()] == [">", "<", "=", None]
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("ramu ramuji rams other", ["ram", "ramu"])], "t string, n array<string>")
+    assert df.select(tokens.name_split(F.col("t"), F.col("n"))).first()[0] == ["ramu", "ramu", "ji", "ram", "s", "other"]
+    df = spark.createDataFrame([(["x ", "ra", "mu", " y"], "ramu"), (["x"], "ramu")], "p array<string>, n string")
+    assert [r[0] for r in df.select(tokens.positions_of(F.col("p"), F.col("n"))).collect()] == [[1, 2], []]
