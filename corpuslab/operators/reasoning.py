@@ -239,9 +239,9 @@ def paths(examples: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min_by("path", F.struct(F.size("path"), F.col("path"))).alias("path"))
 
 
-def rationales(examples: DataFrame) -> DataFrame:
-    """examples (id, premises, query, relation) with rationale: the steps along the path, each as one premise says it, and the relation that they imply."""
-    met = examples.join(paths(examples), "id")
+def rationales(examples: DataFrame, relations: DataFrame) -> DataFrame:
+    """examples (id, premises, query) that have a relation in relations (id, relation), with rationale: the steps along the path, each as one premise says it, and the relation that they imply."""
+    met = examples.join(relations.where("relation is not null").select("id", "relation"), "id").join(paths(examples), "id")
 
     def step(premises: Column, u: Column, v: Column) -> Column:
         said = F.get(F.filter(premises, lambda p: ((p["s"] == u) & (p["o"] == v)) | ((p["s"] == v) & (p["o"] == u))), F.lit(0))

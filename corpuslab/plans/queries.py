@@ -583,7 +583,8 @@ d AS (SELECT a.id, a.i, CASE WHEN a.v > b.v THEN '>' WHEN a.v < b.v THEN '<' ELS
 g AS (SELECT id, string_agg('n' || (i - 1) || ' ' || r || ' n' || i, ' और ' ORDER BY i) AS steps, bool_or(r = '>') AS gt, bool_or(r = '<') AS lt FROM d GROUP BY id)
 SELECT id, '[कारण: ' || steps || ' इसलिए n0 ' || CASE WHEN gt THEN '>' WHEN lt THEN '<' ELSE '=' END || ' n3]' AS rationale FROM g WHERE NOT (gt AND lt)""")
 def rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reasoning.rationales(reasoning.solved(_orders(spark, sf_dir)).where("relation is not null")).select("id", "rationale")
+    e = _orders(spark, sf_dir)
+    return reasoning.rationales(e, reasoning.solved(e)).select("id", "rationale")
 
 
 @query()
