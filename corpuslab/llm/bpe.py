@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuslab.llm.common import CACHE_WORDS
 from corpuslab.session import in_arrow
 
 #: White space to some regular expressions and not to others.
@@ -114,7 +113,7 @@ class WordTrieBpe:
     def may_follow(self, left: int, right: int) -> bool:
         key = left << 32 | right
         if (known := self.follows.get(key)) is None:
-            if len(self.follows) >= CACHE_WORDS:
+            if len(self.follows) >= KNOWN_STATES:
                 self.follows.clear()
             known = self.follows[key] = self.merged([*self.atoms(left), *self.atoms(right)]) == [left, right]
         return known
@@ -123,6 +122,8 @@ class WordTrieBpe:
         """The longest end of a prefix that a token starts with, from that of the prefix without its last symbol."""
         steps = self.steps.get(tail)
         if steps is None:
+            if len(self.steps) >= KNOWN_STATES:
+                self.steps.clear()
             steps = self.steps[tail] = {}
         if (found := steps.get(symbol)) is None:
             found = tail + symbol
@@ -135,6 +136,8 @@ class WordTrieBpe:
         """(symbols, token) of the tokens that a prefix with this tail can end in, the longest first."""
         memo = self.last_ends if suffix else self.inner_ends
         if (found := memo.get(tail)) is None:
+            if len(memo) >= KNOWN_STATES:
+                memo.clear()
             tokens = ((len(tail) - i, self.vocab.get(tail[i:] + suffix)) for i in range(len(tail)))
             found = memo[tail] = tuple((n, t) for n, t in tokens if t is not None and self.is_whole(t))
         return found
@@ -218,7 +221,10 @@ def loaded(path: str) -> WordTrieBpe:
 
 
 #: Pieces of runs and words whose encodings a worker keeps in each half of its memory, and bytes of texts taken at a time.
-KNOWN_PIECES, KNOWN_WORDS, AT_ONCE = 100_000, 60_000, 6_000_000
+KNOWN_PIECES, KNOWN_WORDS, AT_ONCE = 100_000, 80_000, 8_000_000
+
+#: Prefixes and pairs of tokens of which a worker keeps what it found.
+KNOWN_STATES = 250_000
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _CORE = f"^[^{re.escape(_MARKS)}]*"
@@ -227,8 +233,8 @@ _CORE = f"^[^{re.escape(_MARKS)}]*"
 class Pieces:
     """Encodings of pieces of texts, kept by a worker from task to task.
 
-    A piece is a run without white space. Where a run is a word of letters and marks after it, the two are pieces, as they encode on their own; ASCII capitals
-    become small letters. A run that may hold a special token is left as it is. encode: what is kept of new pieces, by piece.
+    A piece is a run without white space. Where a run is a word of letters and marks after it, the two are pieces, as they encode on their own; capitals of ASCII
+    runs become small letters. A run that may hold a special token is left as it is. encode: what is kept of new pieces, by piece.
     """
 
     def __init__(self, encode: Callable[[set[str]], dict], size: int = KNOWN_PIECES) -> None:
@@ -249,9 +255,10 @@ class Pieces:
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, side="right")))
             lists = pc.ascii_split_whitespace(texts.slice(at, end - at))
             found = lists.flatten().dictionary_encode()
-            runs, low = found.dictionary, pc.ascii_lower(found.dictionary)
+            runs = found.dictionary
+            # a mark may join a small letter where it does not join its capital, so capitals beside marks are left to the normalizer
+            low = pc.if_else(pc.and_not(pc.string_is_ascii(runs), pc.match_substring(runs, "<|")), pc.ascii_lower(runs), runs)
             core = pc.ascii_rtrim(low, characters=_MARKS)
-            low = pc.if_else(pc.match_substring(runs, "<|"), runs, low)
             apart = pc.and_(pc.utf8_is_alpha(core), pc.less(pc.binary_length(core), pc.binary_length(low)))
             heads = pc.if_else(apart, core, low).dictionary_encode()
             tails = pc.if_else(apart, pc.replace_substring_regex(low, _CORE, ""), "").dictionary_encode()

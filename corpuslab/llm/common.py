@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: White space between words; bytes.split() without arguments splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words that a Python worker remembers before it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 _OWN: dict[str, str] = {}
 
