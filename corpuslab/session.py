@@ -31,11 +31,9 @@ def ship(spark: SparkSession) -> None:
 def _give_back() -> None:
     """Memory that a task no longer uses goes back to the system: workers live on, and caches of one task should not add to those of the next."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
