@@ -263,12 +263,12 @@ class Pieces:
             heads = pc.if_else(apart, core, low).dictionary_encode()
             tails = pc.if_else(apart, pc.replace_substring_regex(low, _CORE, ""), "").dictionary_encode()
             words = [*heads.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
-            pair = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], 1)
-            turns = pair[found.indices.to_numpy()].reshape(-1)
-            some = np.array([w != "" for w in words], bool)[turns]
-            upto = np.concatenate([[0], np.cumsum(some)])
+            pair = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + np.int32(len(heads.dictionary))], 1)
+            some = np.array([w != "" for w in words], bool)[pair]
+            runs = found.indices.to_numpy()
+            upto = np.concatenate([[0], np.cumsum(some.sum(1, dtype=np.int32)[runs])])
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
-            yield self.values(words), turns[some], upto[2 * ends]
+            yield self.values(words), pair[runs][some[runs]], upto[ends]
             at = end
 
 
@@ -279,7 +279,8 @@ def flat_ids(values: list[bytes], runs: np.ndarray, ends: np.ndarray, tail: int
     starts = np.cumsum(sizes) - sizes
     each = sizes[runs]
     upto = np.concatenate([[0], np.cumsum(each)])
-    ids = flat[np.repeat(starts[runs] - upto[:-1], each) + np.arange(upto[-1])] if len(runs) else np.empty(0, np.int32)
+    kind = np.int32 if upto[-1] < 2**31 and len(flat) < 2**31 else np.int64  # half the memory where the places fit
+    ids = flat[np.repeat((starts[runs] - upto[:-1]).astype(kind), each) + np.arange(upto[-1], dtype=kind)] if len(runs) else np.empty(0, np.int32)
     at = upto[ends]
     if tail is not None:
         ids = np.insert(ids, at[1:], tail).astype(np.int32)

@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,45 +18,76 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuslab.llm.bpe import _ODD, _SPACES
+from corpuslab.llm.bpe import AT_ONCE, Pieces, flat_ids
 from corpuslab.llm.common import drop_table, new_path, partitions, written
 from corpuslab.session import in_arrow
 
 INDEX_ROWS = 1000
-#: Runs of a text whose ids a worker remembers.
-KNOWN_RUNS = 400_000
+#: Pieces whose ids a worker keeps in each half of its memory, and pieces in one call of the library.
+KNOWN_PIECES, PIECES = 250_000, 500
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(INDEX_ROWS), "orc.create.index": "true", "orc.encoding.strategy": "COMPRESSION", "orc.stripe.size": str(32 << 20)}
 
 
-def _encode(path: str, end_id: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PIECES: dict[str, Pieces] = {}
+
+
+def library_pieces(path: str) -> Pieces:
+    """The worker's memory of what the library makes of pieces: the bytes of their ids.
+
+    This tokenizer drops white space and never looks across it, so runs without any encode on their own.
+    """
+    if path not in _PIECES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
-        known: dict[str, tuple[int, ...]] = {}
-        position, tail = 0, () if end_id is None else (end_id,)
-        for batch in batches:
-            offsets, ids = [0], array("i")
-            for text in batch.column(1).to_pylist():
-                # this tokenizer drops white space and never looks across it, so runs encode on their own
-                text = text or ""
-                found = [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
-                new = set(found).difference(known)
-                if len(known) + len(new) > KNOWN_RUNS:
-                    known.clear()
-                    new = set(found)
-                if new:
-                    new = list(new)
-                    for r, e in zip(new, library.encode_batch(new, add_special_tokens=False), strict=True):
-                        known[r] = tuple(e.ids)
-                ids.extend(chain.from_iterable(map(known.__getitem__, found)))
-                ids.extend(tail)
-                offsets.append(len(ids))
-            n = len(offsets) - 1
-            lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(position, position + n)), batch.column(0), lists], ["position", "doc_id", "ids"])
-            position += n
+        mark = next((t for t in library.get_added_tokens_decoder().values() if t.special and not t.normalized), None)
+        mark_id = None if mark is None else library.token_to_id(mark.content)
+        specials = [t.content for t in library.get_added_tokens_decoder().values()]
+
+        def encode(new: set[str]) -> dict[str, bytes]:
+            """Many pieces to a call, with a special token between them, which the library never joins to its neighbours."""
+            plain = [x for x in new if mark is not None and not any(s in x for s in specials)]
+            out = {x: np.array(library.encode(x, add_special_tokens=False).ids, np.int32).tobytes() for x in new.difference(plain)}
+            groups = [plain[i : i + PIECES] for i in range(0, len(plain), PIECES)]
+            for group, e in zip(groups, library.encode_batch_fast([mark.content.join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                ends = np.flatnonzero(ids == mark_id)
+                raw, at = ids.tobytes(), 0
+                for x, end in zip(group, [*ends.tolist(), len(ids)], strict=True):
+                    out[x] = raw[4 * at : 4 * end]
+                    at = end + 1
+            return out
+
+        _PIECES[path] = Pieces(encode, KNOWN_PIECES)
+    return _PIECES[path]
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold enough text to be worth a turn."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _encode(path: str, end_id: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, position = library_pieces(path), 0
+        for batch in gathered(batches):
+            at = 0
+            for values, runs, ends in known.texts(batch.column(1)):
+                ids, offsets = flat_ids(values, runs, ends, end_id)
+                n = len(ends) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(position, position + n)), batch.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["position", "doc_id", "ids"])
+                position += n
+                at += n
+            pa.default_memory_pool().release_unused()
 
     return run
 
