@@ -2,8 +2,9 @@
 
 An image is a row with its width, its height and its grey pixels. Corners are found on a pyramid of scales; around each, an orientation is taken from
 the centre of brightness, and 256 pairs of smoothed pixels, turned by it, are compared: a binary descriptor that brightness and contrast leave alone.
-Descriptors meet through Hamming tables: each table is a sample of bits, and equal samples are candidates, kept if all bits are close. Between
-two images the matches vote for a similarity transform; those that agree with the best one are the evidence that one is a cropped or edited copy of the other.
+Images meet through Hamming tables of their descriptors: each table is a sample of bits, and samples that are equal are candidates, kept if all bits are close, and
+images with a few such matches are compared whole, each descriptor with each. There are more tables the wider the samples, so that images with just enough matches, all as far apart as may be, meet in all but one of a
+thousand cases, whatever the number of descriptors. Between two images the matches vote for a similarity transform; those that agree with the best one are the evidence that one is a cropped or edited copy of the other.
 Equal images are one class, so that a picture that stands on many rows is described and met once.
 """
 
@@ -18,12 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import drop_table, written
+from corpuslab.llm.common import drop_table, mix, partitions, written
 from corpuslab.session import in_arrow
 
 #: Corners of an image at each scale, scales (each half as large), bits that two descriptors may differ in, and matches that must agree.
 CORNERS, SCALES, DISTANCE, AGREEING = 32, 3, 36, 10
-TABLES, EDGE, TURNS = 8, 9, 32
+EDGE, TURNS = 9, 32
+#: Matches that must meet before two images are compared whole, and the chance for a match at DISTANCE to meet: of AGREEING such matches fewer than SEEN meet in one of a thousand cases.
+SEEN, MET = 3, 0.72
+#: Tables that are joined at once: their shuffle files are deleted before the next ones are made.
+ROUND = 5
 #: Bits of the map of keys that queries ask for. It has one size whatever there is to ask, so that it can go to every task.
 MAP_BITS = 1 << 24
 #: Pixels by which a match may miss the transform.
@@ -96,78 +101,92 @@ def describe_image(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def table_bits(descriptors: int) -> int:
     """Bits in a table's key: a few more than it takes to number the descriptors, so that chance meetings stay in proportion to them."""
-    return min(60, max(16, math.ceil(math.log2(max(2, descriptors))) + 6))
+    return min(60, max(12, math.ceil(math.log2(max(2, descriptors))) + 2))
 
 
-def _keys(packed: np.ndarray, width: int) -> np.ndarray:
-    """A key of each descriptor in each table."""
-    bits = np.unpackbits(packed, axis=1).astype(np.int64)
-    rng = np.random.default_rng(99)
-    chosen = np.stack([rng.permutation(256)[:60] for _ in range(TABLES)])[:, :width]
-    return (bits[:, chosen] << np.arange(width, dtype=np.int64)).sum(2)
+def meeting(width: int) -> float:
+    """The chance that two descriptors DISTANCE bits apart have the same key of so many bits, drawn from 256."""
+    return math.comb(256 - DISTANCE, width) / math.comb(256, width)
 
 
-_SPOT = "image long, spot int, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long"
+def table_count(width: int) -> int:
+    """Tables by which two descriptors DISTANCE bits apart meet with the chance MET: the wider the keys, the more."""
+    return math.ceil(math.log1p(-MET) / math.log1p(-meeting(width)))
+
+
+def _keys(packed: np.ndarray, width: int, tables: range) -> np.ndarray:
+    """A key of each descriptor in each of the tables; the table's number is mixed in."""
+    bits = np.unpackbits(packed, axis=1)
+    out = np.empty((len(bits), len(tables)), np.uint64)
+    for j, k in enumerate(tables):
+        padded = np.zeros((len(bits), 64), np.uint8)
+        padded[:, :width] = bits[:, np.random.default_rng([99, k]).permutation(256)[:width]]
+        out[:, j] = mix(np.packbits(padded, axis=1).view(np.uint64)[:, 0] ^ mix(np.array([k + 1], np.uint64)))
+    return out
+
+
+_SPOT = "image long, n long, places binary, bits binary"
 
 
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _SPOT.split(", ")]
     for batch in batches:
-        ids, widths, heights, data = (batch.column(i).to_pylist() for i in range(4))
-        out, owner, spot = [np.empty((0, 4))], [], []
-        packed = [np.empty((0, 32), np.uint8)]
-        for i, w, h, p in zip(ids, widths, heights, data, strict=True):
+        out = []
+        for i, w, h, p in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if not p or not w or not h or len(p) != w * h:
                 continue
             places, bits = describe_image(np.frombuffer(p, np.uint8).reshape(h, w))
-            out.append(places)
-            packed.append(bits)
-            owner += [i] * len(places)
-            spot += range(len(places))
-        places, words = np.concatenate(out), np.ascontiguousarray(np.concatenate(packed)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(spot, pa.int32()), *(pa.array(places[:, k]) for k in range(4)), *(pa.array(words[:, k]) for k in range(4))], names)
+            if len(places):
+                out.append((i, len(places), places.tobytes(), bits.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["image", "n", "places", "bits"])
 
 
 def spots(images: DataFrame) -> DataFrame:
-    """A row for each corner of images (id, width, height, pixels); a row whose pixels are null or do not fit its size gives none."""
+    """The places and descriptors of all corners of images (id, width, height, pixels); a row whose pixels are null or do not fit its size gives none."""
     return in_arrow(images.select("id", "width", "height", "pixels"), _spots, _SPOT)
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    """The place of each key (and its table) in the map."""
-    x = (keys.astype(np.uint64) + np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(29))) >> np.uint64(17)).astype(np.int64) & (MAP_BITS - 1)
-
-
-def keyed(found: DataFrame, width: int, asked: bytes | None = None) -> DataFrame:
-    """A row for each corner of spots and table: (table, key, slot, image, spot, place, the four words of its bits); with a map, those alone whose key is in it."""
+def keyed(found: DataFrame, width: int, tables: range, asked: bytes | None = None) -> DataFrame:
+    """A row for each corner of spots and table: (key, image, spot, the four words of its bits); with a map, those alone whose key is in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if asked is None else np.frombuffer(asked, np.uint8)
         for batch in batches:
-            words = np.ascontiguousarray(np.stack([batch.column(f"d{k}").to_numpy() for k in range(4)], 1))
-            keys = _keys(words.view(np.uint8).reshape(-1, 32), width)
-            slots = _slots(keys)
-            at = np.flatnonzero(np.ones(keys.size, bool) if known is None else (known[slots.reshape(-1) >> 3] >> (slots.reshape(-1) & 7)) & 1)
-            row, place = at // TABLES, np.stack([batch.column(c).to_numpy() for c in ("x", "y", "scale", "angle")], 1).astype(np.float32)
-            picked = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((at % TABLES).astype(np.int32)), pa.array(keys.reshape(-1)[at]), pa.array(slots.reshape(-1)[at]), batch.column("image").take(picked), batch.column("spot").take(picked), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(row), [None, pa.py_buffer(place[row].tobytes())]).cast(pa.binary()), *(batch.column(f"d{k}").take(picked) for k in range(4))],
-                ["table", "key", "slot", "image", "spot", "place", "d0", "d1", "d2", "d3"],
-            )
+            n = batch.column("n").to_numpy()
+            image, spot = np.repeat(batch.column("image").to_numpy(), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            every = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(-1, 32)
+            for i in range(0, len(every), 20_000):
+                packed = every[i : i + 20_000]
+                keys = _keys(packed, width, tables).reshape(-1)
+                slots = (keys & np.uint64(MAP_BITS - 1)).astype(np.int64)
+                at = np.flatnonzero(np.ones(len(keys), bool) if known is None else (known[slots >> 3] >> (slots & 7)) & 1)
+                row = at // len(tables)
+                words = np.ascontiguousarray(packed[row]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)[at]), pa.array(image[i + row]), pa.array(spot[i + row]), *(pa.array(words[:, k]) for k in range(4))], ["key", "image", "spot", "d0", "d1", "d2", "d3"])
 
-    return in_arrow(found, run, "table int, key long, slot long, image long, spot int, place binary, d0 long, d1 long, d2 long, d3 long")
+    return in_arrow(found, run, "key long, image long, spot long, d0 long, d1 long, d2 long, d3 long")
 
 
 def map_of(rows: DataFrame) -> bytes:
-    """The map of the slots of rows: at most MAP_BITS / 32768 rows of 4 KB come to the driver."""
-    parts = rows.groupBy(F.expr("slot div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).collect()
+    """The map of the last bits of the keys of rows: at most MAP_BITS / 32768 rows of 4 KB come to the driver."""
+    slots = rows.select(F.expr(f"key & {MAP_BITS - 1}").alias("slot"))
+    parts = slots.groupBy(F.expr("slot div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).collect()
     out = bytearray(MAP_BITS // 8)
     for r in parts:
         out[r["part"] * 4096 : r["part"] * 4096 + 4096] = r["bits"]
     return bytes(out)
 
 
+def matches(mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of packed descriptors at most DISTANCE bits apart."""
+    a, b = (np.ascontiguousarray(x).view(np.uint64) for x in (mine, theirs))
+    step, left, right = max(1, 500_000 // max(1, len(b))), [], []
+    for i in range(0, len(a), step):
+        q, t = np.nonzero(sum(np.bitwise_count(a[i : i + step, None, k] ^ b[None, :, k]).astype(np.int16) for k in range(4)) <= DISTANCE)
+        left.append(q + i)
+        right.append(t)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def consensus(q: np.ndarray, t: np.ndarray) -> int:
     """Matches that agree with one similarity transform: each match gives one from its scales and angles, and the best is counted.
 
@@ -175,39 +194,33 @@ def consensus(q: np.ndarray, t: np.ndarray) -> int:
     """
     scale, turn = t[:, 2] / q[:, 2], t[:, 3] - q[:, 3]
     c, s = scale * np.cos(turn), scale * np.sin(turn)
-    dx, dy = q[None, :, 0] - q[:, None, 0], q[None, :, 1] - q[:, None, 1]
-    ex = t[:, None, 0] + c[:, None] * dx - s[:, None] * dy - t[None, :, 0]
-    ey = t[:, None, 1] + s[:, None] * dx + c[:, None] * dy - t[None, :, 1]
-    drift = SLACK * np.maximum(1, scale)[:, None] + 0.12 * np.hypot(dx, dy) * scale[:, None]
-    same = np.abs(np.angle(np.exp(1j * (turn[None, :] - turn[:, None])))) < 0.5
-    fits = (np.hypot(ex, ey) <= drift) & same & (np.abs(np.log2(scale[None, :] / scale[:, None])) < 0.5)
+
+    def fits(at: np.ndarray) -> np.ndarray:
+        dx, dy = q[None, :, 0] - q[at, None, 0], q[None, :, 1] - q[at, None, 1]
+        ex = t[at, None, 0] + c[at, None] * dx - s[at, None] * dy - t[None, :, 0]
+        ey = t[at, None, 1] + s[at, None] * dx + c[at, None] * dy - t[None, :, 1]
+        drift = SLACK * np.maximum(1, scale)[at, None] + 0.12 * np.hypot(dx, dy) * scale[at, None]
+        same = np.abs(np.angle(np.exp(1j * (turn[None, :] - turn[at, None])))) < 0.5
+        return (np.hypot(ex, ey) <= drift) & same & (np.abs(np.log2(scale[None, :] / scale[at, None])) < 0.5)
+
+    step = max(1, 500_000 // len(q))
+    counts = np.concatenate([fits(np.arange(i, min(i + step, len(q)))).sum(1) for i in range(0, len(q), step)])
     best = 0
-    for row in fits[np.argsort(-fits.sum(1), kind="stable")[:8]]:
+    for row in fits(np.argsort(-counts, kind="stable")[:8]):
         best = max(best, min(len(np.unique(q[row], axis=0)), len(np.unique(t[row], axis=0))))
     return best
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by (query, image) to the pairs with enough agreement."""
-    key, seen, out = None, {}, []
-
-    def end() -> None:
-        if len(seen) >= AGREEING:
-            q, t = (np.frombuffer(b"".join(v[i] for v in seen.values()), np.float32).reshape(-1, 4).astype(float) for i in (0, 1))
-            if (n := consensus(q, t)) >= AGREEING:
-                out.append((*key, n, len(seen)))
-
+    """Pairs of described images to those with enough agreement."""
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("query", "image", "q_spot", "t_spot", "q_place", "t_place")]
-        for query, image, a, b, qp, tp in zip(*columns, strict=True):
-            if (query, image) != key:
-                end()
-                key, seen = (query, image), {}
-            seen[a, b] = (qp, tp)
-        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(4)], ["query", "image", "agreeing", "matches"])
         out = []
-    end()
-    yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(4)], ["query", "image", "agreeing", "matches"])
+        for query, image, qp, qb, tp, tb in zip(*(batch.column(c) for c in ("query", "image", "q_places", "q_bits", "t_places", "t_bits")), strict=True):
+            (q, mine), (t, theirs) = ((np.frombuffer(p.as_py(), float).reshape(-1, 4), np.frombuffer(b.as_py(), np.uint8).reshape(-1, 32)) for p, b in ((qp, qb), (tp, tb)))
+            a, b = matches(mine, theirs)
+            if len(a) >= AGREEING and (n := consensus(q[a], t[b])) >= AGREEING:
+                out.append((query.as_py(), image.as_py(), n, len(a)))
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(4)], ["query", "image", "agreeing", "matches"])
 
 
 def classes(images: DataFrame) -> DataFrame:
@@ -234,14 +247,21 @@ def find_copies(queries: DataFrame, images: DataFrame, distinct: bool = False) -
     asked, asked_at = written(spots(queries.where("id is not null and pixels is not null")), "asked")
     used += [found_at, asked_at]
     spark = images.sparkSession
-    width = table_bits(found.count())
-    named = lambda rows, e, image: rows.select("table", "key", F.col("image").alias(image), *(F.col(c).alias(f"{e}_{c}") for c in ("spot", "place", "d0", "d1", "d2", "d3")))
-    left = keyed(asked, width)
-    wanted = map_of(left)
-    met = named(left, "q", "query").join(named(keyed(found, width, wanted), "t", "image"), ["table", "key"])
+    width = table_bits(found.agg(F.sum("n")).first()[0] or 0)
+    tables = table_count(width)
     apart = sum((F.bit_count(F.col(f"q_d{k}").bitwiseXOR(F.col(f"t_d{k}"))) for k in range(4)), F.lit(0))
-    met = met.where(apart <= DISTANCE).select("query", "image", "q_spot", "t_spot", "q_place", "t_place")
-    pairs = in_arrow(met.repartition("query", "image").sortWithinPartitions("query", "image"), _agree, "query long, image long, agreeing long, matches long")
+    named = lambda rows, e, image: rows.select("key", F.col("image").alias(image), *(F.col(c).alias(f"{e}_{c}") for c in ("spot", "d0", "d1", "d2", "d3")))
+    met = None
+    for i in range(0, tables, ROUND):
+        some = range(i, min(i + ROUND, tables))
+        left = keyed(asked, width, some)
+        pairs = named(left, "q", "query").join(named(keyed(found, width, some, map_of(left)), "t", "image"), "key")
+        part, part_at = written(pairs.where(apart <= DISTANCE).select("query", "image", "q_spot", "t_spot").distinct(), "met")
+        met = part if met is None else met.union(part)
+        used.append(part_at)
+    met = met.distinct().groupBy("query", "image").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN).select("query", "image")
+    ends = [rows.select(F.col("image").alias(name), F.col("places").alias(f"{e}_places"), F.col("bits").alias(f"{e}_bits")) for rows, e, name in ((asked, "q", "query"), (found, "t", "image"))]
+    pairs = in_arrow(met.join(ends[0], "query").join(ends[1], "image").select("query", "image", "q_places", "q_bits", "t_places", "t_bits"), _agree, "query long, image long, agreeing long, matches long")
     result, _ = written(pairs.withColumnRenamed("image", "class_id"), "copies")
     drop_table(spark, *used)
     return result
@@ -309,10 +329,10 @@ def copies_of_vectors(vectors: DataFrame) -> DataFrame:
     # equal vectors have equal pictures, so classes are made of vectors, which are smaller
     heads, heads_at = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id")), "vectors")
     asked, asked_at = written(rows.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    images, images_at = written(pictures(heads.select(F.col("class_id").alias("vec_id"), "embedding")), "pictures")
+    images = pictures(heads.select(F.col("class_id").alias("vec_id"), "embedding").repartition(partitions(vectors.sparkSession), "vec_id"))
     found = find_copies(pictures(asked, copies=True), images, distinct=True)
     own = asked.join(heads, "embedding").select(F.col("vec_id").alias("query_id"), "class_id")
     out = own.join(found.withColumnRenamed("class_id", "found_class"), F.col("query_id") == F.col("query"), "left")
     result, _ = written(out.select("query_id", "class_id", "found_class", "agreeing"), "found")
-    drop_table(vectors.sparkSession, heads_at, asked_at, images_at)
+    drop_table(vectors.sparkSession, heads_at, asked_at)
     return result

@@ -459,3 +459,23 @@ def test_copies_are_found_as_by_brute_force(spark):
     assert {(q, q if q != 100 else 33) for q in queries} <= found
     assert {r["class_id"] for r in rows if r["query_id"] == 100} == {33}
     assert media.copies_of_vectors(vectors.limit(0)).count() == 0
+
+
+def test_copies_meet_whatever_the_number_of_descriptors(spark, monkeypatch):
+    for n in (5_000, 2_000_000, 10**7, 10**9):
+        width = media.table_bits(n)
+        assert 1 - (1 - media.meeting(width)) ** media.table_count(width) >= media.MET
+    rng = random.Random(5)
+    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(8)], 0) for i in range(0, 400, 5)], "vec_id long, embedding array<double>, label int")
+    images, queries = media.pictures(vectors), media.pictures(vectors.where("vec_id % 20 = 0"), copies=True)
+    described = {n: {r["id"]: media.describe_image(np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"])) for r in df.collect()} for n, df in (("q", queries), ("t", images))}
+    brute = {}
+    for q, (places, bits) in described["q"].items():
+        for i, (other, theirs) in described["t"].items():
+            a, b = np.nonzero(np.unpackbits(bits[:, None] ^ theirs[None], axis=2).sum(2) <= media.DISTANCE)
+            if len(a) >= media.AGREEING and (n := media.consensus(places[a], other[b])) >= media.AGREEING:
+                brute[q, i] = (n, len(a))
+    # keys as wide as for twenty million descriptors
+    monkeypatch.setattr(media, "table_bits", lambda n: 27)
+    monkeypatch.setattr(media, "ROUND", 50)
+    assert {(r["query"], r["class_id"]): (r["agreeing"], r["matches"]) for r in media.find_copies(queries, images).collect()} == brute
