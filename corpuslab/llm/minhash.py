@@ -1,8 +1,8 @@
 """MinHash near-duplicates with an LSH forest.
 
 A document's set holds the hashes of its distinct word shingles. Documents with equal sets form one class. A forest
-of TREES signature orders is made for one member of each class: a tree's label is a sequence of minima, all labels
-are sorted in one distributed order, and each class meets the next few in its order: those with the longest common
+of TREES signature orders is made for one member of each class: a tree's label is a sequence of minima, labels are
+sorted, those of a region together, and each class meets the next few in its order: those with the longest common
 prefix. A region is a run with the same first DEPTH minima: in a thin region the neighbours are all of it, in a dense
 one only those that agree far deeper, so the depth follows the density. Neighbours that agree in most of the deeper
 minima make loose clusters. Inside a loose cluster full sets are compared exactly, in blocks of bounded size, and
@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block_
     known = base.where("doc_id is not null and key is not null")
     classes, classes_at = written(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("region").alias("region"), F.first("rest").alias("rest"), F.first("n_shingles").alias("n")), "classes")
     rows = classes.select("rep", F.explode(F.arrays_zip("region", "rest")).alias("x")).select("x.region", "x.rest", "rep")
-    order = rows.repartitionByRange(n, "region", "rest", "rep").sortWithinPartitions("region", "rest", "rep")
+    # a region lies in one partition, so that no edge of a partition parts neighbours
+    order = rows.repartition(n, "region").sortWithinPartitions("region", "rest", "rep")
     loose, loose_at = components(in_arrow(order, _neighbours, "a long, b long"))
     sized = loose.join(classes.groupBy("rep").agg(F.max("n").alias("n")), F.col("id") == F.col("rep"))
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))

@@ -129,6 +129,18 @@ def test_blocks_of_a_cluster_lose_no_link():
     assert components(edges) == whole
 
 
+def test_near_duplicates_in_more_partitions_than_rows(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[:40], f"x{i}", *words[41:]])) for i in range(6)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == dict.fromkeys(range(6), 0)
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
