@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -141,6 +142,28 @@ def test_near_duplicates_in_more_partitions_than_rows(spark):
     assert got == dict.fromkeys(range(6), 0)
 
 
+@pytest.mark.parametrize("others,values", [(20, 256), (400, 256), (400, 3)])
+def test_neighbours_meet_in_crowded_regions(others, values):
+    rng = np.random.default_rng(others + values)
+    rest = rng.integers(0, values, (3 * others, 8), dtype=np.uint8)
+    for i in range(0, 3 * others, 7):
+        rest[i] = rest[(i * 11) % others]
+        rest[i, rng.permutation(8)[:3]] += 1
+    region, rest = np.repeat(np.array([-5, 2, 9]), others), rest.view(np.int64)[:, 0]
+    order = np.lexsort((rest, region))
+    region, rest, rep = region[order], rest[order], rng.permutation(3 * others)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 130]) for x in (region, rest, rep)], ["region", "rest", "rep"]) for i in range(0, len(rep), 130)]
+    forest = minhash.Forest()
+    for batch in minhash._neighbours(iter(batches)):
+        for a, b in zip(*(batch.column(c).to_pylist() for c in "ab"), strict=True):
+            forest.union(a, b)
+    equal = (rest.view(np.uint8).reshape(-1, 1, 8) == rest.view(np.uint8).reshape(1, -1, 8)).sum(2)
+    pairs = np.argwhere((region[:, None] == region) & (equal >= minhash.AGREE))
+    assert len(pairs) > len(rep) and all(forest.find(rep[a]) == forest.find(rep[b]) for a, b in pairs.tolist())
+    where = dict(zip(rep.tolist(), region.tolist(), strict=True))
+    assert all(where[forest.find(x)] == where[x] for x in where)
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
