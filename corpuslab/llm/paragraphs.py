@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.common import drop_table, written
 
-#: Where a paragraph ends; junk of a few characters may follow the mark.
-ENDS = r"[.!?][^\\s]{0,5}\\s+|\\n+"
+#: White space behind a paragraph's end. The mark, and up to five characters such as quotes between it and the white space, stay with their paragraph.
+ENDS = r"(?=\\s)(?<=[.!?][^\\s]{0,5})\\s+|\\n+"
 #: Cells in each table of the fingerprint, and of a bucket's sketches, which are tried in this order.
 BASE, TRIED = 4, (4, 8, 16, 32)
 #: Digests for which a bucket is meant.

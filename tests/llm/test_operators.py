@@ -376,6 +376,16 @@ def test_peeling_recovers_the_difference(spark):
         assert set(df.select(F.expr(paragraphs.difference_sql("a", "b", "x", "y"))).first()[0]) == set(a) ^ set(b)
 
 
+def test_marks_and_what_follows_them_are_fingerprinted(spark):
+    for a, b in (("Price is 3.50 euros", "Price is 3.75 euros"), ("see a.com now", "see a.org now"), ("v1.2 ", "v1.9 "), ("One. Two.", "One! Two."), ("Is it? Yes", "Is it. Yes"), ("Said.[12] So", "Said.[13] So")):
+        differ = spark.createDataFrame([(a, b)], "a string, b string").select(F.expr(paragraphs.digests_sql("a")).alias("a"), F.expr(paragraphs.digests_sql("b")).alias("b")).first()
+        assert differ["a"] and set(differ["a"]) != set(differ["b"]), (a, b)
+    kept = spark.createDataFrame([("One.  Two!) 3.50 x\n\nlast",)], "t string").select(F.expr(f"split(t, '{paragraphs.ENDS}')")).first()[0]
+    assert kept == ["One.", "Two!)", "3.50", "x", "last"]
+    rows = paragraphs.fingerprints(spark.createDataFrame([(1, "Price is now 3.50 "), (2, ".75 it is. What else")], "doc_id long, text string")).collect()
+    assert all(r["changed"] > 0 for r in rows)
+
+
 def test_fingerprints_run_no_python(docs):
     rows, _ = paragraphs.with_next(docs)
     assert "Python" not in rows._jdf.queryExecution().toString()
