@@ -8,6 +8,7 @@ state from those above it, once for all words that share the prefix.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -40,16 +41,19 @@ class Generations:
     def __init__(self, size: int) -> None:
         self.size, self.young, self.old = size, {}, {}
 
-    def missing(self, keys: set) -> set:
-        """The keys that are not known; the known ones are in young then, until the next call."""
+    def turned(self) -> dict:
+        """The younger half, which is new if it was full."""
         if len(self.young) >= self.size:
             self.young, self.old = {}, self.young
-        new = keys.difference(self.young)
-        if self.old:
-            old = self.old
-            again = [k for k in new if k in old]
-            self.young.update((k, old[k]) for k in again)
-            new.difference_update(again)
+        return self.young
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The keys that are not known; the known ones are in young then, until the next call."""
+        young, old = self.turned(), self.old
+        new = [k for k in keys if k not in young]
+        if old:
+            young.update([(k, old[k]) for k in new if k in old])
+            new = [k for k in new if k not in old]
         return new
 
 
@@ -69,6 +73,10 @@ class WordTrieBpe:
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # of each token: the rank of the merge that makes it, and the two tokens that it joins
+        self.halves: dict[int, tuple[int, int, int]] = {}
+        for (a, b), (rank, t) in self.ranks.items():
+            self.halves.setdefault(t, (rank, a, b))
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.marks = {x[:2] for x in self.special}
@@ -79,8 +87,7 @@ class WordTrieBpe:
         self.starts = {t[:n] for t in bodies for n in range(1, len(t) + 1)}
         self.follows: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.steps: dict[str, dict[str, str]] = {}
-        self.inner_ends: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.inner_ends: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
         self.last_ends: dict[str, tuple[tuple[int, int], ...]] = {}
         self.words = Generations(KNOWN_WORDS)
 
@@ -110,101 +117,148 @@ class WordTrieBpe:
             known = self.whole[token] = self.merged(self.atoms(token)) == [token]
         return known
 
-    def may_follow(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        if (known := self.follows.get(key)) is None:
-            if len(self.follows) >= KNOWN_STATES:
-                self.follows.clear()
-            known = self.follows[key] = self.merged([*self.atoms(left), *self.atoms(right)]) == [left, right]
-        return known
-
-    def tail(self, tail: str, symbol: str) -> str:
-        """The longest end of a prefix that a token starts with, from that of the prefix without its last symbol."""
-        steps = self.steps.get(tail)
-        if steps is None:
-            if len(self.steps) >= KNOWN_STATES:
-                self.steps.clear()
-            steps = self.steps[tail] = {}
-        if (found := steps.get(symbol)) is None:
-            found = tail + symbol
-            while found and found not in self.starts:
-                found = found[1:]
-            steps[symbol] = found
+    def may_follow(self, pair: int) -> bool:
+        """Whether the left token (upper 32 bits) and the right one stay apart when their symbols are encoded side by side.
+
+        Symbols of the two are merged in the order of ranks, so what stands at their border at any time is the end of the left token and the beginning of the right one, each as
+        far as it has been put together: the two halves of tokens are looked at from the last merge backwards. A pair at the border is merged if its rank is less than that of
+        the merge that ends its time at the border.
+        """
+        if len(self.follows) >= KNOWN_STATES:
+            self.follows.clear()
+        left, right, until = pair >> 32, pair & 0xFFFFFFFF, len(self.ranks)
+        found = True
+        while True:
+            met = self.ranks.get((left, right))
+            # of equal ranks the leftmost pair goes first: a merge inside the left token comes before one over the border, and that before one inside the right token
+            if met is not None and met[0] < until:
+                found = False
+                break
+            of_left, of_right = self.halves.get(left), self.halves.get(right)
+            if of_left is None and of_right is None:
+                break
+            if of_right is None or (of_left is not None and of_left[0] > of_right[0]):
+                until, left = of_left[0], of_left[2]
+            else:
+                until, right = of_right[0] + 1, of_right[1]
+        self.follows[pair] = found
         return found
 
+    def tail(self, tail: str) -> str:
+        """The longest end of a string that a token starts with."""
+        while tail and tail not in self.starts:
+            tail = tail[1:]
+        return tail
+
     def ends(self, tail: str, suffix: str) -> tuple[tuple[int, int], ...]:
         """(symbols, token) of the tokens that a prefix with this tail can end in, the longest first."""
-        memo = self.last_ends if suffix else self.inner_ends
-        if (found := memo.get(tail)) is None:
-            if len(memo) >= KNOWN_STATES:
-                memo.clear()
-            tokens = ((len(tail) - i, self.vocab.get(tail[i:] + suffix)) for i in range(len(tail)))
-            found = memo[tail] = tuple((n, t) for n, t in tokens if t is not None and self.is_whole(t))
+        tokens = ((len(tail) - i, self.vocab.get(tail[i:] + suffix)) for i in range(len(tail)))
+        return tuple((n, t) for n, t in tokens if t is not None and self.is_whole(t))
+
+    def inner(self, grown: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """The tail of a prefix from that of the one before it and the symbol between them, and the tokens that it can end in; remembered by `grown`."""
+        if len(self.inner_ends) >= KNOWN_STATES:
+            self.inner_ends.clear()
+        tail = self.tail(grown)
+        found = self.inner_ends[grown] = (tail, self.ends(tail, ""))
+        return found
+
+    def last(self, grown: str) -> tuple[tuple[int, int], ...]:
+        """The tokens that a word can end in whose prefix without the last symbol has the tail grown[:-1]."""
+        if len(self.last_ends) >= KNOWN_STATES:
+            self.last_ends.clear()
+        found = self.last_ends[grown] = self.ends(self.tail(grown), self.end)
         return found
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The encodings of distinct words given in byte symbols."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word[:-1]:
-                below = node.get(c)
-                if below is None:
-                    below = node[c] = {}
-                node = below
-            node.setdefault("", []).append(word)
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """The encodings of distinct words given in byte symbols.
+
+        The trie of the words is kept as their sorted list, which visits its nodes depth first: a word shares with the one before it the nodes of their common beginning, whose
+        states are still on the stack, and adds nodes for the rest.
+        """
         out: dict[str, tuple[int, ...]] = {}
-        follows, may_follow = self.follows, self.may_follow
-        states, lengths = [-1], [0]  # the last token of each prefix on the way here, and its symbols
-        stack: list[tuple[int, str, str, dict]] = [(0, "", "", root)]
-        while stack:
-            depth, tail, symbol, node = stack.pop()
-            del states[max(1, depth) :], lengths[max(1, depth) :]
-            if depth:
-                tail = self.tail(tail, symbol)
-                for size, token in self.ends(tail, ""):
-                    if size == depth or follows.get(states[depth - size] << 32 | token) or may_follow(states[depth - size], token):
-                        states.append(token)
-                        lengths.append(size)
+        follows, may_follow, inner_ends, last_ends = self.follows, self.may_follow, self.inner_ends, self.last_ends
+        # of each prefix on the way to the present node: its last token, that token's symbols, and the prefix's tail
+        states, lengths, tails, before = [-1], [0], [""], ""
+        for word in sorted(words):
+            inner, shared = len(word) - 1, 0
+            most = min(inner, len(states) - 1)
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del states[shared + 1 :], lengths[shared + 1 :], tails[shared + 1 :]
+            tail = tails[shared]
+            for depth in range(shared + 1, inner + 1):
+                grown = tail + word[depth - 1]
+                tail, ends = inner_ends.get(grown) or self.inner(grown)
+                for size, token in ends:
+                    if size == depth:
                         break
-            for word in node.get("", ()):
-                last = self.tail(tail, word[-1])
-                for size, token in self.ends(last, self.end):
-                    if size == depth + 1 or may_follow(states[depth + 1 - size], token):
+                    pair = states[depth - size] << 32 | token
+                    if follows[pair] if pair in follows else may_follow(pair):
                         break
                 else:
-                    raise ValueError(f"no token ends {word!r}")
-                ids, n = [token], depth + 1 - size
-                while n:
-                    ids.append(states[n])
-                    n -= lengths[n]
-                ids.reverse()
-                out[word] = tuple(ids)
-            for c, child in node.items():
-                if c:
-                    stack.append((depth + 1, tail, c, child))
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+                states.append(token)
+                lengths.append(size)
+                tails.append(tail)
+            grown = tail + word[inner]
+            for size, token in last_ends.get(grown) or self.last(grown):
+                if size == inner + 1:
+                    break
+                pair = states[inner + 1 - size] << 32 | token
+                if follows[pair] if pair in follows else may_follow(pair):
+                    break
+            else:
+                raise ValueError(f"no token ends {word!r}")
+            ids, n = [token], inner + 1 - size
+            while n:
+                ids.append(states[n])
+                n -= lengths[n]
+            ids.reverse()
+            out[word] = tuple(ids)
+            before = word
         return out
 
     # ---- texts
 
     def spelled(self, chunk: str) -> list[str]:
-        """The words of a run in byte symbols; beyond ASCII by the file's own normalizer and splitter, whose Unicode tables count."""
-        if chunk.isascii() and not _ODD.search(chunk):
-            return ["".join([self.symbols[b] for b in w.encode()]) for w in self.pattern.findall(chunk.lower())]
-        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
-
-    def encode_chunks(self, runs: set[str]) -> dict[str, tuple[int, ...]]:
+        """The words of an ASCII run in byte symbols, which printable ASCII characters are themselves."""
+        if chunk.isalpha():
+            return [chunk.lower()]
+        words = self.pattern.findall(chunk.lower())
+        return words if chunk.isprintable() else ["".join([self.symbols[b] for b in w.encode()]) for w in words]
+
+    def spelled_beyond(self, chunks: list[str]) -> list[list[str]]:
+        """The words of runs beyond ASCII, by the file's own normalizer and splitter, whose Unicode tables count: many runs to a call, with spaces between, as neither looks across a space."""
+        normal = self.normalizer.normalize_str(" ".join(chunks))
+        if normal.count(" ") != len(chunks) - 1:  # one of them has white space of its own, or none is left of it
+            return [[w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))] for c in chunks]
+        out, at, end = [[]], 0, normal.find(" ")
+        for word, (start, _) in self.splitter.pre_tokenize_str(normal):
+            while 0 <= end < start:
+                out.append([])
+                at += 1
+                end = normal.find(" ", end + 1)
+            out[at].append(word)
+        return out + [[] for _ in range(len(chunks) - len(out))]
+
+    def encode_chunks(self, runs: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """The ids of each run, in which special tokens' strings stand for themselves and the pattern finds words in the rest."""
         found: dict[str, list] = {}
+        beyond = []
         for run in runs:
             if self.split_special and any(m in run for m in self.marks):
-                found[run] = [y for x in self.split_special.split(run) for y in ([self.special[x]] if x in self.special else self.spelled(x))]
-            else:
+                found[run] = [y for x in self.split_special.split(run) for y in ([self.special[x]] if x in self.special else self.spelled(x) if x.isascii() and not _ODD.search(x) else self.spelled_beyond([x])[0] if x else ())]
+            elif run.isascii() and not _ODD.search(run):
                 found[run] = self.spelled(run)
+            else:
+                beyond.append(run)
+        for i in range(0, len(beyond), TOGETHER):
+            found.update(zip(beyond[i : i + TOGETHER], self.spelled_beyond(beyond[i : i + TOGETHER]), strict=True))
         new = self.words.missing({w for words in found.values() for w in words if isinstance(w, str)})
         done = self.words.young
-        done.update(self.encode_words(list(new)))
-        return {c: tuple(i for w in words for i in (done[w] if isinstance(w, str) else (w,))) if len(words) != 1 or isinstance(words[0], int) else done[words[0]] for c, words in found.items()}
+        done.update(self.encode_words(new))
+        return {run: done[words[0]] if len(words) == 1 and isinstance(words[0], str) else tuple([i for w in words for i in (done[w] if isinstance(w, str) else (w,))]) for run, words in found.items()}
 
     def decode(self, ids: Iterable[int]) -> str:
         """As without a decoder: the tokens' strings joined by a space. Ids outside the vocabulary are left out."""
@@ -223,8 +277,8 @@ def loaded(path: str) -> WordTrieBpe:
 #: Pieces of runs and words whose encodings a worker keeps in each half of its memory, and bytes of texts taken at a time.
 KNOWN_PIECES, KNOWN_WORDS, AT_ONCE = 100_000, 80_000, 8_000_000
 
-#: Prefixes and pairs of tokens of which a worker keeps what it found.
-KNOWN_STATES = 250_000
+#: Prefixes and pairs of tokens of which a worker keeps what it found; runs beyond ASCII in one call of the library.
+KNOWN_STATES, TOGETHER = 250_000, 200
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _CORE = f"^[^{re.escape(_MARKS)}]*"
@@ -237,14 +291,30 @@ class Pieces:
     runs become small letters. A run that may hold a special token is left as it is. encode: what is kept of new pieces, by piece.
     """
 
-    def __init__(self, encode: Callable[[set[str]], dict], size: int = KNOWN_PIECES) -> None:
+    def __init__(self, encode: Callable[[list[str]], dict], size: int = KNOWN_PIECES) -> None:
         self.encode, self.known = encode, Generations(size)
 
     def values(self, wanted: list[str]) -> list:
-        new = self.known.missing(set(wanted))
-        if new:
-            self.known.young.update(self.encode(new))
-        return list(map(self.known.young.__getitem__, wanted))
+        """What is kept of each piece: one look at the younger half for what is there, one more at the older half for the rest."""
+        known = self.known.turned()
+        out = list(map(known.get, wanted))
+        gaps = [i for i, v in enumerate(out) if v is None]
+        if gaps:
+            old, new = self.known.old, []
+            for i in gaps:
+                piece = wanted[i]
+                value = old.get(piece)
+                if value is None:
+                    new.append(piece)
+                else:
+                    out[i] = known[piece] = value
+            if new:
+                made = self.encode(new)
+                known.update(made)
+                for i in gaps:
+                    if out[i] is None:
+                        out[i] = made[wanted[i]]
+        return out
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """For some texts at a time: what is kept of their distinct pieces, the number of each piece in turn, and where each text's pieces end."""
@@ -261,14 +331,21 @@ class Pieces:
             core = pc.ascii_rtrim(low, characters=_MARKS)
             apart = pc.and_(pc.utf8_is_alpha(core), pc.less(pc.binary_length(core), pc.binary_length(low)))
             heads = pc.if_else(apart, core, low).dictionary_encode()
-            tails = pc.if_else(apart, pc.replace_substring_regex(low, _CORE, ""), "").dictionary_encode()
+            tails = pc.replace_substring_regex(low.filter(apart), _CORE, "").dictionary_encode()
             words = [*heads.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
-            pair = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + np.int32(len(heads.dictionary))], 1)
-            some = np.array([w != "" for w in words], bool)[pair]
+            head, two = heads.indices.to_numpy(), apart.to_numpy(zero_copy_only=False)
+            tail = np.zeros(len(head), np.int32)
+            tail[two] = tails.indices.to_numpy() + np.int32(len(heads.dictionary))
             runs = found.indices.to_numpy()
-            upto = np.concatenate([[0], np.cumsum(some.sum(1, dtype=np.int32)[runs])])
+            split = two[runs]
+            upto = np.zeros(len(runs) + 1, np.int64)
+            np.cumsum(split, out=upto[1:])
+            upto += np.arange(len(upto))
+            pair = np.empty(upto[-1], np.int32)
+            pair[upto[:-1]] = head[runs]
+            pair[upto[:-1][split] + 1] = tail[runs[split]]
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
-            yield self.values(words), pair[runs][some[runs]], upto[ends]
+            yield self.values(words), pair, upto[ends]
             at = end
 
 
@@ -298,12 +375,31 @@ def pieces(path: str, kind: str) -> Pieces:
         if kind == "ids":
             made = Pieces(lambda new: {c: np.array(ids, np.int32).tobytes() for c, ids in bpe.encode_chunks(new).items()})
         else:
-            made = Pieces(lambda new: {c: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)) for c, ids in bpe.encode_chunks(new).items()})
+            numbers, names = [str(i) for i in range(max(bpe.strings) + 1)], bpe.strings
+
+            def shown(new: list[str]) -> dict[str, tuple[int, str, str]]:
+                return {c: (len(ids), " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])) for c, ids in bpe.encode_chunks(new).items()}
+
+            made = Pieces(shown)
         _PIECES[path, kind] = made
     return _PIECES[path, kind]
 
 
+def uncollected(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """function without garbage collection while it runs: it makes millions of tuples and no cycles, so that counting references frees all of them."""
+
+    def run(batches: Iterator) -> Iterator:
+        gc.disable()
+        try:
+            yield from function(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def _ids(path: str, text_at: int):
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path, "ids")
         for batch in batches:
@@ -344,6 +440,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def _digests(path: str):
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path, "shown")
         for batch in batches:
