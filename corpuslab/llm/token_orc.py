@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuslab.llm.bpe import AT_ONCE, Pieces, flat_ids
+from corpuslab.llm.bpe import AT_ONCE, Pieces, flat_ids, uncollected
 from corpuslab.llm.common import drop_table, new_path, partitions, written
 from corpuslab.session import in_arrow
 
 INDEX_ROWS = 1000
 #: Pieces whose ids a worker keeps in each half of its memory, and pieces in one call of the library.
-KNOWN_PIECES, PIECES = 250_000, 500
-OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(INDEX_ROWS), "orc.create.index": "true", "orc.encoding.strategy": "COMPRESSION", "orc.stripe.size": str(32 << 20)}
+KNOWN_PIECES, PIECES = 250_000, 100
+OPTIONS = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(INDEX_ROWS), "orc.create.index": "true", "orc.encoding.strategy": "COMPRESSION", "orc.stripe.size": str(32 << 20)}
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -45,18 +45,18 @@ def library_pieces(path: str) -> Pieces:
         mark_id = None if mark is None else library.token_to_id(mark.content)
         specials = [t.content for t in library.get_added_tokens_decoder().values()]
 
-        def encode(new: set[str]) -> dict[str, bytes]:
+        def encode(new: list[str]) -> dict[str, bytes]:
             """Many pieces to a call, with a special token between them, which the library never joins to its neighbours."""
-            plain = [x for x in new if mark is not None and not any(s in x for s in specials)]
-            out = {x: np.array(library.encode(x, add_special_tokens=False).ids, np.int32).tobytes() for x in new.difference(plain)}
+            every = "\n".join(new)
+            odd = set(new) if mark is None else {x for s in specials if s in every for x in new if s in x}
+            plain = [x for x in new if x not in odd] if odd else new
+            out = {x: np.array(library.encode(x, add_special_tokens=False).ids, np.int32).tobytes() for x in odd}
             groups = [plain[i : i + PIECES] for i in range(0, len(plain), PIECES)]
-            for group, e in zip(groups, library.encode_batch_fast([mark.content.join(g) for g in groups], add_special_tokens=False), strict=True):
+            for group, e in zip(groups, library.encode_batch_fast([mark.content.join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
                 ids = np.array(e.ids, np.int32)
-                ends = np.flatnonzero(ids == mark_id)
-                raw, at = ids.tobytes(), 0
-                for x, end in zip(group, [*ends.tolist(), len(ids)], strict=True):
-                    out[x] = raw[4 * at : 4 * end]
-                    at = end + 1
+                ends = (np.flatnonzero(ids == mark_id) * 4).tolist()
+                raw = ids.tobytes()
+                out.update(zip(group, [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)], strict=True))
             return out
 
         _PIECES[path] = Pieces(encode, KNOWN_PIECES)
@@ -77,6 +77,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(path: str, end_id: int | None):
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, position = library_pieces(path), 0
         for batch in gathered(batches):
@@ -107,8 +108,8 @@ def read_orc(spark: SparkSession, out: str) -> DataFrame:
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(3)
-        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        crcs = [zlib.crc32(flat[a:b].astype("<u4")) & 0xFFFFFFFF for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        flat, offsets = lists.values.to_numpy().astype("<i4", copy=False), lists.offsets.to_numpy()
+        crcs = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["file", "position", "doc_id", "n_tokens", "ids_crc32"])
 
 
