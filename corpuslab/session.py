@@ -28,6 +28,16 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly where it is read from fewer files than there are cores: such files may hold a row group each, which one task would read and work on alone.
+
+    Tables of many files are left as they are, so that nothing large is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    return df.repartition(cores) if 0 < len(files) < cores else df
+
+
 def _give_back() -> None:
     """Memory that a task no longer uses goes back to the system: workers live on, and caches of one task should not add to those of the next."""
     import ctypes
@@ -42,7 +52,10 @@ def _give_back() -> None:
 
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow by a function of this package."""
+    """mapInArrow by a function of this package.
+
+    Where the session leaves Spark's default of rows in an Arrow batch, it is set to BATCH_ROWS for the session, as Spark has no option for one call; other values stay.
+    """
     spark = df.sparkSession
     ship(spark)
     if spark.conf.get(_BATCH) == "10000":
