@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.operators.dedup import first_of
+from corpuslab.operators.select import before_stretches, cuts, key_of, literal, stretch_of, with_offsets
 from corpuslab.profiles import ScriptProfile
-from corpuslab.session import ship
+from corpuslab.session import ship, spread
 
 #: Fewest characters of a document, least share of the script, largest share of characters that cleaning may take.
 LEAST_CHARS, LEAST_SHARE, MOST_LOST = 20, 0.5, 0.40
@@ -19,7 +20,7 @@ CRAWL_CHARS, CRAWL_SHARE = 120, 0.65
 def cleaned(docs: DataFrame, profile: ScriptProfile, text: str = "text") -> DataFrame:
     """docs with clean_text, removed_chars (by the script filter) and dropped (why the document is not kept, or null)."""
     ship(docs.sparkSession)
-    source = docs.withColumn("_nfc", T.nfc(F.col(text)))
+    source = spread(docs).withColumn("_nfc", T.nfc(F.col(text)))
     filtered = source.withColumn("_filtered", T.script_filter(F.col("_nfc"), profile))
     made = filtered.withColumn("clean_text", T.repair(F.col("_filtered"), profile))
     clean, raw = F.col("clean_text"), F.col("_nfc")
@@ -40,30 +41,59 @@ def crawl_gate(pages: DataFrame, profile: ScriptProfile, order: list[Column], te
     return first_of(first_of(good, F.col(url), order), F.sha2(text, 256), order)
 
 
+#: Rows that are counted one by one on the driver once the search for a quota's last row has come down to them.
+LAST_ROWS = 10_000
+
+
 def quota(docs: DataFrame, order: list[Column], limits: dict[str, int], within: list[str] | None = None) -> DataFrame:
-    """Rows while each running total before them is below its limit, so that the last row may go beyond. limits: column to limit ("*": rows).
+    """Rows while each running total before them is below its limit, so that the last row may go beyond. limits: column to limit ("*": rows); amounts are not negative, nulls count as 0.
 
-    within: columns whose groups have totals of their own. Without them one running total goes over all rows: the totals of stretches of
-    the order come first, and only a stretch's own rows are summed one by one.
+    Without `within` the key of the last row is looked for, by totals of stretches of the order, then of stretches of the one in which a total meets its limit, and so on: what comes
+    back is a filter on the order's columns, and no row moves. Rows with the same key stand or fall together.
+    within: columns whose groups have totals of their own: totals of a group's stretches come first, and only a stretch's own rows are summed one by one.
     """
     names = docs.columns
-    cost = {c: (F.lit(1) if c == "*" else F.col(c)).cast("long") for c in limits}
-    if within:
-        before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        keep = [F.coalesce(F.sum(cost[c]).over(before), F.lit(0)) < most for c, most in limits.items()]
-        marked = docs.withColumn("_keep", _all(keep))
-        return marked.where("_keep").select(*names)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    totals = dealt.groupBy("_part").agg(*(F.sum(cost[c]).alias(f"_t{i}") for i, c in enumerate(limits)))
-    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", *(F.coalesce(F.sum(f"_t{i}").over(upto), F.lit(0)).alias(f"_o{i}") for i in range(len(limits))))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    met = dealt.join(F.broadcast(offsets), "_part")  # a row for each partition
-    keep = [F.coalesce(F.sum(cost[c]).over(inside), F.lit(0)) + F.col(f"_o{i}") < most for i, (c, most) in enumerate(limits.items())]
+    cost = {f"_t{i}": F.coalesce((F.lit(1) if c == "*" else F.col(c)).cast("long"), F.lit(0)) for i, c in enumerate(limits)}
+    most = list(limits.values())
+    if not within:
+        return docs.where(_until(docs, order, cost, most))
+    dealt = docs.withColumn("_stretch", stretch_of(order, *cuts(docs, order)))
+    offsets = before_stretches(dealt, within, cost).where(_all([F.col(c) < m for c, m in zip(cost, most, strict=True)]))
+    inside = Window.partitionBy(*within, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = with_offsets(dealt, offsets, within)
+    keep = [F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(name) < m for (name, c), m in zip(cost.items(), most, strict=True)]
     return met.withColumn("_keep", _all(keep)).where("_keep").select(*names)
 
 
+def _until(docs: DataFrame, order: list[Column], cost: dict[str, Column], most: list[int]) -> Column:
+    """A filter for the rows up to the last one that the limits let through."""
+    key, left = key_of(order), list(most)
+    rows = docs
+    if min(left) <= 0:
+        return F.lit(False)
+    while True:
+        edges, schema = cuts(rows, order)
+        at = stretch_of(order, edges, schema)
+        sums = sorted(rows.groupBy(at.alias("s")).agg(F.count("*").alias("n"), *(F.sum(c).alias(name) for name, c in cost.items())).collect())
+        for r in sums:
+            if any(r[name] >= m for name, m in zip(cost, left, strict=True)):
+                break
+            left = [m - r[name] for name, m in zip(cost, left, strict=True)]
+        else:
+            # nothing here meets a limit: only before the first descent, or where the rows have changed meanwhile
+            return F.lit(True) if rows is docs or not sums else key <= literal(rows.agg(F.max(key).alias("k")).first()["k"], schema)
+        if r["s"] % 2:
+            return key <= literal(edges[r["s"] // 2], schema)
+        rows = rows.where(at == r["s"])
+        if r["n"] <= LAST_ROWS:
+            last = None
+            for one in rows.groupBy(key.alias("k")).agg(*(F.sum(c).alias(name) for name, c in cost.items())).orderBy("k").collect():
+                if min(left) <= 0:
+                    break
+                last, left = one["k"], [m - one[name] for name, m in zip(cost, left, strict=True)]
+            return key <= literal(last, schema)
+
+
 def _all(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:
