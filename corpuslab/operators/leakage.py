@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions import scores as S
+from corpuslab.functions import text as T
+
 
 def relation(answer_rel: Column) -> Column:
     return F.get(F.split(answer_rel, " "), F.lit(1))
@@ -57,6 +60,32 @@ def report(train: DataFrame, others: DataFrame) -> DataFrame:
     return out.join(shared, "split", "left").withColumn("name_overlap", F.coalesce("name_overlap", F.lit(0)))
 
 
+#: Most words of an item by which documents are looked up.
+LOOKED_UP = 8
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id): the documents (doc_id, text) in which the text of an item (item_id, text) stands, character for character, wherever it begins and ends.
+
+    Inside an item the words between its first and its last one stand whole in such a document, so that up to LOOKED_UP of them are its key; items of fewer than three words
+    are looked up by runs of up to LOOKED_UP characters. Only keys are dealt out; texts meet the pairs that share one, and the whole item is compared. Null and empty items stand nowhere.
+    """
+    texts = items.where("text <> ''").select("item_id", F.col("text").alias("item"))
+    words, size = T.words(F.col("item")), F.char_length("item")
+    n = F.size(words)
+    keyed = texts.select("item_id", F.when(n > 2, F.least(n - 2, F.lit(LOOKED_UP))).otherwise(-F.least(size, F.lit(LOOKED_UP))).alias("length"), words.alias("w"), "item")
+    keyed = keyed.select("item_id", "length", F.when(F.col("length") > 0, F.array_join(F.slice("w", F.lit(2), F.greatest(F.col("length"), F.lit(0))), " ")).otherwise(F.substring("item", F.lit(1), -F.col("length"))).alias("key"))
+    rows, pairs = docs.where("doc_id is not null and text is not null").select("doc_id", "text"), None
+    for length in sorted(r["length"] for r in keyed.select("length").distinct().collect()):  # at most twice LOOKED_UP
+        runs = F.transform(S.ngrams(T.words(F.col("text")), length), lambda g: F.array_join(g, " ")) if length > 0 else S.char_runs(F.col("text"), -length)
+        found = rows.select("doc_id", F.explode(F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))).alias("h"))
+        met = found.join(keyed.where(F.col("length") == length).select("item_id", F.xxhash64("key").alias("h")), "h").select("item_id", "doc_id")
+        pairs = met if pairs is None else pairs.union(met)
+    if pairs is None:
+        return rows.join(texts).select("item_id", "doc_id").limit(0)
+    return pairs.distinct().join(rows, "doc_id").join(texts, "item_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()
+
+
 def relation_metrics(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Of rows (gold, pred): accuracy, recall of each relation (null without gold), and macro F1 over the relations that gold has; to six places."""
     keys, cells = list(group or []), []
@@ -73,6 +102,13 @@ def relation_metrics(rows: DataFrame, group: list[str] | None = None) -> DataFra
     return counts.select(*keys, F.round(F.col("hits") / F.greatest("n", F.lit(1)), 6).alias("accuracy"), *(recall[n].alias(f"recall_{n}") for n in recall), F.round(f1s / F.greatest(some, F.lit(1)), 6).alias("macro_f1"), *(F.col(f"n_{n}") for n in recall))
 
 
+def relation_shares(rows: DataFrame) -> DataFrame:
+    """(relation, n, share) of rows (relation): their distribution, shares to six places, in the order of relations."""
+    counts = rows.groupBy("relation").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))
+    return counts.join(F.broadcast(total)).select("relation", "n", F.round(F.col("n") / F.col("t"), 6).alias("share")).orderBy("relation")  # one row
+
+
 def chance_baseline(rows: DataFrame) -> DataFrame:
     """One row: the most frequent relation (of several the first in order) and its share of rows (relation) to six places."""
     counts = rows.groupBy("relation").agg(F.count("*").alias("c"))
