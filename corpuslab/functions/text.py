@@ -86,12 +86,22 @@ def _forms(form: str):
     return normal
 
 
+#: Characters that alone can make a text differ from its composed form (marks and what is behind them), and from its compatibility form (also the compatibility letters of Latin blocks).
+_MAY_COMPOSE = r"[^\u0000-\u02ff]"
+_MAY_CHANGE = r"[^\u0000-\u009f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u02af]"
+
+
+def _where_needed(text: Column, form: str, test: str) -> Column:
+    """The normal form by Python of the texts that a test on the JVM does not clear; the others cross as nulls."""
+    return F.coalesce(_forms(form)(F.when(text.rlike(test), text)), text)
+
+
 def nfc(text: Column) -> Column:
-    return _forms("NFC")(text)
+    return _where_needed(text, "NFC", _MAY_COMPOSE)
 
 
 def nfkc(text: Column) -> Column:
-    return _forms("NFKC")(text)
+    return _where_needed(text, "NFKC", _MAY_CHANGE)
 
 
 def unescape(text: Column) -> Column:
@@ -112,6 +122,9 @@ _AFTER = r"(?![\p{L}\p{Nd}_])"
 _SP = f"[{SPACE}]"
 
 
+# The patterns of repair(), quality_reason() and html_lines() are fixed values, as is their order.
+
+
 def repair(text: Column, profile: ScriptProfile) -> Column:
     """Undoes what scanners and crawlers do to Indic words.
 
@@ -226,6 +239,11 @@ def html_text(page: Column) -> Column:
 # ---------------------------------------------------------------- addresses, answers, pieces
 
 
+def distinctive(text: Column) -> Column:
+    """Whether a text has a letter that Assamese has and Bengali does not: the fixed values ra and va."""
+    return text.rlike("[ৰৱ]")
+
+
 def last_segment(url: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(url, "^/+|/+$", ""), "/"), -1)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.minhash import signature
 from corpuslab.functions.scores import jaccard_estimate
-from corpuslab.session import ship
+from corpuslab.session import ship, spread
+from corpuslab.tables import written
 
 
 def first_of(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -31,27 +32,26 @@ def near_pairs(docs: DataFrame, threshold: float = 0.6, hashes: int = 16, k: int
     """(id_a, id_b, similarity), id_a < id_b: documents (doc_id, text) whose signatures agree in a share of at least the threshold.
 
     Fewer than all_pairs_below documents are all compared. Otherwise those are that share a band of their signatures, in buckets of 2 to `most` documents;
-    the limit is part of what is computed: fuller buckets give no pairs.
+    the limit is part of what is computed: fuller buckets give no pairs. Signatures are made once, in a written table; only ids and bands are dealt out by band, and a
+    signature joins each pair last. Repeated doc_ids are documents of their own, and pairs of one id with itself are left out.
     """
     ship(docs.sparkSession)
-    signed = docs.select("doc_id", signature(F.col("text"), hashes, k).alias("sig"))
-    few = docs.limit(all_pairs_below).count() < all_pairs_below
-    if few:
-        rows = signed.withColumn("band", F.lit("all"))
+    signed, _ = written(spread(docs).select("doc_id", signature(F.col("text"), hashes, k).alias("sig")), "signatures")
+    if signed.limit(all_pairs_below).count() < all_pairs_below:
+        keyed = signed.select("doc_id", F.lit("all").alias("band"))
     else:
         width = max(1, hashes // bands)
         keys = F.array(*(F.concat_ws(":", F.lit(str(i)), F.slice("sig", i * width + 1, width)) for i in range(bands)))
-        keyed = signed.select("doc_id", "sig", F.explode(keys).alias("band"))
-        fit = keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("band")
-        rows = keyed.join(fit, "band")
-    a, b = (rows.select("band", F.col("doc_id").alias(f"id_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    met = a.join(b, "band").where("id_a < id_b")
-    scored = met.withColumn("similarity", jaccard_estimate(F.col("sig_a"), F.col("sig_b"))).where(F.col("similarity") >= threshold)
-    return scored.select("id_a", "id_b", "similarity").distinct()
+        every = signed.select("doc_id", F.explode(keys).alias("band"))
+        fit = every.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("band")
+        keyed = every.join(fit, "band")
+    a, b = (keyed.select("band", F.col("doc_id").alias(f"id_{x}")) for x in "ab")
+    met = a.join(b, "band").where("id_a < id_b").select("id_a", "id_b").distinct()
+    ends = [signed.select(F.col("doc_id").alias(f"id_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
+    scored = met.join(ends[0], "id_a").join(ends[1], "id_b").withColumn("similarity", jaccard_estimate(F.col("sig_a"), F.col("sig_b")))
+    return scored.where(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity").distinct()
 
 
 def drop_later(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Without the later document of each pair, even where the earlier one goes too."""
     return docs.join(pairs.select(F.col("id_b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-
-

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.profiles import ScriptProfile
+from corpuslab.session import spread
 
 #: Parts of the names of sources that were gathered by hand.
 MANUAL_NAMES = (
@@ -54,6 +55,28 @@ def report(by_source: DataFrame) -> DataFrame:
     return by_source.agg(F.concat(head, rows).alias("report"))
 
 
+def report_json(by_source: DataFrame, removed_docs: int = 0, removed_chars: int = 0, failed: list[str] | None = None) -> DataFrame:
+    """A row with the statistics of source_stats() as JSON: totals, the manual share, the sources in order, and what cleaning removed."""
+    one = totals(by_source)
+    listed = by_source.agg(F.sort_array(F.collect_list(F.struct(F.col("source").alias("name"), "type", "doc_count", "token_estimate"))).alias("sources"))  # a row for each source
+    row = one.join(F.broadcast(listed)).select(
+        F.col("total_tokens").alias("total_tokens_estimate"), "manual_tokens", "downloaded_tokens", "manual_fraction", "sources", F.lit(removed_docs).alias("dedup_removed_docs"),
+        F.lit(removed_chars).alias("script_filter_removed_chars"), F.array(*map(F.lit, failed or [])).cast("array<string>").alias("failed_sources"),
+    )
+    return row.select(F.to_json(F.struct(*row.columns)).alias("json"))
+
+
+def crawl_stats(pages: DataFrame, per_word: float = 1.35) -> DataFrame:
+    """(source, docs, tokens, bytes) of what a crawler has kept (source, text)."""
+    tokens = T.tokens_estimate(F.col("text"), per_word, rounded=False).cast("long")
+    return pages.groupBy("source").agg(F.count("*").alias("docs"), F.sum(tokens).alias("tokens"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+
+
+def bin_tokens(files: DataFrame, width: int = 2) -> DataFrame:
+    """files (path, length) with tokens: bytes by the width of an id."""
+    return files.withColumn("tokens", F.floor(F.col("length") / width).cast("long"))
+
+
 def kind_table(spark: SparkSession, language: str) -> DataFrame:
     return spark.createDataFrame([(n, k) for k, names in SOURCE_KINDS[language].items() for n in names], "source string, kind string")
 
@@ -73,7 +96,7 @@ def source_scan(docs: DataFrame, profile: ScriptProfile) -> DataFrame:
     tokens by split, the share of the Bengali ra, the script's purity in val, and tokens for each word."""
     tokens = F.col("tokens").cast("long") if "tokens" in docs.columns else T.tokens_estimate(F.col("text")).cast("long")
     text, val = F.col("text"), F.col("split") == "val"
-    rows = docs.select("source", "split", text, tokens.alias("tokens"))
+    rows = spread(docs).select("source", "split", text, tokens.alias("tokens"))
     by = rows.groupBy("source").agg(
         F.count("*").alias("docs"), F.sum(T.word_count(text)).alias("words"), F.sum(F.char_length(text)).alias("chars"), F.sum(F.octet_length(text)).alias("utf8_bytes"), F.sum("tokens").alias("tokens"),
         *(F.count_if(F.col("split") == s).alias(f"docs_{s}") for s in ("train", "val", "test")),

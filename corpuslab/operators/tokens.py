@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
@@ -65,9 +67,11 @@ def sft_line(text: Column, answer: Column) -> Column:
 
 
 def batches(df: DataFrame, length: Column, order: list[Column], size: int = 32) -> DataFrame:
-    """df with batch: rows of one length in batches of `size`, in the given order."""
-    rank = F.row_number().over(Window.partitionBy("_length").orderBy(*order)) - 1
-    return df.withColumn("_length", length).withColumn("batch", F.floor(rank / size).cast("long")).withColumnRenamed("_length", "length")
+    """df with length and batch: rows of one length in batches of `size`, in the given order, which should tell rows apart."""
+    from corpuslab.operators.select import ranked
+
+    rows = ranked(df.withColumn("length", length), order, "_rank", ["length"])
+    return rows.withColumn("batch", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
 
 
 def word_ids(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -90,12 +94,22 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(piece.alias("piece"), i.alias("id"), F.when(i >= FIRST_MERGE, (FIRST_MERGE - i).cast("double")).otherwise(0.0).alias("score"), kind.alias("type"))
 
 
+#: Special tokens of reasoning, whose ids follow those of the vocabulary.
+SPECIALS = ("<COT_START>", "<COT_END>", "<REL_GT>", "<REL_LT>", "<REL_EQ>", "<REL_DISJOINT>")
+#: Words whose encodings are remembered at a time.
+REMEMBERED = 200_000
+
+
 class RankedBpe:
-    """BPE by ids: of neighbouring pieces whose union is a piece, the one with the least id is merged first, the leftmost of several; bytes stand for unknown characters."""
+    """BPE by ids: of neighbouring pieces whose union is a piece, the one with the least id is merged first, the leftmost of several; bytes stand for unknown characters.
+
+    first_byte, first_merge: where a vocabulary has its bytes and its merges. special: strings that are ids of their own.
+    """
 
-    def __init__(self, vocabulary: dict[str, int], special: dict[str, int] | None = None) -> None:
-        self.ids, self.special = vocabulary, special or {}
+    def __init__(self, vocabulary: dict[str, int], special: dict[str, int] | None = None, first_byte: int = FIRST_BYTE, first_merge: int = FIRST_MERGE) -> None:
+        self.ids, self.special, self.first_byte, self.first_merge = vocabulary, special or {}, first_byte, first_merge
         self.pieces = {i: p for p, i in vocabulary.items()} | {i: p for p, i in self.special.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, list[int]] = {}
 
     def word(self, word: str) -> list[int]:
@@ -103,68 +117,162 @@ class RankedBpe:
             return found
         parts = list(word)
         while len(parts) > 1:
-            best = min(((self.ids[m], i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in self.ids and self.ids[m] >= FIRST_MERGE), default=None)
+            best = min(((self.ids[m], i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in self.ids and self.ids[m] >= self.first_merge), default=None)
             if best is None:
                 break
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         out = []
         for p in parts:
-            out += [self.ids[p]] if p in self.ids else [FIRST_BYTE + b for b in p.encode()]
-        if len(self.known) >= 200_000:
+            out += [self.ids[p]] if p in self.ids else [self.first_byte + b for b in p.encode("utf-8", "replace")]
+        if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[word] = out
         return out
 
     def encode(self, text: str) -> list[int]:
-        """A space is put before the text and before each word; special tokens are ids of their own."""
-        out, rest = [], [text]
-        for token in self.special:
-            rest = [y for x in rest for y in (x.split(token) if x not in self.special else [x]) for y in (y, token)][:-1] if any(token in x for x in rest) else rest
-        for part in rest:
+        """In NFKC, runs of spaces are one and those at the ends go; a space is put before the text. Other white space stays, as bytes where it is no piece."""
+        out = []
+        for part in self.split.split(text) if self.split else [text]:
             if part in self.special:
                 out.append(self.special[part])
             else:
-                for w in part.split():
-                    out += self.word("▁" + w)
+                for w in re.split(" +", unicodedata.normalize("NFKC", part).strip(" ")):
+                    out += self.word("▁" + w) if w else []
         return out
 
+    def kind(self, i: int) -> str:
+        piece = self.pieces.get(i)
+        if self.first_byte <= i < self.first_byte + 256:
+            return "bytes"
+        return "unknown" if piece is None or piece == "<unk>" else "control" if i < self.first_byte or i in self.special.values() else "piece"
+
     def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
+        """Runs of bytes are read together; control tokens go, special ones stay; the space before the text, and before what follows a special token, goes."""
+        out, now, held = [], "", bytearray()
         for i in [*ids, -1]:
-            if FIRST_BYTE <= i < FIRST_MERGE:
-                held.append(i - FIRST_BYTE)
+            if self.first_byte <= i < self.first_byte + 256:
+                held.append(i - self.first_byte)
                 continue
             if held:
-                out.append(held.decode("utf-8", "replace"))
+                now += held.decode("utf-8", "replace")
                 held = bytearray()
-            if i > EOS:
-                out.append(self.pieces.get(i, ""))
-        return "".join(out).replace("▁", " ").removeprefix(" ")
+            piece = self.pieces.get(i, "")
+            if i == -1 or piece in self.special:
+                out += [now.replace("▁", " ").removeprefix(" "), piece]
+                now = ""
+            elif i >= self.first_byte:
+                now += piece
+        return "".join(out)
+
+    def segments(self, ids: list[int]) -> list[tuple[str, str, bool, list[int]]]:
+        """(kind, text, whether a word starts, ids) as a reader sees them: bytes that make up a character are one segment."""
+        out: list[tuple[str, str, bool, list[int]]] = []
+        for i in ids:
+            kind, piece = self.kind(i), self.pieces.get(i, "<unk>")
+            if kind == "bytes":
+                last = out[-1] if out and out[-1][0] == "bytes" and "\ufffd" in out[-1][1] else None
+                run = [*last[3], i] if last else [i]
+                if last:
+                    out.pop()
+                out.append((kind, bytes(b - self.first_byte for b in run).decode("utf-8", "replace"), False, run))
+            else:
+                out.append((kind, piece.replace("▁", " ").lstrip() or " ", piece.startswith("▁"), [i]))
+        return out
 
 
-def encoded(docs: DataFrame, vocabulary: DataFrame, text: str = "text", special: dict[str, int] | None = None) -> DataFrame:
-    """docs with ids by a vocabulary table (piece, id), which is small (some ten thousand rows) and goes to the executors as it is."""
-    ship(docs.sparkSession)
-    bpe = RankedBpe({r["piece"]: r["id"] for r in vocabulary.select("piece", "id").collect()}, special)
+def bpe_of(vocabulary: DataFrame, special: dict[str, int] | None = None, **places: int) -> RankedBpe:
+    """The BPE of a vocabulary table (piece, id), which is small: some ten thousand rows."""
+    ship(vocabulary.sparkSession)
+    return RankedBpe({r["piece"]: r["id"] for r in vocabulary.select("piece", "id").collect()}, special, **places)
+
+
+def special_ids(size: int) -> dict[str, int]:
+    """The special tokens behind a vocabulary of so many pieces; with them it has len(SPECIALS) more."""
+    return {t: size + i for i, t in enumerate(SPECIALS)}
+
+
+def _mapped(df: DataFrame, column: str, schema: str, name: str, function) -> DataFrame:
+    @F.pandas_udf(schema)
+    def run(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in rows:
+            yield s.map(lambda x: None if x is None else function(x))
+
+    return df.withColumn(name, run(F.col(column)))
+
+
+def encoded(docs: DataFrame, vocabulary: DataFrame, text: str = "text", special: dict[str, int] | None = None, **places: int) -> DataFrame:
+    """docs with ids by a vocabulary."""
+    return _mapped(docs, text, "array<int>", "ids", bpe_of(vocabulary, special, **places).encode)
+
+
+def decoded(df: DataFrame, vocabulary: DataFrame, special: dict[str, int] | None = None, **places: int) -> DataFrame:
+    bpe = bpe_of(vocabulary, special, **places)
+    return _mapped(df, "ids", "string", "decoded", lambda x: bpe.decode(list(x)))
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: None if t is None else bpe.encode(t))
 
-    return docs.withColumn("ids", ids(F.col(text)))
+def with_pieces(df: DataFrame, vocabulary: DataFrame, special: dict[str, int] | None = None, **places: int) -> DataFrame:
+    """df (ids) with pieces (array<string>) and segments (kind, text, starts, ids)."""
+    bpe = bpe_of(vocabulary, special, **places)
+    named = _mapped(df, "ids", "array<string>", "pieces", lambda x: [bpe.pieces.get(i, "<unk>") for i in x])
+
+    @F.pandas_udf("array<struct<kind: string, text: string, starts: boolean, ids: array<int>>>")
+    def parts(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in rows:
+            yield s.map(lambda x: None if x is None else [dict(zip(("kind", "text", "starts", "ids"), g, strict=True)) for g in bpe.segments(list(x))])
+
+    return named.withColumn("segments", parts("ids"))
+
+
+def vocabulary_json(vocabulary: DataFrame, unknown: int = UNK, end: int = EOS) -> DataFrame:
+    """One row, json: pieces [piece, score to six places, type] in the order of ids, unk_id and eos_id. A vocabulary is small enough for one row."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("id", "piece", F.round("score", 6).alias("score"), "type"))), lambda r: F.concat(F.lit("["), F.regexp_replace(F.to_json(F.struct(r["piece"].alias("p"))), r'^\{"p":|\}$', ""), F.lit(","), r["score"].cast("string"), F.lit(","), r["type"].cast("string"), F.lit("]")))
+    return vocabulary.agg(F.concat(F.lit('{"pieces":['), F.array_join(rows, ","), F.lit(f'],"unk_id":{unknown},"eos_id":{end}}}')).alias("json"))
 
 
-def decoded(df: DataFrame, vocabulary: DataFrame, special: dict[str, int] | None = None) -> DataFrame:
-    ship(df.sparkSession)
-    bpe = RankedBpe({r["piece"]: r["id"] for r in vocabulary.select("piece", "id").collect()}, special)
+def joined_ids(docs: DataFrame, order: str, end: int = EOS) -> DataFrame:
+    """One row, ids: those of a batch of docs (order, ids) in a row, an end behind each. A batch is small; whole corpora go to sinks.write_tokens()."""
+    return docs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, with_end(F.col("ids"), end).alias("ids")))), lambda r: r["ids"])).alias("ids"))
+
+
+def split_encoded(docs: DataFrame, vocabulary: DataFrame, names: Column, text: str = "text") -> DataFrame:
+    """docs with ids in which a name has the ids that it has alone, wherever it stands: a suffix of up to three letters behind it is encoded as a piece within a word."""
+    bpe = bpe_of(vocabulary)
+
+    def ids(words: list[tuple[str, str]]) -> list[int]:
+        out = []
+        for name, rest in words:
+            out += bpe.word("▁" + name)
+            out += bpe.word(rest) if rest else []
+        return out
 
-    @F.pandas_udf("string")
-    def texts(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<int>")
+    def run(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in rows:
-            yield s.map(lambda x: None if x is None else bpe.decode(list(x)))
+            yield s.map(lambda x: None if x is None else ids([(w["name"], w["rest"]) for w in x]))
+
+    return docs.withColumn("ids", run(F.transform(T.words(F.col(text)), lambda w: name_and_rest(w, names))))
+
+
+def random_starts(n_tokens: Column, span: Column, wanted: int, key: Column, seed: int) -> Column:
+    """Up to `wanted` different places, in order, of windows of `span` ids that fit: those with the least hashes of seed, key and place among evenly dealt candidates, one of each stretch."""
+    fit = F.greatest(n_tokens - span + 1, F.lit(0))
+    n = F.least(fit, F.lit(wanted))
+    # a place of each of n stretches of equal size
+    place = lambda i: (F.floor(fit * i / n) + F.pmod(F.xxhash64(F.lit(seed), key, i), F.greatest(F.floor(fit * (i + 1) / n) - F.floor(fit * i / n), F.lit(1)))).cast("int")
+    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), place))
 
-    return df.withColumn("decoded", texts("ids"))
+
+def random_windows(docs: DataFrame, block: int, wanted: int, seed: int) -> DataFrame:
+    """(doc_id, start, x, y): windows at random places of docs (doc_id, ids), each with the window one id further on."""
+    starts = random_starts(F.size("ids"), F.lit(block + 1), wanted, F.col("doc_id"), seed)
+    return docs.select("doc_id", "ids", F.explode(starts).alias("start")).select("doc_id", "start", F.slice("ids", F.col("start") + 1, F.lit(block)).alias("x"), F.slice("ids", F.col("start") + 2, F.lit(block)).alias("y"))
+
+
+def sft_ids(examples: DataFrame, vocabulary: DataFrame, use_rationale: bool = True, most: int = 256) -> DataFrame:
+    """examples (id, text, answer_text, cot_text) to (id, ids): text and answer (with its rationale, if asked and there) in a row, cut at `most` ids. sinks.write_tokens(end=None) makes a file of them."""
+    said = F.coalesce(F.col("cot_text") if use_rationale and "cot_text" in examples.columns else F.lit(None), F.col("answer_text"), F.lit(""))
+    rows = encoded(examples.select("id", sft_line(F.col("text"), said).alias("_line")), vocabulary, "_line")
+    return rows.select("id", F.slice("ids", 1, most).alias("ids"))
 
 
 def pair_counts(words: DataFrame, top: int) -> DataFrame:
@@ -206,13 +314,20 @@ def decide_size(candidates: DataFrame, model_type: str, small: int = 16384, larg
 # ---------------------------------------------------------------- names
 
 
+def name_and_rest(word: Column, names: Column, longest_suffix: int = 3) -> Column:
+    """struct<name, rest>: the longest name that a word starts with and a suffix of up to three letters; any other word is all name."""
+    fits = F.filter(names, lambda n: word.startswith(n) & (F.char_length(word) > F.char_length(n)) & (F.char_length(word) - F.char_length(n) <= longest_suffix))
+    best = F.array_max(F.transform(fits, lambda n: F.struct(F.char_length(n).alias("k"), n.alias("n"))))
+    whole = F.array_contains(names, word) | best.isNull()
+    return F.struct(F.when(whole, word).otherwise(best["n"]).alias("name"), F.when(whole, F.lit("")).otherwise(F.substring(word, best["k"] + 1, F.char_length(word))).alias("rest"))
+
+
 def name_split(text: Column, names: Column, longest_suffix: int = 3) -> Column:
     """Words of a text, a name with a suffix of up to three letters in two: the longest name that a word starts with, and the rest. Encoded piece by piece, a name has the same ids wherever it stands."""
 
     def apart(word: Column) -> Column:
-        fits = F.filter(names, lambda n: word.startswith(n) & (F.char_length(word) > F.char_length(n)) & (F.char_length(word) - F.char_length(n) <= longest_suffix))
-        best = F.get(F.reverse(F.array_sort(F.transform(fits, lambda n: F.struct(F.char_length(n).alias("k"), n.alias("n"))))), F.lit(0))
-        return F.when(F.array_contains(names, word) | best.isNull(), F.array(word)).otherwise(F.array(best["n"], F.substring(word, best["k"] + 1, F.char_length(word))))
+        z = name_and_rest(word, names, longest_suffix)
+        return F.when(z["rest"] == "", F.array(z["name"])).otherwise(F.array(z["name"], z["rest"]))
 
     return F.flatten(F.transform(T.words(text), apart))
 
