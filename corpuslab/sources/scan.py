@@ -160,14 +160,73 @@ def page_links(html: Column, host: str) -> Column:
     return F.filter(found, lambda u: ~u.rlike("|".join(NOT_ARTICLES)))
 
 
-def token_counts(spark: SparkSession, path: str, end: int = 3) -> DataFrame:
-    """(file, tokens, docs) of files of 16-bit ids: documents by their end ids."""
+#: Bytes of a token file that a task reads at a time.
+RANGE = 32 << 20
+
+
+def file_list(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files that a path names; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def token_counts(spark: SparkSession, path: str, end: int = 3, wide: bool = False) -> DataFrame:
+    """(file, tokens, docs) of files of little-endian ids, 16 or (wide) 32 bits each: documents by their end ids. Files are read in ranges, so that a large one is many tasks' work.
+
+    path: of a file system that driver and executors share and pyarrow can open.
+    """
+    from corpuslab.sources.sinks import opened
+
     ship(spark)
+    kind = "<u4" if wide else "<u2"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = [np.frombuffer(c, "<u2") for c in batch["content"]]
-            yield pd.DataFrame({"file": batch["file"], "tokens": [len(x) for x in ids], "docs": [int((x == end).sum()) for x in ids]})
+            out = []
+            for name, start, size in zip(batch["path"], batch["start"], batch["size"], strict=True):
+                with opened(name) as file:
+                    file.seek(int(start))
+                    ids = np.frombuffer(file.read(int(size)), kind)
+                out.append((name.rsplit("/", 1)[-1], len(ids), int((ids == end).sum())))
+            yield pd.DataFrame(out, columns=["file", "tokens", "docs"])
+
+    step = F.lit(RANGE).cast("long")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0).cast("long")), step))
+    ranges = file_list(spark, path).select("path", "length", starts.alias("start")).select("path", "start", F.least(step, F.col("length") - F.col("start")).alias("size"))
+    parts = ranges.repartition(spark.sparkContext.defaultParallelism).mapInPandas(count, "file string, tokens long, docs long")
+    return parts.groupBy("file").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
+
 
-    rows = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return rows.mapInPandas(count, "file string, tokens long, docs long")
+#: The schema of examples in JSON lines: premises and query are lists there.
+EXAMPLE = (
+    "id string, split string, paradigm string, attribute string, entities array<string>, premises array<array<string>>, query array<string>, answer_rel string, answer_text string, cot_text string, "
+    "text string, distractors array<array<string>>"
+)
+
+
+def examples(spark: SparkSession, path: str) -> DataFrame:
+    """Reasoning examples of JSON lines, blank lines left out, with premises as structs (s, rel, o) and the query as (x, y)."""
+    rows = spark.read.schema(EXAMPLE).json(path).where("id is not null or text is not null")
+    premise = lambda p: F.struct(F.get(p, F.lit(0)).alias("s"), F.get(p, F.lit(1)).alias("rel"), F.get(p, F.lit(2)).alias("o"))
+    return rows.withColumn("premises", F.transform("premises", premise)).withColumn("query", F.struct(F.get("query", F.lit(0)).alias("x"), F.get("query", F.lit(1)).alias("y")))
+
+
+#: The reader of files by their ending; others are read as lines.
+READERS = {"jsonl": json_lines, "json": json_lines, "csv": csv, "parquet": parquet}
+
+
+def texts(spark: SparkSession, *paths: str) -> DataFrame:
+    """(doc_id, text) of files of any kind, by their endings (.txt, .jsonl, .csv, .parquet)."""
+    out = None
+    for path in paths:
+        part = READERS.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), lines)(spark, path)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no files")
+    return out
+
+
+def crawled(spark: SparkSession, folder: str, source: str, most: int | None = None) -> DataFrame:
+    """(doc_id, text) of what a crawler has written for a source, crawler_<source>.jsonl, in order, up to a limit; nothing where there is no such file."""
+    rows = spark.read.schema("doc_id string, url string, text string").option("pathGlobFilter", f"crawler_{source}.jsonl").json(folder)
+    rows = rows.where(T.strip(F.col("text")) != "").select("doc_id", "text")
+    return rows if most is None else rows.orderBy("doc_id").limit(most)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.session import ship
+from corpuslab.tables import written
 
 
 def write_clean(docs: DataFrame, folder: str) -> None:
@@ -34,40 +36,127 @@ def write_splits(docs: DataFrame, folder: str, text_only: bool = False) -> DataF
     return docs.groupBy("split").agg(F.count("*").alias("n"))
 
 
-def token_blocks(docs: DataFrame, order: str, end: int = 3, wide: bool = False) -> DataFrame:
-    """(part, tokens, docs, content): ids of docs (order, ids) with an end after each, as little-endian integers, a row for each range of the order.
+def opened(path: str, write: bool = False):
+    """A file of a file system that pyarrow knows (local or shared folders, hdfs, s3, gs), for reading, or for writing from its start."""
+    from pyarrow import fs
 
-    The rows' contents in the order of part are the token file; write_token_file() puts them together.
+    system, name = fs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and "://" not in path else path)
+    return system.open_output_stream(name) if write else system.open_input_file(name)
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
+def write_tokens(docs: DataFrame, folder: str, order: str, end: int | None = 3, wide: bool = False) -> DataFrame:
+    """Writes the ids of docs (order, ids), an end after each (none for None), as little-endian integers, and returns (part, path, tokens, docs, start), start the tokens of the parts before.
+
+    Each task writes the file of a range of the order, part-<n>.bin in `folder`, which must lie in a file system that driver and executors share; a task that runs again writes its file
+    anew under another name, which the last move makes the part's own. The parts in their order are the token file; no ids come to the driver. The rows are also kept in folder/index.
+    Raises if there are no documents.
     """
-    ship(docs.sparkSession)
-    kind = "<u4" if wide else "<u2"
+    spark, kind, top = docs.sparkSession, "<u4" if wide else "<u2", _uri(folder.rstrip("/"))
+    ship(spark)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, tokens, n, part = [], 0, 0, None
+        import uuid
+
+        from pyarrow import fs
+
+        tokens, n, part, file, held = 0, 0, None, None, f"{top}/.{uuid.uuid4().hex}"
         for batch in batches:
             for p, ids in zip(batch["part"], batch["ids"], strict=True):
-                raw = np.append(np.asarray(ids, np.int64), end)
-                if raw.max() >= 2 ** (32 if wide else 16) or raw.min() < 0:
+                raw = np.asarray(ids, np.int64) if end is None else np.append(np.asarray(ids, np.int64), end)
+                if len(raw) and (raw.max() >= 2 ** (32 if wide else 16) or raw.min() < 0):
                     raise ValueError("an id does not fit the file's integers")
-                parts.append(raw.astype(kind).tobytes())
+                file = file or opened(held, write=True)
+                file.write(raw.astype(kind).tobytes())
                 tokens, n, part = tokens + len(raw), n + 1, p
-        if n:
-            yield pd.DataFrame({"part": [part], "tokens": [tokens], "docs": [n], "content": [b"".join(parts)]})
-
-    size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if file:
+            file.close()
+            system, name = fs.FileSystem.from_uri(held)
+            path = f"{top}/part-{part:05d}.bin"
+            system.move(name, fs.FileSystem.from_uri(path)[1])
+            yield pd.DataFrame({"part": [part], "path": [path], "tokens": [tokens], "docs": [n]})
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(top)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    size = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(order, "ids").repartitionByRange(size, order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    return dealt.select("part", "ids").mapInPandas(packed, "part int, tokens long, docs long, content binary")
+    dealt.select("part", "ids").mapInPandas(packed, "part int, path string, tokens long, docs long").write.mode("overwrite").parquet(f"{top}/index")
+    index = spark.read.parquet(f"{top}/index")
+    if not index.limit(1).count():
+        raise ValueError("no documents to write")
+    # a row for each part
+    return index.withColumn("start", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def write_token_file(blocks: DataFrame, path: str) -> int:
-    """Appends the blocks one after another to a local file, a block in memory at a time; returns the number of tokens."""
+def join_parts(index: DataFrame, path: str) -> int:
+    """Puts the parts of write_tokens() together as one file, some megabytes at a time, for programs that want one; returns its tokens. The driver reads and writes, but holds no part whole."""
     total = 0
-    with open(path, "wb") as out:
-        for row in blocks.orderBy("part").toLocalIterator():
-            out.write(row["content"])
+    with opened(_uri(path), write=True) as out:
+        for row in index.orderBy("part").collect():  # a row for each part
+            with opened(row["path"]) as part:
+                while block := part.read(8 << 20):
+                    out.write(block)
             total += row["tokens"]
-    if not total:
-        raise ValueError("no documents to write")
     return total
 
 
+def corpus_to_tokens(spark: SparkSession, folder: str, vocabulary: DataFrame, out: str, seed: int = 1337, end: int = 3) -> DataFrame:
+    """The plain lines of a clean corpus (folder/*.txt, but not files of splits or of reasoning) as token files by split, out/<split>; returns (split, part, path, tokens, docs, start)."""
+    from corpuslab.operators import select, tokens
+    from corpuslab.sources import scan
+
+    rows = scan.lines(spark, f"{folder.rstrip('/')}/*.txt")
+    rows = rows.where(scan.is_source(F.regexp_extract("doc_id", r"^(.*)\.txt#\d+$", 1)))
+    coded, _ = written(tokens.encoded(rows.withColumn("split", select.split_of(F.col("doc_id"), seed)), vocabulary).select("doc_id", "split", "ids"), "ids")
+    parts = None
+    for split in ("train", "val", "test"):
+        own = coded.where(F.col("split") == split)
+        if own.limit(1).count():
+            part = write_tokens(own, f"{out.rstrip('/')}/{split}", "doc_id", end).withColumn("split", F.lit(split))
+            parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        raise ValueError("no documents to write")
+    return parts
+
+
+def write_text(row: DataFrame, path: str) -> None:
+    """A report: one row with one string column, as a folder with one text file."""
+    row.select(F.col(row.columns[0]).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_sources(registry: DataFrame, path: str) -> None:
+    """A JSON line for each source (name, type, priority, completed, failed)."""
+    registry.write.mode("overwrite").json(path)
+
+
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """JSON lines of predictions: split, text, gold_answer, gold_cot, gold_rel, prediction, pred_rel; nulls are written."""
+    names = ("split", "text", "gold_answer", "gold_cot", "gold_rel", "prediction", "pred_rel")
+    rows.select(*names).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_evaluation(folder: str, scores: DataFrame, losses: DataFrame, by_context: DataFrame, samples: DataFrame) -> None:
+    """What an evaluation leaves: scores of generated texts, losses, losses by context, and samples with a row for each prompt and a column for each setting."""
+    for name, rows in (("generation_metrics", scores), ("ppl_bpb_table", losses), ("full_context_ppl", by_context), ("generated_samples", samples)):
+        rows.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+
+
+def write_examples(splits: dict[str, DataFrame], names: dict[str, list[str]], folder: str) -> DataFrame:
+    """Examples by split as JSON lines, folder/split=<name>, premises and query as lists, and folder/manifest.json with their numbers and names; returns (split, n). Raises if a split is empty."""
+    out, spark = None, next(iter(splits.values())).sparkSession
+    for name, df in splits.items():
+        lists = df.withColumn("premises", F.transform("premises", lambda p: F.array(p["s"], p["rel"], p["o"]))).withColumn("query", F.array("query.x", "query.y"))
+        lists = lists.withColumn("distractors", F.transform("distractors", lambda p: F.array(p["s"], p["rel"], p["o"], p["attr"])))
+        at = f"{folder.rstrip('/')}/split={name}"
+        lists.select("id", "paradigm", "attribute", "entities", "premises", "query", "answer_rel", "answer_text", "cot_text", "text", "distractors").write.mode("overwrite").json(at)
+        n = spark.read.text(at).agg(F.lit(name).alias("split"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    counts = {r["split"]: r["n"] for r in out.collect()}
+    if not all(counts.values()):
+        raise ValueError(f"empty splits: {counts}")
+    manifest = {"counts": counts, "entities": names, "reserved_paradigms": ["multi_hop"]}
+    write_text(spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "json string"), f"{folder.rstrip('/')}/manifest.json")
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpuslab.operators.dedup import first_of
+from corpuslab.operators.quality import quota
 
 
 def keep_new(batch: DataFrame, kept: DataFrame | None, order: str = "doc_id") -> DataFrame:
@@ -15,19 +16,34 @@ def keep_new(batch: DataFrame, kept: DataFrame | None, order: str = "doc_id") ->
     return rows if kept is None else rows.join(kept.select("hash"), "hash", "left_anti").select(*rows.columns)
 
 
-def ingest(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, order: str = "doc_id") -> StreamingQuery:
-    """Writes the new documents of each micro-batch to out/batch=<n>. A batch that is run again overwrites its own folder and reads only
-    the others, so that a restart neither loses nor repeats rows."""
+def ingest(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, order: str = "doc_id", limits: dict[str, int] | None = None) -> StreamingQuery:
+    """Writes the new documents of each micro-batch to out/docs/batch=<n>, and their hashes alone to out/hashes/batch=<n>, which is all that later batches read of them.
+
+    A batch that is run again overwrites its own folders and reads only the earlier ones, so that a restart neither loses nor repeats rows.
+    limits: column (or "*", for rows) to a quota over all batches, as in quality.quota(): documents are kept while what was kept before them is below it. The size of a
+    micro-batch is the stream's own (maxFilesPerTrigger).
+    """
+
+    def table(session: SparkSession, name: str, schema: str, number: int) -> DataFrame | None:
+        top = session._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+        if not top.getFileSystem(session._jsc.hadoopConfiguration()).exists(top):
+            return None
+        return session.read.schema(f"{schema}, batch long").parquet(f"{out}/{name}").where(F.col("batch") < number)  # partitions of later batches are not read
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        top = session._jvm.org.apache.hadoop.fs.Path(out)
-        fs = top.getFileSystem(session._jsc.hadoopConfiguration())
-        kept = None
-        if fs.exists(top):
-            earlier = [str(s.getPath()) for s in fs.listStatus(top) if s.isDirectory() and int(s.getPath().getName().split("=")[1]) < number]
-            kept = session.read.parquet(*earlier) if earlier else None
-        keep_new(batch, kept, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = keep_new(batch, table(session, "hashes", "hash string", number), order)
+        if limits:
+            names = [f"t{i}" for i in range(len(limits))]
+            kept = table(session, "totals", ", ".join(f"{n} long" for n in names), number)
+            so_far = kept.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first() if kept is not None else dict.fromkeys(names, 0)  # a row for each batch
+            rows = quota(rows, [F.col(order)], {c: most - so_far[n] for n, (c, most) in zip(names, limits.items(), strict=True)})
+        rows.write.mode("overwrite").parquet(f"{out}/docs/batch={number}")
+        stored = session.read.schema(rows.schema).option("basePath", f"{out}/docs/batch={number}").parquet(f"{out}/docs/batch={number}")
+        stored.select("hash").write.mode("overwrite").parquet(f"{out}/hashes/batch={number}")
+        if limits:
+            cost = [F.sum((F.lit(1) if c == "*" else F.col(c)).cast("long")) for c in limits]
+            stored.agg(*(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in zip(names, cost, strict=True))).write.mode("overwrite").parquet(f"{out}/totals/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
