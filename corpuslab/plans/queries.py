@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from corpuslab.functions import scores as S
 from corpuslab.functions import text as T
 from corpuslab.functions.minhash import parameters, signature
-from corpuslab.operators import dedup, leakage, ngrams, quality, reasoning, select, stats, tokens, training
+from corpuslab.operators import dedup, evaluation, leakage, ngrams, quality, reasoning, select, stats, tokens, training
 from corpuslab.profiles import LATIN
-from corpuslab.session import ship
-from corpuslab.sources import scan
+from corpuslab.session import ship, spread
+from corpuslab.sources import scan, sinks
+from corpuslab.tables import drop_table, new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,25 @@ INSIDE = r"[^A-Za-z0-9\x{c0}-\x{24f}\x{964}\x{965}]"
 BLOCK = r"[^A-Za-z0-9\x{c0}-\x{24f}]"
 
 
+def _sig_sql(rows: str) -> str:
+    """Signatures of rows (doc_id, s) as CTEs that end in sigs (doc_id, sig): CRC-32 by a table of bytes, then the least values of 16 linear hashes."""
+    a, b = parameters()
+    least = ", ".join(f"lpad(lower(hex(min((crc::HUGEINT * {x}::HUGEINT + {y}::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0')" for x, y in zip(a[:16], b[:16], strict=True))
+    return f"""bytes AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(generate_series(0::BIGINT, 255)) AS i))),
+runs AS (SELECT DISTINCT substr(s, i, 8) AS g, doc_id FROM (SELECT doc_id, s, unnest(generate_series(1, greatest(1, length(s) - 7))) AS i FROM {rows})),
+kinds AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM runs)),
+crcs AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, length(h) // 2), lambda j: ('0x' || substr(h, 2 * j - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM kinds, bytes),
+sigs AS (SELECT doc_id, [{least}] AS sig FROM runs JOIN crcs USING (g) GROUP BY doc_id)"""
+
+
+#: Pairs of sigs in buckets of 2 to 200 that agree in 60 % of their values, as CTEs that end in near (id_a, id_b, similarity); fewer than 100 documents are all compared.
+_NEAR_SQL = """keys AS (SELECT doc_id, CASE WHEN (SELECT count(*) FROM sigs) < 100 THEN 'all' ELSE k || ':' || array_to_string(sig[4 * k + 1:4 * k + 4], ':') END AS band FROM sigs, (SELECT unnest([0, 1, 2, 3]) AS k)),
+fit AS (SELECT band FROM keys GROUP BY band HAVING count(DISTINCT doc_id) BETWEEN 2 AND 200),
+met AS (SELECT DISTINCT a.doc_id AS id_a, b.doc_id AS id_b FROM keys a JOIN fit USING (band) JOIN keys b ON a.band = b.band AND a.doc_id < b.doc_id),
+near AS (SELECT id_a, id_b, similarity FROM (SELECT id_a, id_b, len(list_filter(generate_series(1, 16), lambda i: a.sig[i] = b.sig[i]))::DOUBLE / 16 AS similarity FROM met JOIN sigs a ON a.doc_id = id_a JOIN sigs b ON b.doc_id = id_b) WHERE similarity >= 0.6)"""
+_COLLAPSED_DOCS = f"collapsed AS (SELECT doc_id, {CT} AS s FROM documents)"
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -66,10 +86,11 @@ GATED = f"""gated AS (SELECT * FROM (SELECT doc_id, source, lang, text, {CT} AS
  AND len(string_split(clean, ' ')) >= 5 AND len(list_filter(string_split(clean, ' '), lambda x: length(x) = 1)) <= 0.15::DOUBLE * len(string_split(clean, ' ')))"""
 
 
-@query()
+@query(f"""WITH {GATED}, firsts AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY sha256(clean) ORDER BY doc_id) = 1), collapsed AS (SELECT doc_id, clean AS s FROM firsts), {_sig_sql("collapsed")}, {_NEAR_SQL}
+SELECT source, {SPLIT} AS split, count(*) AS docs, sum(len(string_split(clean, ' ')))::BIGINT AS words, sum(length(clean))::BIGINT AS chars FROM firsts WHERE doc_id NOT IN (SELECT id_b FROM near) GROUP BY ALL""")
 def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, exact and near duplicates, split, and counts by source and split."""
-    docs = dedup.exact_dedup(_gated(t(spark, sf_dir, "documents")), "clean")
+    docs, _ = written(dedup.exact_dedup(_gated(spread(t(spark, sf_dir, "documents"))), "clean"), "first")
     kept = dedup.drop_later(docs, dedup.near_pairs(docs.select("doc_id", F.col("clean").alias("text"))))
     return kept.groupBy("source", select.split_of(F.col("doc_id")).alias("split")).agg(F.count("*").alias("docs"), F.sum(T.word_count(F.col("clean")).cast("long")).alias("words"), F.sum(F.char_length("clean").cast("long")).alias("chars"))
 
@@ -78,7 +99,7 @@ def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, {SPLIT} AS split, count(*) AS docs, sum(len(string_split(clean, ' ')))::BIGINT AS words, sum(length(clean))::BIGINT AS chars FROM firsts GROUP BY ALL""")
 def curate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship without its near-duplicate step."""
-    docs = dedup.exact_dedup(_gated(t(spark, sf_dir, "documents")), "clean")
+    docs = dedup.exact_dedup(_gated(spread(t(spark, sf_dir, "documents"))), "clean")
     return docs.groupBy("source", select.split_of(F.col("doc_id")).alias("split")).agg(F.count("*").alias("docs"), F.sum(T.word_count(F.col("clean")).cast("long")).alias("words"), F.sum(F.char_length("clean").cast("long")).alias("chars"))
 
 
@@ -124,18 +145,19 @@ def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("shingles"), F.get("s", F.lit(0)).alias("first_shingle"), F.element_at("s", -1).alias("last_shingle"))
 
 
-@query()
+@query(f"WITH {_COLLAPSED_DOCS}, {_sig_sql('collapsed')} SELECT doc_id, array_to_string(sig, ' ') AS signature FROM sigs")
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(signature(F.col("text")), " ").alias("signature"))
+    return spread(t(spark, sf_dir, "documents")).select("doc_id", F.array_join(signature(F.col("text")), " ").alias("signature"))
 
 
-@query()
+@query(f"WITH {_COLLAPSED_DOCS}, {_sig_sql('collapsed')}, {_NEAR_SQL} SELECT * FROM near")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(f"""WITH {_COLLAPSED_DOCS}, {_sig_sql('collapsed')}, {_NEAR_SQL}
+SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT id_b FROM near JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b WHERE a.source = b.source)""")
 def near_dup_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates go source by source."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -204,7 +226,7 @@ _BOILER = "(" + " OR ".join(f"contains(lower(l), '{f}')" for f in T.BOILERPLATE)
 @query(f"SELECT page_id, sha256(array_to_string(list_filter({_html_sql()}, lambda l: length(l) >= 10 AND NOT ({_BOILER} AND length(l) < 80)), chr(10))) AS text_sha FROM pages")
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return t(spark, sf_dir, "pages").select("page_id", F.sha2(T.html_text(F.col("html")), 256).alias("text_sha"))
+    return spread(t(spark, sf_dir, "pages")).select("page_id", F.sha2(T.html_text(F.col("html")), 256).alias("text_sha"))
 
 
 @query(f"SELECT page_id, len(list_filter({_html_sql()}, lambda l: length(l) >= 10)) AS lines, len(list_filter({_html_sql()}, lambda l: {_BOILER} AND length(l) < 80)) AS boilerplate FROM pages")
@@ -236,7 +258,7 @@ def _wiki_sql(collapsed: bool) -> str:
 @query(f"SELECT doc_id, sha256({_wiki_sql(False)}) AS prose_sha, sha256({_wiki_sql(True)}) AS line_sha FROM documents")
 def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("== "), F.col("source"), F.lit(" ==\n'''"), F.col("lang"), F.lit("'' [[Target|"), F.substring("text", 1, 40), F.lit("]] {{box|a={{b}}}} "), F.col("text"), F.lit('<ref name="x">gone</ref> [[File:a.png|thumb]] (  ) [http://x.example label]'))
-    rows = t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    rows = spread(t(spark, sf_dir, "documents")).select("doc_id", raw.alias("raw"))
     return rows.select("doc_id", F.sha2(T.wikitext(F.col("raw")), 256).alias("prose_sha"), F.sha2(T.wiki_markup(F.col("raw")), 256).alias("line_sha"))
 
 
@@ -254,6 +276,28 @@ def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.exact_split(t(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+@query(f"""WITH r AS (SELECT doc_id, text, row_number() OVER (ORDER BY {U}, doc_id) - 1 AS rk, count(*) OVER () AS n FROM documents)
+SELECT doc_id, sha256(text) AS sha, CASE WHEN rk < floor(n * 0.9::DOUBLE) THEN 'train' WHEN rk < floor(n * 0.9::DOUBLE) + floor(n * 0.05::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r""")
+def split_exact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact split of rows that carry their texts."""
+    return select.exact_split(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", train=0.9, val=0.05).select("doc_id", F.sha2("text", 256).alias("sha"), "split")
+
+
+@query(f"""WITH e AS (SELECT doc_id, text, greatest(1, floor({NW} * 1.35::DOUBLE)) AS tok FROM documents),
+r AS (SELECT *, coalesce(sum(tok) OVER (ORDER BY text, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT doc_id, sha256(text) AS sha FROM r WHERE before < 60000""")
+def quota_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quota of rows that carry their texts, in the order of the texts."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text", T.tokens_estimate(F.col("text"), 1.35, rounded=False).alias("tok"))
+    return quality.quota(docs, [F.col("text"), F.col("doc_id")], {"tok": 60000}).select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha, row_number() OVER (ORDER BY text, doc_id) - 1 AS rank, row_number() OVER (PARTITION BY lang ORDER BY text, doc_id) - 1 AS rank_in_lang FROM documents")
+def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, order = t(spark, sf_dir, "documents").select("doc_id", "lang", "text"), [F.col("text"), F.col("doc_id")]
+    return select.ranked(select.ranked(docs, order), order, "rank_in_lang", ["lang"]).select("doc_id", F.sha2("text", 256).alias("sha"), "rank", "rank_in_lang")
+
+
 @query(f"""WITH e AS (SELECT doc_id, source, greatest(1, floor({NW} * 1.35::DOUBLE)) AS tok FROM documents),
 r AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
 SELECT doc_id, source FROM r WHERE before < 5000""")
@@ -359,10 +403,21 @@ def kind_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT split, sum({NW} + 1)::BIGINT AS stored_tokens, count(*) AS stored_docs, sum({NW} + 1)::BIGINT AS replayed_tokens, count(*) AS replayed_docs, true AS equal
 FROM (SELECT text, {SPLIT} AS split FROM documents) GROUP BY split""")
 def bin_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored counts against counts made anew."""
-    docs = t(spark, sf_dir, "documents").select(select.split_of(F.col("doc_id")).alias("split"), T.word_count(F.col("text")).cast("long").alias("tokens"))
-    stored = docs.groupBy("split").agg(F.sum(F.col("tokens") + 1).alias("tokens"), F.count("*").alias("docs"))
-    return stats.replay_check(stored, docs)
+    """Token files of each split, written and read back, against the documents. Ids are lengths of words, from 10 on."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", select.split_of(F.col("doc_id")).alias("split"), F.transform(T.words(F.col("text")), lambda w: F.char_length(w) + 10).alias("ids"))
+    stored, paths = None, []
+    for split in ("train", "val", "test"):
+        own = docs.where(F.col("split") == split)
+        if own.limit(1).count():
+            paths.append(new_path(spark, f"bins-{split}"))
+            sinks.write_tokens(own, paths[-1], "doc_id", wide=True)
+            part = scan.token_counts(spark, f"{paths[-1]}/*.bin", wide=True).agg(F.lit(split).alias("split"), F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
+            stored = part if stored is None else stored.unionByName(part)
+    if stored is None:
+        stored = spark.createDataFrame([], "split string, tokens long, docs long")
+    result, _ = written(stats.replay_check(stored, docs.select("split", F.size("ids").cast("long").alias("tokens"))), "replay")
+    drop_table(spark, *paths)
+    return result
 
 
 @query("""WITH s AS (SELECT source AS name, CASE WHEN min(lang) = 'de' THEN 'manual' ELSE 'downloaded' END AS type, min(doc_id)::INTEGER AS priority FROM documents GROUP BY source)
@@ -470,7 +525,10 @@ def chrf_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.chrf(_pairs(spark, sf_dir)).select(r6(F.col("chrf")).alias("chrf"))
 
 
-@query()
+@query(f"""WITH {PAIRS}, w AS (SELECT id, {_H} AS h, {_R} AS r FROM pairs),
+l AS (SELECT id, len(h) AS nh, len(r) AS nr, CASE WHEN len(h) = 0 OR len(r) = 0 THEN 0 ELSE list_reduce(list_prepend(list_transform(generate_series(0, len(r)), lambda z: 0), list_transform(h, lambda t: list_transform(r, lambda x: (x = t)::INTEGER))),
+ lambda p, e: list_reduce(list_prepend([0], list_transform(e, lambda m, j: [m, j])), lambda now, mj: list_append(now, CASE WHEN mj[1] = 1 THEN p[mj[2]] + 1 ELSE greatest(p[mj[2] + 1], now[mj[2]]) END)))[-1] END AS n FROM w)
+SELECT id, round(CASE WHEN n = 0 THEN 0::DOUBLE ELSE 2.0::DOUBLE * (n::DOUBLE / nh) * (n::DOUBLE / nr) / (n::DOUBLE / nh + n::DOUBLE / nr) END, 6) AS rouge_l FROM l""")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("id", r6(S.rouge_l(F.col("hypothesis"), F.col("reference"))).alias("rouge_l"))
 
@@ -486,13 +544,16 @@ def generation_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT b.item_id, count(DISTINCT d.doc_id) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that stand word for word in documents: looked up by their first eight words, then compared whole."""
-    head = F.array_join(F.slice(T.words(F.col("text")), 1, 8), " ")
-    items = t(spark, sf_dir, "benchmark").where(T.word_count(F.col("text")) >= 8).select("item_id", F.col("text").alias("item"), head.alias("head"))
-    docs = t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.transform(S.ngrams(T.words(F.col("text")), 8), lambda g: F.array_join(g, " "))).alias("head")).distinct()
-    return docs.join(items, "head").where(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"))
+    """Items that stand character for character in documents."""
+    found = leakage.contaminated(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"))
+    return found.groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
+@query("WITH i AS (SELECT item_id, substr(text, 3, 1 + (item_id % 30)::INTEGER) AS text FROM benchmark) SELECT i.item_id, count(DISTINCT d.doc_id) AS docs FROM i JOIN documents d ON contains(d.text, i.text) GROUP BY 1")
+def contamination_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of 1 to 30 characters that begin and end inside words."""
+    items = t(spark, sf_dir, "benchmark").select("item_id", F.substring("text", F.lit(3), 1 + (F.col("item_id") % 30).cast("int")).alias("text"))
+    return leakage.contaminated(t(spark, sf_dir, "documents"), items).groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
 def _names_sql(test: str) -> str:
@@ -564,18 +625,67 @@ def solve_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasoning.solved(_orders(spark, sf_dir)).select("id", "relation", "error")
 
 
-@query("SELECT o_orderkey // 4 AS id, 3 AS hops FROM orders GROUP BY 1 HAVING count(*) = 4")
+@query("SELECT o_orderkey // 4 AS id, CASE WHEN (o_orderkey // 4) % 3 = 0 THEN 1 WHEN (o_orderkey // 4) % 2 = 0 THEN (o_orderkey // 4) % 3 ELSE 1 + (o_orderkey // 4) % 3 END AS hops FROM orders GROUP BY 1, 2 HAVING count(*) = 4")
 def query_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reasoning.hops(_orders(spark, sf_dir))
+    """The query goes to one of the three others; in even chains a further premise links the first to the third."""
+    e = _orders(spark, sf_dir).withColumn("query", F.struct(F.lit("n0").alias("x"), F.concat(F.lit("n"), (1 + F.col("id") % 3).cast("string")).alias("y")))
+    more = F.array(F.struct(F.lit("n2").alias("s"), F.lit("<").alias("rel"), F.lit("n0").alias("o")))
+    return reasoning.hops(e.withColumn("premises", F.when(F.col("id") % 2 == 0, F.concat("premises", more)).otherwise(F.col("premises"))))
+
 
+_CHAIN = """o AS (SELECT o_orderkey // 4 AS id, floor(o_totalprice / 100000) AS v, row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderkey // 4) AS n FROM orders),
+d AS (SELECT a.id, a.i - 1 AS i, CASE WHEN a.v > b.v THEN '>' WHEN a.v < b.v THEN '<' ELSE '=' END AS r FROM o a JOIN o b ON a.id = b.id AND b.i = a.i + 1 WHERE a.n = 4)"""
 
-@query("""SELECT o_orderkey // 4 AS id, true AS same FROM orders GROUP BY 1 HAVING count(*) = 4""")
+
+@query(f"""WITH {_CHAIN} SELECT id, string_agg('n' || i || r || 'n' || (i + 1), ',' ORDER BY r = '=', i) AS hindi, string_agg('n' || i || r || 'n' || (i + 1), ',' ORDER BY r = '=', i) AS assamese,
+CASE WHEN bool_or(r = '=') THEN NULL ELSE string_agg('n' || i || r || 'n' || (i + 1), ',' ORDER BY i) END AS denied FROM d GROUP BY id""")
 def parse_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Premises rendered as text and read back; comparisons come before equations."""
+    """Premises rendered as text and read back, in both languages and in denials; a denied equality is refused."""
     e = _orders(spark, sf_dir)
-    text = reasoning.rendered(F.col("premises"), F.col("query"), F.lit("उम्र"), F.lit("transitive"), F.lit(">"), F.array(F.lit("n0")))
-    wanted = F.concat(F.filter("premises", lambda p: p["rel"] != "="), F.filter("premises", lambda p: p["rel"] == "="))
-    return e.select("id", (reasoning.parsed(text) == wanted).alias("same"))
+
+    def back(language: str, paradigm: str) -> Column:
+        text = reasoning.rendered(F.col("premises"), F.col("query"), F.lit(reasoning.LANGUAGES[language].attributes[0]), F.lit(paradigm), F.lit(">"), F.array(F.lit("n0")), language)
+        return S.let(reasoning.parsed(text, language), lambda p: F.when(p.isNotNull(), F.array_join(F.transform(p, lambda x: F.concat(x["s"], x["rel"], x["o"])), ",")))
+
+    return e.select("id", back("hindi", "transitive").alias("hindi"), back("assamese", "conversational").alias("assamese"), back("hindi", "negation").alias("denied"))
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains with names of their own, the answer, and what kind of evaluation set they are in."""
+    o = t(spark, sf_dir, "orders").select((F.col("o_orderkey") / 4).cast("long").alias("g"), "o_orderkey", F.floor(F.col("o_totalprice") / 100000).alias("v"))
+    g = o.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "v"))).alias("m")).where(F.size("m") == 4)
+    name = lambda i: F.concat(F.lit("k"), (F.col("g") * 7 % 50 + i).cast("string"), F.lit(f"_{i}"))
+    rel = lambda i: F.when(F.col("m")[i]["v"] > F.col("m")[i + 1]["v"], ">").when(F.col("m")[i]["v"] < F.col("m")[i + 1]["v"], "<").otherwise("=")
+    e = g.select(F.col("g").alias("ord"), F.array(*(F.struct(name(i).alias("s"), rel(i).alias("rel"), name(i + 1).alias("o")) for i in range(3))).alias("premises"), F.struct(name(0).alias("x"), name(3).alias("y")).alias("query"))
+    part = F.when(F.col("ord") % 5 == 0, F.when(F.col("ord") % 2 == 0, "even").otherwise("odd")).otherwise("train")
+    solved = reasoning.solved(e).where("relation is not null").withColumn("split", part)
+    names = F.array_distinct(F.flatten(F.transform("premises", lambda p: F.array(p["s"], p["o"]))))
+    text = F.array_join(F.transform("premises", lambda p: F.concat_ws(" ", p["s"], p["rel"], p["o"])), ", ")
+    return solved.select("ord", "split", names.alias("name"), text.alias("text"), leakage.structure(F.col("premises"), F.col("query"), F.lit("उम्र")).alias("structure"), "relation")
+
+
+_SAID = f"""{_CHAIN}, s AS (SELECT id AS ord, string_agg(i || r || (i + 1), ',' ORDER BY i) || '|0|3|उम्र' AS structure,
+ string_agg('k' || (id * 7 % 50 + i) || '_' || i || ' ' || r || ' k' || (id * 7 % 50 + i + 1) || '_' || (i + 1), ', ' ORDER BY i) AS text, bool_or(r = '>') AS gt, bool_or(r = '<') AS lt FROM d GROUP BY id),
+k AS (SELECT ord, CASE WHEN ord % 5 = 0 THEN CASE WHEN ord % 2 = 0 THEN 'even' ELSE 'odd' END ELSE 'train' END AS split, list_transform([0, 1, 2, 3], lambda i: 'k' || (ord * 7 % 50 + i) || '_' || i) AS name, text, structure,
+ CASE WHEN gt THEN '>' WHEN lt THEN '<' ELSE '=' END AS relation FROM s WHERE NOT (gt AND lt))"""
+_REPORT = """tr AS (SELECT * FROM k WHERE split = 'train'), ev AS (SELECT * FROM k WHERE split <> 'train'),
+c AS (SELECT structure, relation, count(*) AS c, min(ord) AS f FROM tr GROUP BY ALL), m AS (SELECT structure, relation AS looked FROM c QUALIFY row_number() OVER (PARTITION BY structure ORDER BY c DESC, f) = 1),
+o2 AS (SELECT relation AS overall FROM (SELECT relation, count(*) AS c, min(ord) AS f FROM tr GROUP BY 1) ORDER BY c DESC, f LIMIT 1),
+nt AS (SELECT DISTINCT unnest(name) AS n FROM tr), ne AS (SELECT DISTINCT split, unnest(name) AS n FROM ev), ov AS (SELECT split, count(*) AS name_overlap FROM ne JOIN nt USING (n) GROUP BY 1)
+SELECT ev.split, count(*) AS n, max(coalesce(name_overlap, 0)) AS name_overlap, count(*) FILTER (ev.text IN (SELECT text FROM tr)) AS exact_text_dup, round(avg((looked IS NOT NULL)::INTEGER), 4) AS structure_seen,
+round(avg((coalesce(looked, overall) = relation)::INTEGER), 4) AS structure_lookup_acc, round(avg((relation = overall)::INTEGER), 4) AS majority_acc FROM ev LEFT JOIN m USING (structure) CROSS JOIN o2 LEFT JOIN ov ON ov.split = ev.split GROUP BY ev.split"""
+
+
+@query(f"WITH {_SAID}, {_REPORT}")
+def leakage_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leakage report of reasoning examples, by their canonical structures."""
+    k = _said(spark, sf_dir)
+    return leakage.report(k.where("split = 'train'"), k.where("split <> 'train'"))
+
+
+@query(f"WITH {_SAID} SELECT relation, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM k), 6) AS share FROM k GROUP BY 1")
+def relation_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.relation_shares(_said(spark, sf_dir))
 
 
 @query("""WITH o AS (SELECT o_orderkey // 4 AS id, floor(o_totalprice / 100000) AS v, row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderkey // 4) AS n FROM orders),
@@ -583,16 +693,67 @@ d AS (SELECT a.id, a.i, CASE WHEN a.v > b.v THEN '>' WHEN a.v < b.v THEN '<' ELS
 g AS (SELECT id, string_agg('n' || (i - 1) || ' ' || r || ' n' || i, ' और ' ORDER BY i) AS steps, bool_or(r = '>') AS gt, bool_or(r = '<') AS lt FROM d GROUP BY id)
 SELECT id, '[कारण: ' || steps || ' इसलिए n0 ' || CASE WHEN gt THEN '>' WHEN lt THEN '<' ELSE '=' END || ' n3]' AS rationale FROM g WHERE NOT (gt AND lt)""")
 def rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _orders(spark, sf_dir)
-    return reasoning.rationales(e, reasoning.solved(e)).select("id", "rationale")
+    return reasoning.rationales(_orders(spark, sf_dir)).select("id", "rationale")
 
 
 @query()
 def generated_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated examples, with the solver's relation beside the stated one."""
     made = reasoning.generate(spark, 300, [f"नाम{i}" for i in range(60)], 11)
-    solved = reasoning.solved(made.select("id", "premises", "query"), 8).select("id", F.col("relation").alias("solved"))
-    return made.join(solved, "id").select("id", "paradigm", "text", "answer_text", "relation", "solved", "hops")
+    solved = reasoning.solved(made.withColumnRenamed("relation", "stated")).withColumnsRenamed({"relation": "solved", "stated": "relation"})
+    return solved.select("id", "paradigm", "text", "answer_text", "relation", "solved", "hops")
+
+
+@query("SELECT unnest(['even', 'hops', 'solved', 'parsed', 'texts']) AS holds, 0::BIGINT AS broken")
+def generated_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for generated examples of both languages, with further premises, and how many break it: relations in even shares, the asked number of hops, the solver's relation, premises read back, texts once."""
+    parts = None
+    for language in reasoning.LANGUAGES:
+        shapes = {"a": {"balance": True}, "b": {"branched": 3}, "c": {"shortened": 3}, "d": {"distracted": 3}, "e": {"fresh": True, "long_share": 0.5}}
+        for k, (name, shape) in enumerate(shapes.items()):
+            made = reasoning.generate(spark, 60, [f"n{i}" for i in range(80)], 40 + k, dict.fromkeys(reasoning.EVALUATED, 1.0), (5,), exact_hops=4, language=language, split=name, **({"balance": False} | shape))
+            rows = reasoning.solved(made.withColumnRenamed("relation", "stated"))
+            read = F.array_sort(reasoning.parsed(F.col("text"), language))
+            stated = F.array_sort(F.concat("premises", F.transform("distractors", lambda p: F.struct(p["s"].alias("s"), p["rel"].alias("rel"), p["o"].alias("o")))))
+            apart = reasoning.hops_of(F.col("premises"), F.col("query.x"), F.col("query.y"))
+            one = rows.agg(
+                (F.greatest(*(F.count_if(F.col("stated") == r) for r in "<=>")) - 20 if name == "a" else F.lit(0)).cast("long").alias("even"),
+                F.count_if(~((apart == 4) if name != "c" else (apart <= 4))).alias("hops"), F.count_if(~F.col("stated").eqNullSafe(F.col("relation"))).alias("solved"),
+                F.count_if((F.col("paradigm") != "conversational") & ~read.eqNullSafe(stated)).alias("parsed"), (F.count("*") - F.count_distinct("text") + F.abs(F.count("*") - 60)).alias("texts"),
+            )
+            parts = one if parts is None else parts.union(one)
+    names = parts.columns
+    return parts.agg(*(F.sum(c).cast("long").alias(c) for c in names)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("holds"), F.col(c).alias("broken")) for c in names))).alias("x")).select("x.holds", "x.broken")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains whose ends are compared, with an answer in words: right, wrong, about another pair or with a letter too many."""
+    e = reasoning.solved(_orders(spark, sf_dir)).where("relation is not null")
+    x, y, attr = F.col("query.x"), F.col("query.y"), F.lit(reasoning.LANGUAGES["hindi"].attributes[0])
+    kind = F.col("id") % 4
+    rel = F.when(kind == 1, F.when(F.col("relation") == "<", ">").otherwise("<")).otherwise(F.col("relation"))
+    said = reasoning.sentence(F.when(kind == 2, F.lit("m9")).otherwise(x), rel, y, attr, F.lit(False))
+    gold = reasoning.sentence(x, F.col("relation"), y, attr, F.lit(False))
+    e = e.withColumn("prediction", F.when(kind == 3, F.concat(F.substring(said, 1, 2), F.lit("x"), F.expr("''"), F.substring(said, 3, 400))).otherwise(said))
+    return e.select("id", "query", "relation", F.when(kind < 2, "a").otherwise("b").alias("paradigm"), attr.alias("attribute"), F.concat_ws(" ", x, "relation", y).alias("answer_rel"), gold.alias("answer_text"), F.lit(None).cast("string").alias("cot_text"), "prediction", kind.alias("kind"))
+
+
+_ANSWERED = f"{_CHAIN}, g AS (SELECT id, bool_or(r = '>') AS gt, bool_or(r = '<') AS lt FROM d GROUP BY id), e AS (SELECT id, id % 4 AS kind, CASE WHEN gt THEN '>' WHEN lt THEN '<' ELSE '=' END AS relation FROM g WHERE NOT (gt AND lt))"
+
+
+@query(f"WITH {_ANSWERED} SELECT id, CASE kind WHEN 1 THEN CASE relation WHEN '<' THEN '>' ELSE '<' END WHEN 0 THEN relation END AS by_pattern, CASE kind WHEN 1 THEN CASE relation WHEN '<' THEN '>' ELSE '<' END ELSE relation END AS closest FROM e")
+def asserted_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What answers assert of the pair, read by pattern and by the closest rendering."""
+    rows = _answers(spark, sf_dir).withColumn("pred", F.col("prediction"))
+    rows = reasoning.asserted_by_pattern(rows).withColumnRenamed("asserted", "by_pattern")
+    return reasoning.asserted(rows).select("id", "by_pattern", F.col("asserted").alias("closest"))
+
+
+@query(f"WITH {_ANSWERED} SELECT CASE WHEN kind < 2 THEN 'a' ELSE 'b' END AS paradigm, count(*) AS n_examples, round(avg((kind = 0)::INTEGER), 6) AS accuracy_answer_strict, round(avg((kind <> 2)::INTEGER), 6) AS accuracy_name_copy FROM e GROUP BY 1")
+def evaluation_by_paradigm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _answers(spark, sf_dir)
+    rows = evaluation.judged(a.drop("prediction"), a.select("id", "prediction"))
+    return evaluation.summary(rows, ["paradigm"]).select("paradigm", "n_examples", "accuracy_answer_strict", "accuracy_name_copy")
 
 
 # ---------------------------------------------------------------- tokens
