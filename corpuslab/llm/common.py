@@ -1,74 +1,24 @@
-"""What the operators share: tables in the shared folder, word hashes, connected components."""
+"""What the operators share: word hashes, connected components, and the tables of the shared folder, passed on from corpuslab.tables."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.tables import drop_table, new_path, partitions, written
+
+__all__ = ["drop_table", "new_path", "partitions", "written"]
+
 #: White space between words; bytes.split() without arguments splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words that a Python worker remembers before it starts anew.
 CACHE_WORDS = 200_000
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="corpuslab-"))
-    return base.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def drop_table(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables of this run that no later plan reads."""
-    for path in paths:
-        at = _path(spark, path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/corpuslab-{uuid.uuid4().hex}-{name}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        drop_table(spark, path)
-    except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
-        return
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # shuffle files of finished jobs go
-    return out, path
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # ---------------------------------------------------------------- hashes
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import bpe, html_cut, media, minhash, mixing, paragraphs, substring, token_orc, toxicity, warc
+from corpuslab.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op3_mixing_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixing.fit_classifier(docs, domains(docs, table(spark, sf_dir, "labels")))
-    return mixing.rated(docs, mixing.fit_rates(docs, model))
+    return mixing.mixing_rates(docs, model)
 
 
 def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
