@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import drop_table, utf8, written
@@ -33,8 +33,9 @@ DATE = "2024-01-01T00:00:00Z"
 BUNDLES = "bundle string, content binary, records array<struct<record_id: string, frame: int, offset: long, length: long>>"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, copy: int = 0) -> str:
+    """The name of a page's record; rows that share a page_id (or have none) are told apart by their number among them, from 0."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' if not copy else f'page:{page_id}:{copy}')}>"
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -61,8 +62,8 @@ def frame_of(content: bytes, table: list[tuple[int, int, int]], frame: int) -> b
     return zstandard.ZstdDecompressor().decompress(content[start : start + size], max_output_size=max(raw, 1))
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, kind: str) -> bytes:
-    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: " + record_id(page_id).encode(), b"WARC-Date: " + DATE.encode()]
+def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, kind: str, copy: int = 0) -> bytes:
+    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: " + record_id(page_id, copy).encode(), b"WARC-Date: " + DATE.encode()]
     if url:
         head.append(b"WARC-Target-URI: " + utf8("".join(url.split())))
     if page_id is not None:
@@ -124,10 +125,10 @@ _ROW = pa.schema([("bundle", pa.string()), ("content", pa.binary()), ("records",
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bundle = _Bundle()
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "refers_to")]
-        for page_id, url, html, digest, size, refers_to in zip(*columns, strict=True):
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "refers_to", "copy")]
+        for page_id, url, html, digest, size, refers_to, copy in zip(*columns, strict=True):
             kind = "response" if refers_to is None else "revisit"
-            bundle.add(record_id(page_id), warc_record(page_id, url, html or b"", digest, size, refers_to, kind))
+            bundle.add(record_id(page_id, copy), warc_record(page_id, url, html or b"", digest, size, refers_to, kind, copy))
             if bundle.full():
                 yield pa.RecordBatch.from_pylist([bundle.row()], _ROW)
                 bundle = _Bundle()
@@ -136,19 +137,69 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def planned(pages: DataFrame, small: int = SMALL) -> DataFrame:
-    """pages with digest, size and refers_to (null for a response): of equal payloads of at least `small` bytes the row with the largest
-    page_id is the response. Rows that repeat its page_id are responses too; a payload that stands on rows without page_id alone is always one."""
+    """pages with digest, size, refers_to (null for a response) and copy: of equal payloads of at least `small` bytes the row with the largest
+    page_id is the response. Rows that repeat its page_id are responses too; a payload that stands on rows without page_id alone is always one. copy numbers rows of one page_id."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html").cast("long"))
+    # what is shared is told on narrow rows, of which each task sends one for a payload; a payload that no other row has is not among them
     kept = rows.where(F.col("size") >= small).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("rows")).where("rows > 1").select(F.col("digest").alias("_digest"), "keeper")
-    # copies are told apart from originals on narrow rows; only the copies' and the keepers' names meet the pages again
     met = rows.join(kept, F.col("digest") == F.col("_digest"), "left")
-    return met.select("page_id", "url", F.when(F.coalesce(F.col("page_id") == F.col("keeper"), F.col("keeper").isNull()), F.col("html")).otherwise(F.lit(b"")).alias("html"), "digest", "size", F.when(F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(None)).otherwise(F.col("keeper")).alias("refers_to"))
+    whole = F.coalesce(F.col("page_id") == F.col("keeper"), F.col("keeper").isNull())
+    out = met.select("page_id", "url", F.when(whole, F.col("html")).otherwise(F.lit(b"")).alias("html"), F.lower(F.hex("digest")).alias("digest"), "size", F.when(F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(None)).otherwise(F.col("keeper")).alias("refers_to"))
+    twice = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("_page"))
+    marked = out.join(twice, F.col("page_id").eqNullSafe(F.col("_page")), "left_semi")
+    copies = marked.withColumn("copy", (F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")) - 1).cast("long"))
+    return out.join(twice, F.col("page_id").eqNullSafe(F.col("_page")), "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(copies)
 
 
-def write_bundles(pages: DataFrame, small: int = SMALL) -> DataFrame:
-    """A row for each bundle: its name, its bytes, and the index of its records. Null html is an empty payload."""
-    return in_arrow(planned(pages, small), _write, BUNDLES)
+def write_bundles(pages: DataFrame, small: int = SMALL) -> tuple[DataFrame, str]:
+    """A row for each bundle, its name, its bytes, and the index of its records, as a written table and its path: what names a bundle is written once with what it holds.
+
+    Null html is an empty payload; repeated rows are records of their own; an empty table has no bundles.
+    """
+    return written(in_arrow(planned(pages, small), _write, BUNDLES), "warc")
+
+
+def _archived(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            paths = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                path, held = f"{folder}/{name}.warc.zst", f"{folder}/.{uuid.uuid4().hex}"
+                system, at = fs.FileSystem.from_uri(held)
+                with system.open_output_stream(at) as file:
+                    file.write(content.as_buffer())
+                system.move(at, fs.FileSystem.from_uri(path)[1])
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["bundle", "path"])
+
+    return run
+
+
+def write_files(bundles: DataFrame, folder: str) -> DataFrame:
+    """Bundles as files <name>.warc.zst in a folder that executors and driver share (a URI that pyarrow can write to): seekable, and whole for any reader of Zstandard. Returns the index of
+    records with each file's path. A task that runs again writes the same names with the same bytes."""
+    spark = bundles.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    paths, _ = written(in_arrow(bundles.select("bundle", "content"), _archived(folder.rstrip("/")), "bundle string, path string"), "archives")
+    return record_index(bundles).join(paths, "bundle")
+
+
+def fetch_from(path: str, frame: int, offset: int, length: int) -> tuple[dict[bytes, bytes], bytes]:
+    """One record of a file by its place in the index: reads the seek table at the file's end and one frame."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as file:
+        size = file.size()
+        frames = struct.unpack("<I", file.read_at(4, size - 9))[0]
+        table = read_seek_table(file.read_at(frames * 12 + 17, max(0, size - frames * 12 - 17)))
+        start, packed, raw = table[frame]
+        data = zstandard.ZstdDecompressor().decompress(file.read_at(packed, start), max_output_size=max(raw, 1))
+    return next(parse_records(data[offset : offset + length]))
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
@@ -160,30 +211,55 @@ def fetch(content: bytes, frame: int, offset: int, length: int) -> tuple[dict[by
     return next(parse_records(frame_of(content, read_seek_table(content), frame)[offset : offset + length]))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_RECORD = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+
+
+def _row(head: dict[bytes, bytes], body: bytes) -> tuple:
+    page, refers, kind = head.get(b"X-Page-ID"), head.get(b"X-Refers-To-Page-ID"), head[b"WARC-Type"].decode()
+    own = kind == "response"
+    size = len(body) if own else int(head[b"X-Payload-Bytes"])
+    return head[b"WARC-Record-ID"].decode(), None if page is None else int(page), size, head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), kind, None if refers is None else int(refers), body if own else None
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(_TYPES)], [c.split()[0] for c in _RECORD.split(", ")])
+
+
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bundles with the places that are wanted of them, sorted by frame: a frame is decompressed once, and frames without a wanted record are not."""
     for batch in batches:
-        for content in batch.column(0):
+        for content, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             content = content.as_py()
-            table = read_seek_table(content)
-            for frame in range(len(table)):
-                out = []
-                for head, body in parse_records(frame_of(content, table, frame)):
-                    page, refers = head.get(b"X-Page-ID"), head.get(b"X-Refers-To-Page-ID")
-                    kind = head[b"WARC-Type"].decode()
-                    size = len(body) if kind == "response" else int(head[b"X-Payload-Bytes"])
-                    out.append((None if page is None else int(page), size, head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), kind, None if refers is None else int(refers), body if kind == "response" else None))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            table, held, data, out = read_seek_table(content), -1, b"", []
+            for place in places:
+                if place["frame"] != held:
+                    held, data = place["frame"], frame_of(content, table, place["frame"])
+                    if out:
+                        yield _rows(out)
+                        out = []
+                out.append(_row(*next(parse_records(data[place["offset"] : place["offset"] + place["length"]]))))
+            if out:
+                yield _rows(out)
+
+
+def fetch_records(bundles: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The records of wanted (record_id), or of all, by the index: places are found and sorted by bundle, and each bundle's frames are read at those places alone. Ids that no record has give none."""
+    places = record_index(bundles)
+    if wanted is not None:
+        places = places.join(wanted.select("record_id").distinct(), "record_id", "left_semi")
+    grouped = places.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "length"))).alias("places"))  # as many as a bundle has records, which its size bounds
+    return in_arrow(bundles.select("bundle", "content").join(grouped, "bundle").select("content", "places"), _fetched, _RECORD)
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
-    """A row for each record: page_id, payload_bytes, payload_digest (of the full payload), record_type, refers_to, payload (null for a revisit)."""
-    return in_arrow(bundles.select("content"), _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    """A row for each record: record_id, page_id, payload_bytes, payload_digest (of the full payload), record_type, refers_to, payload (null for a revisit), found by the index that stands with each bundle."""
+    return in_arrow(bundles.select("content", F.array_sort(F.transform("records", lambda r: F.struct(r["frame"], r["offset"], r["length"]))).alias("places")), _fetched, _RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the archives to the shared folder and reads them back: digests of responses are taken anew from what was read."""
-    bundles, path = written(write_bundles(pages), "warc")
+    """Writes the archives to the shared folder and reads them back by their index: digests of responses are taken anew from what was read. An empty table gives no rows."""
+    bundles, path = write_bundles(pages)
     rows = read_bundles(bundles)
     out = rows.select("page_id", "payload_bytes", F.when(F.col("payload").isNotNull(), F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
     result, _ = written(out, "records")
