@@ -272,14 +272,41 @@ def test_warc_round_trip(spark):
         first = len(b) < 1000 or i == keeper[h]
         want[(i, len(b), hashlib.sha1(b).hexdigest(), "response" if first else "revisit", None if first else keeper[h])] += 1
     assert Counter(map(tuple, warc.round_trip(df).collect())) == want
-    bundles = warc.write_bundles(df)
+    bundles, _ = warc.write_bundles(df)
     held = {r["bundle"]: r["content"] for r in bundles.collect()}
-    texts = {warc.record_id(i): (h or "").encode() for i, _, h in pages}
-    for r in warc.record_index(bundles).collect():
+    texts = Counter((h or "").encode() for _, _, h in pages)
+    index = warc.record_index(bundles).collect()
+    assert len({r["record_id"] for r in index}) == len(index) == len(pages)
+    for r in index:
         head, body = warc.fetch(held[r["bundle"]], r["frame"], r["offset"], r["length"])
         assert head[b"WARC-Record-ID"].decode() == r["record_id"]
-        assert body == (texts[r["record_id"]] if head[b"WARC-Type"] == b"response" else b"")
-    assert warc.round_trip(df.limit(0)).count() == 0
+        assert body in texts if head[b"WARC-Type"] == b"response" else body == b""
+    wanted = spark.createDataFrame([(r["record_id"],) for r in index[::7]] + [("<none>",)], "record_id string")
+    some = warc.fetch_records(bundles, wanted).collect()
+    assert {r["record_id"] for r in some} == {r["record_id"] for r in index[::7]}
+    by_id = {r["record_id"]: r for r in warc.read_bundles(bundles).collect()}
+    assert all(r["payload"] == by_id[r["record_id"]]["payload"] and r["page_id"] == by_id[r["record_id"]]["page_id"] for r in some)
+    assert warc.round_trip(df.limit(0)).count() == 0 and warc.write_bundles(df.limit(0))[0].count() == 0
+
+
+def test_archives_as_files(spark, tmp_path):
+    pages = [(i, f"http://a/{i}", f"<p>{i}</p>" * 300) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    index = warc.write_files(warc.write_bundles(df)[0], f"file://{tmp_path}/a")
+    rows = {r["record_id"]: r for r in index.collect()}
+    assert len(rows) == 300 and all(p.suffix == ".zst" for p in (tmp_path / "a").glob("*.warc.*"))
+    for i in (0, 7, 299):
+        r = rows[warc.record_id(i)]
+        head, body = warc.fetch_from(r["path"], r["frame"], r["offset"], r["length"])
+        assert body.decode() == pages[i][2]
+    # any reader of Zstandard reads a whole archive: frames one after another, the seek table skipped
+    content = next((tmp_path / "a").glob("*.warc.zst")).read_bytes()
+    import io
+
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).read()
+    assert sum(1 for _ in warc.parse_records(whole)) == sum(r["path"].endswith(next((tmp_path / "a").glob("*.warc.zst")).name) for r in rows.values())
 
 
 def test_frames_are_independent():
@@ -432,6 +459,25 @@ def test_toxicity_odd_tables(spark, empty):
     assert toxicity.scored(odd, toxicity.fit(odd, labels)).where("score between 0 and 1").count() == 4
 
 
+def test_toxicity_with_repeats_and_clashing_columns(spark):
+    docs, labels, texts, truth = toxic_table(spark, 400)
+    model = toxicity.fit(docs, labels)
+    more = docs.union(docs).unionByName(docs.withColumn("text", F.concat(F.lit("zz "), F.col("text")))).withColumns({"toxic": F.lit(1), "feature": F.lit("x"), "held": F.lit(2), "_id": F.lit(3)})
+    again = toxicity.fit(more, labels.union(labels))
+    assert model.weights and again.weights.keys() == model.weights.keys() and all(abs(again.weights[k] - v) < 1e-9 for k, v in model.weights.items()) is True
+    kept = toxicity.drop_toxic(more, model)
+    assert kept.columns == more.columns and 0 < kept.count() < more.count()
+    assert toxicity.scored(more, model).count() == 1200
+    assert toxicity.Model({"=bad": 9.0}, -3.0).score("fine\x00bad") < 0.5
+
+
+def test_training_counts_sentences_without_features():
+    """The loss by hand: documents of one, two and three sentences."""
+    bags = toxicity.Bags(np.array([1, 0, 1]), np.array([0, 2, 2]), np.array([0, 2]), np.array([0, 1]), np.array([0, 0]))
+    model = toxicity.train(bags, ["=bad"], steps=1)
+    assert abs(model.weights["=bad"] - 0.5) > 0.01 and model.bias != -6.0
+
+
 def test_noisy_or_by_hand():
     model = toxicity.Model({"=bad": 5.0}, -3.0)
     p0, p1 = 1 / (1 + np.exp(3.0)), 1 / (1 + np.exp(-2.0))
@@ -451,8 +497,10 @@ def test_rates_meet_targets(spark, empty):
     model = mixing.fit_classifier(docs, docs.where("doc_id % 2 = 0").select("doc_id", "domain"))
     truth = {r["doc_id"]: r["domain"] for r in docs.collect()}
     weights = {"x": 1, "y": 1, "z": 2}
-    rates = mixing.fit_rates(docs, model, weights)
-    rows = mixing.rated(docs, rates).collect()
+    scored, _ = mixing.with_posteriors(docs, model)
+    rates = mixing.fit_rates(scored, model, weights)
+    rows = mixing.rated(scored, rates).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mixing_rates(docs, model, weights).collect()))
     assert np.mean([r["domain"] == truth[r["doc_id"]] for r in rows]) > 0.97
     tokens = Counter()
     for r in rows:
@@ -460,25 +508,74 @@ def test_rates_meet_targets(spark, empty):
     total = sum(r["n_tokens"] for r in rows)
     assert all(abs(tokens[k] / total - w / 4) < 0.03 for k, w in weights.items())
     assert np.allclose(rates.reached, rates.targets, rtol=1e-4) and min(r["rate"] for r in rows) >= 0
-    more = mixing.fit_rates(docs, model, keep_all=True)
-    out = Counter(r["doc_id"] for r in mixing.mixed(docs, more).collect())
+    more = mixing.mix(docs, model, keep_all=True)
+    out = Counter(r["doc_id"] for r in more.collect())
     assert set(out) == set(truth) and sum(out.values()) > len(truth)
-    assert mixing.mixed(docs, more).columns == docs.columns
+    assert more.columns == docs.columns
     none = empty.select("doc_id", "text")
-    assert mixing.mixed(none, mixing.fit_rates(none, mixing.fit_classifier(none, docs.select("doc_id", "domain").limit(0)))).count() == 0
+    assert mixing.mix(none, mixing.fit_classifier(none, docs.select("doc_id", "domain").limit(0))).count() == 0
 
 
-def test_rates_against_direct_least_squares():
+def test_mixing_odd_tables(spark):
+    docs = mixing_table(spark)
+    model = mixing.fit_classifier(docs, docs.select("doc_id", "domain"))
+    odd = spark.createDataFrame([(None, "abcda " * 5, "en", 9), (1, None, "en", 1), (1, "", "de", 1), (7, "efghe " * 30000, None, 2), (7, "efghe " * 30000, None, 2)], "doc_id long, text string, domain string, t long")
+    out = mixing.mix(odd, model, {"x": 1, "y": 1}, keep_all=True)
+    assert out.columns == odd.columns and {(r["doc_id"], (r["text"] or "")[:5]) for r in out.collect()} == {(None, "abcda"), (1, ""), (7, "efghe")}
+    rows = mixing.mixing_rates(odd, model).collect()
+    assert sorted(r["n_tokens"] for r in rows) == [0, 0, 5, 30000, 30000] and len({(r["rate"], r["copies"]) for r in rows if r["doc_id"] == 7}) == 1
+    with pytest.raises(ValueError):
+        mixing.with_posteriors(odd.withColumn("_tokens", F.lit(1)), model)
+    # one text of an id that stands on many rows, and the least of its domains, come to the fit
+    twice = docs.union(docs.select("doc_id", F.lit("zzzzz"), "domain"))
+    assert mixing.fit_classifier(twice, docs.select("doc_id", "domain")).matrix.tolist() == model.matrix.tolist()
+
+
+def least_squares_above(a, b, floor):
+    """min |a r - b| over r >= floor by an active set (Lawson and Hanson 1974), for r = floor + x, x >= 0."""
+    b = b - a @ np.full(a.shape[1], floor)
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(500):
+        slope = a.T @ (b - a @ x)
+        if free.all() or slope[~free].max() < 1e-10:
+            break
+        free[np.flatnonzero(~free)[np.argmax(slope[~free])]] = True
+        while True:
+            z = np.zeros_like(x)
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if z[free].min() > 0:
+                break
+            down = free & (z <= 0)
+            step = np.min(x[down] / np.maximum(x[down] - z[down], 1e-300))
+            x = x + step * (z - x)
+            free &= x > 1e-12
+            x[~free] = 0
+        x = z
+    return floor + x
+
+
+@pytest.mark.parametrize("floor,targets", [(0.0, (0.1, 0.3, 0.6)), (0.0, (0.0, 0.0, 1.0)), (1.0, (0.02, 0.03, 0.95)), (0.5, (0.9, 0.1, 0.0))])
+def test_descent_against_an_active_set_solver(floor, targets):
     rng = np.random.default_rng(4)
-    p = rng.dirichlet((0.3, 0.3, 0.3), 200)
-    t = rng.integers(1, 50, 200).astype(float)
-    gram = (p * t[:, None]).T @ p
-    targets = np.array([0.1, 0.3, 0.6]) * t.sum()
-    steps, reached = [], gram.sum(1)
-    for _ in range(60):
-        steps.append(np.linalg.pinv(gram) @ (targets - reached))
-        reached = (t * mixing.rates_of(p, steps, 0.0)) @ p
-    assert np.allclose(reached, targets, rtol=1e-6)
+    p, t = rng.dirichlet((0.5, 0.5, 0.5), 40), rng.integers(1, 50, 40).astype(float)
+    a, wanted = (p * t[:, None]).T, np.array(targets) * t.sum()
+    root = np.linalg.cholesky(np.linalg.inv(a @ p))  # the residual is measured by the inverse of P'diag(t)P
+    best = least_squares_above(root.T @ a, root.T @ wanted, floor)
+    steps, reached, _ = mixing.descent(a @ p, wanted, floor, lambda some: mixing.sums_of(t, p, some, floor), 400)
+    mine = mixing.rates_of(p, steps, floor)[1]
+    value = lambda r: np.linalg.norm(root.T @ (a @ r - wanted))
+    assert mine.min() >= floor and value(mine) <= value(best) + 2e-3 * (1 + value(best)) and np.allclose(reached, a @ mine)
+
+
+def test_rates_of_a_table_against_an_active_set_solver(spark):
+    rng = np.random.default_rng(5)
+    p, t = rng.dirichlet((0.5, 0.5, 0.5), 60), rng.integers(0, 50, 60)
+    table = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, _tokens long, _posterior array<double>").repartition(3)
+    rates = mixing.fit_rates(table, mixing.Classifier(list("xyz"), np.zeros((0, 3))), {"x": 1, "y": 3, "z": 6})
+    a = (p * t[:, None]).T
+    best = least_squares_above(a, rates.targets, 0.0)
+    assert np.allclose(a @ rates.of(p), a @ best, rtol=1e-5) and np.allclose(rates.targets, np.array([0.1, 0.3, 0.6]) * t.sum())
+    assert len(rates.steps) < 30 and rates.of(p).min() >= 0
 
 
 # ---------------------------------------------------------------- media
