@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslab.llm import bpe, minhash, mixing, substring, toxicity
-from corpuslab.llm.common import written
 from corpuslab.llm.queries import domains
+from corpuslab.session import spread
+from corpuslab.tables import drop_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat so that the expected tokens of language and quality domains meet tempered targets; each stays at least once."""
     model = mixing.fit_classifier(docs, domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return mixing.mixed(docs, mixing.fit_rates(docs, model, keep_all=True))
+    return mixing.mix(docs, model, keep_all=True)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another on documents; a stage's table goes when the next one is written."""
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            drop_table(spark, before)
+        before = path
     return docs
