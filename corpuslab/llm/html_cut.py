@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,16 +23,16 @@ from pyspark.sql import functions as F
 from corpuslab.session import in_arrow
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|[^<]++|<", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements whose text is never read, and those whose content is not markup.
-UNREAD = frozenset("head title script style noscript template svg math iframe object canvas textarea select option datalist button audio video map".split())
+UNREAD = frozenset("head title script style noscript template svg iframe object canvas textarea select option datalist button audio video map".split())
 RAW = frozenset("script style noscript textarea title template iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark math meter mfrac mi mn mo mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the same kind ends where one of these starts.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {k: frozenset(v.split()) for k, v in {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 NAV, FOOT, HEAD, SIDE, FORM, GOOD, REMARK, ADVERT, BODY, LINK, QUOTE = (1 << i for i in range(11))
@@ -61,11 +61,11 @@ class Block:
 
 
 def _flags(attributes: str) -> int | None:
-    """Flags that an element's names stand for; None if it is hidden."""
+    """Flags that an element's names stand for; None if it is not shown (hidden, display: none). What aria-hidden keeps from readers' aids is shown."""
     flags = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return None
         if name in ("class", "id", "role", "itemprop"):
             for word in _WORDS.findall(value):
@@ -73,22 +73,72 @@ def _flags(attributes: str) -> int | None:
     return flags
 
 
+class _Open:
+    """The open elements of a page, outermost first: of each its tag, its flags (-1: not shown), its number, and where the nearest element at or above it stands that is not inline.
+
+    How often each tag is open is known, so that a tag that closes nothing costs nothing, however many elements are open.
+    """
+
+    def __init__(self) -> None:
+        self.tags, self.flags, self.numbers, self.bases = [""], [0], [0], [0]
+        self.count: Counter[str] = Counter()
+        self.unread, self.version = 0, 0
+        self.failed: dict[frozenset[str], int] = {}
+
+    def push(self, tag: str, flags: int, number: int) -> None:
+        self.tags.append(tag)
+        self.flags.append(flags)
+        self.numbers.append(number)
+        self.bases.append(self.bases[-1] if tag in INLINE else len(self.tags) - 1)
+        self.count[tag] += 1
+        self.unread += tag in UNREAD or flags < 0
+        self.version += 1
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all inside it."""
+        for tag, flags in zip(self.tags[at:], self.flags[at:], strict=True):
+            self.count[tag] -= 1
+            self.unread -= tag in UNREAD or flags < 0
+        for x in (self.tags, self.flags, self.numbers, self.bases):
+            del x[at:]
+        self.version += 1
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open element with a tag stands, or 0."""
+        if not self.count[tag]:
+            return 0
+        return len(self.tags) - 1 - self.tags[::-1].index(tag)
+
+    def ended(self, ends: frozenset[str]) -> int:
+        """Where the element stands that a new one of its kind ends: the innermost of `ends`, with none but inline elements and paragraphs inside; 0 if there is none."""
+        if not any(self.count[t] for t in ends) or self.failed.get(ends) == self.version:
+            return 0
+        at = len(self.tags) - 1
+        while at > 0 and self.tags[at] not in ends and (self.tags[at] in INLINE or self.tags[at] == "p"):
+            at -= 1
+        if at > 0 and self.tags[at] in ends:
+            return at
+        self.failed[ends] = self.version
+        return 0
+
+
+_P = frozenset(("p",))
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; text that is not read, hidden or blank gives none."""
+    """The blocks of a page in order; text that is not read, not shown or blank gives none. Time grows with the page's length, whatever is left open or closed without being open."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, flags, number
+    there = _Open()
     parts: list[str] = []
-    number, linked, skip, pos = 0, 0, 0, 0
+    number, linked, pos = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                at = len(stack) - 1
-                while at > 0 and stack[at][0] in INLINE:
-                    at -= 1
-                out.append(Block(text, stack[at][0], stack[at][1], stack[max(0, at - 1)][2], stack[max(0, at - 2)][2], linked))
+                at = there.bases[-1]
+                out.append(Block(text, there.tags[at], there.flags[at], there.numbers[max(0, at - 1)], there.numbers[max(0, at - 2)], linked))
             parts.clear()
         linked = 0
 
@@ -98,26 +148,22 @@ def blocks(page: str) -> list[Block]:
         name = m[2]
         if name is None:
             piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                if not skip:
-                    parts.append(piece)
-                    if stack[-1][1] & LINK:
-                        linked += len(piece)
+            if (piece[0] != "<" or piece == "<") and not there.unread:
+                parts.append(piece)
+                if there.flags[-1] & LINK:
+                    linked += len(piece)
             continue
         name = name.lower()
         if m[1]:
-            if name in ("br", "p") and not any(x[0] == name for x in stack):
-                flush() if name == "p" else parts.append(" ")
-                continue
-            at = len(stack) - 1
-            while at > 0 and stack[at][0] != name:
-                at -= 1
+            at = there.last(name)
             if at:
                 if name not in INLINE:
                     flush()
-                for x in stack[at:]:
-                    skip -= x[0] in UNREAD or x[1] < 0
-                del stack[at:]
+                there.cut(at)
+            elif name == "p":
+                flush()
+            elif name == "br":
+                parts.append(" ")
             continue
         if name == "br":
             parts.append(" ")
@@ -125,37 +171,32 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
             if name in CLOSES or name in _ENDS_P:
-                ends = CLOSES.get(name, frozenset(("p",)))
-                at = len(stack) - 1
-                while at > 0 and (stack[at][0] in INLINE or stack[at][0] == "p") and stack[at][0] not in ends:
-                    at -= 1
-                if at > 0 and stack[at][0] in ends:
-                    for x in stack[at:]:
-                        skip -= x[0] in UNREAD or x[1] < 0
-                    del stack[at:]
+                at = there.ended(CLOSES.get(name, _P))
+                if at:
+                    there.cut(at)
         if name in VOID:
             continue
         own = _flags(m[3]) if m[3] and len(m[3]) > 2 else 0
-        above = stack[-1][1]
+        above = there.flags[-1]
         number += 1
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, pos)
             pos = len(page) if end is None else end.end()
             continue
         if own is None:
-            stack.append((name, -1, number))
-            skip += 1
+            there.push(name, -1, number)
             continue
         flags = max(above, 0) | TAG_FLAGS.get(name, 0) | own
         if name in ("header", "footer") and above & BODY:
             flags &= ~(HEAD if name == "header" and not above & HEAD else 0)  # an article's own head holds its title
-        stack.append((name, flags, number))
-        skip += name in UNREAD
+        there.push(name, flags, number)
     flush()
     return out
 
 
 _SENTENCE = re.compile(r"[.!?](?:\W|$)")
+#: Words of notices; a block counts as one by their share of its words.
+_NOTICE = re.compile(r"©|copyright|all rights reserved", re.I)
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -164,11 +205,10 @@ def features(found: list[Block]) -> np.ndarray:
     x = np.zeros((n, 24))
     for i, b in enumerate(found):
         words, f = b.text.count(" ") + 1, b.flags
-        low = b.text[:60].lower()
         x[i] = (
-            1, min(words, 60) / 20, words < 4, min(1.0, b.linked / len(b.text)), min(3, len(_SENTENCE.findall(b.text[:400]))) / 3, b.text[-1] in ".!?…\"”»)",
+            1, min(words, 60) / 20, words < 4, min(1.0, b.linked / len(b.text)), min(3, len(_SENTENCE.findall(b.text))) / 3, b.text[-1] in ".!?…\"”»)",
             bool(f & NAV), bool(f & FOOT), bool(f & HEAD), bool(f & SIDE), bool(f & FORM), bool(f & GOOD), bool(f & REMARK), bool(f & ADVERT), bool(f & BODY), bool(f & QUOTE),
-            b.tag == "p", b.tag in HEADINGS, b.tag == "li", b.tag in ("td", "th", "dt", "dd", "small", "figcaption"), b.tag == "div", "©" in b.text or "copyright" in low or "all rights reserved" in b.text[:300].lower(), i < 0.1 * n, i >= 0.9 * n,
+            b.tag == "p", b.tag in HEADINGS, b.tag == "li", b.tag in ("td", "th", "dt", "dd", "small", "figcaption"), b.tag == "div", min(1.0, 10 * len(_NOTICE.findall(b.text)) / words), i < 0.1 * n, i >= 0.9 * n,
         )
     return x
 

@@ -254,6 +254,37 @@ def test_orc_round_trip(spark, docs, rows, empty, tmp_path):
     assert plan.count() == 1 and "PushedFilters" in plan._jdf.queryExecution().toString()
 
 
+def scanned(df):
+    """Rows that the scan of an executed plan has given."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_orc_passes_over_what_is_not_wanted(spark, tmp_path):
+    docs = spark.range(0, 60_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    at = f"file://{tmp_path}/orc"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        token_orc.write_orc(docs, PATH, at)
+        rows = token_orc.read_orc(spark, at)
+        assert rows.where("doc_id = 31000").count() == 1
+        assert scanned(rows.select("doc_id")) == 30_000
+        # an index entry for each 1,000 rows; ids between two that are there are told by the Bloom filter
+        assert scanned(rows.where("doc_id = 31000").select("doc_id")) <= 1000
+        assert scanned(rows.where("doc_id between 100 and 300").select("doc_id")) <= 1000
+        assert scanned(rows.where("doc_id = 31001").select("doc_id")) == 0 and scanned(rows.where("doc_id > 70000").select("doc_id")) == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    orc = pytest.importorskip("pyarrow.orc")
+    files = sorted((tmp_path / "orc").glob("part-*.orc"))
+    assert len(files) == 2 and sum(orc.ORCFile(f).nrows for f in files) == 30_000
+
+
 # ---------------------------------------------------------------- archives
 
 
@@ -357,6 +388,23 @@ def test_main_text(spark):
     assert html_cut.extract(df.limit(0)).count() == 0
 
 
+def test_blocks_take_time_by_length_alone():
+    import time
+
+    for page in ("<b>" * 20000 + "</i>" * 40000, "<b>" * 20000 + "x<hr>" * 20000, "<p><div>" + "<b>" * 20000 + "x<hr>" * 20000, "<li><div>" + "<i>" * 20000 + "x</p>" * 20000):
+        start = time.process_time()
+        html_cut.blocks(page)
+        assert time.process_time() - start < 3
+
+
+def test_features_read_whole_blocks():
+    at = lambda t: html_cut.features(html_cut.blocks(f"<p>{t}</p>"))[0]
+    words = "word " * 120
+    assert at(f"x {words} One. Two. Three. y")[4] == at(f"x One. Two. Three. {words} y")[4] == 1
+    assert at(words + " all rights reserved").tolist() == at("all rights reserved " + words).tolist()
+    assert [b.text for b in html_cut.blocks("<p>a <math><mi>x</mi></math> <span aria-hidden=true>b</span> <span hidden>c</span></p>")] == ["a x b"]
+
+
 def test_classifier_on_unseen_layouts():
     rng, wrong = random.Random(77), 0
     for _ in range(150):
