@@ -1,23 +1,24 @@
 """Removal of repeated passages by level-wise doubling.
 
-A window is a run of words of one document. Windows of half the wanted length come first: of each stretch of starts that a
+A window is a run of words of one document. Windows of the least length come first, a quarter of the wanted one or so: of each stretch of starts that a
 wanted window covers only the one with the least hash is looked up (two equal windows choose the same one), so that a
 small share of all windows is dealt out. Those that stand in one document alone go; the others are extended to twice their length,
-looked up again, and so on up to the wanted length or until none survives. The hash of a window is made from its two halves'.
+looked up again, and so on up to the wanted length or until none survives. A window is made of two of the level below, which overlap by a word where its length is odd, and survives only if both
+did. Windows are told apart by 64 bits on the way, where a chance meeting costs work and nothing else, and by 128 bits of hashes of their words at the wanted length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import WordHashes, drop_table, join_hash, mix, text_rows, utf8, written
+from corpuslab.llm.common import CACHE_WORDS, WordHashes, drop_table, join_hash, mix, text_rows, utf8, written
 from corpuslab.session import in_arrow
 
 #: The shortest window that is looked up on its own.
@@ -25,24 +26,22 @@ LEAST = 13
 
 
 def levels(window: int) -> list[int]:
-    """The lengths looked up: the wanted one, and its halves while they are whole and not too short."""
+    """The lengths looked up: the wanted one, and its halves (rounded up) while they are not too short."""
     out = [window]
-    while out[0] % 2 == 0 and out[0] // 2 >= LEAST:
-        out.insert(0, out[0] // 2)
+    while (out[0] + 1) // 2 >= LEAST:
+        out.insert(0, (out[0] + 1) // 2)
     return out
 
 
 def window_hashes(w: np.ndarray, length: int) -> np.ndarray:
-    """The hash of each run of `length` words, by doubling: from two halves, or from powers of two for an odd length."""
+    """The hash of each run of `length` words, by doubling: from those of two halves, which overlap by a word where the length is odd."""
     if len(w) < length:
         return np.empty(0, np.uint64)
     if length == 1:
         return mix(w)
-    if length % 2 == 0:
-        half = window_hashes(w, length // 2)
-        return join_hash(half[: len(w) - length + 1], half[length // 2 :][: len(w) - length + 1])
-    rest = window_hashes(w, length - 1)
-    return join_hash(rest[: len(w) - length + 1], mix(w[length - 1 :]))
+    half = window_hashes(w, (length + 1) // 2)
+    n = len(w) - length + 1
+    return join_hash(half[:n], half[length // 2 :][:n])
 
 
 def least_starts(h: np.ndarray, width: int) -> np.ndarray:
@@ -76,9 +75,14 @@ def _words(window: int):
     return run
 
 
-def _rows(ids: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, [len(x) for x in found]))], ["h", "doc_id"])
+class SecondHashes(WordHashes):
+    """The words' hashes by another function, so that words and windows that share one hash do not share both."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return value
 
 
 def _list_at(batch: pa.RecordBatch, name: str):
@@ -87,39 +91,51 @@ def _list_at(batch: pa.RecordBatch, name: str):
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _extended(window: int, length: int):
-    """Documents with the hashes of their surviving windows one level below, to the hashes of those of this length that they allow."""
-    below, first = length // 2, levels(window)[0]
+def _extended(window: int, length: int, below: int):
+    """Documents with the hashes of their surviving windows one level below, to those of the windows of this length that they allow; both hashes at the wanted length."""
+    first, last = levels(window)[0], length == window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, others = WordHashes(), SecondHashes()
         for batch in batches:
-            found = []
+            found, second = [], []
             for text, alive in zip(text_rows(batch), _list_at(batch, "alive"), strict=True):
-                w = hashes.array(utf8(text).split())
+                words = utf8(text).split()
+                w = hashes.array(words)
                 small = window_hashes(w, below)
-                n = len(w) - length + 1
+                n = max(0, len(w) - length + 1)
                 if below == first:
                     ok = np.isin(least_starts(small, window - first + 1), alive)
-                    if length < window:  # a longer window is wanted: each start that one of its allowed windows covers
+                    if not last:  # a longer window is wanted: each start that one of its allowed windows covers
                         ok = np.convolve(ok, np.ones(window - length + 1, int))[:n] > 0
                 else:
                     alive_at = np.isin(small, alive)
-                    ok = alive_at[:n] & alive_at[below : below + n]
-                found.append(np.unique(window_hashes(w, length)[ok]))
-            yield _rows(batch.column("doc_id").to_numpy(), found)
+                    ok = alive_at[:n] & alive_at[length - below : length - below + n]
+                h = window_hashes(w, length)[ok]
+                if last:
+                    h, at = np.unique(h, return_index=True)
+                    second.append(window_hashes(others.array(words), length)[ok][at] if len(h) else h)
+                else:
+                    h = np.unique(h)
+                found.append(h)
+            columns = [found, second] if last else [found]
+            flat = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in columns]
+            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.array(ids)], ["h", "g", "doc_id"] if last else ["h", "doc_id"])
 
     return run
 
 
 def _spans(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, others = WordHashes(), SecondHashes()
         for batch in batches:
             spans, removed, digests = [], [], []
-            for text, gone in zip(text_rows(batch), _list_at(batch, "gone"), strict=True):
+            for text, gone, too in zip(text_rows(batch), _list_at(batch, "gone"), _list_at(batch, "gone_too"), strict=True):
                 words = utf8(text).split()
                 starts = np.isin(window_hashes(hashes.array(words), window), gone)
+                if starts.any():
+                    starts &= np.isin(window_hashes(others.array(words), window), too)
                 cover = np.zeros(len(words) + 1, np.int64)
                 cover[: len(starts)] += starts
                 cover[window : window + len(starts)] -= starts[: len(words) + 1 - window]
@@ -151,16 +167,18 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     first, first_at = written(base.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("key").agg(F.min("doc_id").alias("first")), "first")
     # one document of each text is looked at; the others lose all or nothing
     own = base.join(first, "key").where("doc_id = first").dropDuplicates(["key", "doc_id"])
-    alive, alive_at = _repeated(own.select(F.explode("anchors").alias("h"), "doc_id"), steps[0] == window)
+    alive, alive_at = _repeated(own.select(F.explode("anchors").alias("h"), "doc_id"))
     chosen = own.select("doc_id", "key").join(alive, "doc_id")
     held, held_at = written(keyed.join(chosen, ["doc_id", "key"]).select("doc_id", "key", "text", "alive"), "held")
     paths, texts = [alive_at], held.select("doc_id", "key", "text")
-    for length in steps[1:]:
-        at, at_path = written(in_arrow(held, _extended(window, length), "h long, doc_id long"), "windows")
-        alive, path = _repeated(at, length == window)
+    # a window that is wanted at its first length is looked up once more, by both hashes
+    for below, length in zip(steps, steps[1:]) if len(steps) > 1 else [(window, window)]:
+        last = length == window
+        at, at_path = written(in_arrow(held, _extended(window, length, below), "h long, g long, doc_id long" if last else "h long, doc_id long"), "windows")
+        alive, path = _started(at) if last else _repeated(at)
         drop_table(spark, at_path, *paths)
         paths, held = [path], texts.join(alive, "doc_id")
-    cut, _ = written(in_arrow(texts.join(alive.withColumnRenamed("alive", "gone"), "doc_id"), _spans(window), "doc_id long, key binary, spans array<long>, n_removed long, kept_sha256 string").where("n_removed > 0").dropDuplicates(["doc_id", "key"]), "spans")
+    cut, _ = written(in_arrow(texts.join(alive, "doc_id"), _spans(window), "doc_id long, key binary, spans array<long>, n_removed long, kept_sha256 string").where("n_removed > 0").dropDuplicates(["doc_id", "key"]), "spans")
     drop_table(spark, held_at, *paths)
     parts = cut.select("doc_id", "key", F.col("n_removed").alias("part"), F.col("kept_sha256").alias("part_sha256"))
     out = base.drop("anchors").join(first, "key", "left").join(parts, ["doc_id", "key"], "left")
@@ -171,11 +189,17 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     return result, cut.select("doc_id", "key", "spans")
 
 
-def _repeated(windows: DataFrame, last: bool) -> tuple[DataFrame, str]:
-    """Per doc_id the hashes that stand in another document too; on the last level those that start in one with a smaller id."""
-    low = windows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low")
-    met = windows.join(low, "h")
-    return written((met.where("doc_id > low") if last else met).groupBy("doc_id").agg(F.collect_set("h").alias("alive")), "alive")
+def _repeated(windows: DataFrame) -> tuple[DataFrame, str]:
+    """Per doc_id the hashes that stand in another document too."""
+    low = windows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    return written(windows.join(low, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive")), "alive")
+
+
+def _started(windows: DataFrame) -> tuple[DataFrame, str]:
+    """Per doc_id the pairs of hashes that start in a document with a smaller id too, as two lists."""
+    low = windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
+    met = windows.join(low, ["h", "g"]).where("doc_id > low")
+    return written(met.groupBy("doc_id").agg(F.collect_list("h").alias("gone"), F.collect_list("g").alias("gone_too")), "gone")
 
 
 def _cut(names: list[str], text_at: int):

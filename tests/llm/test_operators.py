@@ -184,7 +184,7 @@ def brute_removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [50, 5, 52])
+@pytest.mark.parametrize("window", [50, 5, 51, 104])
 def test_repeated_spans(docs, rows, window):
     result, _ = substring.repeated_spans(docs, window)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in result.collect()}
@@ -209,7 +209,23 @@ def test_remove_repeats(docs, rows, empty, spark):
 
 
 def test_levels():
-    assert substring.levels(50) == [25, 50] and substring.levels(104) == [13, 26, 52, 104] and substring.levels(7) == [7]
+    assert substring.levels(50) == [13, 25, 50] and substring.levels(104) == [13, 26, 52, 104] and substring.levels(51) == [13, 26, 51] and substring.levels(7) == [7]
+    w = np.random.default_rng(1).integers(0, 3, 200).astype(np.uint64)
+    for length in (1, 2, 3, 7, 25, 51):
+        h, runs = substring.window_hashes(w, length), [tuple(w[i : i + length]) for i in range(len(w) - length + 1)]
+        assert len(h) == len(runs) and len(set(h.tolist())) == len(set(runs)) == len(set(zip(h.tolist(), runs, strict=True)))
+
+
+def test_windows_with_equal_first_hashes_are_told_apart():
+    """Words by their length alone: passages of other words have equal first hashes, and other second ones."""
+    a, b = ([f"{c}{'x' * (i % 7)}".encode() for i in range(60)] for c in "ab")
+    first = [substring.window_hashes(np.array(list(map(len, t)), np.uint64), 50).tolist() for t in (a, b)]
+    second = [set(substring.window_hashes(substring.SecondHashes().array(t), 50).tolist()) for t in (a, b)]
+    assert first[0] == first[1] and not second[0] & second[1]
+    # both passages of one document are looked up under one first hash; only the one whose second hash is gone is cut
+    text = b" ".join([*a, *b]).decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"k"]), pa.array([text]), pa.array([substring.window_hashes(substring.WordHashes().array([*a, *b]), 50).view(np.int64).tolist()]), pa.array([np.array(sorted(second[0]), np.uint64).view(np.int64).tolist()])], ["doc_id", "key", "text", "gone", "gone_too"])
+    assert next(substring._spans(50)(iter([batch]))).column("spans").to_pylist() == [[0, 60]]
 
 
 # ---------------------------------------------------------------- tokens
