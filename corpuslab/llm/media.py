@@ -20,11 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import drop_table, mix, partitions, written
+from corpuslab.operators.select import ranked
 from corpuslab.session import in_arrow
 
-#: Corners of an image at each scale, scales (each half as large), bits that two descriptors may differ in, and matches that must agree.
-CORNERS, SCALES, DISTANCE, AGREEING = 32, 3, 36, 10
+#: Bits that two descriptors may differ in, and matches that must agree.
+DISTANCE, AGREEING = 36, 10
+#: A corner counts if fewer than CROWD stronger ones are within AROUND pixels of it at its scale: corners grow with the area, and a crop keeps those that it shows.
+CROWD, AROUND = 13, 20
 EDGE, TURNS = 9, 32
+#: Transforms of a pair of images that are tried whole, those first whose surroundings have the most matches; and cells of that search: log2 of scale, angle, and pixels.
+TRIED, CELL = 512, (0.5, 0.5, 16.0)
 #: Matches that must meet before two images are compared whole, and the chance for a match at DISTANCE to meet: of AGREEING such matches fewer than SEEN meet in one of a thousand cases.
 SEEN, MET = 3, 0.72
 #: Tables that are joined at once: their shuffle files are deleted before the next ones are made.
@@ -63,13 +68,30 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return a
 
 
+def uncrowded(ys: np.ndarray, xs: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Which corners, sorted by y, have fewer than CROWD stronger ones (of equal ones the earlier) within AROUND pixels: each is held against those of its own rows' stretch alone."""
+    out, n = np.zeros(len(ys), bool), len(ys)
+    first, last = np.searchsorted(ys, ys - AROUND), np.searchsorted(ys, ys + AROUND, side="right")
+    at = 0
+    while at < n:
+        # as many corners as make a table of bounded size with all that are near them
+        end = at + 1
+        while end < n and (end + 1 - at) * (last[end] - first[at]) <= 500_000:
+            end += 1
+        near = slice(first[at], last[end - 1])
+        me = np.arange(at, end)
+        close = (np.abs(xs[near][None] - xs[me][:, None]) <= AROUND) & (np.abs(ys[near][None] - ys[me][:, None]) <= AROUND)
+        stronger = (strength[near][None] > strength[me][:, None]) | ((strength[near][None] == strength[me][:, None]) & (np.arange(n)[near][None] < me[:, None]))
+        out[at:end] = (close & stronger).sum(1) < CROWD
+        at = end
+    return out
+
+
 def describe_image(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x, y, scale, angle; in pixels of the given image) and packed descriptors (32 bytes each) of a grey image."""
+    """Places (x, y, scale, angle; in pixels of the given image) and packed descriptors (32 bytes each) of a grey image, at as many scales, each half as large, as it has room for."""
     places, bits, image, scale = [], [], pixels.astype(float), 1
-    for _ in range(SCALES):
+    while min(image.shape) >= 2 * EDGE + 3:
         h, w = image.shape
-        if min(h, w) < 2 * EDGE + 3:
-            break
         smooth = _box(image, 1) / 9
         gy, gx = np.gradient(smooth)
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
@@ -82,16 +104,18 @@ def describe_image(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     peak &= inner >= response[EDGE + dy : h - EDGE + dy, EDGE + dx : w - EDGE + dx]
         ys, xs = np.nonzero(peak)
         if len(ys):
-            best = np.argsort(-inner[ys, xs], kind="stable")[:CORNERS]
-            ys, xs = ys[best] + EDGE, xs[best] + EDGE
-            disc = smooth[ys[:, None] + _DY, xs[:, None] + _DX]
-            angle = np.arctan2((disc * _DY).sum(1), (disc * _DX).sum(1))
-            turn = np.rint(angle / (2 * math.pi) * TURNS).astype(int) % TURNS
-            at = _PATTERN[turn]
-            a = smooth[ys[:, None] + at[:, :, 0, 1], xs[:, None] + at[:, :, 0, 0]]
-            b = smooth[ys[:, None] + at[:, :, 1, 1], xs[:, None] + at[:, :, 1, 0]]
-            bits.append(np.packbits(a < b, axis=1))
-            places.append(np.stack([(xs + 0.5) * scale, (ys + 0.5) * scale, np.full(len(xs), float(scale)), angle], 1))
+            kept = uncrowded(ys, xs, inner[ys, xs])
+            ys, xs = ys[kept] + EDGE, xs[kept] + EDGE
+            for i in range(0, len(ys), 2000):  # a few megabytes at a time
+                y, x = ys[i : i + 2000], xs[i : i + 2000]
+                disc = smooth[y[:, None] + _DY, x[:, None] + _DX]
+                angle = np.arctan2((disc * _DY).sum(1), (disc * _DX).sum(1))
+                turn = np.rint(angle / (2 * math.pi) * TURNS).astype(int) % TURNS
+                at = _PATTERN[turn]
+                a = smooth[y[:, None] + at[:, :, 0, 1], x[:, None] + at[:, :, 0, 0]]
+                b = smooth[y[:, None] + at[:, :, 1, 1], x[:, None] + at[:, :, 1, 0]]
+                bits.append(np.packbits(a < b, axis=1))
+                places.append(np.stack([(x + 0.5) * scale, (y + 0.5) * scale, np.full(len(x), float(scale)), angle], 1))
         image = image[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
         scale *= 2
     if not places:
@@ -187,26 +211,47 @@ def matches(mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
+def likeliest(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The matches whose transforms are to be tried: all of up to TRIED; of more those whose cell in the space of transforms (scale, angle, where the middle of q goes) holds the most matches.
+
+    Cells are counted in two grids, half a cell apart, and a match has the larger count, so that matches of one transform are seldom parted.
+    """
+    if len(q) <= TRIED:
+        return np.arange(len(q))
+    scale, turn = t[:, 2] / q[:, 2], (t[:, 3] - q[:, 3]) % (2 * math.pi)
+    c, s = scale * np.cos(turn), scale * np.sin(turn)
+    dx, dy = q[:, 0].mean() - q[:, 0], q[:, 1].mean() - q[:, 1]
+    space = np.stack([np.log2(scale) / CELL[0], turn / CELL[1], (t[:, 0] + c * dx - s * dy) / CELL[2], (t[:, 1] + s * dx + c * dy) / CELL[2]], 1)
+    votes = np.zeros(len(q), np.int64)
+    for shift in (0.0, 0.5):
+        _, cell, size = np.unique(np.floor(space + shift).astype(np.int64), axis=0, return_inverse=True, return_counts=True)
+        votes = np.maximum(votes, size[cell.reshape(-1)])
+    return np.argsort(-votes, kind="stable")[:TRIED]
+
+
 def consensus(q: np.ndarray, t: np.ndarray) -> int:
-    """Matches that agree with one similarity transform: each match gives one from its scales and angles, and the best is counted.
+    """Matches that agree with one similarity transform: a match gives one from its scales and angles, and the best of those tried is counted.
 
-    q, t: (x, y, scale, angle) of the matches' two ends. Ends count once, however many matches they have.
+    q, t: (x, y, scale, angle) of the matches' two ends. Ends count once, however many matches they have. Time and memory grow with the matches, TRIED times.
     """
     scale, turn = t[:, 2] / q[:, 2], t[:, 3] - q[:, 3]
-    c, s = scale * np.cos(turn), scale * np.sin(turn)
+    c, s, size = scale * np.cos(turn), scale * np.sin(turn), np.log2(scale)
 
     def fits(at: np.ndarray) -> np.ndarray:
         dx, dy = q[None, :, 0] - q[at, None, 0], q[None, :, 1] - q[at, None, 1]
         ex = t[at, None, 0] + c[at, None] * dx - s[at, None] * dy - t[None, :, 0]
         ey = t[at, None, 1] + s[at, None] * dx + c[at, None] * dy - t[None, :, 1]
         drift = SLACK * np.maximum(1, scale)[at, None] + 0.12 * np.hypot(dx, dy) * scale[at, None]
-        same = np.abs(np.angle(np.exp(1j * (turn[None, :] - turn[at, None])))) < 0.5
-        return (np.hypot(ex, ey) <= drift) & same & (np.abs(np.log2(scale[None, :] / scale[at, None])) < 0.5)
+        apart = np.abs((turn[None, :] - turn[at, None] + math.pi) % (2 * math.pi) - math.pi)
+        return (np.hypot(ex, ey) <= drift) & (apart < 0.5) & (np.abs(size[None, :] - size[at, None]) < 0.5)
 
-    step = max(1, 500_000 // len(q))
-    counts = np.concatenate([fits(np.arange(i, min(i + step, len(q)))).sum(1) for i in range(0, len(q), step)])
+    tried, step = likeliest(q, t), max(1, 200_000 // len(q))
+    counts = np.concatenate([fits(tried[i : i + step]).sum(1) for i in range(0, len(tried), step)])
     best = 0
-    for row in fits(np.argsort(-counts, kind="stable")[:8]):
+    for i in np.argsort(-counts, kind="stable").tolist():
+        if counts[i] <= best:
+            break  # no more ends than matches
+        row = fits(tried[i : i + 1])[0]
         best = max(best, min(len(np.unique(q[row], axis=0)), len(np.unique(t[row], axis=0))))
     return best
 
@@ -235,16 +280,21 @@ def find_copies(queries: DataFrame, images: DataFrame, distinct: bool = False) -
 
     queries, images: (id, width, height, pixels), pixels row by row in a byte each. Every descriptor of every image is in the tables; distinct says that no id and no
     picture is among the images twice, so that each is its own class. Rows without id or pixels are left out, and images too small for a corner match nothing.
-    Repeated ids are repeated images of the same id. Empty tables give no rows.
+    Ids name one picture each: rows that repeat an id and its picture are one image, and an id with several pictures raises. Empty tables give no rows.
     """
     images = images.select(F.col("id").cast("long").alias("id"), "width", "height", "pixels").where("id is not null and pixels is not null")
+    queries = queries.select(F.col("id").cast("long").alias("id"), "width", "height", "pixels").where("id is not null and pixels is not null")
     used = []
     if not distinct:
-        known, known_at = written(classes(images).dropDuplicates(["id"]), "classes")
-        images = images.join(known.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
+        named = F.concat_ws(":", "width", "height", F.sha1("pixels"))
+        if images.groupBy("id").agg(F.min(named).alias("a"), F.max(named).alias("b")).where("a <> b").limit(1).count():
+            raise ValueError("an id has several pictures")
+        known, known_at = written(classes(images), "classes")
+        images = images.join(known.where("id = class_id").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("width", "height", "pixels")).alias("p")).select("id", "p.width", "p.height", "p.pixels")
+        queries = queries.distinct()
         used.append(known_at)
     found, found_at = written(spots(images), "spots")
-    asked, asked_at = written(spots(queries.where("id is not null and pixels is not null")), "asked")
+    asked, asked_at = written(spots(queries), "asked")
     used += [found_at, asked_at]
     spark = images.sparkSession
     width = table_bits(found.agg(F.sum("n")).first()[0] or 0)
@@ -307,32 +357,40 @@ def edited(pixels: bytes, kind: int) -> tuple[int, int, bytes]:
 
 
 def pictures(vectors: DataFrame, copies: bool = False) -> DataFrame:
-    """(id, width, height, pixels) of vectors (vec_id, embedding): their pictures, or edited copies of them."""
+    """(id, width, height, pixels) of vectors (id, embedding, and, for copies, kind): their pictures, or edited copies of them, by kind (0 to 4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             made = [picture(v) for v in batch.column(1).to_pylist()]
-            shapes = [(SIDE, SIDE, p) if p is None or not copies else edited(p, (i or 0) // 20 % 5) for i, p in zip(ids, made, strict=True)]
+            shapes = [(SIDE, SIDE, p) if p is None or not copies else edited(p, kind) for kind, p in zip(batch.column(2).to_pylist(), made, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in shapes], pa.int32()), pa.array([s[1] for s in shapes], pa.int32()), pa.array([s[2] for s in shapes], pa.binary())], ["id", "width", "height", "pixels"])
 
-    return in_arrow(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "id long, width int, height int, pixels binary")
+    kind = F.col("kind").cast("int") if copies else F.lit(0)
+    return in_arrow(vectors.select(F.col("id").cast("long").alias("id"), "embedding", kind.alias("kind")), run, "id long, width int, height int, pixels binary")
 
 
 def copies_of_vectors(vectors: DataFrame) -> DataFrame:
     """Queries are edited copies of the pictures of all rows whose vec_id is divisible by 20; they search the pictures of all rows.
 
-    (query_id, class_id, found_class, agreeing): class_id is the smallest vec_id with the query's own picture, found_class a class that was found (null if none was;
-    a query has a row for each class that it is a copy of).
+    Equal vectors are one class; its class_id is their smallest vec_id. Two kinds of rows, told apart by `row`:
+    "match" (query_id, class_id, found_class, agreeing): class_id is the query's own class, found_class one that was found (null if none was; a query has a row for each class that it is a
+    copy of); rows that share a vec_id with different vectors are queries of their own;
+    "member" (vec_id, class_id): the class of every row with a vec_id and a vector, so that what is found of a class is found of all its rows.
+    Two vectors that share their smallest vec_id are classes of the same class_id. Rows without vec_id or vector have no class. An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    # equal vectors have equal pictures, so classes are made of vectors, which are smaller
-    heads, heads_at = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id")), "vectors")
-    asked, asked_at = written(rows.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    images = pictures(heads.select(F.col("class_id").alias("vec_id"), "embedding").repartition(partitions(vectors.sparkSession), "vec_id"))
-    found = find_copies(pictures(asked, copies=True), images, distinct=True)
-    own = asked.join(heads, "embedding").select(F.col("vec_id").alias("query_id"), "class_id")
-    out = own.join(found.withColumnRenamed("class_id", "found_class"), F.col("query_id") == F.col("query"), "left")
-    result, _ = written(out.select("query_id", "class_id", "found_class", "agreeing"), "found")
-    drop_table(vectors.sparkSession, heads_at, asked_at)
+    # equal vectors have equal pictures, so classes are made of vectors, which are smaller; pictures are named by the classes' numbers, as vec_ids may repeat
+    heads = ranked(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id")), [F.col("class_id"), F.col("embedding")], "number")
+    heads, heads_at = written(heads, "vectors")
+    asked = rows.where("vec_id % 20 = 0").distinct().join(heads, "embedding").withColumn("kind", F.pmod(F.floor(F.col("vec_id") / 20), F.lit(5)))
+    asked, asked_at = written(ranked(asked, [F.col("vec_id"), F.col("number")], "query"), "queries")
+    images = pictures(heads.select(F.col("number").alias("id"), "embedding").repartition(partitions(spark), "id"))
+    found = find_copies(pictures(asked.select(F.col("query").alias("id"), "embedding", "kind"), copies=True), images, distinct=True)
+    named = heads.select(F.col("number").alias("_number"), F.col("class_id").alias("found_class"))
+    met = asked.select("query", F.col("vec_id").alias("query_id"), "class_id").join(found.withColumnRenamed("class_id", "_number"), "query", "left").join(named, "_number", "left")
+    out = met.select(F.lit("match").alias("row"), "query_id", F.lit(None).cast("long").alias("vec_id"), "class_id", "found_class", "agreeing")
+    members = rows.join(heads, "embedding").select(F.lit("member").alias("row"), F.lit(None).cast("long").alias("query_id"), "vec_id", "class_id", F.lit(None).cast("long").alias("found_class"), F.lit(None).cast("long").alias("agreeing"))
+    result, _ = written(out.unionByName(members), "found")
+    drop_table(spark, heads_at, asked_at)
     return result

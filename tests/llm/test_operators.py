@@ -645,36 +645,105 @@ def test_rates_of_a_table_against_an_active_set_solver(spark):
 # ---------------------------------------------------------------- media
 
 
+def pixels_of(r):
+    return np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"])
+
+
 def test_copies_are_found_as_by_brute_force(spark):
     rng = random.Random(3)
-    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(8)] if i != 33 else [0.5] * 8, 0) for i in range(80)] + [(100, [0.5] * 8, 0), (120, None, 0)], "vec_id long, embedding array<double>, label int")
-    rows = media.copies_of_vectors(vectors).collect()
-    found = {(r["query_id"], r["found_class"]) for r in rows if r["found_class"] is not None}
-    pictures = {r["id"]: r for r in media.pictures(vectors).collect() if r["pixels"] is not None}
-    queries = {r["id"]: r for r in media.pictures(vectors.where("vec_id % 20 = 0"), copies=True).collect() if r["pixels"] is not None}
-    described = {i: media.describe_image(np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"])) for i, r in pictures.items() if i != 100}
+    table = [(i, [rng.random() for _ in range(8)] if i != 33 else [0.5] * 8, 0) for i in range(80)] + [(100, [0.5] * 8, 0), (120, None, 0), (None, [0.1] * 8, 0)]
+    table += [(40, [rng.random() for _ in range(8)], 0), (40, table[40][1], 0)]  # a vec_id with two vectors, one of them twice
+    vectors = spark.createDataFrame(table, "vec_id long, embedding array<double>, row int").withColumns({"query": F.lit(1), "number": F.lit(2), "class_id": F.lit(3)})
+    every = media.copies_of_vectors(vectors).collect()
+    rows = [r for r in every if r["row"] == "match"]
+    smallest = {}
+    for i, v, _ in table:
+        if i is not None and v is not None:
+            smallest[tuple(v)] = min(i, smallest.get(tuple(v), i))
+    assert Counter((r["vec_id"], r["class_id"]) for r in every if r["row"] == "member") == Counter((i, smallest[tuple(v)]) for i, v, _ in table if i is not None and v is not None)
+    asked = {(i, tuple(v)) for i, v, _ in table if i is not None and v is not None and i % 20 == 0}
+    assert {(r["query_id"], r["class_id"]) for r in rows} == {(i, smallest[v]) for i, v in asked} and len(asked) == 6
+    found = {(r["query_id"], r["class_id"], r["found_class"]) for r in rows if r["found_class"] is not None}
+    described = {v: media.describe_image(np.frombuffer(media.picture(list(v)), np.uint8).reshape(media.SIDE, media.SIDE)) for v in smallest}
     brute = set()
-    for q, r in queries.items():
-        places, bits = media.describe_image(np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"]))
-        for i, (other, theirs) in described.items():
+    for q, v in asked:
+        w, h, p = media.edited(media.picture(list(v)), q // 20 % 5)
+        places, bits = media.describe_image(np.frombuffer(p, np.uint8).reshape(h, w))
+        for u, (other, theirs) in described.items():
             apart = np.unpackbits(bits[:, None] ^ theirs[None], axis=2).sum(2)
             a, b = np.nonzero(apart <= media.DISTANCE)
             if len(a) >= media.AGREEING and media.consensus(places[a], other[b]) >= media.AGREEING:
-                brute.add((q, i))
+                brute.add((q, smallest[v], smallest[u]))
     assert len(found & brute) >= 0.9 * len(brute) and not found - brute
-    assert {(q, q if q != 100 else 33) for q in queries} <= found
-    assert {r["class_id"] for r in rows if r["query_id"] == 100} == {33}
+    assert {(q, smallest[v], smallest[v]) for q, v in asked} <= found
     assert media.copies_of_vectors(vectors.limit(0)).count() == 0
 
 
+def scene(rng, h, w):
+    """A picture of many boxes and grain."""
+    image = np.full((h, w), 110.0)
+    for _ in range(h * w // 200):
+        y, x, a, b = rng.integers(0, h), rng.integers(0, w), *rng.integers(3, 14, 2)
+        image[y : y + a, x : x + b] = 0.25 * image[y : y + a, x : x + b] + 0.75 * rng.integers(0, 256)
+    return np.clip(image + 10 * media._box(rng.normal(0, 1, (h, w)), 1) / 3, 0, 255).astype(np.uint8)
+
+
+def test_small_crops_of_large_pictures(spark):
+    """By the edits that were made: crops of a fiftieth to a tenth of the area, some with less contrast, some half as large, some turned."""
+    rng = np.random.default_rng(8)
+    pictures = {i: scene(rng, 480, 640) for i in range(6)}
+    assert len(media.describe_image(pictures[0])[0]) > 800
+    queries, truth = [], {}
+    for k in range(24):
+        i = k % 6
+        h, w = (70, 90) if k < 12 else (150, 200)
+        y, x = rng.integers(0, 480 - h), rng.integers(0, 640 - w)
+        crop = pictures[i][y : y + h, x : x + w].astype(float)
+        crop = crop * 0.7 + 30 if k % 4 == 1 else np.rot90(crop) if k % 4 == 2 else crop
+        if k >= 18:
+            crop = crop[: crop.shape[0] // 2 * 2, : crop.shape[1] // 2 * 2].reshape(crop.shape[0] // 2, 2, crop.shape[1] // 2, 2).mean((1, 3))
+        crop = np.clip(np.rint(crop), 0, 255).astype(np.uint8)
+        queries.append((k, crop.shape[1], crop.shape[0], crop.tobytes()))
+        truth[k] = i
+    schema = "id long, width int, height int, pixels binary"
+    images = spark.createDataFrame([(i, 640, 480, bytearray(p.tobytes())) for i, p in pictures.items()] * 2, schema)
+    found = {(r["query"], r["class_id"]) for r in media.find_copies(spark.createDataFrame([(*q[:3], bytearray(q[3])) for q in queries], schema), images).collect()}
+    assert {c for q, c in found if truth[q] != c} == set() and len(found) >= 0.9 * len(truth)
+    clash = images.union(spark.createDataFrame([(0, 64, 64, bytearray(64 * 64))], schema))
+    with pytest.raises(ValueError):
+        media.find_copies(images.limit(1), clash)
+
+
+def test_many_matches_take_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    board = ((np.indices((200, 200)) // 8).sum(0) % 2 * 200 + 20).astype(np.uint8)
+    places, bits = media.describe_image(board)
+    a, b = media.matches(bits, bits)
+    assert len(a) > 9000
+    start = time.process_time()
+    tracemalloc.start()
+    assert media.consensus(places[a], places[b]) >= media.AGREEING
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and time.process_time() - start < 60
+    tracemalloc.stop()
+    # a true transform among many chance matches is among those tried
+    rng = np.random.default_rng(2)
+    q = np.stack([*rng.uniform(0, 300, (2, 6000)), np.ones(6000), rng.uniform(0, 6.28, 6000)], 1)
+    t = np.stack([*rng.uniform(0, 300, (2, 6000)), np.ones(6000), rng.uniform(0, 6.28, 6000)], 1)
+    t[:14, :2], t[:14, 3] = q[:14, :2] + [40, -25], q[:14, 3]
+    assert media.consensus(q, t) >= 14
+
+
 def test_copies_meet_whatever_the_number_of_descriptors(spark, monkeypatch):
     for n in (5_000, 2_000_000, 10**7, 10**9):
         width = media.table_bits(n)
         assert 1 - (1 - media.meeting(width)) ** media.table_count(width) >= media.MET
     rng = random.Random(5)
     vectors = spark.createDataFrame([(i, [rng.random() for _ in range(8)], 0) for i in range(0, 400, 5)], "vec_id long, embedding array<double>, label int")
-    images, queries = media.pictures(vectors), media.pictures(vectors.where("vec_id % 20 = 0"), copies=True)
-    described = {n: {r["id"]: media.describe_image(np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"])) for r in df.collect()} for n, df in (("q", queries), ("t", images))}
+    named = vectors.select(F.col("vec_id").alias("id"), "embedding", (F.floor(F.col("vec_id") / 20) % 5).alias("kind"))
+    images, queries = media.pictures(named), media.pictures(named.where("id % 20 = 0"), copies=True)
+    described = {n: {r["id"]: media.describe_image(pixels_of(r)) for r in df.collect()} for n, df in (("q", queries), ("t", images))}
     brute = {}
     for q, (places, bits) in described["q"].items():
         for i, (other, theirs) in described["t"].items():
