@@ -120,6 +120,14 @@ def test_bleu_and_chrf_of_equal_texts(spark):
     assert ngrams.chrf(none).first()[0] == 0
 
 
+def test_chrf_with_words(spark):
+    """By hand: characters ab,cd against ab,ce with orders up to 2, and words up to 2 with marks split off."""
+    df = spark.createDataFrame([("1", "ab, cd", "ab, ce")], "id string, hypothesis string, reference string")
+    assert [r[0] for r in df.select(ngrams.marked_words(F.col("hypothesis"))).collect()] == [["ab", ",", "cd"]]
+    want = 100 * (4 / 5 + 3 / 4 + 2 / 3 + 1 / 2) / 4  # precision is recall
+    assert abs(ngrams.chrf(df, order=2, word_order=2).first()[0] - want) < 1e-9
+
+
 @pytest.mark.parametrize("n,block,wanted", [(0, 8, 4), (7, 8, 4), (8, 8, 4), (100, 8, 4), (100, 8, 40), (513, 16, 7)])
 def test_block_starts(spark, n, block, wanted):
     got = spark.range(1).select(tokens.block_starts(F.lit(n), block, wanted)).first()[0]
