@@ -7,8 +7,9 @@ clusters. In a small region each is compared with each; a larger one is sorted b
 such a pair may share, and where a run of these is long too, all of it is joined. Inside a loose cluster full sets are
 compared exactly, in blocks of bounded size, and only the links of a spanning forest are kept.
 
-At a similarity of 0.8 a pair shares a region in 0.41 and passes the deeper test in 0.94 of 32 trees: 2 in 10 million
-such pairs meet in no tree, however many others are in their regions.
+At a similarity of 0.8 a pair shares a region in 0.41 and passes the deeper test in 0.94 of 32 trees. Trees share their
+minima, so that they do not miss a pair independently: of 20 million simulated pairs of that similarity 27 meet in no
+tree, however many others are in their regions.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import drop_table, written
+from corpuslab.operators.select import ranked
 
 #: White space behind a paragraph's end. The mark, and up to five characters such as quotes between it and the white space, stay with their paragraph.
 ENDS = r"(?=\\s)(?<=[.!?][^\\s]{0,5})\\s+|\\n+"
@@ -110,7 +111,11 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     heads, heads_at = written(rows.groupBy("stretch").agg(F.min(F.struct("doc_id")).alias("low")).select("stretch", "low.doc_id"), "heads")
     first = rows.join(heads.withColumnsRenamed({"stretch": "_s", "doc_id": "_d"}), (F.col("stretch") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     first, first_at = written(first.groupBy("stretch").agg(F.min("text").alias("first_text")), "firsts")
-    follow = heads.select("stretch", F.coalesce(F.lead("stretch").over(Window.orderBy("stretch")), F.min("stretch").over(Window.partitionBy(F.lit(1)))).alias("after"))
+    # stretches are numbered by a distributed rank, and each meets the one with the next number, the last one the first
+    numbered, numbered_at = written(ranked(heads.select("stretch"), [F.col("stretch")], "no"), "stretches")
+    after = numbered.select((F.col("no") - 1).alias("no"), F.col("stretch").alias("after"))
+    top = numbered.where("no = 0").select(F.col("stretch").alias("top"))  # one row
+    follow = numbered.join(after, "no", "left").join(F.broadcast(top)).select("stretch", F.coalesce("after", "top").alias("after"))
     follow = follow.join(first.withColumnRenamed("stretch", "_s"), F.col("after") == F.col("_s")).select("stretch", "first_text", F.expr(digests_sql("first_text")).alias("first_digests"))
     follow = follow.withColumn("first_base", F.expr(sketch_sql("first_digests", BASE)))
     order = Window.partitionBy("stretch").orderBy("doc_id", "text")
@@ -118,12 +123,15 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     met = rows.withColumns({f"lead_{c}": F.lead(c).over(order) for c in ("text", "digests", "base")}).join(follow, "stretch", "left")
     last = F.col("lead_text").isNull()
     following = (F.when(last, F.col(f"first_{c}")).otherwise(F.col(f"lead_{c}")).alias(f"next_{c}") for c in ("text", "digests", "base"))
-    return met.select("doc_id", "text", "digests", "base", *following), [heads_at, first_at]
+    return met.select("doc_id", "text", "digests", "base", *following), [heads_at, first_at, numbered_at]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, changed) of every row of docs (doc_id, text).
 
+    A shown fingerprint is the small sketch of a text. The likenesses are those of the sets of digests, exact: the small sketches give them where their difference peels, larger
+    sketches of the digests, which the row carries for this, where it does not.
+
     The edited text has its last quarter of code points (rounded down) replaced by as many from the start of the next document, or all of it
     if it is shorter. changed: the paragraphs in which the two differ. Null texts count as empty: an empty text has no paragraphs, is like itself
     (1) and unlike any other (0). Repeated doc_ids follow each other in the order of their texts; a lone row is its own next one.
