@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,26 @@ def drop_table(spark: SparkSession, *paths: str) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/corpuslab-{uuid.uuid4().hex}-{name}"
     atexit.register(_forget, spark, path)
+    for made in _SCRATCH:
+        made.add(path)
     return path
 
 
+_SCRATCH: list[set[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Tables that are made inside go at its end, but for those that are taken out of the set that it gives: for steps whose result is written, so that nothing reads what they were made of."""
+    made: set[str] = set()
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH[:] = [s for s in _SCRATCH if s is not made]
+        drop_table(spark, *made)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         drop_table(spark, path)

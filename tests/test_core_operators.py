@@ -464,3 +464,15 @@ def test_names(spark):
     assert df.select(tokens.name_split(F.col("t"), F.col("n"))).first()[0] == ["ramu", "ramu", "ji", "ram", "s", "other"]
     df = spark.createDataFrame([(["x ", "ra", "mu", " y"], "ramu"), (["x"], "ramu")], "p array<string>, n string")
     assert [r[0] for r in df.select(tokens.positions_of(F.col("p"), F.col("n"))).collect()] == [[1, 2], []]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from corpuslab.tables import scratch, written
+
+    with scratch(spark) as made:
+        a, at = written(spark.range(3).toDF("x"), "a")
+        b, kept = written(a, "b")
+        made.discard(kept)
+    assert not os.path.exists(at.removeprefix("file://")) and b.count() == 3
