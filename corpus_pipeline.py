@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuslab.llm import bpe, minhash, mixing, substring, toxicity
 from corpuslab.llm.queries import domains
 from corpuslab.session import spread
-from corpuslab.tables import drop_table, written
+from corpuslab.tables import drop_table, scratch, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another on documents; a stage's table goes when the next one is written."""
+    """The stages one after another on documents; what a stage has made on its way goes when it is written, and its table when the next one is."""
     docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES:
-        docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.discard(path)
         if before:
             drop_table(spark, before)
         before = path
