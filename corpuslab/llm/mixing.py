@@ -269,11 +269,9 @@ def mixed(table: DataFrame, rates: Rates) -> DataFrame:
 
 
 def mix(docs: DataFrame, model: Classifier, weights: dict[str, float] | None = None, least: float = 0.0, keep_all: bool = False) -> DataFrame:
-    """The rows of docs, all columns, repeated by fitted rates, as a written table."""
-    table, path = with_posteriors(docs, model)
-    result, _ = written(mixed(table, fit_rates(table, model, weights, least, keep_all)), "mixed")
-    drop_table(docs.sparkSession, path)
-    return result
+    """The rows of docs, all columns, repeated by fitted rates; they are read from the table of posteriors."""
+    table, _ = with_posteriors(docs, model)
+    return mixed(table, fit_rates(table, model, weights, least, keep_all))
 
 
 def mixing_rates(docs: DataFrame, model: Classifier, weights: dict[str, float] | None = None) -> DataFrame:
