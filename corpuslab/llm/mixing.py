@@ -180,7 +180,9 @@ def _summed(table: DataFrame, size: int, each) -> np.ndarray:
         total = np.atleast_1d(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.astype(float))], ["k", "v"])
 
-    rows = in_arrow(table.select(TOKENS, POSTERIOR), run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # as many as there are domains, or pairs of them
+    # a task for each core: a step is short, and so should its tasks' beginnings be
+    cores = max(1, table.sparkSession.sparkContext.defaultParallelism)
+    rows = in_arrow(table.select(TOKENS, POSTERIOR).coalesce(cores), run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # as many as there are domains, or pairs of them
     return np.array([r["v"] for r in sorted(rows)])
 
 
@@ -208,7 +210,7 @@ def descent(gram: np.ndarray, targets: np.ndarray, least: float, sums, most_step
     return steps[: best[1]], best[2], best[3]
 
 
-def fit_rates(table: DataFrame, model: Classifier, weights: dict[str, float] | None = None, least: float = 0.0, keep_all: bool = False, most_steps: int = 60) -> Rates:
+def fit_rates(table: DataFrame, model: Classifier, weights: dict[str, float] | None = None, least: float = 0.0, keep_all: bool = False, most_steps: int = 40) -> Rates:
     """Rates for the rows of with_posteriors(), by descent().
 
     weights: of the domains in the mix (not negative, in any unit; domains left out weigh nothing), or None for tempered ones. The mix has as
