@@ -146,7 +146,10 @@ def planned(pages: DataFrame, small: int = SMALL) -> DataFrame:
     met = rows.join(kept, F.col("digest") == F.col("_digest"), "left")
     whole = F.coalesce(F.col("page_id") == F.col("keeper"), F.col("keeper").isNull())
     out = met.select("page_id", "url", F.when(whole, F.col("html")).otherwise(F.lit(b"")).alias("html"), F.lower(F.hex("digest")).alias("digest"), "size", F.when(F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(None)).otherwise(F.col("keeper")).alias("refers_to"))
-    twice = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("_page"))
+    # page_ids that repeat are looked for on narrow rows; pages are dealt out for their numbers only where there are some
+    twice, _ = written(rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("_page")), "repeated")
+    if not twice.limit(1).count():
+        return out.withColumn("copy", F.lit(0).cast("long"))
     marked = out.join(twice, F.col("page_id").eqNullSafe(F.col("_page")), "left_semi")
     copies = marked.withColumn("copy", (F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")) - 1).cast("long"))
     return out.join(twice, F.col("page_id").eqNullSafe(F.col("_page")), "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(copies)
