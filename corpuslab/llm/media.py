@@ -381,7 +381,7 @@ def copies_of_vectors(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # equal vectors have equal pictures, so classes are made of vectors, which are smaller; pictures are named by the classes' numbers, as vec_ids may repeat
-    heads = ranked(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id")), [F.col("class_id"), F.col("embedding")], "number")
+    heads = ranked(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id")), [F.col("class_id"), F.xxhash64("embedding")], "number")
     heads, heads_at = written(heads, "vectors")
     asked = rows.where("vec_id % 20 = 0").distinct().join(heads, "embedding").withColumn("kind", F.pmod(F.floor(F.col("vec_id") / 20), F.lit(5)))
     asked, asked_at = written(ranked(asked, [F.col("vec_id"), F.col("number")], "query"), "queries")
