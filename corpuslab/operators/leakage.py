@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import scores as S
 from corpuslab.functions import text as T
+from corpuslab.session import spread
 
 
 def relation(answer_rel: Column) -> Column:
@@ -75,7 +76,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = F.size(words)
     keyed = texts.select("item_id", F.when(n > 2, F.least(n - 2, F.lit(LOOKED_UP))).otherwise(-F.least(size, F.lit(LOOKED_UP))).alias("length"), words.alias("w"), "item")
     keyed = keyed.select("item_id", "length", F.when(F.col("length") > 0, F.array_join(F.slice("w", F.lit(2), F.greatest(F.col("length"), F.lit(0))), " ")).otherwise(F.substring("item", F.lit(1), -F.col("length"))).alias("key"))
-    rows, pairs = docs.where("doc_id is not null and text is not null").select("doc_id", "text"), None
+    rows, pairs = spread(docs).where("doc_id is not null and text is not null").select("doc_id", "text"), None
     for length in sorted(r["length"] for r in keyed.select("length").distinct().collect()):  # at most twice LOOKED_UP
         runs = F.transform(S.ngrams(T.words(F.col("text")), length), lambda g: F.array_join(g, " ")) if length > 0 else S.char_runs(F.col("text"), -length)
         found = rows.select("doc_id", F.explode(F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))).alias("h"))

@@ -310,7 +310,7 @@ def quota_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, coalesce(sum(tok) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM e)
 SELECT doc_id FROM r WHERE before < 100000 AND n < 400""")
 def quota_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t(spark, sf_dir, "documents").select("doc_id", T.tokens_estimate(F.col("text"), 1.35, rounded=False).alias("tok"))
+    docs = spread(t(spark, sf_dir, "documents")).select("doc_id", T.tokens_estimate(F.col("text"), 1.35, rounded=False).alias("tok"))
     return quality.quota(docs, [F.col("doc_id")], {"tok": 100000, "*": 400}).select("doc_id")
 
 

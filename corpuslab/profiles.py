@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: White space as Python's str.split and str.isspace see it, and the two dandas that both Indic scripts share.
-SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as Python's str.split and str.isspace see it, and the two dandas that both Indic scripts share. A property is one test for each character; a list of ranges is one for each range.
+SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 DANDAS = r"\u0964\u0965"
 
 
@@ -44,7 +44,7 @@ ASSAMESE = ScriptProfile(
     diacritics=r"\u0981-\u0983\u09bc\u09be-\u09cd\u09d7\u09e2-\u09e3",
 )
 #: For texts in Latin letters: basic letters with marks and digits count as the script; it has no signs to repair.
-LATIN = ScriptProfile("latin", r"A-Za-z0-9\u00c0-\u024f", 0x0041, 0x024F)
+LATIN = ScriptProfile("latin", r"\p{Alnum}\u00c0-\u024f", 0x0041, 0x024F)
 
 PROFILES = {p.name: p for p in (HINDI, ASSAMESE, LATIN)}
 #: Words of one letter that are words.
