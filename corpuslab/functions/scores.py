@@ -3,22 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import collapse, words
+from corpuslab.functions.text import collapse, let, words
 
 SENTENCE_END = "।"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once: inside a lambda an expression would be evaluated for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-
 def doc_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from corpuslab.profiles import ASSAMESE, DANDAS, HINDI, SINGLE_WORDS, SPACE, ScriptProfile
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: inside a lambda, and where filters are pushed down, an expression would be evaluated wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # ---------------------------------------------------------------- white space and words
 
 
@@ -61,8 +66,7 @@ def not_space(text: Column) -> Column:
 
 def script_fraction(text: Column, profile: ScriptProfile, dandas: bool = True) -> Column:
     """Share of the script among characters that are not white space; 0 where there are none."""
-    total = not_space(text)
-    return F.when(total == 0, F.lit(0.0)).otherwise(in_script(text, profile, dandas) / total)
+    return let(not_space(text), lambda total: F.when(total == 0, F.lit(0.0)).otherwise(in_script(text, profile, dandas) / total))
 
 
 def letters(text: Column) -> Column:
@@ -93,8 +97,6 @@ _MAY_CHANGE = r"[[^\u0000-\u007f]&&[^\u0080-\u009f\u00a1-\u00a7\u00a9\u00ab-\u00
 
 def _where_needed(text: Column, form: str, test: str) -> Column:
     """The normal form by Python of the texts that a test on the JVM does not clear; the others cross as nulls."""
-    from corpuslab.functions.scores import let
-
     return F.coalesce(_forms(form)(let(text, lambda t: F.when(t.rlike(test), t))), text)
 
 
@@ -155,16 +157,18 @@ def repair(text: Column, profile: ScriptProfile) -> Column:
 
 def quality_reason(text: Column, profile: ScriptProfile) -> Column:
     """Why a cleaned document is too damaged to keep, or null: the first rule that it breaks."""
-    w = words(text)
-    n = F.greatest(F.size(w), F.lit(1))
-    singles = F.size(F.filter(w, lambda x: (F.char_length(x) == 1) & ~x.isin(*SINGLE_WORDS)))
-    reason = F.when(F.size(w) < 5, "too_short")
-    if profile.diacritics:
-        reason = reason.when(occurrences(text, f"(?:^|{_SP})[{profile.diacritics}]") / n > 0.03, "high_orphan_diacritics")
-    reason = reason.when(singles / n > 0.15, "excessive_single_char_fragments")
-    if profile.matras:
-        reason = reason.when(occurrences(text, f"[{profile.matras}]{{2,}}|[{profile.halant}]{{2,}}") / n > 0.02, "invalid_diacritic_stacking")
-    return reason
+    def rules(w: Column) -> Column:
+        n = F.greatest(F.size(w), F.lit(1))
+        singles = F.size(F.filter(w, lambda x: (F.char_length(x) == 1) & ~x.isin(*SINGLE_WORDS)))
+        reason = F.when(F.size(w) < 5, "too_short")
+        if profile.diacritics:
+            reason = reason.when(occurrences(text, f"(?:^|{_SP})[{profile.diacritics}]") / n > 0.03, "high_orphan_diacritics")
+        reason = reason.when(singles / n > 0.15, "excessive_single_char_fragments")
+        if profile.matras:
+            reason = reason.when(occurrences(text, f"[{profile.matras}]{{2,}}|[{profile.halant}]{{2,}}") / n > 0.02, "invalid_diacritic_stacking")
+        return reason
+
+    return let(words(text), rules)
 
 
 # ---------------------------------------------------------------- markup

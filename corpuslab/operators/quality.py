@@ -27,7 +27,7 @@ def cleaned(docs: DataFrame, profile: ScriptProfile, text: str = "text") -> Data
     lost = (F.char_length(raw) - F.char_length(clean)) / F.greatest(F.lit(1), F.char_length(T.strip(raw)))
     dropped = (
         F.when(F.char_length(clean) < LEAST_CHARS, "too_short")
-        .when((T.not_space(clean) > 0) & (T.in_script(clean, profile) / T.not_space(clean) < LEAST_SHARE), "low_script_fraction")
+        .when(T.let(T.not_space(clean), lambda n: (n > 0) & (T.in_script(clean, profile) / n < LEAST_SHARE)), "low_script_fraction")
         .when(lost > MOST_LOST, "high_orphan_diacritics")
         .otherwise(T.quality_reason(clean, profile))
     )

@@ -77,8 +77,8 @@ def r6(c: Column) -> Column:
 
 def _gated(docs: DataFrame) -> DataFrame:
     """Documents of 20 characters and more that are in the script."""
-    made = docs.withColumn("clean", T.collapse(F.col("text")))
-    return made.where((F.char_length("clean") >= 20) & (T.script_fraction(F.col("clean"), LATIN) >= 0.5)).where(T.quality_reason(F.col("clean"), LATIN).isNull())
+    good = T.let(T.collapse(F.col("text")), lambda c: (F.char_length(c) >= 20) & (T.script_fraction(c, LATIN) >= 0.5) & T.quality_reason(c, LATIN).isNull())
+    return docs.where(good).withColumn("clean", T.collapse(F.col("text")))
 
 
 GATED = f"""gated AS (SELECT * FROM (SELECT doc_id, source, lang, text, {CT} AS clean FROM documents)
