@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import drop_table, mix, partitions, written
-from corpuslab.operators.select import ranked
 from corpuslab.session import in_arrow
 
 #: Bits that two descriptors may differ in, and matches that must agree. Of 60 pictures and five kinds of edits no true match that counted was beyond 16 bits; of descriptors of different pictures a
@@ -381,11 +380,11 @@ def copies_of_vectors(vectors: DataFrame) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    # equal vectors have equal pictures, so classes are made of vectors, which are smaller; pictures are named by the classes' numbers, as vec_ids may repeat
-    heads = ranked(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id")), [F.col("class_id"), F.xxhash64("embedding")], "number")
-    heads, heads_at = written(heads, "vectors")
+    # equal vectors have equal pictures, so classes are made of vectors, which are smaller; pictures are named by the classes' numbers, as vec_ids may repeat;
+    # numbers are given as the table is written, and read from it ever after
+    heads, heads_at = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id")).withColumn("number", F.monotonically_increasing_id()), "vectors")
     asked = rows.where("vec_id % 20 = 0").distinct().join(heads, "embedding").withColumn("kind", F.pmod(F.floor(F.col("vec_id") / 20), F.lit(5)))
-    asked, asked_at = written(ranked(asked, [F.col("vec_id"), F.col("number")], "query"), "queries")
+    asked, asked_at = written(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
     images = pictures(heads.select(F.col("number").alias("id"), "embedding").repartition(partitions(spark), "id"))
     found = find_copies(pictures(asked.select(F.col("query").alias("id"), "embedding", "kind"), copies=True), images, distinct=True)
     named = heads.select(F.col("number").alias("_number"), F.col("class_id").alias("found_class"))
