@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import drop_table, written
-from corpuslab.operators.select import ranked
 
 #: White space behind a paragraph's end. The mark, and up to five characters such as quotes between it and the white space, stay with their paragraph.
 ENDS = r"(?=\\s)(?<=[.!?][^\\s]{0,5})\\s+|\\n+"
@@ -111,11 +110,12 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     heads, heads_at = written(rows.groupBy("stretch").agg(F.min(F.struct("doc_id")).alias("low")).select("stretch", "low.doc_id"), "heads")
     first = rows.join(heads.withColumnsRenamed({"stretch": "_s", "doc_id": "_d"}), (F.col("stretch") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     first, first_at = written(first.groupBy("stretch").agg(F.min("text").alias("first_text")), "firsts")
-    # stretches are numbered by a distributed rank, and each meets the one with the next number, the last one the first
-    numbered, numbered_at = written(ranked(heads.select("stretch"), [F.col("stretch")], "no"), "stretches")
-    after = numbered.select((F.col("no") - 1).alias("no"), F.col("stretch").alias("after"))
-    top = numbered.where("no = 0").select(F.col("stretch").alias("top"))  # one row
-    follow = numbered.join(after, "no", "left").join(F.broadcast(top)).select("stretch", F.coalesce("after", "top").alias("after"))
+    # the next stretch is looked for inside a cell of the grid; behind the last of a cell comes the first of the next one, of which there are as many as cuts
+    celled = heads.select("stretch", F.floor(F.col("stretch") / 4294967296).alias("cell"))
+    tops = celled.groupBy("cell").agg(F.min("stretch").alias("low"))
+    behind = tops.select("cell", F.lead("low").over(Window.orderBy("cell")).alias("behind"), F.min("low").over(Window.partitionBy(F.lit(1))).alias("top"))
+    inside = celled.withColumn("after", F.lead("stretch").over(Window.partitionBy("cell").orderBy("stretch")))
+    follow = inside.join(F.broadcast(behind), "cell").select("stretch", F.coalesce("after", "behind", "top").alias("after"))
     follow = follow.join(first.withColumnRenamed("stretch", "_s"), F.col("after") == F.col("_s")).select("stretch", "first_text", F.expr(digests_sql("first_text")).alias("first_digests"))
     follow = follow.withColumn("first_base", F.expr(sketch_sql("first_digests", BASE)))
     order = Window.partitionBy("stretch").orderBy("doc_id", "text")
@@ -123,7 +123,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     met = rows.withColumns({f"lead_{c}": F.lead(c).over(order) for c in ("text", "digests", "base")}).join(follow, "stretch", "left")
     last = F.col("lead_text").isNull()
     following = (F.when(last, F.col(f"first_{c}")).otherwise(F.col(f"lead_{c}")).alias(f"next_{c}") for c in ("text", "digests", "base"))
-    return met.select("doc_id", "text", "digests", "base", *following), [heads_at, first_at, numbered_at]
+    return met.select("doc_id", "text", "digests", "base", *following), [heads_at, first_at]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
