@@ -30,8 +30,8 @@ def choice(key: Column, seed: int, weights: dict[str, float]) -> Column:
     return F.lit(names[-1]) if out is None else out.otherwise(names[-1])
 
 
-#: Stretches that an order is cut into, at least and at most (two for each shuffle partition between them), and rows sampled for each.
-STRETCHES, SAMPLED = (32, 1024), 24
+#: Stretches that an order is cut into, at least and at most (one for each shuffle partition between them; the cuts stand in the plan), and rows sampled for each.
+STRETCHES, SAMPLED = (32, 256), 24
 #: Bins of the upper and of the lower half of a chance's 32 bits.
 HALF = 1 << 16
 
@@ -51,7 +51,7 @@ def cuts(rows: DataFrame, order: list[Column]) -> tuple[list[Row], t.StructType]
     They are values on the driver, taken from a sample of a bounded size: every plan that uses them has the same stretches, however often and on whatever columns it is
     evaluated. (Bounds that repartitionByRange draws are drawn anew by each plan.)
     """
-    n = min(STRETCHES[1], max(STRETCHES[0], 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(STRETCHES[1], max(STRETCHES[0], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keys = rows.select(key_of(order).alias("k"))
     total, wanted = keys.count(), n * SAMPLED
     some = keys if total <= wanted else keys.sample(fraction=wanted / total, seed=1)
