@@ -835,11 +835,12 @@ def ppl_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT event_id % 511 AS position, avg(abs(value) / 100) AS l FROM events GROUP BY 1), c AS (SELECT CASE WHEN position < 31 THEN '0-31' WHEN position < 95 THEN '31-95' WHEN position < 255 THEN '95-255' ELSE '255-511' END AS context, avg(l) AS l, count(*) AS positions FROM p GROUP BY 1)
-SELECT context, round(l, 6) AS loss, positions, round(exp(l), 6) AS ppl FROM c""")
+SELECT context, round(l, 5) AS loss, positions, round(exp(l), 5) AS ppl FROM c""")
 def context_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "events").select((F.col("event_id") % 511).alias("position"), (F.abs("value") / 100).alias("loss"))
     x = training.by_context(e)
-    return x.select("context", r6(F.col("loss")).alias("loss"), "positions", r6(F.col("ppl")).alias("ppl"))
+    # a mean at sf0.01 is 0.5060075, which sums in another order round to either side at six places
+    return x.select("context", F.round("loss", 5).alias("loss"), "positions", F.round("ppl", 5).alias("ppl"))
 
 
 @query("""SELECT event_id, event_type, coalesce(value > lag(value, 1) OVER w AND lag(value, 1) OVER w > lag(value, 2) OVER w AND lag(value, 2) OVER w > lag(value, 3) OVER w, false) AS alarm FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""")
