@@ -334,10 +334,14 @@ def name_split(text: Column, names: Column, longest_suffix: int = 3) -> Column:
 
 def positions_of(pieces: Column, name: Column) -> Column:
     """Numbers of the pieces that share a character with the first place at which a name stands in the pieces' joined text."""
-    start = F.position(name, F.array_join(pieces, ""))
+    def places(start: Column) -> Column:
+        def step(s: Column, p: Column) -> Column:
+            end = s["at"] + p["n"]
+            here = (s["at"] < start - 1 + F.char_length(name)) & (end > start - 1)
+            return F.struct(end.alias("at"), F.when(here, F.concat(s["out"], F.array(p["i"]))).otherwise(s["out"]).alias("out"))
 
-    def overlaps(i: Column) -> Column:
-        before = F.char_length(F.array_join(F.slice(pieces, F.lit(1), i), ""))
-        return (before < start - 1 + F.char_length(name)) & (before + F.char_length(F.get(pieces, i)) > start - 1)
+        sized = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), F.char_length(p).alias("n")))
+        none = F.array().cast("array<int>")
+        return F.when(start == 0, none).otherwise(F.aggregate(sized, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"]))
 
-    return F.when(start == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0))), overlaps))
+    return T.let(F.position(name, F.array_join(pieces, "")), places)
