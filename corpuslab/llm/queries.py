@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, html_cut, media, minhash, mixing, paragraphs, substring, token_orc, toxicity, warc
+from corpuslab.llm import bpe, dialogue, discriminant, html_cut, media, minhash, mixing, negatives, paragraphs, substring, token_orc, toxicity, warc
 from corpuslab.session import spread
 
 
@@ -65,6 +65,20 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op11_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.mine(rows.withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")), anchors="id % 50 = 0", positives=5, negatives=3, low=50, high=95)
+
+
+def op12_dialogue_dijkstra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return discriminant.scored(docs, discriminant.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_mil": op1_toxicity_mil,
     "op2_warc_seekable": op2_warc_seekable,
@@ -76,11 +90,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": op8_token_orc,
     "op9_media_descriptors": op9_media_descriptors,
     "op10_minhash_forest": op10_minhash_forest,
+    "op11_radix_negatives": op11_radix_negatives,
+    "op12_dialogue_dijkstra": op12_dialogue_dijkstra,
+    "op13_quality_qda": op13_quality_qda,
 }
 
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: crc32 of an ASCII string, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN (c & 1) = 1 THEN 3988292384 ELSE 0 END) END), 4294967295::BIGINT)"""
+
+
+def _edit(state: str, cost: str, letter: str, turn: str = "''") -> str:
+    """A state is a string: nine digits of cost, the audit, chr(1), and each repaired turn behind a line end. This is the state after one more edit."""
+    return f"lpad(CAST(CAST(substr({state}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10, instr({state}, chr(1)) - 10) || '{letter}' || substr({state}, instr({state}, chr(1))) || {turn}"
+
+
+def _inserted(rows: str) -> str:
+    """States s0 to s3 with what insertions alone reach."""
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    users = f"SELECT * REPLACE (least(s2, {', '.join(_edit(s, '2', 'I', user) for s in ('s0', 's1', 's3'))}) AS s2) FROM ({rows})"
+    return f"SELECT * REPLACE (least(s3, {_edit('s2', '2', 'I', assistant)}) AS s3) FROM ({users})"
+
+
+def _row(state: str, ways: list[str], initial: str, role: str) -> str:
+    """The state after a row: deleted from itself; kept, or with another role, from the states in ways."""
+    kept = [f"CASE WHEN token <> '-' AND token = '{initial}' THEN {_edit(s, 'more', 'K', "chr(10) || role || ':' || text")} END" for s in ways]
+    other = [f"CASE WHEN token <> '-' THEN {_edit(s, '2 + more', 'R', f"chr(10) || '{role}:' || text")} END" for s in ways] if role else []
+    return f"least({', '.join([_edit(state, '3', 'D'), *kept, *other])})"
+
+
 ORACLES: dict[str, str] = {
+    "op11_radix_negatives": """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
+    "op12_dialogue_dijkstra": f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, role AS r0, md5(text) AS t0, n, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, unnest([0, 1]) AS u(n) WHERE k <> 0 AND (n = 0 OR k = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r0, t0, n) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 't' ELSE '' END AS fault, coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+t AS (SELECT conv_id, i, role, text, CASE WHEN fault IN ('b', 'd') THEN '-' WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '?' END AS token, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS more FROM f),
+c AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY 1),
+w AS (SELECT conv_id, 0::BIGINT AS i, '000000000' || chr(1) AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM c
+  UNION ALL SELECT conv_id, i + 1, {_row("s0", [], "", "")}, {_row("s1", ["s0"], "s", "")}, {_row("s2", ["s0", "s1", "s3"], "u", "user")}, {_row("s3", ["s2"], "a", "assistant")}
+  FROM ({_inserted("SELECT w.*, role, text, token, more FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1")})),
+e AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, least(s0, s3) AS s FROM ({_inserted("SELECT w.*, gaps, blank, duplicate, truncated, illegal FROM w JOIN c USING (conv_id) WHERE w.i = c.n")}))
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+coalesce(substr(s, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(s, 10, instr(s, chr(1)) - 10), '') AS audit, sha256(coalesce(substr(s, instr(s, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e USING (conv_id)""",
     "op2_warc_seekable": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), k AS (SELECT h, max(page_id) AS keeper FROM p WHERE strlen(h) >= 1000 GROUP BY h)
 SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM p LEFT JOIN k ON k.h = p.h""",
