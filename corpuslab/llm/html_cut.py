@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.session import in_arrow
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|[^<]++|<", re.S)
+_NAME_OF_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -73,53 +74,94 @@ def _flags(attributes: str) -> int | None:
     return flags
 
 
+class _Tokens:
+    """A page's tags and the text between them, in time that grows with its length alone.
+
+    A tag ends at the first `>` outside quotes. Where there is none, as a quote is not closed, the tag is passed over up to its first `>`, and the quotes that led nowhere are remembered: a later tag that comes to one of them
+    outside quotes ends nowhere as well. Behind the page's last `>` all is text but for a comment.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.nowhere: set[int] = set()
+
+    def end_of(self, pos: int) -> int:
+        """Behind the `>` that ends a tag whose attributes begin at pos; -1 if none does."""
+        page, tried = self.page, []
+        while pos <= self.last:
+            at = _STOP.search(page, pos).start()  # there is a `>` at least
+            if page[at] == ">":
+                return at + 1
+            if at in self.nowhere:
+                break
+            tried.append(at)
+            pos = page.find(page[at], at + 1) + 1
+            if not pos:
+                break
+        self.nowhere.update(tried)
+        return -1
+
+    def at(self, pos: int) -> tuple[int, str, str, str, str]:
+        """(end, text, slash, tag, attributes) of what begins at pos: text, or a tag with its name; all empty for a comment and for a tag that is passed over."""
+        page = self.page
+        if page[pos] != "<":
+            end = page.find("<", pos)
+            end = len(page) if end < 0 else end
+            return end, page[pos:end], "", "", ""
+        if page.startswith("<!--", pos):
+            end = page.find("-->", pos + 4)
+            return (len(page) if end < 0 else end + 3), "", "", "", ""
+        if pos > self.last:
+            end = page.find("<!--", pos)
+            end = len(page) if end < 0 else end
+            return end, page[pos:end], "", "", ""
+        after = page[pos + 1]
+        if not (after in "!?/" or (after.isascii() and after.isalpha())):
+            return pos + 1, "<", "", "", ""
+        m = _NAME_OF_TAG.match(page, pos)
+        if m is not None and (end := self.end_of(m.end())) >= 0:
+            return end, "", m[1], m[2].lower(), page[m.end() : end - 1]
+        return page.find(">", pos + 1) + 1, "", "", "", ""
+
+
 class _Open:
-    """The open elements of a page, outermost first: of each its tag, its flags (-1: not shown), its number, and where the nearest element at or above it stands that is not inline.
+    """The open elements of a page, outermost first: of each its tag, its flags (-1: not shown), its number, where the nearest element at or above it stands that is not inline, and where the nearest is that is no paragraph besides.
 
-    How often each tag is open is known, so that a tag that closes nothing costs nothing, however many elements are open.
+    Where the elements of each tag stand is known, so that no step looks through the open ones, however many there are.
     """
 
     def __init__(self) -> None:
-        self.tags, self.flags, self.numbers, self.bases = [""], [0], [0], [0]
-        self.count: Counter[str] = Counter()
-        self.unread, self.version = 0, 0
-        self.failed: dict[frozenset[str], int] = {}
+        self.tags, self.flags, self.numbers, self.bases, self.solid = [""], [0], [0], [0], [0]
+        self.where: dict[str, list[int]] = {}
+        self.unread = 0
 
     def push(self, tag: str, flags: int, number: int) -> None:
+        at = len(self.tags)
         self.tags.append(tag)
         self.flags.append(flags)
         self.numbers.append(number)
-        self.bases.append(self.bases[-1] if tag in INLINE else len(self.tags) - 1)
-        self.count[tag] += 1
+        self.bases.append(self.bases[-1] if tag in INLINE else at)
+        self.solid.append(self.solid[-1] if tag in INLINE or tag == "p" else at)
+        self.where.setdefault(tag, []).append(at)
         self.unread += tag in UNREAD or flags < 0
-        self.version += 1
 
     def cut(self, at: int) -> None:
         """Closes the element at a place and all inside it."""
         for tag, flags in zip(self.tags[at:], self.flags[at:], strict=True):
-            self.count[tag] -= 1
+            self.where[tag].pop()
             self.unread -= tag in UNREAD or flags < 0
-        for x in (self.tags, self.flags, self.numbers, self.bases):
+        for x in (self.tags, self.flags, self.numbers, self.bases, self.solid):
             del x[at:]
-        self.version += 1
 
     def last(self, tag: str) -> int:
         """Where the innermost open element with a tag stands, or 0."""
-        if not self.count[tag]:
-            return 0
-        return len(self.tags) - 1 - self.tags[::-1].index(tag)
+        places = self.where.get(tag)
+        return places[-1] if places else 0
 
     def ended(self, ends: frozenset[str]) -> int:
         """Where the element stands that a new one of its kind ends: the innermost of `ends`, with none but inline elements and paragraphs inside; 0 if there is none."""
-        if not any(self.count[t] for t in ends) or self.failed.get(ends) == self.version:
-            return 0
-        at = len(self.tags) - 1
-        while at > 0 and self.tags[at] not in ends and (self.tags[at] in INLINE or self.tags[at] == "p"):
-            at -= 1
-        if at > 0 and self.tags[at] in ends:
-            return at
-        self.failed[ends] = self.version
-        return 0
+        at = max(map(self.last, ends))
+        return at if self.solid[-1] <= at else 0
 
 
 _P = frozenset(("p",))
@@ -142,19 +184,16 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    match = _TOKEN.match
-    while (m := match(page, pos)) is not None:
-        pos = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if (piece[0] != "<" or piece == "<") and not there.unread:
+    tokens = _Tokens(page)
+    while pos < len(page):
+        pos, piece, slash, name, attributes = tokens.at(pos)
+        if not name:
+            if piece and not there.unread:
                 parts.append(piece)
                 if there.flags[-1] & LINK:
                     linked += len(piece)
             continue
-        name = name.lower()
-        if m[1]:
+        if slash:
             at = there.last(name)
             if at:
                 if name not in INLINE:
@@ -176,12 +215,12 @@ def blocks(page: str) -> list[Block]:
                     there.cut(at)
         if name in VOID:
             continue
-        own = _flags(m[3]) if m[3] and len(m[3]) > 2 else 0
+        own = _flags(attributes) if len(attributes) > 2 else 0
         above = there.flags[-1]
         number += 1
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, pos)
-            pos = len(page) if end is None else end.end()
+            end = re.compile(rf"</{name}\b", re.I).search(page, pos)
+            pos = len(page) if end is None else page.find(">", end.end()) + 1 or len(page)
             continue
         if own is None:
             there.push(name, -1, number)

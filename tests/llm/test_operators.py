@@ -413,6 +413,28 @@ def test_blocks_take_time_by_length_alone():
         assert time.process_time() - start < 3
 
 
+def test_blocks_of_four_times_the_length_take_four_times_the_time():
+    import time
+
+    shapes = ["<a ", "<a '", "<a \"'", "<!", "</", "<a", "</script ", "&amp", "<p ' \"", "<a \">'", "<i x='>\"'", "<li><b>"]
+    for shape in (*((lambda n, s=s: s * n) for s in shapes), lambda n: "<b>" * n + "</b>" * n, lambda n: "<script>" + "</script " * n, lambda n: "<p><div>" + "<b>" * n + "<div></div>" * n, lambda n: "<a '>x" * n + "'" + "<a \">y" * n):
+        times = []
+        for n in (20_000, 80_000):
+            page = shape(n)
+            start = time.process_time()
+            html_cut.blocks(page)
+            times.append(time.process_time() - start)
+        assert times[1] < 8 * max(times[0], 0.05), (page[:20], times)
+
+
+def test_tags_that_end_nowhere():
+    texts = lambda page: [b.text for b in html_cut.blocks(page)]
+    assert texts("<p>a <b") == ["a <b"] and texts("a < b <3 c") == ["a < b <3 c"]
+    assert texts("<p title='>'>a</p><p title=\">b</p>c <!-- d") == ["a", "b", "c"]
+    assert texts("a<!-- b") == ["a"] and texts("a <b <!-- c") == ["a <b"]
+    assert texts("<script>a</script >b") == ["b"] and texts("<script>a</script b") == []
+
+
 def test_features_read_whole_blocks():
     at = lambda t: html_cut.features(html_cut.blocks(f"<p>{t}</p>"))[0]
     words = "word " * 120
