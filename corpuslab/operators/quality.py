@@ -10,6 +10,7 @@ from corpuslab.operators.dedup import first_of
 from corpuslab.operators.select import before_stretches, cuts, key_of, literal, stretch_of, with_offsets
 from corpuslab.profiles import ScriptProfile
 from corpuslab.session import ship, spread
+from corpuslab.tables import free_names
 
 #: Fewest characters of a document, least share of the script, largest share of characters that cleaning may take.
 LEAST_CHARS, LEAST_SHARE, MOST_LOST = 20, 0.5, 0.40
@@ -18,12 +19,13 @@ CRAWL_CHARS, CRAWL_SHARE = 120, 0.65
 
 
 def cleaned(docs: DataFrame, profile: ScriptProfile, text: str = "text") -> DataFrame:
-    """docs with clean_text, removed_chars (by the script filter) and dropped (why the document is not kept, or null)."""
+    """docs with clean_text, removed_chars (by the script filter) and dropped (why the document is not kept, or null), which replace columns of these names."""
     ship(docs.sparkSession)
-    source = spread(docs).withColumn("_nfc", T.nfc(F.col(text)))
-    filtered = source.withColumn("_filtered", T.script_filter(F.col("_nfc"), profile))
-    made = filtered.withColumn("clean_text", T.repair(F.col("_filtered"), profile))
-    clean, raw = F.col("clean_text"), F.col("_nfc")
+    nfc, kept = free_names(docs.columns, "_nfc", "_filtered")
+    source = spread(docs).withColumn(nfc, T.nfc(F.col(text)))
+    filtered = source.withColumn(kept, T.script_filter(F.col(nfc), profile))
+    made = filtered.withColumn("clean_text", T.repair(F.col(kept), profile))
+    clean, raw = F.col("clean_text"), F.col(nfc)
     lost = (F.char_length(raw) - F.char_length(clean)) / F.greatest(F.lit(1), F.char_length(T.strip(raw)))
     dropped = (
         F.when(F.char_length(clean) < LEAST_CHARS, "too_short")
@@ -31,7 +33,7 @@ def cleaned(docs: DataFrame, profile: ScriptProfile, text: str = "text") -> Data
         .when(lost > MOST_LOST, "high_orphan_diacritics")
         .otherwise(T.quality_reason(clean, profile))
     )
-    return made.withColumn("removed_chars", F.char_length(raw) - F.char_length("_filtered")).withColumn("dropped", dropped).drop("_nfc", "_filtered")
+    return made.withColumn("removed_chars", F.char_length(raw) - F.char_length(kept)).withColumn("dropped", dropped).drop(nfc, kept)
 
 
 def crawl_gate(pages: DataFrame, profile: ScriptProfile, order: list[Column], text: str = "text", url: str = "url") -> DataFrame:
@@ -53,16 +55,17 @@ def quota(docs: DataFrame, order: list[Column], limits: dict[str, int], within:
     within: columns whose groups have totals of their own: totals of a group's stretches come first, and only a stretch's own rows are summed one by one.
     """
     names = docs.columns
-    cost = {f"_t{i}": F.coalesce((F.lit(1) if c == "*" else F.col(c)).cast("long"), F.lit(0)) for i, c in enumerate(limits)}
+    stretch, keep_it, *sums = free_names(names, "_stretch", "_keep", *(f"_t{i}" for i in range(len(limits))))
+    cost = {sums[i]: F.coalesce((F.lit(1) if c == "*" else F.col(c)).cast("long"), F.lit(0)) for i, c in enumerate(limits)}
     most = list(limits.values())
     if not within:
         return docs.where(_until(docs, order, cost, most))
-    dealt = docs.withColumn("_stretch", stretch_of(order, *cuts(docs, order)))
-    offsets = before_stretches(dealt, within, cost).where(_all([F.col(c) < m for c, m in zip(cost, most, strict=True)]))
-    inside = Window.partitionBy(*within, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    met = with_offsets(dealt, offsets, within)
+    dealt = docs.withColumn(stretch, stretch_of(order, *cuts(docs, order)))
+    offsets = before_stretches(dealt, within, cost, stretch).where(_all([F.col(c) < m for c, m in zip(cost, most, strict=True)]))
+    inside = Window.partitionBy(*within, stretch).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = with_offsets(dealt, offsets, within, stretch)
     keep = [F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(name) < m for (name, c), m in zip(cost.items(), most, strict=True)]
-    return met.withColumn("_keep", _all(keep)).where("_keep").select(*names)
+    return met.withColumn(keep_it, _all(keep)).where(F.col(keep_it)).select(*names)
 
 
 def _until(docs: DataFrame, order: list[Column], cost: dict[str, Column], most: list[int]) -> Column:

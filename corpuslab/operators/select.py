@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from corpuslab.tables import free_names
+
 
 def chance(key: Column, seed: int) -> Column:
     """A number in [0, 1) for a key: the first 32 bits of an MD5."""
@@ -73,21 +75,22 @@ def stretch_of(order: list[Column], edges: list[Row], schema: t.StructType) -> C
     return below(0, len(edges))
 
 
-def before_stretches(dealt: DataFrame, within: list[str], amounts: dict[str, Column]) -> DataFrame:
-    """(within, _stretch, and for each amount its sum over the group's earlier stretches): a row for each stretch of each group."""
-    sums = dealt.groupBy(*within, "_stretch").agg(*(F.sum(c).alias(name) for name, c in amounts.items()))
-    earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*within, "_stretch", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in amounts))
+def before_stretches(dealt: DataFrame, within: list[str], amounts: dict[str, Column], stretch: str) -> DataFrame:
+    """(within, stretch, and for each amount its sum over the group's earlier stretches): a row for each stretch of each group."""
+    sums = dealt.groupBy(*within, stretch).agg(*(F.sum(c).alias(name) for name, c in amounts.items()))
+    earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*within, stretch, *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in amounts))
 
 
-def with_offsets(dealt: DataFrame, offsets: DataFrame, within: list[str]) -> DataFrame:
+def with_offsets(dealt: DataFrame, offsets: DataFrame, within: list[str], stretch: str) -> DataFrame:
     """dealt with the columns of its stretch in offsets; stretches that offsets does not have go. Groups may be null."""
-    names = [*within, "_stretch"]
-    there = offsets.withColumnsRenamed({c: f"_at_{c}" for c in names})
+    names = [*within, stretch]
+    theirs = dict(zip(names, free_names([*dealt.columns, *offsets.columns], *(f"_at_{c}" for c in names)), strict=True))
+    there = offsets.withColumnsRenamed(theirs)
     same = F.lit(True)
     for c in names:
-        same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
-    return dealt.join(there, same).drop(*(f"_at_{c}" for c in names))
+        same = same & F.col(c).eqNullSafe(F.col(theirs[c]))
+    return dealt.join(there, same).drop(*theirs.values())
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", within: list[str] | None = None) -> DataFrame:
@@ -96,10 +99,11 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank", within: list[
     Rows are numbered inside stretches of the order, and the sizes of the earlier stretches are added. The order should tell rows apart: equal ones are numbered in any order.
     """
     groups = list(within or [])
-    dealt = df.withColumn("_stretch", stretch_of(order, *cuts(df, order)))
-    met = with_offsets(dealt, before_stretches(dealt, groups, {"_before": F.lit(1)}), groups)
-    inside = F.row_number().over(Window.partitionBy(*groups, "_stretch").orderBy(*order)) - 1
-    return met.withColumn(name, (inside + F.col("_before")).cast("long")).drop("_stretch", "_before")
+    stretch, before = free_names([*df.columns, name], "_stretch", "_before")
+    dealt = df.withColumn(stretch, stretch_of(order, *cuts(df, order)))
+    met = with_offsets(dealt, before_stretches(dealt, groups, {before: F.lit(1)}, stretch), groups, stretch)
+    inside = F.row_number().over(Window.partitionBy(*groups, stretch).orderBy(*order)) - 1
+    return met.withColumn(name, (inside + F.col(before)).cast("long")).drop(stretch, before)
 
 
 def _key_at(df: DataFrame, key: str, seed: int, ranks: list[int], counts: dict[int, int]) -> list[tuple[float, object, int] | None]:
@@ -159,7 +163,8 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def first_in_groups(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; Spark keeps no more than n of a group in a task before it shuffles."""
     names = df.columns
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rn") <= n).select(*names)
+    (place,) = free_names(names, "_rn")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(place) <= n).select(*names)
 
 
 def balanced(df: DataFrame, group: str, order: list[Column], total: int, kinds: int = 3) -> DataFrame:

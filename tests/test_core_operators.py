@@ -476,3 +476,18 @@ def test_scratch_tables_go(spark):
         b, kept = written(a, "b")
         made.discard(kept)
     assert not os.path.exists(at.removeprefix("file://")) and b.count() == 3
+
+
+def test_extra_columns_with_names_of_the_operators_own(spark):
+    from corpuslab.profiles import LATIN
+
+    rows = [(i, "ab"[i % 2], 10, "A text of some twenty letters, or more of them.", "x", "y", "z", "u", "v", "w") for i in range(12)]
+    df = spark.createDataFrame(rows, "k long, g string, tok long, text string, _T0 string, _stretch string, _before string, _nfc string, _filtered string, _at_g string")
+    kept = quality.quota(df, [F.col("k")], {"tok": 25}, ["g"])
+    assert kept.columns == df.columns and sorted(r["k"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+    ranks = select.ranked(df, [F.col("k")], "rank", ["g"])
+    assert ranks.columns == [*df.columns, "rank"] and all(r["rank"] == r["k"] // 2 and r["_before"] == "z" for r in ranks.collect())
+    clean = quality.cleaned(df, LATIN)
+    assert clean.columns[: len(df.columns)] == df.columns and {(r["_nfc"], r["_filtered"], r["dropped"]) for r in clean.collect()} == {("u", "v", None)}
+    named = df.withColumnRenamed("_nfc", "_rn")
+    assert select.first_in_groups(named, ["g"], [F.col("k")], 2).select("k", "_rn").count() == 4
