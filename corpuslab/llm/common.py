@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.tables import drop_table, new_path, partitions, written
+from corpuslab.tables import drop_table, free_names, new_path, partitions, written
 
-__all__ = ["drop_table", "new_path", "partitions", "written"]
+__all__ = ["drop_table", "free_names", "new_path", "partitions", "written"]
 
 #: White space between words; bytes.split() without arguments splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"

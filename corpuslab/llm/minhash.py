@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import M1, Forest, WordHashes, components, drop_table, join_hash, mix, partitions, text_rows, utf8, written
+from corpuslab.llm.common import M1, Forest, WordHashes, components, drop_table, free_names, join_hash, mix, partitions, text_rows, utf8, written
 from corpuslab.session import in_arrow
 
 TREES, DEPTH = 32, 4
@@ -286,11 +286,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block_
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the smallest doc_id stays, and of rows that repeat a doc_id one."""
+    """The rows of docs without near-duplicates: of each group the smallest doc_id stays, and of rows that repeat a doc_id the one with the least text (nulls first; of equal texts the least hash of the other columns).
+
+    Rows with a null doc_id stay; null and empty texts are near nothing; an empty table gives none.
+    """
     near = near_duplicates(docs, shingle, percent)
-    keep = near.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
     names = docs.columns
-    met = docs.join(keep, docs["doc_id"] == keep["_kept_id"])
-    one = met.where("_rows = 1").select(*(docs[c] for c in names))
-    many = met.where("_rows > 1").select(*(docs[c] for c in names)).dropDuplicates(["doc_id"])
-    return one.unionByName(many).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept_id, rows, row = free_names(names, "_kept_id", "_rows", "_row")
+    keep = near.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias(rows))
+    met = docs.join(keep, docs["doc_id"].cast("long") == F.col(kept_id))
+    one = met.where(F.col(rows) == 1).select(*names)
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # Spark has no hash for these
+    least = met.where(F.col(rows) > 1).groupBy(kept_id).agg(F.min_by(F.struct(*names), F.struct(F.col("text").cast("string"), F.xxhash64(*hashed))).alias(row))
+    many = least.select(*(F.col(row)[n].alias(n) for n in names))
+    return one.unionByName(many).unionByName(docs.where(F.col("doc_id").cast("long").isNull()))

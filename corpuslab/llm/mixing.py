@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import CACHE_WORDS, drop_table, utf8, written
+from corpuslab.llm.common import CACHE_WORDS, drop_table, free_names, utf8, written
 from corpuslab.session import in_arrow
 
 #: Labelled documents at most that the classifier is fitted on: those with the least hashes of their doc_id.
@@ -129,7 +129,8 @@ def with_posteriors(docs: DataFrame, model: Classifier, columns: list[str] | Non
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) + 1, size, dtype=np.int32)), pa.array(p, pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([f[1] for f in found], pa.int64()), lists], [*names, TOKENS, POSTERIOR])
 
-    rows = docs.select(*names, F.col("text").cast("string").alias("_text"))
+    (text,) = free_names([*names, TOKENS, POSTERIOR], "_text")
+    rows = docs.select(*names, F.col("text").cast("string").alias(text))
     schema = docs.select(*names).withColumns({TOKENS: F.lit(0).cast("long"), POSTERIOR: F.array().cast("array<double>")}).schema
     return written(in_arrow(rows, run, schema), "posteriors")
 
@@ -271,9 +272,11 @@ def mixed(table: DataFrame, rates: Rates) -> DataFrame:
 
 
 def mix(docs: DataFrame, model: Classifier, weights: dict[str, float] | None = None, least: float = 0.0, keep_all: bool = False) -> DataFrame:
-    """The rows of docs, all columns, repeated by fitted rates; they are read from the table of posteriors."""
-    table, _ = with_posteriors(docs, model)
-    return mixed(table, fit_rates(table, model, weights, least, keep_all))
+    """The rows of docs, all columns, repeated by fitted rates; they are read from the table of posteriors. Columns may have any names. An empty table gives none."""
+    own = [c for c in docs.columns if c.lower() in (TOKENS, POSTERIOR)]
+    apart = dict(zip(own, free_names([*docs.columns, TOKENS, POSTERIOR], *own), strict=True))
+    table, _ = with_posteriors(docs.withColumnsRenamed(apart), model)
+    return mixed(table, fit_rates(table, model, weights, least, keep_all)).withColumnsRenamed({b: a for a, b in apart.items()})
 
 
 def mixing_rates(docs: DataFrame, model: Classifier, weights: dict[str, float] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import CACHE_WORDS, WordHashes, drop_table, join_hash, mix, text_rows, utf8, written
+from corpuslab.llm.common import CACHE_WORDS, WordHashes, drop_table, free_names, join_hash, mix, text_rows, utf8, written
 from corpuslab.session import in_arrow
 
 #: The shortest window that is looked up on its own.
@@ -223,12 +223,14 @@ def _cut(names: list[str], text_at: int):
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs with the repeated words taken out of text (the words left are joined by one space); rows that lose none keep
-    their text as it is, rows that lose all keep an empty one. n_chars, where there is such a column, is counted anew."""
+    their text as it is, rows that lose all keep an empty one. n_chars, where there is such a column, is counted anew.
+    Null and empty texts and rows with a null doc_id stay as they are; rows that repeat a doc_id are judged each by its own text; an empty table gives none."""
     names = docs.columns
+    of_id, of_key, of_spans = free_names(names, "_id", "_key", "_spans")
     result, cut = repeated_spans(docs, window)
     gone = result.where("copy and n_removed > 0").select("doc_id", "key", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
-    spans = cut.union(gone).groupBy("doc_id", "key").agg(F.first("spans").alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_spans")
-    met = docs.join(spans, (docs["doc_id"].cast("long") == F.col("_id")) & (F.unhex(F.sha1(docs["text"].cast("string"))) == F.col("_key")), "left").select(*(docs[c] for c in names), "_spans")
+    spans = cut.union(gone).groupBy("doc_id", "key").agg(F.first("spans").alias(of_spans)).select(F.col("doc_id").alias(of_id), F.col("key").alias(of_key), of_spans)
+    met = docs.join(spans, (docs["doc_id"].cast("long") == F.col(of_id)) & (F.unhex(F.sha1(docs["text"].cast("string"))) == F.col(of_key)), "left").select(*(docs[c] for c in names), of_spans)
     out = in_arrow(met, _cut(names, names.index("text")), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
