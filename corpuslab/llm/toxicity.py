@@ -25,8 +25,8 @@ TRAIN_ROWS = 4000
 STEMS = (3, 4, 5, 6, 7)
 #: A score from which a document counts as toxic, and a sentence as offending.
 TOXIC, OFFENDING = 0.7, 0.5
-#: Sparsity penalty of the training, and features at most, the most frequent in toxic documents first: a bound on what the model holds.
-PENALTY, MOST_FEATURES = 2e-5, 50_000
+#: Sparsity penalty of the training.
+PENALTY = 2e-5
 
 _BREAK, _END, _MARK = "\x00", 1e6, 5e5
 _PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     Labels with a null doc_id or a null toxic are left out; a doc_id labelled twice counts as toxic if one of its labels says so, and of several texts of a doc_id the least is read. Without
     labelled documents of both classes the model finds nothing toxic. Texts are read on the executors: features are counted there, and what comes to the driver are the chosen ones and where
-    they stand in the sentences of the sample.
+    they stand in the sentences of the sample. Of features none is left out but those that are rare, or as frequent elsewhere: the bound on the labelled rows is the only one.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counts = in_arrow(found.select("toxic", "text"), _seen, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("k"), F.sum(1 - F.col("toxic")).alias("clean"))
     # evidence must be frequent enough in toxic documents and clearly rarer in others
     often = counts.where((F.col("k") >= 4) & (F.col("k") * n0 > 4 * n1 * (F.col("clean") + 0.5)))
-    chosen = sorted(r["feature"] for r in often.orderBy(F.desc("k"), "feature").limit(MOST_FEATURES).select("feature").collect())
+    chosen = sorted(r["feature"] for r in often.select("feature").collect())
     got = in_arrow(found.select("doc_id", "toxic", "text"), _bagged(chosen), "doc_id long, toxic int, plain long, held array<array<int>>").collect()
     drop_table(docs.sparkSession, found_at)
     got.sort(key=lambda r: r["doc_id"])
@@ -208,16 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' doc_id with held_out, score, predicted and n_sentences; every row of docs gives one, whatever its text."""
+    """docs' doc_id with held_out, score, predicted, n_sentences, and offending: the numbers, from 0, of the sentences whose own probability is OFFENDING or more. Every row of docs gives one, whatever its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ps = [model.sentences(t or "") for t in batch.column(2).to_pylist()]
             scores = [float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) for p in ps]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= TOXIC) for s in scores], pa.int32()), pa.array([len(p) for p in ps], pa.int64())], ["doc_id", "held_out", "score", "predicted", "n_sentences"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= TOXIC) for s in scores], pa.int32()), pa.array([len(p) for p in ps], pa.int64()), pa.array([np.flatnonzero(p >= OFFENDING) for p in ps], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "n_sentences", "offending"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return in_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int, n_sentences long")
+    return in_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int, n_sentences long, offending array<long>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = TOXIC) -> DataFrame:

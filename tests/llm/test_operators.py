@@ -532,6 +532,7 @@ def test_toxicity_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.97
     assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
     found = toxicity.offending(docs, model).collect()
+    assert sorted((r["doc_id"], k) for r in rows for k in r["offending"]) == sorted((r["doc_id"], r["sentence"]) for r in found)
     assert found and np.mean([any(b in r["words"].split() or f"{b}." in r["words"].split() for b in ("vile", "rotten", "wretch")) for r in found]) > 0.95
     kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect()}
     assert kept == {r["doc_id"] for r in rows if not r["predicted"]}
