@@ -286,17 +286,24 @@ def rationale(text: Column, language: str = "hindi") -> Column:
     return strip(F.regexp_extract(text, rf"\[(?:{REASON_WORDS[language]}):[{SPACE}]*([^\]]*)\]", 1))
 
 
-def rationale_parts(text: Column, language: str = "hindi") -> Column:
-    """Struct of a rationale's steps, its conclusion, the answer, and whether the bracket is closed."""
-    both, so = {"hindi": (" और ", " इसलिए "), "assamese": (" আৰু ", " সেয়ে ")}[language]
-    inner = F.regexp_extract(text, rf"\[(?:{REASON_WORDS[language]}):[{SPACE}]*([^\]]*)", 1)
-    parts = F.split(inner, so)
-    return F.struct(
-        F.filter(F.split(F.get(parts, F.lit(0)), both), lambda s: s != "").alias("steps"),
-        F.coalesce(strip(F.get(parts, F.lit(1))), F.lit("")).alias("conclusion"),
-        answer(text, language).alias("answer"),
-        text.rlike(rf"\[(?:{REASON_WORDS[language]}):[^\]]*\]").alias("closed"),
-    )
+# What stands between steps, and before a conclusion (in one of two spellings in Assamese), in either language.
+AND_WORDS, SO_WORDS = "और|আৰু", "इसलिए|সে(?:\u09df|\u09af\u09bc)ে"
+_BRACKET = rf"\[(?:{'|'.join(REASON_WORDS.values())}):[{SPACE}]*([^\]]*)(\]?)"
+
+
+def rationale_parts(text: Column) -> Column:
+    """Struct of a rationale's steps, its conclusion (null if it has none), the answer, and whether the bracket is closed, in either language.
+
+    An open bracket goes to the text's end. The answer is the text without the first rationale, bracket included. A text without one is all answer, with no steps, and counts as closed. Null for a null text.
+    """
+    whole = F.regexp_extract(text, _BRACKET, 0)
+    parts = F.split(strip(F.regexp_extract(text, _BRACKET, 1)), rf"[{SPACE}]+(?:{SO_WORDS})[{SPACE}]+")
+    steps = F.filter(F.split(F.get(parts, F.lit(0)), rf"[{SPACE}]+(?:{AND_WORDS})[{SPACE}]+"), lambda s: s != "")
+    at = F.position(whole, text)
+    rest = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.char_length(whole), F.char_length(text)))
+    found = F.struct(steps.alias("steps"), F.get(parts, F.lit(1)).alias("conclusion"), strip(rest).alias("answer"), (F.regexp_extract(text, _BRACKET, 2) == "]").alias("closed"))
+    none = F.struct(F.array().cast("array<string>").alias("steps"), F.lit(None).cast("string").alias("conclusion"), strip(text).alias("answer"), F.lit(True).alias("closed"))
+    return F.when(whole != "", found).when(text.isNotNull(), none)
 
 
 def shown_piece(piece: Column) -> Column:

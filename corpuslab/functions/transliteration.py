@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-import itertools
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -38,84 +38,86 @@ OWN_LETTERS = {"र": "ৰ", "व": "ৱ"}
 MOST, LAST_A, LAST_A_COST = 12_000, [("आ", "ा"), ("अ", "")], 0.5
 
 
+#: A step takes what stands between a consonant without its vowel and a next consonant (None behind anything else) to the letters that it adds and the same behind them.
+Step = Callable[[str | None], tuple[str, str | None]]
+
+
+def _vowel(letter: str, sign: str) -> Step:
+    return lambda joint: (letter if joint is None else sign, None)
+
+
+def _consonant(letter: str) -> Step:
+    return lambda joint: ((joint or "") + letter, VIRAMA)
+
+
+def _nasal(sign: str) -> Step:
+    return lambda joint: (sign, None)
+
+
+def _between(chosen: str) -> Step:
+    return lambda joint: ("", None if joint is None else chosen)
+
+
 class Speller:
-    """The spellings of Latin words in one language. pieces: text to the kinds and scores of its tokens, as (is a byte, score)."""
+    """The spellings of Latin words in one language. pieces: text to the kinds and scores of its tokens, as (is a byte, score).
+
+    A word is a lattice: a column for each group of letters, and one between two consonants, whose edges are spellings. Its paths are laid out column by column, all beginnings of a length at a time, so that what paths
+    share is spelt once.
+    """
 
     def __init__(self, language: str, pieces: Callable[[str], list[tuple[bool, float]]]) -> None:
         assamese = language == "assamese"
         self.consonants = CONSONANTS | (ASSAMESE_CONSONANTS if assamese else {})
         self.vowels = VOWELS | (ASSAMESE_VOWELS if assamese else {})
-        self.longest = max(map(len, [*self.consonants, *self.vowels]))
-        self.assamese, self.pieces = assamese, pieces
-
-    def read(self, word: str) -> list[tuple[str, str]]:
-        """The groups of letters of a word, the longest first, as (kind, letters): C, V, and J between two consonants. Letters without a reading go."""
-        out, at = [], 0
-        while at < len(word):
-            key = next((word[at : at + n] for n in range(self.longest, 0, -1) if word[at : at + n] in self.consonants or word[at : at + n] in self.vowels), None)
-            if key is None or at + len(key) > len(word):
-                at += 1
-                continue
+        self.groups = re.compile("|".join(sorted([*self.consonants, *self.vowels], key=len, reverse=True)))
+        self.letters = {c: c + 0x80 for c in range(0x900, 0x980)} | {ord(a): b for a, b in OWN_LETTERS.items()} if assamese else {}
+        self.pieces = pieces
+
+    def lattice(self, word: str) -> list[list[tuple[Step, float]]]:
+        """The columns of a word: steps and their costs, the likeliest first; letters without a reading have none."""
+        groups = self.groups.findall(word)
+        columns: list[list[tuple[Step, float]]] = []
+        for before, key, after in zip([None, *groups], groups, [*groups[1:], None], strict=False):
             if key in self.vowels:
-                out.append(("V", key))
-            else:
-                out += [("J", ""), ("C", key)] if out and out[-1][0] == "C" else [("C", key)]
-            at += len(key)
-        return out
-
-    def options(self, groups: list[tuple[str, str]]) -> list[list]:
-        """What each group can be: a nasal may close a syllable as a sign, consonants may join or keep their vowel, and a last "a" is mostly long."""
-        out = []
-        for i, (kind, key) in enumerate(groups):
-            after = groups[i + 1][0] if i + 1 < len(groups) else "J"
-            if kind == "J":
-                out.append([VIRAMA, ""])
-            elif kind == "V":
-                out.append(LAST_A if key == "a" and 0 < i == len(groups) - 1 else self.vowels[key])
-            else:
-                signs = NASALS[: 2 if key == "n" else 1] if key in ("n", "m") and i and after == "J" else ()
-                out.append([*self.consonants[key], *signs])
-        return out
-
-    def written(self, groups: list[tuple[str, str]], chosen: tuple) -> str:
-        """The chosen spellings in a row: a vowel is a sign behind an open consonant, and two consonants are joined unless their vowel was kept."""
-        out, bare, joint = "", False, VIRAMA
-        for (kind, _), what in zip(groups, chosen, strict=True):
-            if kind == "J":
-                joint = what
-            elif kind == "V":
-                out, bare = out + what[bare], False
-            elif what in NASALS:
-                out, bare = out + what, False
-            else:
-                out, bare, joint = out + (joint if bare else "") + what, True, VIRAMA
-        return "".join(OWN_LETTERS.get(c) or (chr(ord(c) + 0x80) if 0x900 <= ord(c) <= 0x97F else c) for c in out) if self.assamese else out
+                last = key == "a" and before is not None and after is None
+                columns.append([(_vowel(*spelt), i * LAST_A_COST if last else 0.0) for i, spelt in enumerate(LAST_A if last else self.vowels[key])])
+                continue
+            if before is not None and before not in self.vowels:
+                columns.append([(_between(VIRAMA), 0.0), (_between(""), 0.0)])  # the consonants are joined, or the first keeps its vowel
+            ends_syllable = before is not None and (after is None or after not in self.vowels)
+            signs = NASALS[: {"n": 2, "m": 1}.get(key, 0)] if ends_syllable else ()
+            columns.append([(_consonant(c), 0.0) for c in self.consonants[key]] + [(_nasal(c), 0.0) for c in signs])
+        return columns
+
+    def spellings(self, columns: list[list[tuple[Step, float]]]) -> dict[str, tuple[float, int]]:
+        """Each text that a path spells, with the cost and the number of unlikely steps of the first such path, in the order of the paths."""
+        paths: list[tuple[str, str | None, float, int]] = [("", None, 0.0, 0)]
+        for column in columns:
+            longer = []
+            for text, joint, cost, unlikely in paths:
+                for i, (step, more) in enumerate(column):
+                    added, left = step(joint)
+                    longer.append((text + added, left, cost + more, unlikely + i))
+            paths = longer
+        found: dict[str, tuple[float, int]] = {}
+        for text, _, cost, unlikely in paths:
+            found.setdefault(text.translate(self.letters), (cost, unlikely))
+        return found
 
     def suggest(self, word: str, k: int = 5) -> list[str]:
         """Up to k spellings: those with the fewest pieces (a byte counts as three), then the most frequent pieces, then the likeliest letters."""
-        groups = self.read(word.lower())
-        options = self.options(groups)
-        if not groups:
+        columns = self.lattice(word.lower())
+        if not columns:
             return []
-        sizes = list(map(len, options))
-        while _product(sizes) > MOST:  # the last of the groups with the most spellings loses its least likely one
-            most = max(sizes)
-            sizes[len(sizes) - 1 - sizes[::-1].index(most)] -= 1
-        ranks: dict[str, tuple[float, float, int]] = {}
-        for choice in itertools.product(*map(range, sizes)):
-            text = self.written(groups, tuple(o[c] for o, c in zip(options, choice, strict=True)))
-            if text not in ranks:
-                found = self.pieces(text)
-                cost = LAST_A_COST * choice[-1] if options[-1] is LAST_A else 0.0
-                ranks[text] = (len(found) + 2 * sum(b for b, _ in found) + cost, -sum(s for b, s in found if not b), sum(choice))
-        return heapq.nsmallest(k, ranks, key=ranks.__getitem__)
-
-
-def _product(sizes: list[int]) -> int:
-    out = 1
-    for n in sizes:
-        out *= n
-    return out
+        while math.prod(map(len, columns)) > MOST:  # the last of the columns with the most spellings loses its least likely one
+            max(reversed(columns), key=len).pop()
+
+        def rank(found: tuple[str, tuple[float, int]]) -> tuple[float, float, int]:
+            text, (cost, unlikely) = found
+            tokens = self.pieces(text)
+            return sum(3 if byte else 1 for byte, _ in tokens) + cost, -sum(score for byte, score in tokens if not byte), unlikely
+
+        return [text for text, _ in heapq.nsmallest(k, self.spellings(columns).items(), key=rank)]
 
 
 def speller(language: str, vocabulary: DataFrame, **places: int) -> Speller:

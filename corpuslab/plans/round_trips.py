@@ -156,16 +156,28 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- answers and rationales
 
 
-@query(f"""WITH {_CHAIN}, g AS (SELECT id, string_agg('n' || i || ' ' || r || ' n' || (i + 1), ' | ' ORDER BY i) AS steps FROM d GROUP BY id)
-SELECT id, steps, 'n0 < n3' AS conclusion, 'हाँ। ' || id AS answer, id % 2 = 0 AS closed, CASE WHEN id % 2 = 0 THEN replace(steps, ' | ', ' और ') || ' इसलिए n0 < n3' ELSE '' END AS rationale FROM g""")
+_SAID = "string_agg('n' || i || ' ' || r || ' n' || (i + 1), ' {} ' ORDER BY i)"
+
+
+@query(f"""WITH {_CHAIN}, g AS (SELECT id, {_SAID.format('|')} AS steps, {_SAID.format('और')} AS hindi, {_SAID.format('আৰু')} AS assamese FROM d GROUP BY id),
+x AS (SELECT *, CASE WHEN id % 10 = 9 THEN 'none' WHEN id % 4 = 0 THEN 'closed' WHEN id % 4 = 1 THEN 'open' WHEN id % 4 = 2 THEN 'plain' ELSE 'other' END AS kind FROM g)
+SELECT id, CASE kind WHEN 'none' THEN NULL WHEN 'plain' THEN '' ELSE steps END AS steps, CASE WHEN kind NOT IN ('none', 'plain') AND id % 3 <> 0 THEN 'n0 < n3' END AS conclusion,
+CASE WHEN kind = 'none' THEN NULL WHEN kind = 'other' THEN 'হয়। ' || id ELSE 'हाँ। ' || id END AS answer, CASE WHEN kind <> 'none' THEN kind <> 'open' END AS closed,
+CASE kind WHEN 'none' THEN NULL WHEN 'closed' THEN hindi || CASE WHEN id % 3 <> 0 THEN ' इसलिए n0 < n3' ELSE '' END ELSE '' END AS rationale,
+CASE WHEN kind IN ('closed', 'plain') THEN 'हाँ। ' || id WHEN kind = 'open' THEN 'हाँ। ' || id || ' [कारण: ' || hindi || CASE WHEN id % 3 <> 0 THEN ' इसलिए n0 < n3' ELSE '' END END AS scored FROM x""")
 def rationale_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bracketed rationales taken apart; those of odd chains are not closed and stand behind the answer."""
+    """Bracketed rationales taken apart: closed before an answer, open behind one, in Assamese with either spelling, with and without a conclusion; plain answers, and nulls."""
     said = F.transform("premises", lambda p: F.concat_ws(" ", p["s"], p["rel"], p["o"]))
-    whole, answer = F.concat(F.lit("[कारण: "), F.array_join(said, " और "), F.lit(" इसलिए n0 < n3")), F.concat(F.lit("हाँ। "), F.col("id").cast("string"))
-    e = _orders(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, F.concat(whole, F.lit("] "), answer)).otherwise(whole).alias("x"), answer.alias("plain"))
-    p = T.rationale_parts(F.col("x"))
-    closed = e.select("id", p.alias("p"), T.rationale(F.col("x")).alias("rationale"), T.answer(F.col("x")).alias("answer"), "plain")
-    return closed.select("id", F.array_join("p.steps", " | ").alias("steps"), "p.conclusion", F.when(F.col("p.closed"), F.col("answer")).otherwise(F.col("plain")).alias("answer"), "p.closed", "rationale")
+    id_, part = F.col("id"), lambda n, k: F.col("id") % n == k
+    so = lambda word: F.when(part(3, 0), "").otherwise(f" {word} n0 < n3")
+    spelt = F.when(part(8, 3), so("সে\u09dfে")).otherwise(so("সে\u09af\u09bcে"))
+    inner, other = F.concat(F.array_join(said, " और "), so("इसलिए")), F.concat(F.array_join(said, " আৰু "), spelt)
+    hindi_answer, other_answer = F.concat(F.lit("हाँ। "), id_.cast("string")), F.concat(F.lit("হয়। "), id_.cast("string"))
+    reason = F.when(part(8, 3), F.lit("[কাৰণ: ")).otherwise(F.lit("[কারণ:"))
+    x = F.when(part(4, 0), F.concat(F.lit("[कारण: "), inner, F.lit("] "), hindi_answer)).when(part(4, 1), F.concat(hindi_answer, F.lit(" [कारण: "), inner)).when(part(4, 2), F.concat(F.lit("  "), hindi_answer, F.lit("\n")))
+    e = _orders(spark, sf_dir).select("id", F.when(~part(10, 9), x.otherwise(F.concat(other_answer, F.lit(" "), reason, other, F.lit("]")))).alias("x"))
+    scored = F.when(~F.contains("x", F.lit("হয়")), T.answer(F.col("x")))
+    return e.select("id", T.rationale_parts(F.col("x")).alias("p"), T.rationale(F.col("x")).alias("rationale"), scored.alias("scored")).select("id", F.array_join("p.steps", " | ").alias("steps"), "p.conclusion", "p.answer", "p.closed", "rationale", "scored")
 
 
 @query(f"""WITH {PAIRS} SELECT id, 0.4::DOUBLE * 0.5 + 0.6::DOUBLE * 0.25 AS combined, list_has_all({_H}, [({_R})[1]]) OR contains(hypothesis, ({_R})[1]) AS copies FROM pairs""")

@@ -67,6 +67,12 @@ def test_small_functions(spark):
     assert values(spark, ["कर।"], T.to_assamese(F.col("t"))) == ["কৰ।"]
     assert values(spark, ["[कारण: a > b] हाँ"], T.answer(F.col("t"))) == ["हाँ"]
     assert values(spark, ["[कारण: a > b और b > c इसलिए a > c] हाँ।"], T.rationale_parts(F.col("t")))[0].asDict()["steps"] == ["a > b", "b > c"]
+    apart = lambda x: tuple(values(spark, [x], T.rationale_parts(F.col("t")))[0])
+    assert apart("হয়। [কারণ: a > b আৰু b > c সেয়ে a > c") == (["a > b", "b > c"], "a > c", "হয়।", False)
+    assert apart("x [कारण: ] y [कारण: a] z") == ([], None, "x  y [कारण: a] z", True)
+    assert apart(" plain ") == ([], None, "plain", True) and apart("[note: a] b")[2:] == ("[note: a] b", True)
+    assert apart("[कारण: a इसलिए b इसलिए c]") == (["a"], "b", "", True)
+    assert values(spark, [None, "a"], T.rationale_parts(F.col("t")))[0] is None
     assert values(spark, ["aXbX"], T.count_of(F.col("t"), "X")) == [2]
 
 
