@@ -18,6 +18,7 @@ from corpuslab.operators.dedup import first_of
 from corpuslab.operators.select import balanced, choice
 from corpuslab.profiles import ASSAMESE, HINDI, SPACE, ScriptProfile
 from corpuslab.session import ship
+from corpuslab.tables import drop_table, written
 
 
 @dataclass(frozen=True)
@@ -410,12 +411,16 @@ def distractors(rng: random.Random, who: list[str], attribute: str, attributes:
     return [(*_either(rng, x, ">", y), other) for x, y in some]
 
 
+#: Fixed value: tries for each example that is asked for.
+MOST_TRIES = 50
+
+
 def generate(
     spark: SparkSession, n: int, names: list[str], seed: int, paradigms: dict[str, float] | None = None, sizes: tuple[int, ...] = (3, 4, 5), least_hops: int = 1, partitions: int | None = None, *,
     language: str = "hindi", split: str = "", exact_hops: int | None = None, multi_hops: int = 2, long_share: float = 0.0, balance: bool = True, branched: int = 0, shortened: int = 0, distracted: int = 0,
     fresh: bool = False, excluded: list[str] | None = None, real: list[str] | None = None, real_share: float = 0.0,
 ) -> DataFrame:
-    """n examples at most (fewer only if the names do not give as many different texts), no text twice: chains with a query at least least_hops apart, or exact_hops.
+    """n examples as a written table, no text twice: chains with a query at least least_hops apart, or exact_hops. Raises if the names do not give as many different texts in MOST_TRIES tries for each.
 
     multi_hop queries are at least multi_hops apart. long_share: of queries that are at least two premises apart whatever least_hops says. balance: answers have equal shares of the relations; denials are never about
     equalities, as a denied equality would not say which is more. branched, shortened, distracted: further premises that the answer does not need (branches(), shortcuts(), distractors()).
@@ -453,16 +458,21 @@ def generate(
         for batch in batches:
             yield pd.DataFrame([example(int(i)) for i in batch["i"]], columns=DRAWN)
 
-    made = spark.range(0, 2 * n + 60, 1, partitions or spark.sparkContext.defaultParallelism).withColumnRenamed("id", "i").mapInPandas(tries, EXAMPLE)
     prefix = f"{spec.prefix}_{split}_" if split else f"{seed}-"
-    made = made.withColumn("id", F.concat(F.lit(prefix), F.col("number").cast("string"))).withColumn("question_rel", choice(F.concat_ws("-", F.lit(seed), "number"), seed + 2, QUESTION_WEIGHTS))
-    text = rendered(F.col("stated"), F.col("query"), F.col("attribute"), F.col("paradigm"), F.col("question_rel"), F.col("entities"), language, own_attributes=True)
     rel = F.split("answer_rel", " ")[1]
-    answer = sentence(F.col("query.x"), rel, F.col("query.y"), F.col("attribute"), F.col("paradigm") == "negation", language)
-    made = made.withColumn("text", text).withColumn("relation", rel).withColumn("answer_text", answer)
     order = [F.col("number")]
-    one = first_of(made, F.col("text"), order)
-    return (balanced(one, "relation", order, n) if balance else one).orderBy("number").limit(n).drop("stated")
+    for each in (2, 10, MOST_TRIES):
+        made = spark.range(0, each * n + 60, 1, partitions or spark.sparkContext.defaultParallelism).withColumnRenamed("id", "i").mapInPandas(tries, EXAMPLE)
+        made = made.withColumn("id", F.concat(F.lit(prefix), F.col("number").cast("string"))).withColumn("question_rel", choice(F.concat_ws("-", F.lit(seed), "number"), seed + 2, QUESTION_WEIGHTS))
+        text = rendered(F.col("stated"), F.col("query"), F.col("attribute"), F.col("paradigm"), F.col("question_rel"), F.col("entities"), language, own_attributes=True)
+        answer = sentence(F.col("query.x"), rel, F.col("query.y"), F.col("attribute"), F.col("paradigm") == "negation", language)
+        made = made.withColumn("text", text).withColumn("relation", rel).withColumn("answer_text", answer)
+        one = first_of(made, F.col("text"), order)
+        found, at = written((balanced(one, "relation", order, n) if balance else one).orderBy("number").limit(n).drop("stated"), "examples")
+        if found.count() == n:
+            return found
+        drop_table(spark, at)
+    raise ValueError(f"the names do not give {n} different texts in {MOST_TRIES * n} tries")
 
 
 def with_rationale(examples: DataFrame, language: str = "hindi") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.session import ship
+from corpuslab.tables import free_names
 
 #: Ids of the special tokens, of the first byte and of the first merge in a vocabulary file.
 PAD, UNK, BOS, EOS, FIRST_BYTE, FIRST_MERGE = 0, 1, 2, 3, 4, 260
@@ -98,6 +99,8 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 SPECIALS = ("<COT_START>", "<COT_END>", "<REL_GT>", "<REL_LT>", "<REL_EQ>", "<REL_DISJOINT>")
 #: Words whose encodings are remembered at a time.
 REMEMBERED = 200_000
+#: The type of a plain piece, and how far below the least score an unknown character lies.
+PLAIN, UNKNOWN_COST = 1, 10.0
 
 
 class RankedBpe:
@@ -180,6 +183,86 @@ class RankedBpe:
         return out
 
 
+class Unigram(RankedBpe):
+    """The segmentation whose pieces' scores have the largest sum, by Viterbi's recursion over each word; of several the one whose last piece is longest, and so on to the front.
+
+    scores: of the pieces that may be used. A character that is no piece costs UNKNOWN_COST below the least score; it becomes its bytes, or, where the vocabulary has none (first_byte is None), an unknown id for each
+    run of such characters. Texts are read, decoded and shown as in RankedBpe.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], scores: dict[str, float], special: dict[str, int] | None = None, first_byte: int | None = FIRST_BYTE, unknown: int = UNK) -> None:
+        super().__init__(vocabulary, special, len(vocabulary) if first_byte is None else first_byte, 0)
+        self.scores, self.unknown, self.bytes = scores, unknown, first_byte is not None
+        self.longest = max(map(len, scores), default=1)
+        self.least = min(scores.values(), default=0.0) - UNKNOWN_COST
+
+    def best(self, word: str) -> list[str]:
+        """The pieces of the best path; a character that is no piece stands for itself."""
+        n, scores = len(word), self.scores
+        total, start = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        for i in range(n):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                score = scores.get(word[i:j], self.least if j == i + 1 else None)
+                if score is not None and total[i] + score > total[j]:
+                    total[j], start[j] = total[i] + score, i
+        out = []
+        while n:
+            out.append(word[start[n] : n])
+            n = start[n]
+        return out[::-1]
+
+    def word(self, word: str) -> list[int]:
+        if (found := self.known.get(word)) is not None:
+            return found
+        out: list[int] = []
+        fused = False
+        for piece in self.best(word):
+            known = piece in self.scores
+            if known:
+                out.append(self.ids[piece])
+            elif self.bytes:
+                out += [self.first_byte + b for b in piece.encode("utf-8", "replace")]
+            elif not fused:
+                out.append(self.unknown)
+            fused = not known
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[word] = out
+        return out
+
+
+def unigram_of(vocabulary: DataFrame, special: dict[str, int] | None = None, first_byte: int | None = FIRST_BYTE, unknown: int = UNK, size: int | None = None) -> Unigram:
+    """The unigram model of a vocabulary table (piece, id, score, type), which is small; `size`: its first ids alone."""
+    ship(vocabulary.sparkSession)
+    rows = (vocabulary if size is None else vocabulary.where(F.col("id") < size)).select("piece", "id", "score", "type").collect()
+    return Unigram({r["piece"]: r["id"] for r in rows}, {r["piece"]: float(r["score"]) for r in rows if r["type"] == PLAIN}, special, first_byte, unknown)
+
+
+def model_vocabulary(spark, path: str) -> DataFrame:
+    """(piece, id, score, type) of a SentencePiece model file, of whatever kind; type: 1 plain, 2 unknown, 3 control, 6 byte. The file is opened where the driver runs."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    kind = lambda i: 6 if m.is_byte(i) else 3 if m.is_control(i) else 2 if m.is_unknown(i) else PLAIN
+    return spark.createDataFrame([(m.id_to_piece(i), i, float(m.get_score(i)), kind(i)) for i in range(m.get_piece_size())], "piece string, id int, score double, type int")
+
+
+def measured(docs: DataFrame, tokenizer: RankedBpe, text: str = "text") -> DataFrame:
+    """docs with ids, n_tokens, n_unknown and decoded by a tokenizer, ready for tokenizer_scores(). Null texts have none of them."""
+    ship(docs.sparkSession)
+    unknown = tokenizer.unknown if isinstance(tokenizer, Unigram) else UNK
+
+    @F.pandas_udf("struct<ids: array<int>, decoded: string>")
+    def run(rows: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in rows:
+            ids = [None if x is None else tokenizer.encode(x) for x in s]
+            yield pd.DataFrame({"ids": ids, "decoded": [None if i is None else tokenizer.decode(i) for i in ids]})
+
+    (both,) = free_names(docs.columns, "_coded")
+    coded = docs.withColumn(both, run(F.col(text)))
+    return coded.withColumns({"ids": F.col(both)["ids"], "decoded": F.col(both)["decoded"]}).drop(both).withColumns({"n_tokens": F.size("ids"), "n_unknown": F.size(F.filter("ids", lambda i: i == unknown))})
+
+
 def bpe_of(vocabulary: DataFrame, special: dict[str, int] | None = None, **places: int) -> RankedBpe:
     """The BPE of a vocabulary table (piece, id), which is small: some ten thousand rows."""
     ship(vocabulary.sparkSession)
@@ -254,12 +337,16 @@ def split_encoded(docs: DataFrame, vocabulary: DataFrame, names: Column, text: s
 
 
 def random_starts(n_tokens: Column, span: Column, wanted: int, key: Column, seed: int) -> Column:
-    """Up to `wanted` different places, in order, of windows of `span` ids that fit: those with the least hashes of seed, key and place among evenly dealt candidates, one of each stretch."""
+    """Up to `wanted` different places, in order, of windows of `span` ids that fit: a uniform sample without replacement (Floyd's), drawn by hashes of seed, key and place; all places where there are no more."""
     fit = F.greatest(n_tokens - span + 1, F.lit(0))
     n = F.least(fit, F.lit(wanted))
-    # a place of each of n stretches of equal size
-    place = lambda i: (F.floor(fit * i / n) + F.pmod(F.xxhash64(F.lit(seed), key, i), F.greatest(F.floor(fit * (i + 1) / n) - F.floor(fit * i / n), F.lit(1)))).cast("int")
-    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), place))
+    none = F.array().cast("array<int>")
+
+    def drawn(chosen: Column, last: Column) -> Column:
+        place = F.pmod(F.xxhash64(F.lit(seed), key, last), last + 1).cast("int")
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, place), last).otherwise(place)))
+
+    return F.when(n < 1, none).otherwise(F.array_sort(F.aggregate(F.sequence(fit - n, F.greatest(fit, F.lit(1)) - 1).cast("array<int>"), none, drawn)))
 
 
 def random_windows(docs: DataFrame, block: int, wanted: int, seed: int) -> DataFrame:

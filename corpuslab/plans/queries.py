@@ -696,30 +696,40 @@ def rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasoning.rationales(_orders(spark, sf_dir)).select("id", "rationale")
 
 
+def _names(spark: SparkSession, sf_dir: str, n: int) -> list[str]:
+    """The n most frequent words of small letters in documents, as names."""
+    words = tokens.word_counts(t(spark, sf_dir, "documents")).where(F.col("word").rlike("^[a-z]{4,}$"))
+    return [r["word"] for r in words.orderBy(F.desc("count"), "word").limit(n).collect()]
+
+
 @query()
 def generated_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated examples, with the solver's relation beside the stated one."""
-    made = reasoning.generate(spark, 300, [f"नाम{i}" for i in range(60)], 11)
+    """As many generated examples as there are labels, about frequent words of documents, with the solver's relation beside the stated one."""
+    made = reasoning.generate(spark, t(spark, sf_dir, "labels").count(), _names(spark, sf_dir, 60), 11)
     solved = reasoning.solved(made.withColumnRenamed("relation", "stated")).withColumnsRenamed({"relation": "solved", "stated": "relation"})
     return solved.select("id", "paradigm", "text", "answer_text", "relation", "solved", "hops")
 
 
 @query("SELECT unnest(['even', 'hops', 'solved', 'parsed', 'texts']) AS holds, 0::BIGINT AS broken")
 def generated_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold for generated examples of both languages, with further premises, and how many break it: relations in even shares, the asked number of hops, the solver's relation, premises read back, texts once."""
-    parts = None
+    """What must hold for generated examples of both languages, with further premises, and how many break it: relations in even shares, the asked number of hops, the solver's relation, premises read back, texts once.
+
+    Each of the ten kinds has an example for each 20 labels or so, about frequent words of documents.
+    """
+    parts, names = None, _names(spark, sf_dir, 80)
+    third = 1 + t(spark, sf_dir, "labels").count() // 60
     for language in reasoning.LANGUAGES:
         shapes = {"a": {"balance": True}, "b": {"branched": 3}, "c": {"shortened": 3}, "d": {"distracted": 3}, "e": {"fresh": True, "long_share": 0.5}}
         for k, (name, shape) in enumerate(shapes.items()):
-            made = reasoning.generate(spark, 60, [f"n{i}" for i in range(80)], 40 + k, dict.fromkeys(reasoning.EVALUATED, 1.0), (5,), exact_hops=4, language=language, split=name, **({"balance": False} | shape))
+            made = reasoning.generate(spark, 3 * third, names, 40 + k, dict.fromkeys(reasoning.EVALUATED, 1.0), (5,), exact_hops=4, language=language, split=name, **({"balance": False} | shape))
             rows = reasoning.solved(made.withColumnRenamed("relation", "stated"))
             read = F.array_sort(reasoning.parsed(F.col("text"), language))
             stated = F.array_sort(F.concat("premises", F.transform("distractors", lambda p: F.struct(p["s"].alias("s"), p["rel"].alias("rel"), p["o"].alias("o")))))
             apart = reasoning.hops_of(F.col("premises"), F.col("query.x"), F.col("query.y"))
             one = rows.agg(
-                (F.greatest(*(F.count_if(F.col("stated") == r) for r in "<=>")) - 20 if name == "a" else F.lit(0)).cast("long").alias("even"),
+                (F.greatest(*(F.count_if(F.col("stated") == r) for r in "<=>")) - third if name == "a" else F.lit(0)).cast("long").alias("even"),
                 F.count_if(~((apart == 4) if name != "c" else (apart <= 4))).alias("hops"), F.count_if(~F.col("stated").eqNullSafe(F.col("relation"))).alias("solved"),
-                F.count_if((F.col("paradigm") != "conversational") & ~read.eqNullSafe(stated)).alias("parsed"), (F.count("*") - F.count_distinct("text") + F.abs(F.count("*") - 60)).alias("texts"),
+                F.count_if((F.col("paradigm") != "conversational") & ~read.eqNullSafe(stated)).alias("parsed"), (F.count("*") - F.count_distinct("text") + F.abs(F.count("*") - 3 * third)).alias("texts"),
             )
             parts = one if parts is None else parts.union(one)
     names = parts.columns
@@ -771,14 +781,18 @@ def bpe_first_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pair_counts(words.withColumn("symbols", F.filter("symbols", lambda s: s != "")), 25)
 
 
-CANDIDATES = (("bpe", 16384, 1.2776, 0.0), ("bpe", 32768, 1.1962, 0.0), ("unigram", 16384, 1.2728, 0.0), ("unigram", 32768, 1.2065, 0.0))
+_CUT = {16384: 4, 32768: 5}
 
 
-@query(f"""WITH c(model_type, vocab_size, fertility, unk_rate) AS (VALUES {', '.join(f"('{m}', {v}, {f}::DOUBLE, {u}::DOUBLE)" for m, v, f, u in CANDIDATES)})
-SELECT a.model_type, CASE WHEN a.fertility / b.fertility <= 1.15::DOUBLE AND a.unk_rate <= 1e-4 AND b.unk_rate <= 1e-4 THEN 16384 ELSE 32768 END AS vocab_size, round(a.fertility / b.fertility, 4) AS ratio
-FROM c a JOIN c b ON a.model_type = b.model_type AND a.vocab_size = 16384 AND b.vocab_size = 32768 WHERE a.model_type = 'bpe'""")
+@query(f"""WITH d AS (SELECT {WT} AS w FROM documents), c AS (SELECT v AS vocab_size, round(sum(list_sum(list_transform(w, lambda x: ceil(length(x) / k::DOUBLE))))::DOUBLE / sum(greatest(1, len(w))), 4) AS fertility
+FROM d, (VALUES {', '.join(f'({v}, {k})' for v, k in _CUT.items())}) AS s(v, k) GROUP BY 1)
+SELECT 'pieces' AS model_type, CASE WHEN a.fertility / b.fertility <= 1.15::DOUBLE THEN 16384 ELSE 32768 END AS vocab_size, round(a.fertility / b.fertility, 4) AS ratio FROM c a, c b WHERE a.vocab_size = 16384 AND b.vocab_size = 32768""")
 def bakeoff_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.decide_size(spark.createDataFrame(CANDIDATES, "model_type string, vocab_size int, fertility double, unk_rate double"), "bpe")
+    """Words of documents cut into pieces of at most four letters, and of five, stand for the tokens of a small and of a large vocabulary; `tokenizer_bakeoff` has those of real ones."""
+    cut = lambda k: F.aggregate(F.transform(T.words(F.col("text")), lambda w: F.ceil(F.char_length(w) / k)), F.lit(0).cast("long"), lambda a, x: a + x)
+    both = F.explode(F.array(*(F.struct(F.lit(v).alias("vocab_size"), cut(k).alias("n_tokens")) for v, k in _CUT.items())))
+    rows = t(spark, sf_dir, "documents").select("text", both.alias("c")).select("text", "c.*", F.lit(0).alias("n_unknown"), F.col("text").alias("decoded"), F.lit("pieces").alias("model_type"))
+    return tokens.decide_size(tokens.tokenizer_scores(rows, ["model_type", "vocab_size"]), "pieces")
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -869,12 +883,13 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOP, _LOW, _WARM, _ALL = 6e-4, 6e-5, 50, 1000
 
 
-@query(f"""WITH s AS (SELECT unnest(generate_series(0, {_ALL - 1})) AS step) SELECT step, round(CASE WHEN step < {_WARM} THEN {_TOP}::DOUBLE * (step + 1) / {_WARM} ELSE {_LOW}::DOUBLE + 0.5::DOUBLE * ({_TOP}::DOUBLE - {_LOW}::DOUBLE) * (1 + cos(pi() * least(1.0::DOUBLE, (step - {_WARM}) / {_ALL - _WARM}::DOUBLE))) END, 9) AS cosine,
+@query(f"""WITH s AS (SELECT event_id, event_id % {_ALL} AS step FROM events) SELECT event_id, step, round(CASE WHEN step < {_WARM} THEN {_TOP}::DOUBLE * (step + 1) / {_WARM} ELSE {_LOW}::DOUBLE + 0.5::DOUBLE * ({_TOP}::DOUBLE - {_LOW}::DOUBLE) * (1 + cos(pi() * least(1.0::DOUBLE, (step - {_WARM}) / {_ALL - _WARM}::DOUBLE))) END, 9) AS cosine,
 round(CASE WHEN step < {_WARM} THEN {_TOP}::DOUBLE * (step + 1) / {_WARM} WHEN step < 800 THEN {_TOP}::DOUBLE ELSE {_TOP}::DOUBLE + ({_LOW}::DOUBLE - {_TOP}::DOUBLE) * least(1.0::DOUBLE, (step - 800) / 200.0::DOUBLE) END, 9) AS stable,
 CASE WHEN step < 200 THEN 1 WHEN step < 400 THEN 2 END AS hops FROM s""")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a step of a run of 1,000."""
     s = F.col("step")
-    return spark.range(_ALL).withColumnRenamed("id", "step").select("step", F.round(S.warmup_cosine(s, _TOP, _LOW, _WARM, _ALL), 9).alias("cosine"), F.round(S.warmup_stable_decay(s, _TOP, _LOW, _WARM, _ALL), 9).alias("stable"), S.curriculum_hops(s, 400).alias("hops"))
+    return t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % _ALL).alias("step")).select("event_id", "step", F.round(S.warmup_cosine(s, _TOP, _LOW, _WARM, _ALL), 9).alias("cosine"), F.round(S.warmup_stable_decay(s, _TOP, _LOW, _WARM, _ALL), 9).alias("stable"), S.curriculum_hops(s, 400).alias("hops"))
 
 
 _SOFT = "s AS (SELECT vec_id, label, e, list_sum(e) AS z FROM (SELECT vec_id, label, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings)), p AS (SELECT vec_id, label, list_transform(e, lambda x: x / z) AS p FROM s)"
@@ -910,4 +925,4 @@ def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.parquet(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-from corpuslab.plans import round_trips  # noqa: E402, F401  registers its own
+from corpuslab.plans import round_trips, tokenizers  # noqa: E402, F401  register their own

@@ -217,10 +217,14 @@ def curriculum_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasoning.up_to_hops(e, 2).groupBy(F.floor(F.col("doc_id") / 50).cast("long").alias("id")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'a' || x || y || z AS name FROM (SELECT unnest(['ka', 'ta', 'na']) AS x), (SELECT unnest(['', 'ra']) AS y), (SELECT unnest(['m', 'l', 'ram']) AS z) WHERE 'a' || x || y || z NOT IN (SELECT 'a' || c FROM (SELECT unnest(['kam', 'naral']) AS c)) GROUP BY 1")
+@query("""WITH p AS (SELECT DISTINCT lower(n_name[1:2]) AS x, lower(n_name[-2:]) AS z FROM nation), n AS (SELECT DISTINCT a.x || y || b.z AS name FROM p a, (SELECT DISTINCT lower(r_name[1]) AS y FROM region UNION ALL SELECT '') r, p b)
+SELECT name FROM n WHERE name NOT IN (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) FROM documents)""")
 def name_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spark.createDataFrame([("akam",), ("anaral",)], "name string")
-    return reasoning.synthetic_names(spark, ["aka", "ata", "ana"], ["", "ra"], ["m", "l", "ram"], out)
+    """Beginnings and ends of nations' names, with regions' initials between them, less the words of documents."""
+    part = lambda name, x: [r[0] for r in t(spark, sf_dir, name).select(F.lower(x)).distinct().collect()]  # noqa: E731  25 and 5 rows at any scale
+    words = t(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name"))
+    n = F.col("n_name")
+    return reasoning.synthetic_names(spark, part("nation", F.substring(n, 1, 2)), [*part("region", F.substring("r_name", 1, 1)), ""], part("nation", F.substring(n, -2, 2)), words)
 
 
 # ---------------------------------------------------------------- tokens and logs

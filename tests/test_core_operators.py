@@ -168,6 +168,68 @@ def test_ranked_bpe_is_the_librarys(spark):
     assert [p[0] for p in exported["pieces"]] == [r[0] for r in rows] and exported["eos_id"] == 2 and exported["pieces"][first][2] == 6
 
 
+def test_unigram_is_the_librarys(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    table = tokens.model_vocabulary(spark, pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    rows = table.orderBy("id").collect()
+    first = min(r["id"] for r in rows if r["type"] == 6)
+    least = min(r["score"] for r in rows if r["type"] == 1)
+    # the library would also use pieces that are not plain, so they get a score that no path takes
+    library = tokenizers.Tokenizer(tokenizers.models.Unigram([(r["piece"], r["score"] if r["type"] == 1 else least) for r in rows], 0, True))
+    model = tokens.unigram_of(table, first_byte=first, unknown=0)
+    rng = random.Random(4)
+    words = ["▁" + "".join(rng.choice("abcdefghijklmnoprstuvwéßকখ’—🙂") for _ in range(rng.randint(1, 25))) for _ in range(400)] + ["▁The", "▁international", "▁"]
+    for w in words:
+        assert model.word(w) == library.encode(w, add_special_tokens=False).ids, w
+
+
+@pytest.mark.parametrize("first_byte", [None, 50])
+def test_unigram_best_path_against_all_segmentations(first_byte):
+    import itertools
+
+    rng = random.Random(5)
+    for _ in range(150):
+        pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 9))})
+        scores = {p: -rng.uniform(0.5, 9) for p in pieces}
+        model = tokens.Unigram({p: i + 2 for i, p in enumerate(pieces)}, scores, first_byte=first_byte)
+        word = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))
+        best = float("-inf")
+        for cuts in itertools.product((False, True), repeat=len(word) - 1):
+            ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(word)]
+            parts = [word[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            if all(p in scores or len(p) == 1 for p in parts):
+                best = max(best, sum(scores.get(p, model.least) for p in parts))
+        found = model.best(word)
+        assert "".join(found) == word and abs(sum(scores.get(p, model.least) for p in found) - best) < 1e-9
+        ids = model.word(word)
+        assert first_byte or (model.unknown, model.unknown) not in zip(ids, ids[1:], strict=False)
+
+
+def test_unigram_over_texts(spark):
+    pieces = ["<unk>", "▁", "▁ab", "a", "b", "ab", "▁a"]
+    table = spark.createDataFrame([(p, i, -float(i), 2 if i == 0 else 1) for i, p in enumerate(pieces)], "piece string, id int, score double, type int")
+    model = tokens.unigram_of(table, first_byte=None, unknown=0)
+    df = spark.createDataFrame([("ab  xyab a", 1), ("", 2), (None, 3)], "text string, _coded int")
+    rows = tokens.measured(df, model).collect()
+    assert rows[0]["ids"] == [2, 1, 0, 5, 1, 3] and rows[0]["n_unknown"] == 1 and rows[0]["n_tokens"] == 6 and rows[0]["_coded"] == 1
+    assert rows[1]["ids"] == [] and rows[1]["decoded"] == "" and rows[2]["ids"] is None
+    small = tokens.unigram_of(table, first_byte=None, unknown=0, size=3)
+    assert small.encode("ab") == [2] and small.encode("b") == [1, 0]
+
+
+def test_window_starts_are_a_uniform_sample(spark):
+    from collections import Counter
+
+    df = spark.range(6000).select(tokens.random_starts(F.lit(7), F.lit(3), 2, F.col("id"), 9).alias("s"))
+    counts = Counter(tuple(r["s"]) for r in df.collect())
+    assert len(counts) == 10 and all(a < b for a, b in counts) and all(480 < n < 720 for n in counts.values())
+
+
+def test_generation_raises_when_names_run_out(spark):
+    with pytest.raises(ValueError, match="different texts"):
+        reasoning.generate(spark, 4000, ["a", "b", "c"], 1, {"conversational": 1.0}, (3,))
+
+
 def test_transliteration(spark):
     scored = {"भारत": (1, -5.0), "राम": (1, -3.0), "अच्छा": (1, -4.0)}
     pieces = lambda t: [(False, scored[t][1])] if t in scored else [(False, -9.0)] * len(t)
