@@ -24,9 +24,8 @@ NOT_SOURCES = ("train", "val", "test")
 
 def text_column(schema: t.StructType, any_column: bool = False) -> str:
     """The text column of a schema: the first known name, else the first string column (or, if asked, the first column)."""
-    for name in TEXT_COLUMNS:
-        if name in schema.names:
-            return name
+    if known := next((n for n in TEXT_COLUMNS if n in schema.names), None):
+        return known
     strings = [f.name for f in schema.fields if isinstance(f.dataType, t.StringType)]
     if any_column and schema.names:
         return schema.names[0]
@@ -35,6 +34,11 @@ def text_column(schema: t.StructType, any_column: bool = False) -> str:
     return strings[0]
 
 
+def text_name(names: list[str]) -> str:
+    """The text column of names without types: the first known one, else the first."""
+    return next((n for n in TEXT_COLUMNS if n in names), names[0])
+
+
 def _documents(rows: DataFrame, text: Column, file: Column, number: Column) -> DataFrame:
     out = rows.select(F.concat_ws("#", file, number.cast("string")).alias("doc_id"), T.strip(text.cast("string")).alias("text"))
     return out.where("text <> ''")
@@ -71,15 +75,107 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return _documents(rows, F.coalesce(F.nullif(T.strip(F.col("r.text")), F.lit("")), F.col("r.sentence")), F.col("file"), F.col("number"))
 
 
-def csv(spark: SparkSession, path: str) -> DataFrame:
-    """A document for each row's text column; quoted fields may hold line ends."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    name = text_column(rows.schema, any_column=True)
-    rows = rows.withColumn("_file", F.col("_metadata.file_name")).withColumn("_at", F.monotonically_increasing_id())
+def _ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(path, start, size, length) of the byte ranges of files; their contents are not read."""
+    step = F.lit(size).cast("long")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0).cast("long")), step))
+    return file_list(spark, path).select("path", "length", starts.alias("start")).select("path", "start", F.least(step, F.col("length") - F.col("start")).alias("size"), "length")
+
+
+def _line_ends(data: bytes, state: int) -> np.ndarray:
+    """Places of the line ends outside quotes, in bytes that begin inside quotes (1) or not (0)."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw == 10)
+    quotes = np.flatnonzero(raw == 34)
+    return ends[(np.searchsorted(quotes, ends) + state) % 2 == 0]
+
+
+def _quotes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranges to what the two states outside and inside quotes become behind them: `odd` quotes change a state, and the lines that end in the range from either."""
+    from corpuslab.sources.sinks import opened
+
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            with opened(row.path) as file:
+                file.seek(int(row.start))
+                data = file.read(int(row.size))
+            out.append((*row, data.count(b'"') % 2, len(_line_ends(data, 0)), len(_line_ends(data, 1))))
+        yield pd.DataFrame(out, columns=[*batch.columns, "odd", "ends_outside", "ends_inside"])
+
+
+def _first_record(file, length: int) -> bytes:
+    data = b""
+    while not len(ends := _line_ends(data, 0)) and len(data) < length:
+        data += file.read(1 << 16)
+    return data[: ends[0] + 1] if len(ends) else data
+
+
+def _records(column: str | None):
+    """Ranges with their state to the records that begin in them, (file, number, text): complete ones, however far they go on behind the range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+        import io
+
+        from corpuslab.sources.sinks import opened
+
+        csv.field_size_limit((1 << 31) - 1)
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                start, size, length = int(row.start), int(row.size), int(row.length)
+                with opened(row.path) as file:
+                    names = next(csv.reader(io.StringIO(_first_record(file, length).decode("utf-8-sig", "replace"), newline="")), [])
+                    at = max(0, start - 1)  # with the byte before: a record begins behind its line end
+                    file.seek(at)
+                    data, state = file.read(start + size - at), int(row.state)
+                    if start and data[:1] == b'"':
+                        state ^= 1
+                    begins = _line_ends(data, state) + 1
+                    begins = begins[begins < len(data)] if not start else begins[(begins >= 1) & (begins < len(data))]
+                    first = 0 if not start else int(begins[0]) if len(begins) else None
+                    if first is None:
+                        continue
+                    inside = data.count(b'"', first) % 2  # a record begins outside quotes
+                    while at + len(data) < length and (inside or data[-1:] != b"\n"):
+                        more = file.read(1 << 16)
+                        ends = _line_ends(more, inside)
+                        more = more[: ends[0] + 1] if len(ends) else more
+                        inside ^= more.count(b'"') % 2
+                        data += more
+                        if len(ends):
+                            break
+                k = names.index(column) if column in names else names.index(text_name(names)) if names else 0
+                out, number = [], int(row.number) + (start > 0 and first > 1) - 1  # the file's first row has the names
+                text = data[first:].decode("utf-8-sig" if not start else "utf-8", "replace")
+                reader = csv.reader(io.StringIO(text, newline=""))
+                for r in reader:
+                    if r and number >= 0:
+                        out.append((row.path.rsplit("/", 1)[-1], number, r[k] if k < len(r) else None))
+                    number += 1
+                yield pd.DataFrame(out, columns=["file", "number", "text"])
+
+    return run
+
+
+def csv(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """A document for each row's text column, which is looked for in each file's first row; quoted fields may hold line ends.
+
+    Files are read in ranges, so that a large one is many tasks' work. Whether a range begins inside quotes is told by the quotes before it: each range says what it makes of either state, and these are composed in order. Quotes stand around
+    fields, and double inside them. A row's number counts the records before it, blank ones too, without the names.
+    path: of a file system that driver and executors share and pyarrow can open.
+    """
     from pyspark.sql import Window
 
-    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1)
-    return _documents(rows, F.col(name), F.col("_file"), F.col("_number"))
+    ship(spark)
+    ranges = _ranges(spark, path, range_bytes or RANGE)
+    told = ranges.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_quotes, "path string, start long, size long, length long, odd int, ends_outside long, ends_inside long")
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    known = told.withColumn("state", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    known = known.withColumn("number", F.coalesce(F.sum(F.when(F.col("state") == 0, F.col("ends_outside")).otherwise(F.col("ends_inside"))).over(before), F.lit(0)))
+    dealt = known.select("path", "start", "size", "length", "state", "number").repartition(spark.sparkContext.defaultParallelism)
+    rows = dealt.mapInPandas(_records(None), "file string, number long, text string")
+    return _documents(rows, F.col("text"), F.col("file"), F.col("number"))
 
 
 def mixed(spark: SparkSession, txt: str | None = None, jsonl: str | None = None, csvs: str | None = None, prefix: str = "", most: int | None = None) -> DataFrame:
@@ -189,9 +285,7 @@ def token_counts(spark: SparkSession, path: str, end: int = 3, wide: bool = Fals
                 out.append((name.rsplit("/", 1)[-1], len(ids), int((ids == end).sum())))
             yield pd.DataFrame(out, columns=["file", "tokens", "docs"])
 
-    step = F.lit(RANGE).cast("long")
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0).cast("long")), step))
-    ranges = file_list(spark, path).select("path", "length", starts.alias("start")).select("path", "start", F.least(step, F.col("length") - F.col("start")).alias("size"))
+    ranges = _ranges(spark, path, RANGE).select("path", "start", "size")
     parts = ranges.repartition(spark.sparkContext.defaultParallelism).mapInPandas(count, "file string, tokens long, docs long")
     return parts.groupBy("file").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
 

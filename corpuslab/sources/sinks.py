@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.session import ship
+from corpuslab.sources.formats import system_of, write_parts
 from corpuslab.tables import written
 
 
@@ -38,9 +39,7 @@ def write_splits(docs: DataFrame, folder: str, text_only: bool = False) -> DataF
 
 def opened(path: str, write: bool = False):
     """A file of a file system that pyarrow knows (local or shared folders, hdfs, s3, gs), for reading, or for writing from its start."""
-    from pyarrow import fs
-
-    system, name = fs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and "://" not in path else path)
+    system, name = system_of(path)
     return system.open_output_stream(name) if write else system.open_input_file(name)
 
 
@@ -51,44 +50,30 @@ def _uri(path: str) -> str:
 def write_tokens(docs: DataFrame, folder: str, order: str, end: int | None = 3, wide: bool = False) -> DataFrame:
     """Writes the ids of docs (order, ids), an end after each (none for None), as little-endian integers, and returns (part, path, tokens, docs, start), start the tokens of the parts before.
 
-    Each task writes the file of a range of the order, part-<n>.bin in `folder`, which must lie in a file system that driver and executors share; a task that runs again writes its file
-    anew under another name, which the last move makes the part's own. The parts in their order are the token file; no ids come to the driver. The rows are also kept in folder/index.
-    Raises if there are no documents.
+    Each task writes the file of a range of the order; formats.write_parts() publishes them as part-<n>.bin in `folder` when all have ended, so that a failed write leaves what was there before. The parts in
+    their order are the token file; no ids come to the driver. Raises if there are no documents, and for an id that does not fit.
     """
-    spark, kind, top = docs.sparkSession, "<u4" if wide else "<u2", _uri(folder.rstrip("/"))
+    spark, kind, width = docs.sparkSession, "<u4" if wide else "<u2", 4 if wide else 2
     ship(spark)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        from pyarrow import fs
-
-        tokens, n, part, file, held = 0, 0, None, None, f"{top}/.{uuid.uuid4().hex}"
         for batch in batches:
-            for p, ids in zip(batch["part"], batch["ids"], strict=True):
+            out = []
+            for ids in batch["ids"]:
                 raw = np.asarray(ids, np.int64) if end is None else np.append(np.asarray(ids, np.int64), end)
-                if len(raw) and (raw.max() >= 2 ** (32 if wide else 16) or raw.min() < 0):
+                if len(raw) and (raw.max() >= 2 ** (8 * width) or raw.min() < 0):
                     raise ValueError("an id does not fit the file's integers")
-                file = file or opened(held, write=True)
-                file.write(raw.astype(kind).tobytes())
-                tokens, n, part = tokens + len(raw), n + 1, p
-        if file:
-            file.close()
-            system, name = fs.FileSystem.from_uri(held)
-            path = f"{top}/part-{part:05d}.bin"
-            system.move(name, fs.FileSystem.from_uri(path)[1])
-            yield pd.DataFrame({"part": [part], "path": [path], "tokens": [tokens], "docs": [n]})
-
-    at = spark._jvm.org.apache.hadoop.fs.Path(top)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+                out.append(raw.astype(kind).tobytes())
+            yield pd.DataFrame({"data": out})
+
     size = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(order, "ids").repartitionByRange(size, order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    dealt.select("part", "ids").mapInPandas(packed, "part int, path string, tokens long, docs long").write.mode("overwrite").parquet(f"{top}/index")
-    index = spark.read.parquet(f"{top}/index")
+    dealt = docs.select(order, "ids").repartitionByRange(size, order).sortWithinPartitions(order)
+    index = write_parts(dealt.select("ids").mapInPandas(packed, "data binary"), _uri(folder.rstrip("/")), ".bin")
     if not index.limit(1).count():
         raise ValueError("no documents to write")
+    parts = index.select("part", "path", (F.col("bytes") / width).cast("long").alias("tokens"), F.col("rows").alias("docs"))
     # a row for each part
-    return index.withColumn("start", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parts.withColumn("start", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def join_parts(index: DataFrame, path: str) -> int:

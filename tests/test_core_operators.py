@@ -227,7 +227,7 @@ def test_window_starts_are_a_uniform_sample(spark):
 
 def test_generation_raises_when_names_run_out(spark):
     with pytest.raises(ValueError, match="different texts"):
-        reasoning.generate(spark, 4000, ["a", "b", "c"], 1, {"conversational": 1.0}, (3,))
+        reasoning.generate(spark, 1500, ["a", "b"], 1, {"transitive": 1.0}, (2,))
 
 
 def test_transliteration(spark):
