@@ -312,9 +312,10 @@ def vocabulary_json(vocabulary: DataFrame, unknown: int = UNK, end: int = EOS) -
     return vocabulary.agg(F.concat(F.lit('{"pieces":['), F.array_join(rows, ","), F.lit(f'],"unk_id":{unknown},"eos_id":{end}}}')).alias("json"))
 
 
-def joined_ids(docs: DataFrame, order: str, end: int = EOS) -> DataFrame:
-    """One row, ids: those of a batch of docs (order, ids) in a row, an end behind each. A batch is small; whole corpora go to sinks.write_tokens()."""
-    return docs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, with_end(F.col("ids"), end).alias("ids")))), lambda r: r["ids"])).alias("ids"))
+def joined_ids(docs: DataFrame, order: str, end: int = EOS, within: list[str] | None = None) -> DataFrame:
+    """A row, ids, for each batch of docs (order, ids): those of its documents in a row, an end behind each. within: columns that name the batches; without them all is one. A batch is small; whole corpora go to sinks.write_tokens()."""
+    rows = F.collect_list(F.struct(order, with_end(F.col("ids"), end).alias("ids")))
+    return docs.groupBy(*(within or [])).agg(F.flatten(F.transform(F.array_sort(rows), lambda r: r["ids"])).alias("ids"))
 
 
 def split_encoded(docs: DataFrame, vocabulary: DataFrame, names: Column, text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from corpuslab.functions import text as T
 from corpuslab.operators import evaluation, leakage, quality, reasoning, stats, tokens, training
 from corpuslab.plans.queries import _H, _R, BLOCK, CHANCE, NW, PAIRS, SPLIT, W, WT, _CHAIN, _bleu_sql, _chrf_sql, _orders, _pairs, query, r6, t
 from corpuslab.profiles import HINDI, LATIN
-from corpuslab.sources import scan, sinks
+from corpuslab.sources import formats, scan, sinks
 from corpuslab.streaming.incremental import keep_new
 from corpuslab.tables import drop_table, new_path, written
 
@@ -55,20 +55,57 @@ def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.count_distinct("doc_id").alias("n")), at)
 
 
-@query("SELECT sha256(trim(text, E' \\n')) AS sha, count(*) AS n FROM documents WHERE doc_id < 500 GROUP BY 1")
+@query("SELECT sha256(trim(text, E' \\n')) AS sha, count(*) AS n FROM documents GROUP BY 1")
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of quoted fields with line ends inside."""
+    """Rows of quoted fields with line ends inside, read in ranges of a few kilobytes."""
     at = f"{new_path(spark, 'rows')}.csv"
-    t(spark, sf_dir, "documents").where("doc_id < 500").select("doc_id", F.col("text").alias("article")).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(at)
-    rows = scan.texts(spark, at)
+    t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("article")).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(at)
+    size = 1 << 18
+    rows = scan.csv(spark, f"{at}/*.csv", size)
     return kept(rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.count_distinct("doc_id").alias("n")), at)
 
 
-@query("SELECT count(*) AS docs, sum(length(d))::BIGINT AS chars FROM (SELECT trim(unnest(string_split(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(10) || chr(10))), E' \\n') AS d FROM documents WHERE text NOT LIKE chr(10) || '%') WHERE length(d) >= 120")
+@query("SELECT sha256(trim(l)) AS sha, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' AND contains(l, 'the') GROUP BY 1")
+def corpus_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by the data source of that name: one column of three is made, and a filter on it runs in the readers."""
+    at = new_path(spark, "lines")
+    t(spark, sf_dir, "documents").select("text").write.text(at)
+    formats.register(spark)
+    rows = spark.read.format("corpus").option("range_bytes", 1 << 20).schema("text string").load(f"{at}/*.txt").where(F.contains("text", F.lit("the")))
+    lines = rows.select(F.trim("text").alias("text")).where("text <> ''")
+    return kept(lines.groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n")), at)
+
+
+@query(f"""SELECT 'wiki/' || doc_id AS doc_id, sha256(x) AS sha FROM (SELECT doc_id, trim(regexp_replace({_HINDI}, '\\s+', ' ', 'g')) AS x FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 11 <> 5) WHERE x <> ''""")
+def wiki_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a dump of bz2 streams of some 20 records, one of 7 in another namespace and one of 11 moved, read back by more tasks than there are files."""
+    import bz2
+
+    x = F.concat(
+        F.lit("  <page>\n    <title>t&amp;"), F.col("doc_id").cast("string"), F.lit("</title>\n    <ns>"), F.when(F.col("doc_id") % 7 == 3, "1").otherwise("0"), F.lit("</ns>\n    <id>"), F.col("doc_id").cast("string"), F.lit("</id>\n"),
+        F.when(F.col("doc_id") % 11 == 5, '    <redirect title="other" />\n').otherwise(""), F.lit('    <revision>\n      <id>1</id>\n      <text bytes="1" xml:space="preserve">'), hindi(F.col("text")), F.lit("</text>\n    </revision>\n  </page>\n"),
+    )
+
+    def streams(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"data": [bz2.compress(b"<mediawiki>\n  <siteinfo/>\n")]})
+        for batch in batches:
+            texts = [v.encode() for v in batch["x"]]
+            yield pd.DataFrame({"data": [bz2.compress(b"".join(texts[i : i + 20])) for i in range(0, len(texts), 20)]})
+        yield pd.DataFrame({"data": [bz2.compress(b"</mediawiki>\n")]})
+
+    at = new_path(spark, "dump")
+    formats.write_parts(t(spark, sf_dir, "documents").select(x.alias("x")).mapInPandas(streams, "data binary"), at, ".xml.bz2")
+    rows = scan.wiki_dump(spark, f"{at}/*.bz2", HINDI, range_bytes=1 << 16)
+    return kept(rows.select("doc_id", F.sha2("text", 256).alias("sha")), at)
+
+
+@query("SELECT count(*) AS docs, sum(length(d))::BIGINT AS chars FROM (SELECT trim(unnest(string_split(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(10) || chr(10))), E' \\n') AS d FROM documents) WHERE length(d) >= 120")
 def blank_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with blank lines between them, read as documents that are numbered in a row."""
     at = new_path(spark, "blank")
-    t(spark, sf_dir, "documents").where("text not like '\\n%'").select(F.concat("text", F.lit("\n"))).write.text(at)
+    t(spark, sf_dir, "documents").select(F.concat("text", F.lit("\n"))).write.text(at)
     rows = scan.blank_line_documents(spark, at, "x")
     number = F.regexp_extract("doc_id", r"(\d+)$", 1).cast("long")
     return kept(rows.agg(F.count("*").alias("docs"), F.sum(F.char_length("text").cast("long")).alias("chars"), (F.max(number) + 1 - F.count_distinct(number)).alias("gaps")).where("gaps = 0").drop("gaps"), at)
@@ -90,11 +127,11 @@ def clean_and_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(records.join(own, ["source", "split"]), clean, parts)
 
 
-@query("SELECT source, count(*) AS docs, count(DISTINCT sha256(text)) AS hashes, true AS done FROM documents WHERE source < 'src15' GROUP BY 1")
+@query("SELECT source, count(*) AS docs, count(DISTINCT sha256(text)) AS hashes, true AS done FROM documents GROUP BY 1")
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests of sources that are done, read back."""
     at = new_path(spark, "manifest")
-    docs = t(spark, sf_dir, "documents").where("source < 'src15'").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
     for row in docs.select("source").distinct().orderBy("source").collect():  # a few sources
         sinks.append_manifest(docs.where(F.col("source") == row["source"]), at, row["source"])
     rows = spark.read.parquet(at)
@@ -237,18 +274,19 @@ def tokenizer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenizer_scores(d, ["lang"])
 
 
-@query(f"SELECT list_sum(x)::BIGINT AS total, len(x) AS n, x[len(x)] AS last FROM (SELECT flatten(list(list_append({WT}.list_transform(lambda w: length(w)::BIGINT), 3) ORDER BY doc_id)) AS x FROM documents WHERE doc_id < 40)")
+@query(f"SELECT batch, list_sum(x)::BIGINT AS total, len(x) AS n, x[len(x)] AS last FROM (SELECT doc_id // 32 AS batch, flatten(list(list_append({WT}.list_transform(lambda w: length(w)::BIGINT), 3) ORDER BY doc_id)) AS x FROM documents GROUP BY 1)")
 def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id", F.transform(T.words(F.col("text")), lambda w: F.char_length(w)).alias("ids"))
-    one = tokens.joined_ids(d, "doc_id").select(F.transform("ids", lambda x: x.cast("long")).alias("ids"))
-    return one.select(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("ids").cast("long").alias("n"), F.element_at("ids", -1).alias("last"))
+    """Batches of 32 documents, each one row of ids."""
+    d = t(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 32).cast("long").alias("batch"), F.transform(T.words(F.col("text")), lambda w: F.char_length(w)).alias("ids"))
+    one = tokens.joined_ids(d, "doc_id", within=["batch"]).select("batch", F.transform("ids", lambda x: x.cast("long")).alias("ids"))
+    return one.select("batch", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("ids").cast("long").alias("n"), F.element_at("ids", -1).alias("last"))
 
 
-@query("SELECT event_id AS step, CASE WHEN event_id < 300 THEN 'old' ELSE 'new' END AS which, value FROM events WHERE event_id < 900")
+@query("SELECT event_id AS step, CASE WHEN event_id < 300 THEN 'old' ELSE 'new' END AS which, value FROM events")
 def merged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log up to 500 and one from 300 on."""
     e = t(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "value")
-    old, new = (e.where(test).select("step", F.lit(w).alias("which"), "value") for test, w in (("step < 500", "old"), ("step >= 300 and step < 900", "new")))
+    old, new = (e.where(test).select("step", F.lit(w).alias("which"), "value") for test, w in (("step < 500", "old"), ("step >= 300", "new")))
     return training.merged_log(old, new)
 
 

@@ -5,10 +5,12 @@ A doc_id is the file's name and the row's number in it. Texts are stripped; rows
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -111,10 +113,10 @@ def _first_record(file, length: int) -> bytes:
     return data[: ends[0] + 1] if len(ends) else data
 
 
-def _records(column: str | None):
+def _records():
     """Ranges with their state to the records that begin in them, (file, number, text): complete ones, however far they go on behind the range."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import csv
         import io
 
@@ -122,13 +124,13 @@ def _records(column: str | None):
 
         csv.field_size_limit((1 << 31) - 1)
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                start, size, length = int(row.start), int(row.size), int(row.length)
-                with opened(row.path) as file:
+            for row in batch.to_pylist():
+                path, start, size, length, state = (row[c] for c in ("path", "start", "size", "length", "state"))
+                with opened(path) as file:
                     names = next(csv.reader(io.StringIO(_first_record(file, length).decode("utf-8-sig", "replace"), newline="")), [])
                     at = max(0, start - 1)  # with the byte before: a record begins behind its line end
                     file.seek(at)
-                    data, state = file.read(start + size - at), int(row.state)
+                    data = file.read(start + size - at)
                     if start and data[:1] == b'"':
                         state ^= 1
                     begins = _line_ends(data, state) + 1
@@ -145,15 +147,15 @@ def _records(column: str | None):
                         data += more
                         if len(ends):
                             break
-                k = names.index(column) if column in names else names.index(text_name(names)) if names else 0
-                out, number = [], int(row.number) + (start > 0 and first > 1) - 1  # the file's first row has the names
+                k = names.index(text_name(names)) if names else 0
+                out, number = [], row["number"] + (start > 0 and first > 1) - 1  # the file's first row has the names
                 text = data[first:].decode("utf-8-sig" if not start else "utf-8", "replace")
                 reader = csv.reader(io.StringIO(text, newline=""))
                 for r in reader:
                     if r and number >= 0:
-                        out.append((row.path.rsplit("/", 1)[-1], number, r[k] if k < len(r) else None))
+                        out.append((path.rsplit("/", 1)[-1], number, r[k] if k < len(r) else None))
                     number += 1
-                yield pd.DataFrame(out, columns=["file", "number", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["file", "number", "text"])
 
     return run
 
@@ -174,7 +176,7 @@ def csv(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataF
     known = told.withColumn("state", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
     known = known.withColumn("number", F.coalesce(F.sum(F.when(F.col("state") == 0, F.col("ends_outside")).otherwise(F.col("ends_inside"))).over(before), F.lit(0)))
     dealt = known.select("path", "start", "size", "length", "state", "number").repartition(spark.sparkContext.defaultParallelism)
-    rows = dealt.mapInPandas(_records(None), "file string, number long, text string")
+    rows = dealt.mapInArrow(_records(), "file string, number long, text string")
     return _documents(rows, F.col("text"), F.col("file"), F.col("number"))
 
 
@@ -210,11 +212,75 @@ def small_files(spark: SparkSession, path: str, most_bytes: int = 2_000_000_000)
     return sorted(r["path"] for r in rows.collect())  # as many as there are files
 
 
-def wiki_dump(spark: SparkSession, path: str, profile: ScriptProfile, least_share: float = 0.2, name: str = "wiki") -> DataFrame:
-    """Articles of an XML dump: no other namespaces, no redirects, markup out, enough of the script."""
-    schema = "title string, ns int, id long, redirect struct<_title: string>, revision struct<text: struct<_VALUE: string>>"
-    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    rows = pages.where("ns = 0 and redirect is null").select(F.concat(F.lit(f"{name}/"), F.col("id").cast("string")).alias("doc_id"), T.wiki_markup(F.col("revision.text._VALUE")).alias("text"))
+#: How a stream of a bz2 file begins, and the marks of a record in a dump.
+_STREAM, _PAGE, _PAGE_END = re.compile(rb"BZh[1-9]1AY&SY"), b"<page>", b"</page>"
+
+
+def _unpacked(file, at: int) -> Iterator[tuple[bytes, int]]:
+    """(text, where the next stream begins, or -1 inside this one): the text of the stream that begins at a place of an open file, some at a time."""
+    import bz2
+
+    file.seek(at)
+    stream = bz2.BZ2Decompressor()
+    while not stream.eof:
+        data = b"" if not stream.needs_input else file.read(1 << 18)
+        if stream.needs_input and not data:
+            return  # a file that is cut off
+        at += len(data)
+        text = stream.decompress(data, 1 << 20)
+        yield text, at - len(stream.unused_data) if stream.eof else -1
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of compressed files to the records (xml) whose streams begin in them. A record that its stream does not end goes on in the next ones, which leave out what stands before their first mark."""
+    from corpuslab.sources.sinks import opened
+
+    for batch in batches:
+        for path, start, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "size")), strict=True):
+            out: list[str] = []
+            with opened(path) as file:
+                file.seek(int(start))
+                marks = [int(start) + m.start() for m in _STREAM.finditer(file.read(int(size) + 9)) if m.start() < size]
+                for mark in marks:
+                    held, at, own, ended = b"", mark, True, False
+                    while at >= 0 and not ended:
+                        following = -1
+                        for text, following in _unpacked(file, at):
+                            held += text
+                            while not ended and (a := held.find(_PAGE)) >= 0 and (b := held.find(_PAGE_END, a)) >= 0:
+                                out.append(held[a : b + len(_PAGE_END)].decode("utf-8", "replace"))
+                                held = held[b + len(_PAGE_END) :]
+                                ended = not own  # the record that went on into another range's stream
+                            if ended:
+                                break
+                            a = held.find(_PAGE)
+                            held = held[a:] if a >= 0 else held[-len(_PAGE) :]
+                        ended = ended or _PAGE not in held
+                        at, own = following, False
+                    if len(out) >= 500:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["xml"])
+                        out = []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["xml"])
+
+
+def dump_pages(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """(xml) of the records of bz2 dumps. A file of many streams is many tasks' work: each reads the streams that begin in its range, whose first bytes say so; a file of one stream is one task's."""
+    ship(spark)
+    return _ranges(spark, path, range_bytes or RANGE).repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(_pages, "xml string")
+
+
+_DUMP = "title string, ns int, id long, redirect struct<_title: string>, revision struct<text: struct<_VALUE: string>>"
+
+
+def wiki_dump(spark: SparkSession, path: str, profile: ScriptProfile, least_share: float = 0.2, name: str = "wiki", range_bytes: int | None = None) -> DataFrame:
+    """Articles of an XML dump, plain or in bz2 streams (.bz2): no other namespaces, no redirects, markup out, enough of the script."""
+    if path.endswith(".bz2"):
+        text = "title string, ns int, id long, redirect string, revision struct<text: string>"
+        pages = dump_pages(spark, path, range_bytes).select(F.col("xml").contains("<redirect").alias("moved"), F.from_xml("xml", text).alias("p")).select("moved", "p.*")
+        rows = pages.where("ns = 0 and not moved").select("id", F.col("revision.text").alias("text"))
+    else:
+        rows = spark.read.format("xml").option("rowTag", "page").schema(_DUMP).load(path).where("ns = 0 and redirect is null").select("id", F.col("revision.text._VALUE").alias("text"))
+    rows = rows.select(F.concat(F.lit(f"{name}/"), F.col("id").cast("string")).alias("doc_id"), T.wiki_markup(F.col("text")).alias("text"))
     return rows.where((F.col("text") != "") & (T.script_fraction(F.col("text"), profile) >= least_share))
 
 

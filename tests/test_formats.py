@@ -114,3 +114,28 @@ def test_quoted_csv_by_ranges(spark, tmp_path, range_bytes):
         at = rows[0].index("text" if "text" in rows[0] else "article")
         want |= {f"{name}#{i}": r[at].strip() for i, r in enumerate(rows[1:]) if r and r[at].strip()}
     assert got == want
+
+
+@pytest.mark.parametrize("range_bytes", [7, 40, 300, 100_000])
+def test_dumps_of_streams_by_ranges(spark, tmp_path, range_bytes):
+    """Records that end in a later stream are read once, by the range where they begin."""
+    import bz2
+
+    from corpuslab.profiles import HINDI
+    from corpuslab.sources import scan
+
+    page = lambda i: f"<page><title>t</title><ns>{int(i % 5 == 4)}</ns><id>{i}</id>{'<redirect title=\"x\" />' if i % 7 == 6 else ''}<revision><text>राम &amp; [[x|घर]] {i}</text></revision></page>\n"
+    for f in (0, 1):
+        text = ("<mediawiki>\n" + "".join(page(f * 100 + i) for i in range(30)) + "</mediawiki>\n").encode()
+        rng, data, at = random.Random(f), b"", 0
+        while at < len(text):
+            size = rng.choice([5000, 40, 900, 300])
+            while b"<page>" in (edge := text[max(0, at + size - 5) : at + size + 5]) and not edge.endswith(b"<page>") and at + size < len(text):
+                size += 1  # no mark is cut in two
+            data += bz2.compress(text[at : at + size])
+            at += size
+        (tmp_path / f"{f}.xml.bz2").write_bytes(data)
+    got = sorted(r["text"] for r in scan.wiki_dump(spark, f"{tmp_path}/*.bz2", HINDI, range_bytes=range_bytes).collect())
+    assert got == sorted(f"राम & घर {f * 100 + i}" for f in (0, 1) for i in range(30) if (f * 100 + i) % 5 != 4 and (f * 100 + i) % 7 != 6)
+    if range_bytes == 300:
+        assert scan.dump_pages(spark, f"{tmp_path}/*.bz2", 300).rdd.getNumPartitions() > 2
