@@ -5,12 +5,15 @@ Examples: (id, split, attribute, entities array<string>, premises array<struct<s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions import scores as S
-from corpuslab.functions import text as T
-from corpuslab.session import spread
+from corpuslab.session import in_arrow, spread
+from corpuslab.tables import drop_table, written
 
 
 def relation(answer_rel: Column) -> Column:
@@ -61,30 +64,78 @@ def report(train: DataFrame, others: DataFrame) -> DataFrame:
     return out.join(shared, "split", "left").withColumn("name_overlap", F.coalesce("name_overlap", F.lit(0)))
 
 
-#: Most words of an item by which documents are looked up.
-LOOKED_UP = 8
+#: Lengths of the runs of characters by which items are looked up, and bits of the map that says which runs items begin with: 2 MB, however many items there are.
+RUNS, MAP_BITS = (1, 2, 4, 8, 16, 32, 64), 1 << 24
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def _run_hashes(text: str, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of the run that begins at each character) for the lengths of RUNS up to `longest`, each from the one of half the length."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    hashes, n = _mixed(codes + _ODD), 1
+    while n <= longest and len(hashes):
+        yield n, hashes
+        hashes = _mixed(hashes[:-n] * _ODD + hashes[n:] + np.uint64(n)) if n < len(hashes) else hashes[:0]
+        n *= 2
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (item_id, item) to the hash of the longest run that they begin with, and its length."""
+    for batch in batches:
+        keys = [list(_run_hashes(text[: RUNS[-1]], RUNS[-1]))[-1] for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in keys], pa.int32()), pa.array([int(h[0].astype(np.int64)) for _, h in keys], pa.int64())], ["item_id", "item", "run", "h"])
+
+
+def _hits(shared, lengths: frozenset[int]):
+    """Documents (doc_id, text) to the distinct hashes of their runs that the map has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                mine = []
+                for n, hashes in _run_hashes(text, max(lengths)):
+                    if n in lengths:
+                        at = hashes & np.uint64(MAP_BITS - 1)
+                        mine.append(np.unique(hashes[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]))
+                found.append(np.concatenate([np.empty(0, np.uint64), *mine]).astype(np.int64))
+            sizes = np.array([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "hs"])
+
+    return run
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id): the documents (doc_id, text) in which the text of an item (item_id, text) stands, character for character, wherever it begins and ends.
 
-    Inside an item the words between its first and its last one stand whole in such a document, so that up to LOOKED_UP of them are its key; items of fewer than three words
-    are looked up by runs of up to LOOKED_UP characters. Only keys are dealt out; texts meet the pairs that share one, and the whole item is compared. Null and empty items stand nowhere.
+    An item is looked up by the longest run of 1, 2, 4 ... 64 characters that it begins with. One pass over documents rolls the hashes of all their runs, and those that a broadcast map of fixed size lets through are dealt
+    out; texts meet the pairs that share one, and the whole item is compared. With more than some million items the map lets more through, and nothing else changes. Null and empty items stand nowhere; other columns are not read.
     """
-    texts = items.where("text <> ''").select("item_id", F.col("text").alias("item"))
-    words, size = T.words(F.col("item")), F.char_length("item")
-    n = F.size(words)
-    keyed = texts.select("item_id", F.when(n > 2, F.least(n - 2, F.lit(LOOKED_UP))).otherwise(-F.least(size, F.lit(LOOKED_UP))).alias("length"), words.alias("w"), "item")
-    keyed = keyed.select("item_id", "length", F.when(F.col("length") > 0, F.array_join(F.slice("w", F.lit(2), F.greatest(F.col("length"), F.lit(0))), " ")).otherwise(F.substring("item", F.lit(1), -F.col("length"))).alias("key"))
-    rows, pairs = spread(docs).where("doc_id is not null and text is not null").select("doc_id", "text"), None
-    for length in sorted(r["length"] for r in keyed.select("length").distinct().collect()):  # at most twice LOOKED_UP
-        runs = F.transform(S.ngrams(T.words(F.col("text")), length), lambda g: F.array_join(g, " ")) if length > 0 else S.char_runs(F.col("text"), -length)
-        found = rows.select("doc_id", F.explode(F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))).alias("h"))
-        met = found.join(keyed.where(F.col("length") == length).select("item_id", F.xxhash64("key").alias("h")), "h").select("item_id", "doc_id")
-        pairs = met if pairs is None else pairs.union(met)
-    if pairs is None:
-        return rows.join(texts).select("item_id", "doc_id").limit(0)
-    return pairs.distinct().join(rows, "doc_id").join(texts, "item_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()
+    spark = docs.sparkSession
+    texts = items.select("item_id", F.col("text").alias("item")).where("item <> ''")
+    keyed, path = written(in_arrow(texts, _keyed, f"item_id {dict(texts.dtypes)['item_id']}, item string, run int, h long"), "items")
+    rows = spread(docs.select("doc_id", "text")).where("doc_id is not null and text is not null")
+    lengths = frozenset(r["run"] for r in keyed.select("run").distinct().collect())
+    if not lengths:
+        drop_table(spark, path)
+        return spark.createDataFrame([], f"item_id {dict(texts.dtypes)['item_id']}, doc_id {dict(rows.dtypes)['doc_id']}")
+    place = F.col("h").bitwiseAND(MAP_BITS - 1)
+    words = keyed.select(F.shiftright(place, 3).alias("at"), F.pow(F.lit(2), F.pmod(place, F.lit(8))).cast("int").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()  # MAP_BITS / 8 rows at most
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in words:
+        bits[r["at"]] = r["bits"]
+    kind = dict(rows.dtypes)["doc_id"]
+    found = in_arrow(rows, _hits(spark.sparkContext.broadcast(bits), lengths), f"doc_id {kind}, hs array<long>").select("doc_id", F.explode("hs").alias("h"))
+    pairs = found.join(keyed.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    return pairs.join(rows, "doc_id").join(keyed.select("item_id", "item"), "item_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()
 
 
 def relation_metrics(rows: DataFrame, group: list[str] | None = None) -> DataFrame:

@@ -70,6 +70,17 @@ def sweep(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("seeds"))
 
 
+def entity_mass(weights: Column, pieces: Column, names: Column) -> Column:
+    """The weight on the pieces that share a character with the first place of any of the names in the pieces' joined text; a piece counts once, and a null name has none."""
+    from corpuslab.operators.tokens import positions_of
+
+    places = F.array_distinct(F.flatten(F.transform(F.filter(names, lambda n: n.isNotNull() & (n != "")), lambda n: positions_of(pieces, n))))
+    return F.aggregate(places, F.lit(0.0), lambda total, i: total + F.coalesce(F.get(weights, i), F.lit(0.0)))
+
+
 def attention(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Means of entropy and distance of rows (weights array<double>, query) to four places, by keys."""
-    return rows.groupBy(*keys).agg(F.round(F.avg(S.entropy(F.col("weights"))), 4).alias("entropy"), F.round(F.avg(S.mean_distance(F.col("weights"), F.col("query"))), 4).alias("distance"))
+    """Means of entropy and distance of rows (weights array<double>, query) to four places, by keys; where rows have pieces and names, also entity_mass."""
+    means = [F.round(F.avg(S.entropy(F.col("weights"))), 4).alias("entropy"), F.round(F.avg(S.mean_distance(F.col("weights"), F.col("query"))), 4).alias("distance")]
+    if {"pieces", "names"} <= set(rows.columns):
+        means.append(F.round(F.avg(entity_mass(F.col("weights"), F.col("pieces"), F.col("names"))), 4).alias("entity_mass"))
+    return rows.groupBy(*keys).agg(*means)

@@ -917,6 +917,20 @@ def attention_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.attention(_attention(spark, sf_dir).select("label", F.col("p").alias("weights"), F.lit(63).alias("query")), ["label"])
 
 
+@query(f"""WITH w AS (SELECT doc_id, lang, {WT}[1:48] AS w FROM documents), p AS (SELECT doc_id, lang, list_transform(w, lambda x: ' ' || x) AS p, array_to_string(list_transform(w, lambda x: ' ' || x), '') AS line, list_transform(w, lambda x: exp(length(x) / 10.0::DOUBLE)) AS e,
+list_transform(generate_series(1, len(w)), lambda i: length(array_to_string(list_transform(w[1:i], lambda x: ' ' || x), ''))) AS ends, list_filter(list_distinct([w[3], w[7], w[len(w)]]), lambda x: x IS NOT NULL) AS names FROM w WHERE len(w) > 0),
+m AS (SELECT doc_id, lang, list_transform(e, lambda x: x / list_sum(e)) AS q, list_transform(generate_series(1, len(p)), lambda i: len(list_filter(names, lambda n: ends[i] - length(p[i]) < instr(line, n) - 1 + length(n) AND ends[i] > instr(line, n) - 1)) > 0) AS inside FROM p)
+SELECT lang, round(avg(-list_sum(list_transform(q, lambda x: x * ln(greatest(x, 1e-12))))), 4) AS entropy, round(avg(list_sum(list_transform(q, lambda x, i: x * abs(len(q) - i)))), 4) AS distance,
+round(avg(coalesce(list_sum(list_transform(q, lambda x, i: CASE WHEN inside[i] THEN x ELSE 0.0::DOUBLE END)), 0)), 4) AS entity_mass FROM m GROUP BY 1""")
+def attention_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 48 words of each document as pieces with weights by their lengths, looked at from the last one; its third, seventh and last words are names, each at its first place."""
+    w = t(spark, sf_dir, "documents").select("lang", F.slice(T.words(F.col("text")), 1, 48).alias("w")).where(F.size("w") > 0)
+    names = F.array_distinct(F.array(F.get("w", F.lit(2)), F.get("w", F.lit(6)), F.element_at("w", -1)))
+    weights = S.softmax(F.transform("w", lambda x: F.char_length(x) / 10.0))
+    rows = w.select("lang", F.transform("w", lambda x: F.concat(F.lit(" "), x)).alias("pieces"), names.alias("names"), weights.alias("weights"), (F.size("w") - 1).alias("query"))
+    return training.attention(rows, ["lang"])
+
+
 # ---------------------------------------------------------------- sources
 
 

@@ -553,3 +553,13 @@ def test_extra_columns_with_names_of_the_operators_own(spark):
     assert clean.columns[: len(df.columns)] == df.columns and {(r["_nfc"], r["_filtered"], r["dropped"]) for r in clean.collect()} == {("u", "v", None)}
     named = df.withColumnRenamed("_nfc", "_rn")
     assert select.first_in_groups(named, ["g"], [F.col("k")], 2).select("k", "_rn").count() == 4
+
+
+def test_contamination_of_any_length(spark):
+    rng = random.Random(8)
+    some = lambda a, b: "".join(rng.choice("ab é🙂") for _ in range(rng.randint(a, b)))
+    docs = [(i, some(0, 150)) for i in range(60)] + [(60, None), (None, "ab")]
+    items = [(f"i{k}", some(1, 4) if k % 3 else docs[k % 60][1][rng.randint(0, 9) :][: rng.randint(1, 140)]) for k in range(80)] + [("none", None), ("empty", "")]
+    got = leakage.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    want = {(k, i) for k, x in items if x for i, t in docs if i is not None and t is not None and x in t}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
