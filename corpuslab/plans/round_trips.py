@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import scores as S
 from corpuslab.functions import text as T
-from corpuslab.operators import evaluation, leakage, quality, reasoning, stats, tokens, training
+from corpuslab.operators import evaluation, leakage, quality, reasoning, replay, stats, tokens, training
 from corpuslab.plans.queries import _H, _R, BLOCK, CHANCE, NW, PAIRS, SPLIT, W, WT, _CHAIN, _bleu_sql, _chrf_sql, _orders, _pairs, query, r6, t
 from corpuslab.profiles import HINDI, LATIN
 from corpuslab.sources import formats, scan, sinks
@@ -127,6 +127,12 @@ def clean_and_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(records.join(own, ["source", "split"]), clean, parts)
 
 
+@query()
+def replayed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of each document as Python's random.Random(1337) draws it, one document after another; tests hold the draws against Python's."""
+    return replay.replayed(t(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], 1337).withColumn("split", replay.split_by(F.col("chance")))
+
+
 @query("SELECT source, count(*) AS docs, count(DISTINCT sha256(text)) AS hashes, true AS done FROM documents GROUP BY 1")
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests of sources that are done, read back."""
