@@ -939,4 +939,4 @@ def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.parquet(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-from corpuslab.plans import round_trips, tokenizers  # noqa: E402, F401  register their own
+from corpuslab.plans import files, round_trips, tokenizers  # noqa: E402, F401  register their own

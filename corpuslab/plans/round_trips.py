@@ -223,10 +223,10 @@ def rationale_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", T.rationale_parts(F.col("x")).alias("p"), T.rationale(F.col("x")).alias("rationale"), scored.alias("scored")).select("id", F.array_join("p.steps", " | ").alias("steps"), "p.conclusion", "p.answer", "p.closed", "rationale", "scored")
 
 
-@query(f"""WITH {PAIRS} SELECT id, 0.4::DOUBLE * 0.5 + 0.6::DOUBLE * 0.25 AS combined, list_has_all({_H}, [({_R})[1]]) OR contains(hypothesis, ({_R})[1]) AS copies FROM pairs""")
+@query(f"""WITH {PAIRS} SELECT id, 0.4::DOUBLE * ((length(hypothesis) % 5) / 4.0::DOUBLE) + 0.6::DOUBLE * ((length(reference) % 3) / 2.0::DOUBLE) AS combined, list_has_all({_H}, [({_R})[1]]) OR contains(hypothesis, ({_R})[1]) AS copies FROM pairs""")
 def name_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, first = F.col("hypothesis"), F.get(T.words(F.col("reference")), F.lit(0))
-    return _pairs(spark, sf_dir).select("id", S.combined_score(F.lit(0.5), F.lit(0.25)).alias("combined"), S.copies_names(h, F.array(first)).alias("copies"))
+    return _pairs(spark, sf_dir).select("id", S.combined_score(F.char_length(h) % 5 / 4.0, F.char_length("reference") % 3 / 2.0).alias("combined"), S.copies_names(h, F.array(first)).alias("copies"))
 
 
 @query(f"WITH {PAIRS}, p AS (SELECT trim(regexp_replace(hypothesis, '\\s+', ' ', 'g')) AS h, trim(regexp_replace(reference, '\\s+', ' ', 'g')) AS r FROM pairs) SELECT avg((contains(h, r) OR contains(r, h))::INTEGER) AS accuracy FROM p")
