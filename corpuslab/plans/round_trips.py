@@ -144,13 +144,16 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(rows.groupBy("source").agg(F.count_if(F.col("kind") == "doc").alias("docs"), F.count_distinct("hash").alias("hashes"), (F.count_if(F.col("kind") == "source_done") == 1).alias("done")), at)
 
 
-@query("SELECT url FROM pages WHERE page_id % 5 <> 0 ORDER BY page_id % 5 = 1, page_id LIMIT 100")
+@query("SELECT url FROM pages")
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index that names some pages itself and the others in a map of its own."""
-    p = t(spark, sf_dir, "pages").where("page_id % 5 <> 0").select("page_id", F.concat(F.lit("<loc> "), "url", F.lit(" </loc>")).alias("loc"), F.col("page_id") % 5 == 1)
-    own, below = (p.where(p[2] == flag).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "loc"))), lambda x: x["loc"]), "\n").alias("xml")) for flag in (False, True))
-    maps = own.select(F.lit("http://x/index").alias("url"), F.concat("xml", F.lit("<loc>http://x/sitemap-1.xml</loc>")).alias("xml")).union(below.select(F.lit("http://x/sitemap-1.xml"), "xml"))
-    return scan.sitemap_pages(maps, "http://x/index", 100)
+    """An index that names one page of a hundred itself, and the others in maps of up to 500 pages."""
+    number = F.when(F.col("page_id") % 100 == 1, -1).otherwise(F.floor(F.col("page_id") / 500)).cast("long")
+    p = t(spark, sf_dir, "pages").select(number.alias("map"), F.concat(F.lit("<loc> "), "url", F.lit(" </loc>")).alias("loc"))
+    of = lambda c: F.concat(F.lit("http://x/sitemap-"), c.cast("string"), F.lit(".xml"))
+    own, below = (p.where(test).groupBy("map").agg(F.array_join(F.collect_list("loc"), "\n").alias("xml")) for test in ("map < 0", "map >= 0"))
+    named = p.where("map >= 0").select(F.concat(F.lit("<loc>"), of(F.col("map")), F.lit("</loc>")).alias("loc")).distinct().agg(F.array_join(F.collect_list("loc"), "\n").alias("maps"))
+    index = named.join(F.broadcast(own.select("xml")), F.lit(True), "left").select(F.lit("http://x/index").alias("url"), F.concat_ws("\n", "xml", "maps").alias("xml"))  # one row each
+    return scan.sitemap_pages(index.union(below.select(of(F.col("map")), "xml")), "http://x/index", (1 << 31) - 1)
 
 
 @query(f"""WITH d AS (SELECT doc_id, lang, text FROM documents WHERE length(text) >= 120 AND length(regexp_replace(text, '{BLOCK}', '', 'g'))::DOUBLE / length(regexp_replace(text, '\\s', '', 'g')) >= 0.65::DOUBLE),

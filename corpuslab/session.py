@@ -28,14 +28,25 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+#: Bytes of a file that may be one row group, so that one task would read them alone.
+ROW_GROUP = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out evenly where it is read from fewer files than there are cores: such files may hold a row group each, which one task would read and work on alone.
+    """df, dealt out evenly where its files cannot feed all cores: where they are fewer, and together smaller than a row group for each core, so that a few tasks would read and work on all of it.
 
-    Tables of many files are left as they are, so that nothing large is shuffled for this.
+    Larger tables and those of many files are left as they are, so that nothing large is shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     files = df.inputFiles()
-    return df.repartition(cores) if 0 < len(files) < cores else df
+    return df.repartition(cores) if 0 < len(files) < cores and _bytes(spark, files) < cores * ROW_GROUP else df
+
+
+def _bytes(spark: SparkSession, files: list[str]) -> int:
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)) for f in files]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
 
 
 def _give_back() -> None:
