@@ -525,10 +525,14 @@ def chrf_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.chrf(_pairs(spark, sf_dir)).select(r6(F.col("chrf")).alias("chrf"))
 
 
-@query(f"""WITH {PAIRS}, w AS (SELECT id, {_H} AS h, {_R} AS r FROM pairs),
+#: Common subsequences of words, by a row of the table for each word.
+_ROUGE = f"""w AS (SELECT id, {_H} AS h, {_R} AS r FROM pairs),
 l AS (SELECT id, len(h) AS nh, len(r) AS nr, CASE WHEN len(h) = 0 OR len(r) = 0 THEN 0 ELSE list_reduce(list_prepend(list_transform(generate_series(0, len(r)), lambda z: 0), list_transform(h, lambda t: list_transform(r, lambda x: (x = t)::INTEGER))),
- lambda p, e: list_reduce(list_prepend([0], list_transform(e, lambda m, j: [m, j])), lambda now, mj: list_append(now, CASE WHEN mj[1] = 1 THEN p[mj[2]] + 1 ELSE greatest(p[mj[2] + 1], now[mj[2]]) END)))[-1] END AS n FROM w)
-SELECT id, round(CASE WHEN n = 0 THEN 0::DOUBLE ELSE 2.0::DOUBLE * (n::DOUBLE / nh) * (n::DOUBLE / nr) / (n::DOUBLE / nh + n::DOUBLE / nr) END, 6) AS rouge_l FROM l""")
+ lambda p, e: list_reduce(list_prepend([0], list_transform(e, lambda m, j: [m, j])), lambda now, mj: list_append(now, CASE WHEN mj[1] = 1 THEN p[mj[2]] + 1 ELSE greatest(p[mj[2] + 1], now[mj[2]]) END)))[-1] END AS n FROM w)"""
+_ROUGE_L = "CASE WHEN n = 0 THEN 0::DOUBLE ELSE 2.0::DOUBLE * (n::DOUBLE / nh) * (n::DOUBLE / nr) / (n::DOUBLE / nh + n::DOUBLE / nr) END"
+
+
+@query(f"WITH {PAIRS}, {_ROUGE} SELECT id, round({_ROUGE_L}, 6) AS rouge_l FROM l")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("id", r6(S.rouge_l(F.col("hypothesis"), F.col("reference"))).alias("rouge_l"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import scores as S
 from corpuslab.functions import text as T
 from corpuslab.operators import evaluation, leakage, quality, reasoning, replay, stats, tokens, training
-from corpuslab.plans.queries import _H, _R, BLOCK, CHANCE, NW, PAIRS, SPLIT, W, WT, _CHAIN, _bleu_sql, _chrf_sql, _orders, _pairs, query, r6, t
+from corpuslab.plans.queries import _H, _R, BLOCK, CHANCE, NW, PAIRS, SPLIT, W, WT, _CHAIN, _bleu_sql, _chrf_sql, _ROUGE, _ROUGE_L, _orders, _pairs, query, r6, t
 from corpuslab.profiles import HINDI, LATIN
 from corpuslab.sources import formats, scan, sinks
 from corpuslab.streaming.incremental import keep_new
@@ -242,15 +242,15 @@ def _generation_sql() -> str:
     for n in (1, 2, 3, 4):
         gram = f"list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
         kinds.append(f"(SELECT count(DISTINCT g)::DOUBLE / count(*) FROM (SELECT unnest({gram}) AS g FROM (SELECT {_H} AS w FROM pairs) WHERE len(w) >= {n})) AS d{n}")
-    return f"""WITH {PAIRS}, b AS ({_bleu_sql()}), c AS ({_chrf_sql()}), k AS (SELECT {', '.join(kinds)})
-SELECT 'all' AS label, bleu, chrf, round(1 - d3, 6) AS repetition_rate_3, round(d1, 6) AS distinct_1, round(d2, 6) AS distinct_2, round(d4, 6) AS distinct_4 FROM b, c, k"""
+    return f"""WITH {PAIRS}, b AS ({_bleu_sql()}), c AS ({_chrf_sql()}), k AS (SELECT {', '.join(kinds)}), {_ROUGE}, g AS (SELECT round(avg({_ROUGE_L}), 6) AS rouge_l FROM l)
+SELECT 'all' AS label, bleu, chrf, rouge_l, round(1 - d3, 6) AS repetition_rate_3, round(d1, 6) AS distinct_1, round(d2, 6) AS distinct_2, round(d4, 6) AS distinct_4 FROM b, c, k, g"""
 
 
 @query(_generation_sql())
 def generation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = written(_pairs(spark, sf_dir).withColumn("label", F.lit("all")), "pairs")
     s = evaluation.generation_scores(rows, ["all"])
-    return s.select("label", *(r6(F.col(c)).alias(c) for c in ("bleu", "chrf", "repetition_rate_3", "distinct_1", "distinct_2", "distinct_4")))
+    return s.select("label", *(r6(F.col(c)).alias(c) for c in ("bleu", "chrf", "rouge_l", "repetition_rate_3", "distinct_1", "distinct_2", "distinct_4")))
 
 
 @query("SELECT doc_id // 50 AS id, count(*) AS n FROM documents WHERE doc_id // 50 % 3 <> 1 GROUP BY 1")
