@@ -30,7 +30,7 @@ POOLED, ROUND = 0.2, 0.02
 GOOD = 0.5
 
 #: What each statistic is a share of: 0 bytes, 1 words, 2 lines.
-OF = np.array([0] * 7 + [1] * 8 + [2])
+OF = np.array([0] * 7 + [1] * 9 + [2])
 SIZES, STATISTICS = 3, len(OF)
 
 _KIND = np.full(256, 4, np.intp)  # beyond ASCII
@@ -41,7 +41,7 @@ for _c in range(128):
 
 def statistics(text: str | None) -> list[float]:
     """Bytes, words and lines of a text, then what is counted of them: capitals, digits, punctuation, other signs, bytes beyond ASCII, white space and packed bytes; distinct words, the most frequent word,
-    letters of words, their squares, words of at most three letters, distinct pairs of neighbours, full stops, exclamation marks; distinct lines."""
+    letters of words, their squares, words of at most three letters, distinct pairs of neighbours, words that are the one before again, full stops, exclamation marks; distinct lines."""
     data = utf8(text)
     kinds = np.bincount(_KIND[np.frombuffer(data, np.uint8)], minlength=7)[:6] if data else np.zeros(6)
     words = (text or "").split()
@@ -55,7 +55,7 @@ def statistics(text: str | None) -> list[float]:
     pairs = len(np.unique(at[:-1] * len(number) + at[1:])) if len(at) > 1 else 0
     return [
         len(data), len(words), len(lines), *kinds, packed, len(counts), max(counts.values(), default=0), lengths.sum(), (lengths**2).sum(), (lengths <= 3).sum(),
-        pairs, (text or "").count("."), (text or "").count("!"), len(set(lines)),
+        pairs, (at[1:] == at[:-1]).sum(), (text or "").count("."), (text or "").count("!"), len(set(lines)),
     ]
 
 

@@ -39,7 +39,8 @@ def test_statistics():
     s = q.statistics("Aa bb Aa, bb!\n7 bb\n7 bb\n\n")
     assert s[:3] == [25, 8, 3]
     assert s[3:9] == [2, 2, 2, 0, 0, 9]
-    assert s[10:] == [5, 3, 16, 36, 8, 6, 0, 1, 2]
+    assert s[10:] == [5, 3, 16, 36, 8, 6, 0, 0, 1, 2]
+    assert q.statistics("a a a b b a.")[16] == 3
 
 
 def test_held_out_labels(spark):
