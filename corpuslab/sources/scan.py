@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from corpuslab.functions import text as T
+from corpuslab.operators.select import before_stretches, with_offsets
 from corpuslab.profiles import SPACE, ScriptProfile
 from corpuslab.session import ship
 
@@ -52,6 +53,15 @@ def parquet(spark: SparkSession, path: str, text: str | None = None) -> DataFram
     return _documents(rows, F.col(text or text_column(rows.schema)), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
 
 
+def table(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
+    """(doc_id, text) of every row of a Parquet table, however many files it is dealt over: the table's name and the row's number over its files in the order of their names. Texts are as they are, and none goes."""
+    rows = spark.read.parquet(path)
+    placed = rows.select(F.col(text or text_column(rows.schema)).cast("string").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = before_stretches(rows.select(F.col("_metadata.file_path").alias("file")), [], {"before": F.lit(1)}, "file")
+    met = with_offsets(placed, F.broadcast(files), [], "file")  # a row for each file
+    return met.select(F.concat_ws("#", F.lit(path.rstrip("/").rsplit("/", 1)[-1]), (F.col("before") + F.col("row")).cast("string")).alias("doc_id"), "text")
+
+
 def _numbered(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Lines of text files with their file and number. The number counts a file's lines from the stretches in which it is read, and those from their sizes."""
     lines = spark.read.options(**options).text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
